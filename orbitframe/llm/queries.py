@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import packing, quality_crf, quality_rules, secrets, simhash, substring, toxicity
+from . import ann, html_text, packing, quality_crf, quality_rules, secrets, sentencepiece_scan, simhash, substring, toxicity
 from .common import held_out
 
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by chunk, and the hash of the text that they decode to."""
+    path = packing.tokenizer_path("piece_bpe_32k.model")
+    encoded = sentencepiece_scan.encode_documents(_table(spark, sf_dir, "documents"), path)
+    decoded = sentencepiece_scan.decode_chunks(encoded, path)
+    return decoded.select("doc_id", "chunk", "chunks", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), packing.tokenizer_path("byte_bpe_50k.json"))
 
@@ -42,6 +55,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
     line = "concat_ws(':', s.kind, s.start, s.end)"
@@ -56,6 +73,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op5_hash_prefix_forest": op5_hash_prefix_forest,
+    "op9_html_text": op9_html_text,
     "op2_quality_rules": op2_quality_rules,
     "op4_quality_crf": op4_quality_crf,
     "op3_substring_dedup": op3_substring_dedup,
