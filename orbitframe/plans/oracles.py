@@ -1,3 +1,6 @@
 """SQL that states the expected rows of the registered queries."""
 
-ORACLES = {}
+from . import queries  # noqa: F401
+from .registry import ORACLES
+
+__all__ = ["ORACLES"]
