@@ -1 +1,356 @@
+"""Queries on chips, masks, splits and metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import chips, images, metrics
+from . import adapters as A
+from .registry import query
+
+BAD = [3, 8, 9, 10]
+BAD_SQL = "scl IN (3, 8, 9, 10)"
+
+
+def _long(df, *keep, column="pixels", digits=None):
+    out = df.select(*keep, F.posexplode(column).alias("pos", "v"))
+    return out.withColumn("v", F.round("v", digits)) if digits is not None else out
+
+
+P = "px AS (SELECT *, y * 8 + x AS pos FROM pixel)"
+FRACTION = f"{P}, fr AS (SELECT aoi, revisit, avg(CASE WHEN {BAD_SQL} THEN 1.0 ELSE 0.0 END) AS bad FROM px GROUP BY aoi, revisit)"
+
+
+def inventory(s, d):
+    return A.table(s, d, "lineitem").selectExpr("l_suppkey AS aoi", "CASE WHEN l_linenumber % 3 = 0 THEN 'hr' ELSE 'lr' END AS role", "cast(l_orderkey % 97 AS int) AS n", "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', date_format(l_shipdate, 'yyyyMMdd')) AS path")
+
+
+@query("i01_first_revisits", "", """SELECT aoi, role, CAST(n AS INTEGER) AS n, path FROM (SELECT *, row_number() OVER (PARTITION BY aoi, role ORDER BY n, path) AS p FROM (
+ SELECT l_suppkey AS aoi, CASE WHEN l_linenumber % 3 = 0 THEN 'hr' ELSE 'lr' END AS role, l_orderkey % 97 AS n, concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', strftime(l_shipdate, '%Y%m%d')) AS path FROM lineitem)) WHERE p <= CASE role WHEN 'hr' THEN 1 ELSE 8 END""")
+def i01(s, d):
+    return images.first_revisits(inventory(s, d), {"lr": 8, "hr": 1}).select("aoi", "role", "n", "path")
+
+
+@query("i02_align_roles", "pixel", P + " SELECT a.aoi, a.revisit::INTEGER AS revisit, sum(a.dn)::BIGINT AS lr, sum(a.scl)::BIGINT AS lrc, sum(b.dn)::BIGINT AS hr FROM px a JOIN px b ON a.aoi = b.aoi AND a.pos = b.pos AND b.revisit = 5 GROUP BY a.aoi, a.revisit")
+def i02(s, d):
+    c = A.chip(s, d)
+    out = images.align_roles({"lr": c.select("aoi", "revisit", "pixels"), "lrc": c.select("aoi", "revisit", "mask"), "hr": c.filter("revisit = 5").select("aoi", "pixels")})
+
+    def total(column):
+        return F.aggregate(column, F.lit(0).cast("long"), lambda a, v: a + v)
+
+    return out.select("aoi", "revisit", total("lr_pixels").alias("lr"), total("lrc_mask").alias("lrc"), total("hr_pixels").alias("hr"))
+
+
+@query("i03_filter_aois", "pixel split_list", "SELECT DISTINCT aoi, revisit::INTEGER AS revisit FROM pixel WHERE aoi IN (SELECT aoi FROM split_list WHERE split = 'val')")
+def i03(s, d):
+    return images.filter_aois(A.chip(s, d), A.split_list(s, d).filter("split = 'val'")).select("aoi", "revisit")
+
+
+@query("i04_split_from_list", "pixel split_list", "SELECT DISTINCT aoi, revisit::INTEGER AS revisit, split FROM pixel JOIN split_list USING (aoi)")
+def i04(s, d):
+    return images.split_from_list(A.chip(s, d), A.split_list(s, d)).select("aoi", "revisit", "split")
+
+
+ORDERED = "od AS (SELECT aoi, row_number() OVER (ORDER BY md5('42-' || aoi), aoi) - 1 AS position, count(*) OVER () AS n FROM (SELECT DISTINCT aoi FROM pixel))"
+SPLIT = f"{ORDERED}, sp AS (SELECT aoi, position, CASE WHEN position < floor(0.8 * n) THEN 'train' WHEN position < floor(0.8 * n) + floor(0.1 * n) THEN 'val' WHEN position < floor(0.8 * n) + 2 * floor(0.1 * n) THEN 'test' END AS split FROM od)"
+
+
+@query("i05_shuffle_scenes", "pixel", ORDERED + " SELECT aoi, position::INTEGER AS position FROM od")
+def i05(s, d):
+    return images.shuffle_scenes(A.chip(s, d))
+
+
+@query("i06_split_scenes", "pixel", SPLIT + " SELECT DISTINCT aoi, revisit::INTEGER AS revisit, split FROM pixel JOIN sp USING (aoi) WHERE split IS NOT NULL")
+def i06(s, d):
+    return images.split_scenes(A.chip(s, d)).select("aoi", "revisit", "split")
+
+
+@query("i07_subset_train", "pixel", SPLIT + ", tr AS (SELECT aoi, row_number() OVER (ORDER BY md5('42-' || aoi), aoi) - 1 AS p, count(*) OVER () AS m FROM sp WHERE split = 'train') SELECT DISTINCT aoi, split FROM pixel JOIN sp USING (aoi) LEFT JOIN tr USING (aoi) WHERE split IN ('val', 'test') OR p < floor(m * 0.5)")
+def i07(s, d):
+    return images.subset_train(images.split_scenes(A.chip(s, d)), 0.5).select("aoi", "split").distinct()
+
+
+def banded(s, d):
+    """Twelve bands: the revisit number and the area stand in for the band."""
+    return A.chip(s, d).withColumn("band", (F.col("aoi") * 8 + F.col("revisit")).cast("int") % 12 + 1)
+
+
+BANDED = f"{P}, bd AS (SELECT aoi, revisit, pos, dn, (aoi * 8 + revisit)::INTEGER % 12 + 1 AS band FROM px)"
+
+
+@query("i08_select_bands", "pixel", BANDED + " SELECT aoi, revisit::INTEGER AS revisit, band, CAST(list_position([12, 8, 4], band) AS INTEGER) AS channel FROM bd WHERE pos = 0 AND band IN (12, 8, 4)")
+def i08(s, d):
+    return images.select_bands(banded(s, d), "swir").select("aoi", "revisit", "band", "channel")
+
+
+@query("i09_radiometric_scale", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, round(least(greatest(dn / 10000.0::DOUBLE, 0), 1), 6) AS v FROM px")
+def i09(s, d):
+    return _long(images.radiometric_scale(A.chip(s, d)), "aoi", "revisit", digits=6)
+
+
+STATS = "stt(band, mean, std) AS (VALUES " + ", ".join(f"({i + 1}, {m}::DOUBLE, {v}::DOUBLE)" for i, (m, v) in enumerate(zip(images.LOW_MEAN, images.LOW_STD, strict=True))) + ")"
+
+
+@query("i10_normalise_bands", "pixel", f"{BANDED}, {STATS} SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, round((dn - mean) / std, 4) AS v FROM bd JOIN stt USING (band)")
+def i10(s, d):
+    c = banded(s, d)
+    return _long(images.normalise_bands(c, images.stats_table(c)), "aoi", "revisit", digits=4)
+
+
+@query("i11_denormalise_bands", "pixel", f"{BANDED}, {STATS} SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, round(dn * (std + 1e-7) + mean, 8) AS v FROM bd JOIN stt USING (band)")
+def i11(s, d):
+    c = banded(s, d)
+    return _long(images.denormalise_bands(c, images.stats_table(c)), "aoi", "revisit", digits=8)
+
+
+@query("i12_band_stats", "pixel", BANDED + ", md AS (SELECT band, count(*) AS n, quantile_disc(dn, 0.5) AS median FROM bd GROUP BY band) SELECT band, any_value(n) AS n, any_value(median) AS median, round(sqrt(avg(power(dn - median, 2))), 4) AS std FROM bd JOIN md USING (band) GROUP BY band")
+def i12(s, d):
+    return images.band_stats(banded(s, d)).withColumn("std", F.round("std", 4))
+
+
+@query("i13_chip_grid", "split_list", "SELECT aoi, (x * 100)::INTEGER AS chip_x, (y * 100)::INTEGER AS chip_y FROM split_list, range(0, 5) a(x), range(0, 3) b(y)")
+def i13(s, d):
+    return A.split_list(s, d).select("aoi", F.inline(images.chip_grid(500, 320, 100, 100)))
+
+
+@query("i14_chip_images", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, (x // 4 * 8)::INTEGER AS chip_x, (y // 4 * 8)::INTEGER AS chip_y, ((y % 4) * 4 + x % 4)::INTEGER AS pos, dn AS v FROM px")
+def i14(s, d):
+    return _long(images.chip_images(A.chip(s, d), 16, 16, 8, 8), "aoi", "revisit", "chip_x", "chip_y")
+
+
+@query("i15_chip_index", "pixel", ORDERED + " SELECT aoi, (position * 4 + c)::INTEGER AS index FROM od, range(0, 4) t(c)")
+def i15(s, d):
+    cut = images.chip_images(A.chip(s, d).filter("revisit = 1"), 8, 8, 4, 4).join(images.shuffle_scenes(A.chip(s, d)), "aoi")
+    return images.chip_index(cut, 4).select("aoi", "index")
+
+
+@query("i16_patch_windows", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, ((x // 2) * 4 + y // 2)::INTEGER AS chip, sum(dn)::BIGINT AS total FROM px GROUP BY ALL")
+def i16(s, d):
+    out = images.patch_windows(A.chip(s, d), 8, 2)
+    return out.select("aoi", "revisit", "chip", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query("p01_bad_fraction", "pixel", FRACTION + " SELECT aoi, revisit::INTEGER AS revisit, round(bad, 6)::DOUBLE AS bad FROM fr")
+def p01(s, d):
+    return chips.bad_fraction(A.chip(s, d), BAD).select("aoi", "revisit", F.round("bad", 6).alias("bad"))
+
+
+@query("p02_filter_bad_zero", "pixel", FRACTION + " SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, CASE WHEN bad >= 0.34 THEN 0 ELSE dn END AS v FROM px JOIN fr USING (aoi, revisit)")
+def p02(s, d):
+    return _long(chips.filter_bad_zero(A.chip(s, d), BAD, 0.34), "aoi", "revisit")
+
+
+@query("p03_filter_bad_median", "pixel", FRACTION + """, j AS (SELECT * FROM px JOIN fr USING (aoi, revisit)), g AS (SELECT aoi, pos, quantile_disc(dn, 0.5) FILTER (bad < 0.34) AS good, quantile_disc(dn, 0.5) AS every FROM j GROUP BY aoi, pos)
+ SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, CASE WHEN bad >= 0.34 THEN coalesce(good, every) ELSE dn END AS v FROM j JOIN g USING (aoi, pos)""")
+def p03(s, d):
+    return _long(chips.filter_bad_median(A.chip(s, d), BAD, 0.34), "aoi", "revisit")
+
+
+@query("p04_mask_one_hot", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, c::INTEGER AS cls, sum((scl = c)::INTEGER)::BIGINT AS n FROM px, range(0, 12) t(c) GROUP BY ALL")
+def p04(s, d):
+    out = chips.mask_one_hot(A.chip(s, d))
+    return out.select("aoi", "revisit", "cls", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("n"))
+
+
+PAL = "pal(c, r, g, b) AS (VALUES " + ", ".join(f"({i}, {r}::DOUBLE, {g}::DOUBLE, {b}::DOUBLE)" for i, (r, g, b) in enumerate(chips.PALETTE)) + ")"
+
+
+@query("p05_mask_to_rgb", "pixel", f"{P}, {PAL} SELECT aoi, revisit::INTEGER AS revisit, round(sum(r), 4) AS r, round(sum(g), 4) AS g, round(sum(b), 4) AS b FROM px JOIN pal ON scl = c GROUP BY aoi, revisit")
+def p05(s, d):
+    out = chips.mask_to_rgb(A.chip(s, d))
+    return out.select("aoi", "revisit", *[F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 4).alias(c) for c in "rgb"])
+
+
+WIDE = f"{P}, wd AS (SELECT aoi, pos, abs(max(dn) FILTER (revisit = 1)) / 10000.0::DOUBLE AS r, abs(max(dn) FILTER (revisit = 2)) / 10000.0::DOUBLE AS g, abs(max(dn) FILTER (revisit = 3)) / 10000.0::DOUBLE AS b, abs(max(dn) FILTER (revisit = 4)) / 10000.0::DOUBLE AS pan FROM px GROUP BY aoi, pos)"
+
+
+def wide(s, d):
+    c = A.chip(s, d)
+    out = c.filter("revisit = 1").select("aoi", "h", "w")
+    for i, name in enumerate(("r", "g", "b", "pan"), 1):
+        out = out.join(c.filter(F.col("revisit") == i).select("aoi", F.transform("pixels", lambda v: F.abs(v) / 10000).alias(name)), "aoi")
+    return out
+
+
+@query("p06_pansharpen", "pixel", WIDE + " SELECT aoi, pos::INTEGER AS pos, round(CASE WHEN greatest(r, g, b) > 0 THEN r / greatest(r, g, b) * pan ELSE pan END, 6) AS r, round(CASE WHEN greatest(r, g, b) > 0 THEN b / greatest(r, g, b) * pan ELSE pan END, 6) AS b FROM wd")
+def p06(s, d):
+    out = chips.pansharpen(wide(s, d)).select("aoi", F.posexplode(F.arrays_zip("r", "b")).alias("pos", "p"))
+    return out.select("aoi", "pos", F.round("p.r", 6).alias("r"), F.round("p.b", 6).alias("b"))
+
+
+@query("p07_pansharpen_resized")
+def p07(s, d):
+    w = wide(s, d)
+    pan = chips.resize_nearest(w.select("aoi", "h", "w", F.col("pan").alias("pixels")), 16, 16).select("aoi", F.col("pixels").alias("pan"))
+    out = chips.pansharpen_resized(w, pan, 16)
+    return out.select("aoi", F.posexplode("r").alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
+@query("p08_to_8bit", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, floor(least(greatest(dn / 10000.0::DOUBLE, 0), 1) * 255)::INTEGER AS v FROM px")
+def p08(s, d):
+    return _long(chips.to_8bit(A.chip(s, d)), "aoi", "revisit")
+
+
+@query("p09_preview_stretch", "pixel", P + ", t AS (SELECT aoi, revisit, max(dn) AS top FROM px GROUP BY ALL) SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, CASE WHEN top > 0 THEN floor(greatest(dn, 0) / top::DOUBLE * 255) ELSE 0 END::INTEGER AS v FROM px JOIN t USING (aoi, revisit)")
+def p09(s, d):
+    return _long(chips.preview_stretch(A.chip(s, d), [1]), "aoi", "revisit")
+
+
+@query("p10_resize_nearest", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, (yy * 12 + xx)::INTEGER AS pos, dn AS v FROM range(0, 12) a(yy), range(0, 12) b(xx), px WHERE y = floor(yy * 8 / 12) AND x = floor(xx * 8 / 12)")
+def p10(s, d):
+    return _long(chips.resize_nearest(A.chip(s, d), 12, 12), "aoi", "revisit")
+
+
+@query("p10_resize_bilinear")
+def p10b(s, d):
+    return _long(chips.resize(A.chip(s, d), 12, 12, "bilinear"), "aoi", "revisit", digits=6)
+
+
+DRAW = "('0x' || substr(md5('42-' || aoi), {}, {}))::INTEGER"
+
+
+@query("p11_rotate_flip", "pixel", P + f""", t AS (SELECT aoi, revisit, dn, y, x, {DRAW.format(1, 2)} % 4 AS turn, {DRAW.format(1, 2)} // 4 % 2 AS flip FROM px),
+ m AS (SELECT aoi, revisit, dn, flip, CASE turn WHEN 0 THEN y WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y ELSE x END AS y2, CASE turn WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7 - x ELSE 7 - y END AS x2 FROM t)
+ SELECT aoi, revisit::INTEGER AS revisit, (CASE WHEN flip = 1 THEN 7 - y2 ELSE y2 END * 8 + x2)::INTEGER AS pos, dn AS v FROM m""")
+def p11(s, d):
+    return _long(chips.rotate_flip(A.chip(s, d)), "aoi", "revisit")
+
+
+@query("p12_random_crop", "pixel", P + f", t AS (SELECT *, {DRAW.format(1, 6)} % 5 AS cx, {DRAW.format(7, 6)} % 5 AS cy FROM px) SELECT aoi, revisit::INTEGER AS revisit, ((y - cy) * 4 + x - cx)::INTEGER AS pos, dn AS v FROM t WHERE x BETWEEN cx AND cx + 3 AND y BETWEEN cy AND cy + 3")
+def p12(s, d):
+    return _long(chips.random_crop(A.chip(s, d), 4, 8), "aoi", "revisit")
+
+
+@query("p13_shuffle_revisits", "pixel", "r AS (SELECT DISTINCT aoi, revisit FROM pixel), o AS (SELECT aoi, revisit, row_number() OVER (PARTITION BY aoi ORDER BY md5('42-' || aoi || '-' || revisit)) AS dest FROM r) SELECT aoi, dest::INTEGER AS revisit, sum(dn)::BIGINT AS total FROM pixel JOIN o USING (aoi, revisit) GROUP BY aoi, dest")
+def p13(s, d):
+    out = chips.shuffle_revisits(A.chip(s, d))
+    return out.select("aoi", "revisit", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+REFLECT = "CASE WHEN abs({0}) >= 8 THEN 14 - abs({0}) ELSE abs({0}) END"
+
+
+@query("p14_shift_image", "pixel", P + f" SELECT p.aoi, p.revisit::INTEGER AS revisit, (yy * 8 + xx)::INTEGER AS pos, dn AS v FROM range(0, 8) a(yy), range(0, 8) b(xx), px p WHERE y = {REFLECT.format('(yy + 1)')} AND x = {REFLECT.format('(xx - 2)')}")
+def p14(s, d):
+    return _long(chips.shift_image(A.chip(s, d), 2, -1), "aoi", "revisit")
+
+
+@query("p15_lanczos_shift")
+def p15(s, d):
+    return _long(chips.lanczos_shift(A.chip(s, d), 0.5, -0.25), "aoi", "revisit", digits=6)
+
+
+@query("p16_reference_frame", "pixel", P + " SELECT aoi, pos::INTEGER AS pos, quantile_disc(dn, 0.5) AS v FROM px GROUP BY aoi, pos")
+def p16(s, d):
+    return _long(chips.reference_frame(A.chip(s, d)), "aoi")
+
+
+@query("p17_pad_revisits", "pixel", P + ", c AS (SELECT * FROM px WHERE revisit <= 5), m AS (SELECT aoi, max(revisit) AS n FROM c GROUP BY aoi) SELECT aoi, revisit::INTEGER AS revisit, sum(dn)::BIGINT AS total FROM c GROUP BY ALL UNION ALL SELECT aoi, r::INTEGER, 0 FROM m, range(1, 9) t(r) WHERE r > n AND r <= power(2, ceil(log2(n)))")
+def p17(s, d):
+    out = chips.pad_revisits(A.chip(s, d).filter("revisit <= 5"))
+    return out.select("aoi", "revisit", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query("p18_append_masks", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, 1 AS band, sum(dn)::BIGINT AS total FROM px GROUP BY aoi, revisit UNION ALL SELECT aoi, revisit::INTEGER, 2, sum(scl)::BIGINT FROM px GROUP BY aoi, revisit")
+def p18(s, d):
+    c = A.chip(s, d)
+    out = chips.append_masks(c.drop("mask"), c.drop("pixels").withColumnRenamed("mask", "pixels"), 1)
+    return out.select("aoi", "revisit", "band", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query("p19_baseline_upscale")
+def p19(s, d):
+    c = A.chip(s, d).filter("revisit <= 4").withColumns({"band": F.col("revisit"), "revisit": F.lit(1)}).drop("mask")
+    c = c.withColumn("pixels", F.transform("pixels", lambda v: v / 10000))
+    return _long(chips.baseline_upscale(c, images.stats_table(c), 16), "aoi", "band", digits=6)
+
+
+@query("p20_map_chips")
+def p20(s, d):
+    return _long(chips.map_chips(A.chip(s, d).drop("mask"), lambda a: a[::-1] * 2), "aoi", "revisit", digits=6)
+
+
+KEYS = ["aoi", "revisit"]
+
+
+def paired(s, d):
+    """Every later revisit as a prediction of the first."""
+    c = images.radiometric_scale(A.chip(s, d)).drop("mask")
+    first = c.filter("revisit = 1").select("aoi", "band", F.col("pixels").alias("truth"))
+    return c.filter("revisit > 1").select(*KEYS, "band", "h", "w", F.col("pixels").alias("pred")).join(first, ["aoi", "band"])
+
+
+SCALED = f"{P}, sc AS (SELECT aoi, revisit, pos, y, x, least(greatest(dn / 10000.0::DOUBLE, 0), 1) AS v FROM px), pr AS (SELECT a.aoi, a.revisit, a.pos, a.y, a.x, a.v AS p, b.v AS t FROM sc a JOIN sc b ON a.aoi = b.aoi AND a.pos = b.pos AND b.revisit = 1 WHERE a.revisit > 1)"
+LOG = f"""{SCALED}, e AS (SELECT aoi, revisit, avg(power(p - t, 2)) AS mse, avg(abs(p - t)) AS mae FROM pr GROUP BY aoi, revisit),
+ v AS (SELECT a.aoi, a.revisit, sum(coalesce(abs(a.p - l.p), 0) + coalesce(abs(a.p - u.p), 0)) / 64 AS tv FROM pr a LEFT JOIN pr l ON a.aoi = l.aoi AND a.revisit = l.revisit AND a.y = l.y AND a.x = l.x + 1 LEFT JOIN pr u ON a.aoi = u.aoi AND a.revisit = u.revisit AND a.y = u.y + 1 AND a.x = u.x GROUP BY a.aoi, a.revisit),
+ lg AS (SELECT aoi, revisit, mse, mae, tv, -10 * log10(mse) AS psnr FROM e JOIN v USING (aoi, revisit))"""
+
+
+def log(s, d):
+    return metrics.metric_log(paired(s, d), KEYS)
+
+
+def _register(name, column, digits):
+    @query(name, "pixel", f"{LOG} SELECT aoi, revisit::INTEGER AS revisit, round({column.lower()}, {digits}) AS value FROM lg")
+    def run(s, d):
+        return log(s, d).select(*KEYS, F.round(column, digits).alias("value"))
+
+
+_register("m01_mae", "MAE", 10)
+_register("m02_mse", "MSE", 6)
+_register("m03_psnr", "PSNR", 6)
+_register("m04_tv", "TV", 10)
+
+
+@query("m05_ssim_loss")
+def m05(s, d):
+    return metrics.ssim(paired(s, d), KEYS).select(*KEYS, F.round("SSIM_loss", 6).alias("value"))
+
+
+@query("m06_bias_adjust", "pixel", SCALED + ", g AS (SELECT aoi, revisit, avg(t) - avg(p) AS gap FROM pr GROUP BY aoi, revisit) SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, round(p + gap, 10) AS v FROM pr JOIN g USING (aoi, revisit)")
+def m06(s, d):
+    return _long(metrics.bias_adjust(paired(s, d)), *KEYS, column="pred", digits=10)
+
+
+@query("m07_registered_loss", "pixel", SCALED + """, m AS (SELECT a.aoi, a.revisit, dx, dy, avg(power(a.p - b.v, 2)) AS loss FROM pr a, range(-1, 2) i(dx), range(-1, 2) j(dy), sc b WHERE b.aoi = a.aoi AND b.revisit = 1 AND a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 AND b.y = a.y - dy AND b.x = a.x - dx GROUP BY ALL)
+ SELECT aoi, revisit::INTEGER AS revisit, round(min(loss), 6) AS loss, arg_min(dx, loss)::INTEGER AS dx, arg_min(dy, loss)::INTEGER AS dy FROM m GROUP BY aoi, revisit""")
+def m07(s, d):
+    return metrics.registered_loss(paired(s, d), KEYS, 1).withColumn("loss", F.round("loss", 6))
+
+
+@query("m08_baseline_compare", "pixel", LOG + " SELECT a.aoi, round(b.mse, 6) AS baseline_MSE, round(b.psnr / a.psnr, 6) AS ratio FROM lg a JOIN lg b ON a.aoi = b.aoi AND a.revisit = 2 AND b.revisit = 3")
+def m08(s, d):
+    m = log(s, d)
+    out = metrics.baseline_compare(m.filter("revisit = 2").drop("revisit"), m.filter("revisit = 3").drop("revisit"), ["aoi"])
+    return out.select("aoi", F.round("baseline_MSE", 6).alias("baseline_MSE"), F.round("PSNR_ratio", 6).alias("ratio"))
+
+
+@query("m09_weighted_loss", "pixel", LOG + " SELECT aoi, revisit::INTEGER AS revisit, round(0.7 * mse + 0.3 * mae + 0.1 * tv, 6) AS loss FROM lg")
+def m09(s, d):
+    return metrics.weighted_loss(log(s, d), 0.7, 0.3, tv=0.1).select(*KEYS, F.round("loss", 6).alias("loss"))
+
+
+@query("m10_metric_log", "pixel", LOG + " SELECT aoi, revisit::INTEGER AS revisit, round(mse, 6) AS MSE, round(mae, 10) AS MAE, round(tv, 10) AS TV, round(psnr, 5) AS PSNR FROM lg")
+def m10(s, d):
+    return log(s, d).select(*KEYS, F.round("MSE", 6).alias("MSE"), *[F.round(c, 10).alias(c) for c in ("MAE", "TV")], F.round("PSNR", 5).alias("PSNR"))
+
+
+@query("m11_metric_summary", "pixel split_list", LOG + " SELECT split, revisit::INTEGER AS revisit, round(avg(mse), 6) AS MSE, round(avg(mae), 6) AS MAE, count(*) AS n FROM lg JOIN split_list USING (aoi) GROUP BY ROLLUP (split, revisit)")
+def m11(s, d):
+    out = metrics.metric_summary(images.split_from_list(log(s, d), A.split_list(s, d)), ["split", "revisit"], ["MSE", "MAE"])
+    return out.select("split", "revisit", F.round("MSE", 6).alias("MSE"), F.round("MAE", 6).alias("MAE"), "n")
+
+
+@query("m12_loss_histogram", "pixel", LOG + ", z AS (SELECT min(mse) AS lo, max(mse) AS hi FROM lg) SELECT least(floor((mse - lo) / ((hi - lo) / 10)), 9)::INTEGER AS bin, count(*) AS count FROM lg, z GROUP BY 1")
+def m12(s, d):
+    return metrics.loss_histogram(log(s, d), "MSE").select("bin", "count")
+
+
+@query("g08_ring_overlap")
+def g08b(s, d):
+    aois = A.aoi(s, d).select("aoi_index", "bounds")
+    joined = A.revisit(s, d).join(aois, "aoi_index").withColumn("coordinates", geo.ring(F.col("footprint"), closed=True))
+    return metrics.overlap_area_rings(joined).select("product_id", "area")
 
