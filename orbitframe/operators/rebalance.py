@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from . import stratify
 
-#: Distributions have a row per class, a few dozen, so a window over all of them is small.
-WHOLE = Window.partitionBy()
+def _whole():
+    """Distributions have a row per class, a few dozen, so a window over all of them is small."""
+    return Window.partitionBy()
 
 
 def rebalance(distribution: DataFrame, fn: Callable[[Column], Column] = F.sqrt) -> DataFrame:
     """Add ``share``: fn(count) over the sum of fn(count)."""
     value = fn(F.col("count").cast("double"))
-    return distribution.withColumn("share", value / F.sum(value).over(WHOLE))
+    return distribution.withColumn("share", value / F.sum(value).over(_whole()))
 
 
 def allocate_counts(shares: DataFrame, target: int, cls: str) -> DataFrame:
@@ -24,9 +25,9 @@ def allocate_counts(shares: DataFrame, target: int, cls: str) -> DataFrame:
     out by ones in the order of the shares' lost hundredths, as often round as it takes; then truncated. An overshoot
     of the rounding stays."""
     out = shares.withColumn("_start", F.round("share", 2) * target)
-    short = F.ceil(F.lit(target) - F.sum("_start").over(WHOLE))
-    out = out.withColumns({"_short": F.greatest(short, F.lit(0)), "_k": F.count(F.lit(1)).over(WHOLE), "_lost": (F.col("share") * 100) % 1})
-    place = F.row_number().over(WHOLE.orderBy(F.col("_lost").desc(), cls)) - 1
+    short = F.ceil(F.lit(target) - F.sum("_start").over(_whole()))
+    out = out.withColumns({"_short": F.greatest(short, F.lit(0)), "_k": F.count(F.lit(1)).over(_whole()), "_lost": (F.col("share") * 100) % 1})
+    place = F.row_number().over(_whole().orderBy(F.col("_lost").desc(), cls)) - 1
     more = F.floor(F.col("_short") / F.col("_k")) + (place < F.col("_short") % F.col("_k")).cast("int")
     return out.withColumn("number_of_pois", (F.col("_start") + more).cast("int")).drop("_start", "_short", "_k", "_lost")
 
