@@ -40,6 +40,20 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def unsigned_mod(column: str, n: int):
+    """The remainder of a long read as an unsigned number."""
+    half = F.shiftrightunsigned(F.col(column), 1)
+    return F.pmod(F.pmod(half, F.lit(n)) * 2 + F.col(column).bitwiseAND(1), F.lit(n)).cast("long")
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, text)``. Columns that have these names and types already are taken as they are, without an alias, so that
+    plans over them stay comparable and their exchanges can be shared."""
+    if (id_col, text_col) == ("doc_id", "text") and dict(docs.dtypes)["doc_id"] == "bigint":
+        return docs.select("doc_id", "text")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == 0
 

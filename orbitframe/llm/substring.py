@@ -11,8 +11,8 @@ A passage is a window of a set number of words. Three steps find the windows tha
    depth, a repeat. All of its documents but the smallest lose the window.
 3. Removal. Each document gets its repeated windows back and cuts the words that they cover.
 
-Before a chunk of documents sends a window or an anchor, it keeps one entry per document and, of equal windows, decides
-all but the smallest document itself. So a passage that a third of all documents repeat costs one row per chunk.
+Before a block of documents sends a window, it decides all but the smallest document of equal ones itself. So a passage
+that a third of all documents repeat costs one entry per block.
 Windows are held as 64-bit hashes of their words; over n windows a wrong match is expected n * n / 2**65 times.
 """
 
@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, encoded, prepare, row_key, text_batches
+from .common import Words, documents, encoded, prepare, row_key, text_batches, unsigned_mod
 
 BINS = 4096
 #: Lengths of prefixes, in words, that may name a group of suffixes; beyond the last, the whole window does.
 PREFIXES = (1, 2, 4)
 CHUNK_BYTES = 24_000_000
+#: Words in a block of documents that is held at once.
+BLOCK_WORDS = 1_200_000
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +84,34 @@ def _first_of_each(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[new], doc[new]
 
 
-def _per_row(keys: np.ndarray, h: np.ndarray) -> pd.DataFrame:
-    """One row (key, hashes) for each document row."""
-    order = np.argsort(keys, kind="stable")
-    keys, h = keys[order], h[order]
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else [0]
-    return pd.DataFrame({"key": keys[edge[:-1]] if len(keys) else keys, "found": [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]})
+def _for_blocks(keys: np.ndarray, h: np.ndarray, blocks: int) -> pd.DataFrame:
+    """Hashes that document rows get back, packed by block of rows: (block, data)."""
+    if not len(keys):
+        return pd.DataFrame({"block": np.zeros(0, np.int64), "data": []})
+    block = keys.view(np.uint64) % np.uint64(blocks)
+    order = np.lexsort([h, keys, block])
+    keys, h, block = keys[order], h[order], block[order]
+    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+    rows = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        own, count = np.unique(keys[a:b], return_counts=True)
+        rows.append((int(block[a]), struct.pack("<II", len(own), b - a) + own.tobytes() + count.astype(np.uint32).tobytes() + h[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=["block", "data"])
+
+
+def _returned(blobs, keys: np.ndarray) -> list[np.ndarray]:
+    """For every row of a block the hashes that were sent back for its key."""
+    own, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for blob in blobs:
+        n_keys, n = struct.unpack_from("<II", blob)
+        count = np.frombuffer(blob, np.uint32, n_keys, 8 + 8 * n_keys)
+        own.append(np.repeat(np.frombuffer(blob, np.int64, n_keys, 8), count))
+        h.append(np.frombuffer(blob, np.uint64, n, 8 + 12 * n_keys))
+    own, h = np.concatenate(own), np.concatenate(h)
+    order = np.argsort(own, kind="stable")
+    own, h = own[order], h[order]
+    begin, end = np.searchsorted(own, keys, side="left"), np.searchsorted(own, keys, side="right")
+    return [h[a:b] for a, b in zip(begin, end, strict=True)]
 
 
 def _send_anchors(window: int, parts: int):
@@ -112,12 +136,15 @@ def _gather(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[order], doc[order], key[order]
 
 
-def _shared_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-    h, doc, key = _gather(frame["data"])
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.append(first, len(h)))
-    shared = np.repeat(doc[first] != doc[first + size - 1], size)
-    return _per_row(key[shared], h[shared])
+def _shared_anchors(blocks: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        h, doc, key = _gather(frame["data"])
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        shared = np.repeat(doc[first] != doc[first + size - 1], size)
+        return _for_blocks(key[shared], h[shared], blocks)
+
+    return run
 
 
 def _prefix_bins(words: Words, at: np.ndarray) -> list[np.ndarray]:
@@ -139,9 +166,9 @@ def _count_prefixes(window: int):
     return run
 
 
-def prefix_groups(docs: DataFrame, window: int, group_rows: int) -> tuple[np.ndarray, int, int]:
+def prefix_groups(docs: DataFrame, window: int, group_rows: int) -> tuple[np.ndarray, int, int, int]:
     """For each prefix length and bin the number of its group, -1 where the prefix must be longer; the first group that
-    whole windows name, and how many of these there are. The table has a fixed size; its counts cover all windows."""
+    whole windows name, how many of these there are, and the number of windows. The table has a fixed size; its counts cover all windows."""
     counted = docs.mapInPandas(_count_prefixes(window), "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
     sizes = np.zeros((len(PREFIXES), BINS), np.int64)
     for level, place, n in counted.collect():
@@ -153,43 +180,47 @@ def prefix_groups(docs: DataFrame, window: int, group_rows: int) -> tuple[np.nda
         groups[i, light] = begin + number[light]
         begin += int(number[-1]) + 1
     heavy = sizes[-1][sizes[-1] > group_rows].sum()
-    return groups, begin, max(1, math.ceil(heavy / group_rows))
-
-
-def _send_suffixes(window: int, groups: np.ndarray, begin: int, parts: int):
-    """Candidate windows of each chunk: those that a smaller document of the chunk has are settled here and only pass
-    through the groups; the others go to the group of their prefix."""
-
-    def run(batches):
-        for frame in _chunks(batches):
-            words = Words(encoded(frame["text"]))
-            at, low = _anchors(words, window)
-            shared = [np.frombuffer(b"".join(x), np.uint64) if x is not None else np.zeros(0, np.uint64) for x in frame["found"]]
-            owner = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
-            anchors = np.concatenate([*shared, np.zeros(0, np.uint64)])
-            want = np.sort(anchors ^ _salt(owner))
-            have = low ^ _salt(words.doc[at])
-            place = np.minimum(np.searchsorted(want, have), max(0, len(want) - 1))
-            at = at[want[place] == have] if len(want) else at[:0]
-            doc, h = words.doc[at], words.runs(window)[at]
-            number = np.full(len(at), -1)
-            for i, bins in enumerate(_prefix_bins(words, at)):
-                number = np.where(number < 0, groups[i][bins], number)
-            number = np.where(number < 0, begin + (h % np.uint64(parts)).astype(np.int64), number)
-            ids = np.stack([frame["doc_id"].to_numpy(np.int64), frame["key"].to_numpy(np.int64)], axis=1)
-            own = ids[doc, 0] if len(at) else np.zeros(0, np.int64)
-            order = np.lexsort([doc, own, h])
-            h, doc, own, number = h[order], doc[order], own[order], number[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-            later = own != own[first] if len(h) else new
-            repeat = ~new & (doc == np.roll(doc, 1)) if len(h) else new
-            if (later & ~repeat).any():
-                out = _per_row(ids[doc[later & ~repeat], 1], h[later & ~repeat])
-                yield pd.DataFrame({"grp": out["key"] % (begin + parts), "key": out["key"], "settled": True, "data": out["found"]})
-            keep = ~later & ~repeat
-            if keep.any():
-                yield _packed(number[keep], ids, h[keep], doc[keep]).assign(key=0, settled=False)[["grp", "key", "settled", "data"]]
+    return groups, begin, max(1, math.ceil(heavy / group_rows)), int(sizes[0].sum())
+
+
+SUFFIXES = "grp long, settled boolean, block long, data binary"
+
+
+def _send_suffixes(window: int, groups: np.ndarray, begin: int, parts: int, blocks: int):
+    """Candidate windows of a block of rows: those that a smaller document of the block has are settled here and only
+    pass through the groups; the others go to the group of their prefix."""
+    empty = pd.DataFrame({"grp": np.zeros(0, np.int64), "settled": np.zeros(0, bool), "block": np.zeros(0, np.int64), "data": []})
+
+    def run(rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(blobs):
+            return empty
+        key = rows["key"].to_numpy(np.int64)
+        words = Words(encoded(rows["text"]))
+        at, low = _anchors(words, window)
+        shared = _returned(blobs["data"], key)
+        owner = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
+        want = np.sort(np.concatenate([*shared, np.zeros(0, np.uint64)]) ^ _salt(owner))
+        if not len(want) or not len(at):
+            return empty
+        have = low ^ _salt(words.doc[at])
+        at = at[want[np.minimum(np.searchsorted(want, have), len(want) - 1)] == have]
+        if not len(at):
+            return empty
+        doc, h = words.doc[at], words.runs(window)[at]
+        number = np.full(len(at), -1)
+        for i, bins in enumerate(_prefix_bins(words, at)):
+            number = np.where(number < 0, groups[i][bins], number)
+        number = np.where(number < 0, begin + (h % np.uint64(parts)).astype(np.int64), number)
+        ids = np.stack([rows["doc_id"].to_numpy(np.int64), key], axis=1)
+        own = ids[doc, 0]
+        order = np.lexsort([doc, own, h])
+        h, doc, own, number = h[order], doc[order], own[order], number[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        later = own != own[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        again = ~new & np.concatenate([[False], doc[1:] == doc[:-1]])
+        out = _for_blocks(ids[doc[later & ~again], 1], h[later & ~again], blocks)
+        keep = ~later & ~again
+        return pd.concat([empty, out.assign(grp=out["block"] % (begin + parts), settled=True), _packed(number[keep], ids, h[keep], doc[keep]).assign(settled=False, block=0)])[["grp", "settled", "block", "data"]]
 
     return run
 
@@ -200,16 +231,20 @@ def _salt(doc: np.ndarray) -> np.ndarray:
     return _splitmix(np.asarray(doc, np.uint64) + np.uint64(77))
 
 
-def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
+def _subtree(blocks: int):
     """One group of suffixes: runs of equal sorted suffixes are the internal nodes at window depth."""
-    settled = frame["settled"].to_numpy(bool)
-    out = frame.loc[settled, ["key", "data"]].rename(columns={"data": "found"})
-    if settled.all():
-        return out
-    h, doc, key = _gather(frame.loc[~settled, "data"])
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
-    later = doc != doc[first]
-    return pd.concat([out, _per_row(key[later], h[later])])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        settled = frame["settled"].to_numpy(bool)
+        out = frame.loc[settled, ["block", "data"]]
+        if settled.all():
+            return out
+        h, doc, key = _gather(frame.loc[~settled, "data"])
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
+        later = doc != doc[first]
+        return pd.concat([out, _for_blocks(key[later], h[later], blocks)])
+
+    return run
 
 
 def _covered(words: Words, n_docs: int, found: list, window: int) -> list[np.ndarray]:
@@ -246,27 +281,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     prepare(spark)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", row_key("doc_id", "text"))
+    rows = documents(docs, id_col, text_col).withColumn("key", row_key("doc_id", "text"))
     known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    groups, begin, parts = prefix_groups(known, window, group_rows)
+    rest = rows.filter("doc_id IS NULL OR text IS NULL")
+    groups, begin, parts, total = prefix_groups(known, window, group_rows)
+    blocks = max(slots, math.ceil(total / BLOCK_WORDS))
     sent = known.mapInPandas(_send_anchors(window, max(slots, begin + parts)), "grp long, data binary")
-    shared = sent.groupBy("grp").applyInPandas(_shared_anchors, "key long, found binary")
-    dealt = rows.join(shared.groupBy("key").agg(F.collect_list("found").alias("found")), "key", "left").filter("found IS NOT NULL AND doc_id IS NOT NULL")
-    suffixes = dealt.mapInPandas(_send_suffixes(window, groups, begin, parts), "grp long, key long, settled boolean, data binary")
-    removed = suffixes.groupBy("grp").applyInPandas(_subtree, "key long, found binary").groupBy("key").agg(F.collect_list("found").alias("found"))
-
-    def cut(batches):
+    shared = sent.groupBy("grp").applyInPandas(_shared_anchors(blocks), "block long, data binary")
+
+    # Both cogroups below read the same exchange of the documents.
+    def by_block():
+        return known.withColumn("block", unsigned_mod("key", blocks)).groupBy("block")
+
+    suffixes = by_block().cogroup(shared.groupBy("block")).applyInPandas(_send_suffixes(window, groups, begin, parts, blocks), SUFFIXES)
+    removed = suffixes.groupBy("grp").applyInPandas(_subtree(blocks), "block long, data binary")
+    schema = "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string"
+
+    def cut(rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
+        texts = encoded(rows["text"])
+        words = Words(texts)
+        covers = _covered(words, len(rows), _returned(blobs["data"], rows["key"].to_numpy(np.int64)), window)
+        spans = [_spans(c) for c in covers]
+        edge = np.searchsorted(words.doc, np.arange(len(rows) + 1))
+        kept = [_without(t, s, words.place[a:b], layout) for t, s, a, b in zip(texts, spans, edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_words": [len(c) for c in covers], "n_removed": [int(c.sum()) for c in covers], "spans": spans, "kept": kept})
+
+    def whole(batches):
         for frame in _chunks(batches):
-            texts = encoded(frame["text"])
-            words = Words(texts)
-            found = [np.frombuffer(b"".join(x), np.uint64) if x is not None and i is not None else np.zeros(0, np.uint64) for x, i in zip(frame["found"], frame["doc_id"], strict=True)]
-            covers = _covered(words, len(frame), found, window)
-            spans = [_spans(c) for c in covers]
-            edge = np.searchsorted(words.doc, np.arange(len(frame) + 1))
-            kept = [_without(t, s, words.place[a:b], layout) for t, s, a, b in zip(texts, spans, edge[:-1], edge[1:], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_words": [len(c) for c in covers], "n_removed": [int(c.sum()) for c in covers], "spans": spans, "kept": kept})
-
-    return rows.join(removed, "key", "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string")
+            yield cut(frame, pd.DataFrame({"data": []}))
+
+    return by_block().cogroup(removed.groupBy("block")).applyInPandas(cut, schema).unionByName(rest.mapInPandas(whole, schema))
 
 
 def _without(text: bytes, spans: list, place: np.ndarray, layout: bool) -> str:
