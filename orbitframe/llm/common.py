@@ -80,7 +80,7 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 _BYTE_CODE = _splitmix(np.arange(1, 257, dtype=np.uint64))
 _FACTORS = _splitmix(np.arange(1000, 1000 + 4096, dtype=np.uint64)) | np.uint64(1)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.zeros(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
