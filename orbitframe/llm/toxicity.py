@@ -40,6 +40,8 @@ class Lexicon:
 
     def __init__(self, stems: dict[str, float], seed_weight: float = 4.0):
         self.stems = stems
+        #: Where stems start; few words share one of these.
+        self.heads = {x[: STEMS[0]] for x in stems}
         self.fixed = {}
         for tag, words, weight in (("R", REPORTS, 0.0), ("N", NEGATIONS, 0.0), ("T", TARGETS, 0.0), ("H", THREATS, 1.0), ("I", INSULTS, seed_weight)):
             self.fixed.update(dict.fromkeys(words.split(), (tag, weight)))
@@ -49,6 +51,8 @@ class Lexicon:
     def tag(self, word: str) -> tuple[str, float] | None:
         if word in self.fixed:
             return self.fixed[word]
+        if word[: STEMS[0]] not in self.heads:
+            return None
         best = max((self.stems.get(word[:k], 0.0) for k in STEMS if k <= len(word)), default=0.0)
         return ("I", best) if best > 0 else None
 
@@ -162,7 +166,7 @@ def learn_stems(sample: DataFrame, least_docs: int, max_stems: int) -> list[dict
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs: int = 4, max_stems: int = 4000) -> tuple[dict[str, float], np.ndarray]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least_docs: int = 4, max_stems: int = 4000) -> tuple[dict[str, float], np.ndarray]:
     """Learned stems and regression weights, from at most ``max_rows`` labelled documents that aren't held out. The
     regression sees each half of them through stems learned from the other half."""
     sample = labelled_sample(docs, labels, "toxic", max_rows).persist()
@@ -192,7 +196,7 @@ def toxicity_scores(docs: DataFrame, stems: dict[str, float], weights: np.ndarra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
     """Fit on the labelled documents that aren't held out and score every row of ``docs(doc_id, text)``: ``(doc_id, score)``.
 
     With no labels, or labels of one kind, every text gets the same score."""
