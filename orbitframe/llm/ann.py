@@ -129,8 +129,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     tops = {r["dim"]: r["top"] * (1 + 1e-9) for r in per_dim}
     shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))
-    left = rows.select("vec_id", "v", "dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
-    right = asked.select("vec_id", "v", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    left = rows.select("vec_id", "v", "dim", shard.alias("shard"), each(blocks).alias("block"))
+    right = asked.select("vec_id", "v", "dim", block.alias("block"), each(shards).alias("shard"))
     keys = ["dim", "shard", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(trees, share, k, seed, tops), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
