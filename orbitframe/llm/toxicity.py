@@ -144,23 +144,34 @@ def _count_stems(rows):
         yield pd.DataFrame([(*k, v, df[k]) for k, v in n.items()], columns=["stem", "y", "fold", "n", "docs"])
 
 
-def learn_stems(sample: DataFrame, least_docs: int, max_stems: int) -> list[dict[str, float]]:
+def _surprise(toxic: int, clean: int, share: float) -> float:
+    """Log likelihood ratio of a stem's texts being toxic more often than the ``share`` of all texts that are."""
+    n = toxic + clean
+    if not 0 < share < 1 or toxic <= n * share:
+        return 0.0
+    return toxic * np.log(toxic / (n * share)) + (clean * np.log(clean / (n * (1 - share))) if clean else 0.0)
+
+
+def learn_stems(sample: DataFrame, least_docs: int, max_stems: int, surprise: float = 10.0) -> list[dict[str, float]]:
     """Stem weights by fold: from the documents of fold 0, of fold 1, and of both. A weight is the log ratio of the rates
-    of occurrence, each with half an occurrence more. At most ``max_stems`` candidate stems come to the driver."""
+    of occurrence, each with half an occurrence more; a stem must be ``surprise`` more likely among toxic texts than chance
+    has it, so that the many stems tried don't bring in lucky ones. At most ``max_stems`` candidate stems come to the driver."""
     counted = sample.mapInPandas(_count_stems, "stem string, y int, fold int, n long, docs long").groupBy("stem", "y", "fold").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    total = {(r.y, r.fold): r.n for r in counted.filter("stem = ''").collect()}
+    sums = counted.filter("stem = ''").collect()
+    total, texts = {(r.y, r.fold): r.n for r in sums}, {(r.y, r.fold): r.docs for r in sums}
     wide = counted.filter("stem != ''").groupBy("stem").agg(*[F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col(c))), F.lit(0)).alias(f"{c}{y}{f}") for y in (0, 1) for f in (0, 1) for c in ("n", "docs")])
     odds = F.log((F.expr("n10 + n11") + 0.5) / (F.expr("n00 + n01") + 0.5))
     few = wide.filter(F.expr("docs10 + docs11") >= least_docs).withColumn("odds", odds).filter(F.col("odds") > float(np.log((total.get((1, 0), 0) + total.get((1, 1), 0) + 1) / (total.get((0, 0), 0) + total.get((0, 1), 0) + 1)) + 1.5))
     rows = few.orderBy((F.col("odds") * F.sqrt(F.expr("docs10 + docs11"))).desc(), "stem").limit(max_stems).collect()
     out = []
     for folds in ((0,), (1,), (0, 1)):
-        toxic, clean = sum(total.get((1, f), 0) for f in folds), sum(total.get((0, f), 0) for f in folds)
+        toxic, clean = (sum(total.get((y, f), 0) for f in folds) for y in (1, 0))
+        share = sum(texts.get((1, f), 0) for f in folds) / max(1, sum(texts.get((y, f), 0) for y in (0, 1) for f in folds))
         weights = {}
         for r in rows:
-            a, b = sum(r[f"n1{f}"] for f in folds), sum(r[f"n0{f}"] for f in folds)
+            a, b = (sum(r[f"n{y}{f}"] for f in folds) for y in (1, 0))
             w = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
-            if w > 1.5 and sum(r[f"docs1{f}"] for f in folds) >= max(2, least_docs * len(folds) // 2):
+            if w > 1.5 and _surprise(*(sum(r[f"docs{y}{f}"] for f in folds) for y in (1, 0)), share) >= surprise * len(folds) / 2:
                 weights[r["stem"]] = float(w)
         out.append(weights)
     return out
