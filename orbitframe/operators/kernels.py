@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..functions.geo import ECCENTRICITY, MINOR
+
+#: Gauss-Legendre nodes and weights for the area below a side.
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(8)
+
 
 def image(pixels, h: int, w: int) -> np.ndarray:
     return np.asarray(pixels, float).reshape(int(h), int(w))
@@ -100,17 +105,12 @@ def ring_overlap(ring: list[tuple[float, float]], box: tuple[float, float, float
 
 def ring_area_km2(ring: list[tuple[float, float]]) -> float:
     """Ellipsoidal area of a small polygon with straight sides in longitude and latitude: the integral of the zone area."""
-    from ..functions.geo import ECCENTRICITY, MINOR
-
     if len(ring) < 3:
         return 0.0
     pts = np.radians(np.asarray(ring, float))
     nxt = np.roll(pts, -1, axis=0)
-    nodes, weights = np.polynomial.legendre.leggauss(8)
-    total = 0.0
-    for (x0, y0), (x1, y1) in zip(pts, nxt, strict=True):
-        s = np.sin((y0 + y1) / 2 + (y1 - y0) / 2 * nodes)
-        es = ECCENTRICITY * s
-        zone = MINOR**2 / 2 * (s / (1 - es**2) + np.log((1 + es) / (1 - es)) / (2 * ECCENTRICITY))
-        total += (x1 - x0) / 2 * (weights * zone).sum()
-    return abs(total) / 1e6
+    mid, half = (pts[:, 1] + nxt[:, 1]) / 2, (nxt[:, 1] - pts[:, 1]) / 2
+    s = np.sin(mid[:, None] + half[:, None] * NODES)
+    es = ECCENTRICITY * s
+    zone = MINOR**2 / 2 * (s / (1 - es**2) + np.log((1 + es) / (1 - es)) / (2 * ECCENTRICITY))
+    return abs(float(((nxt[:, 0] - pts[:, 0]) / 2 * (zone @ WEIGHTS)).sum())) / 1e6
