@@ -82,7 +82,8 @@ def _ratios() -> list[Column]:
 def _fences(sketch: str, ratio: str, spread: float, width: float) -> list[Column]:
     low, high = (f"kll_sketch_get_quantile_double({sketch}, cast({q} as double))" for q in (QUARTILES[0], QUARTILES[-1]))
     apart = f"greatest({high} - {low}, cast({spread} as double))"
-    return [F.expr(f"{low} - {width} * {apart}").alias(f"{ratio}_low"), F.expr(f"{high} + {width} * {apart}").alias(f"{ratio}_high")]
+    cuts = {"low": f"{low} - {width} * {apart}", "high": f"{high} + {width} * {apart}"}
+    return [F.when(F.col("rows") > 0, F.expr(cut)).alias(f"{ratio}_{side}") for side, cut in cuts.items()]
 
 
 def thresholds(ratios: DataFrame, width: float = 4.0, least_rows: int = 100) -> DataFrame:
@@ -101,10 +102,10 @@ def thresholds(ratios: DataFrame, width: float = 4.0, least_rows: int = 100) ->
         named = df.select(*keys, "rows", *cuts)
         return named.select(*[F.col(k).alias(f"{k}{suffix}") for k in keys], *[F.col(c).alias(f"{c}{suffix}") for c in named.columns[len(keys) :]])
 
-    a, b, c = fenced(pairs, "_p", ["lang", "source"]), fenced(langs, "_l", ["lang"]), fenced(every, "_a", [])
-    joined = a.join(b, F.col("lang_p").eqNullSafe(F.col("lang_l"))).crossJoin(F.broadcast(c))
+    a, b, overall = fenced(pairs, "_p", ["lang", "source"]), fenced(langs, "_l", ["lang"]), fenced(every, "_a", []).first()
+    joined = a.join(b, F.col("lang_p").eqNullSafe(F.col("lang_l")))
     names = [f"{r}_{side}" for r in RULES for side in ("low", "high")]
-    pick = [F.when(F.col("rows_p") >= least_rows, F.col(f"{n}_p")).when(F.col("rows_l") >= least_rows, F.col(f"{n}_l")).otherwise(F.col(f"{n}_a")).alias(n) for n in names]
+    pick = [F.when(F.col("rows_p") >= least_rows, F.col(f"{n}_p")).when(F.col("rows_l") >= least_rows, F.col(f"{n}_l")).otherwise(F.lit(overall[f"{n}_a"])).alias(n) for n in names]
     return joined.select(F.col("lang_p").alias("t_lang"), F.col("source_p").alias("t_source"), *pick)
 
 

@@ -18,9 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by chunk, and the hash of the text that they decode to."""
     path = packing.tokenizer_path("piece_bpe_32k.model")
-    encoded = sentencepiece_scan.encode_documents(_table(spark, sf_dir, "documents"), path)
-    decoded = sentencepiece_scan.decode_chunks(encoded, path)
-    return decoded.select("doc_id", "chunk", "chunks", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    out = sentencepiece_scan.round_trip(_table(spark, sf_dir, "documents"), path)
+    return out.drop("key")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ before such a space has one state; other cuts are made only where no such space
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 
@@ -193,18 +194,46 @@ def chunks(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int, s
     return source.mapInPandas(run, PIECE)
 
 
+IDS = "doc_id long, key long, chunk int, chunks int, ids array<int>"
+DIGEST = "doc_id long, key long, chunk int, chunks int, n_ids long, ids_crc32 long, n_chars long, text_md5 string"
+
+
+def _ids(m: Model, frame: pd.DataFrame, ids: list) -> pd.DataFrame:
+    return frame.assign(ids=ids)
+
+
+def _digest(m: Model, frame: pd.DataFrame, ids: list) -> pd.DataFrame:
+    """Counts and hashes of the ids and of the text that they decode to."""
+    text = [m.joined(i, c == 0) for i, c in zip(ids, frame["chunk"], strict=True)]
+    crc = [zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids]
+    return frame.assign(n_ids=list(map(len, ids)), ids_crc32=crc, n_chars=list(map(len, text)), text_md5=[hashlib.md5(t.encode()).hexdigest() for t in text])
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, search: int = SEARCH) -> DataFrame:
     """``(doc_id, key, chunk, chunks, ids)``: a document's ids are those of its chunks in turn, equal to what the library gives
-    the whole text. Null and empty texts have one chunk without ids. Rows that repeat are encoded once per distinct
-    (doc_id, text). A model whose normalisation changes texts is applied to whole texts."""
+    the whole text. Null and empty texts have one chunk without ids. Rows that repeat a long text are encoded once
+    per distinct (doc_id, text). A model whose normalisation changes texts is applied to whole texts."""
+    return _encoded(docs, path, id_col, text_col, chunk, search, _ids, IDS)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, search: int = SEARCH) -> DataFrame:
+    """``(doc_id, key, chunk, chunks, n_ids, ids_crc32, n_chars, text_md5)``: encode and decode within one task; the ids are counted
+    and hashed there, and so is the text they give back."""
+    return _encoded(docs, path, id_col, text_col, chunk, search, _digest, DIGEST)
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int, search: int, emit, schema: str) -> DataFrame:
     prepare(docs.sparkSession)
     whole = "chunks = 1"
 
+    def named(frame):
+        return frame[["doc_id", "key", "chunk", "chunks"]].assign(doc_id=frame["doc_id"].astype("Int64"))
+
     def plain(batches):
         m = model(path)
         for frame in batches:
             ids = m.sp.encode(list(frame["text"]), num_threads=1) if len(frame) else []
-            yield frame[["doc_id", "key", "chunk", "chunks"]].assign(doc_id=frame["doc_id"].astype("Int64"), ids=ids)
+            yield emit(m, named(frame), ids)
 
     def matrices(batches):
         m = model(path)
@@ -223,9 +252,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = []
             for t, a, b, c, i, j in zip(frame["text"], frame["low"], frame["high"], frame["chunk"], frame["from_state"], frame["to_state"], strict=True):
                 ids.append(between(t, states(t, a, m)[i], states(t, b, m)[j], m, c == 0))
-            yield frame[["doc_id", "key", "chunk", "chunks"]].assign(doc_id=frame["doc_id"].astype("Int64"), ids=ids)
+            yield emit(m, named(frame), ids)
 
-    schema = "doc_id long, key long, chunk int, chunks int, ids array<int>"
     parts = chunks(docs, path, id_col, text_col, chunk, search)
     large = parts.filter("chunks > 1").dropDuplicates(["key", "chunk"])
     chosen = large.mapInPandas(matrices, "key long, chunk int, rows int, matrix binary").groupBy("key").applyInPandas(choose, "key long, chunk int, from_state int, to_state int")
@@ -235,11 +263,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 def decode_chunks(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``text``, the text of each chunk; a document's text is that of its chunks in turn."""
+
     def run(batches):
         m = model(path)
         for frame in batches:
             text = [m.joined([int(x) for x in ids], c == 0) for ids, c in zip(frame["ids"], frame["chunk"], strict=True)]
-            crc = [zlib.crc32(np.asarray(ids, "<u4").tobytes()) for ids in frame["ids"]]
-            yield frame[["doc_id", "key", "chunk", "chunks"]].assign(doc_id=frame["doc_id"].astype("Int64"), n_ids=[len(i) for i in frame["ids"]], ids_crc32=crc, text=text)
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), text=text)
 
-    return encoded.mapInPandas(run, "doc_id long, key long, chunk int, chunks int, n_ids long, ids_crc32 long, text string")
+    return encoded.select("doc_id", "key", "chunk", "chunks", "ids").mapInPandas(run, IDS + ", text string")
