@@ -1 +1 @@
-
+"""No operator of the inventory works on a stream; the package is kept for sources that may come."""
