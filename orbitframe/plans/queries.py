@@ -1,6 +1,6 @@
 """Registered queries over the adapter tables."""
 
-from . import q_catalogue, q_images, q_orders, q_strata  # noqa: F401
+from . import q_catalogue, q_files, q_images, q_orders, q_strata  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]
