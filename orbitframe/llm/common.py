@@ -17,13 +17,17 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='orbitframe-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(f"file://{tempfile.mkdtemp(prefix='orbitframe-')}")
+    return _OWN_FOLDER[0]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
