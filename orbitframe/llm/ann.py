@@ -86,7 +86,7 @@ class Forest:
             yield np.flatnonzero(seen)
 
 
-def _search(trees: int, share: float, k: int, seed: int, tops: dict):
+def _search(trees: int, share: float, least: int, k: int, seed: int, tops: dict):
     def run(key, rows, queries):
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(rows) or not len(queries):
@@ -96,7 +96,7 @@ def _search(trees: int, share: float, k: int, seed: int, tops: dict):
         forest = Forest(x, tops[int(key[0])], trees, seed)
         asked, q = queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy())
         out = []
-        for i, found in enumerate(forest.candidates(q, max(8 * k, math.ceil(share * len(x))))):
+        for i, found in enumerate(forest.candidates(q, max(8 * k, least, math.ceil(share * len(x))))):
             found = found[ids[found] != asked[i]]
             score = x[found] @ q[i]
             if len(found) > 4 * k:
@@ -109,13 +109,13 @@ def _search(trees: int, share: float, k: int, seed: int, tops: dict):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64, share: float = 0.45, shard_rows: int = 16_000, block_rows: int = 4_000, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64, share: float = 0.5, least: int = 2000, shard_rows: int = 16_000, block_rows: int = 4_000, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: up to ``k`` rows of ``vectors`` for each row of ``queries``, largest inner product
     first, ties to the smaller id; a query never finds its own id.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, on either side; vectors meet
     others of their length. Repeated rows of one id count once, by their smallest vector. ``share`` is the part of a shard
-    that is scored; more finds more, at more cost: measured recall is in the README. Work is spread over (shard, block) pairs of at most ``shard_rows`` by
+    that is scored, and at least ``least`` of its vectors are; more finds more, at more cost: measured recall is in the README. Work is spread over (shard, block) pairs of at most ``shard_rows`` by
     ``block_rows``."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     left = rows.select("vec_id", "v", "dim", shard.alias("shard"), each(blocks).alias("block"))
     right = asked.select("vec_id", "v", "dim", block.alias("block"), each(shards).alias("shard"))
     keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(trees, share, k, seed, tops), "query_id long, vec_id long, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(trees, share, least, k, seed, tops), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -347,7 +347,7 @@ def test_forest_recall(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
     asked = rows.filter("vec_id % 20 = 0")
     got = collections.defaultdict(dict)
-    for r in ann.nearest(rows, asked, shard_rows=200, block_rows=10).collect():
+    for r in ann.nearest(rows, asked, trees=96, share=0.7, least=0, shard_rows=200, block_rows=10).collect():
         got[r.query_id][r["rank"]] = (r.vec_id, r.score)
     ids = [r.vec_id for r in rows.collect()]
     x = np.array([r.embedding for r in rows.collect()], float)
