@@ -176,7 +176,8 @@ def best_states(matrices: list[np.ndarray]) -> list[int]:
 PIECE = "doc_id long, key long, chunk int, chunks int, text string, low int, high int"
 
 
-def chunks(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int, search: int) -> DataFrame:
+def chunks(source: DataFrame, path: str, chunk: int, search: int) -> DataFrame:
+    """Rows of chunks out of ``source(doc_id, key, text)``."""
     def run(batches):
         m = model(path)
         for frame in batches:
@@ -190,7 +191,6 @@ def chunks(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int, s
             out = pd.DataFrame(rows, columns=["doc_id", "key", "chunk", "chunks", "text", "low", "high"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     return source.mapInPandas(run, PIECE)
 
 
@@ -204,7 +204,7 @@ def _ids(m: Model, frame: pd.DataFrame, ids: list) -> pd.DataFrame:
 
 def _digest(m: Model, frame: pd.DataFrame, ids: list) -> pd.DataFrame:
     """Counts and hashes of the ids and of the text that they decode to."""
-    text = [m.joined(i, c == 0) for i, c in zip(ids, frame["chunk"], strict=True)]
+    text = m.sp.decode(ids) if len(ids) and (frame["chunk"] == 0).all() else [m.joined(i, c == 0) for i, c in zip(ids, frame["chunk"], strict=True)]
     crc = [zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids]
     return frame.assign(n_ids=list(map(len, ids)), ids_crc32=crc, n_chars=list(map(len, text)), text_md5=[hashlib.md5(t.encode()).hexdigest() for t in text])
 
@@ -224,7 +224,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int, search: int, emit, schema: str) -> DataFrame:
     prepare(docs.sparkSession)
-    whole = "chunks = 1"
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    short = F.coalesce(F.length("text"), F.lit(0)) <= chunk + search
 
     def named(frame):
         return frame[["doc_id", "key", "chunk", "chunks"]].assign(doc_id=frame["doc_id"].astype("Int64"))
@@ -232,8 +233,8 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
     def plain(batches):
         m = model(path)
         for frame in batches:
-            ids = m.sp.encode(list(frame["text"]), num_threads=1) if len(frame) else []
-            yield emit(m, named(frame), ids)
+            ids = m.sp.encode([t if isinstance(t, str) else "" for t in frame["text"]], num_threads=1) if len(frame) else []
+            yield emit(m, named(frame.assign(chunk=0, chunks=1)), ids)
 
     def matrices(batches):
         m = model(path)
@@ -251,14 +252,13 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
         for frame in batches:
             ids = []
             for t, a, b, c, i, j in zip(frame["text"], frame["low"], frame["high"], frame["chunk"], frame["from_state"], frame["to_state"], strict=True):
-                ids.append(between(t, states(t, a, m)[i], states(t, b, m)[j], m, c == 0))
+                ids.append(between(t, states(t, a, m)[i], states(t, b, m)[j], m, c == 0) if m.cuttable else m.sp.encode(t))
             yield emit(m, named(frame), ids)
 
-    parts = chunks(docs, path, id_col, text_col, chunk, search)
-    large = parts.filter("chunks > 1").dropDuplicates(["key", "chunk"])
+    large = chunks(source.filter(~short), path, chunk, search).dropDuplicates(["key", "chunk"])
     chosen = large.mapInPandas(matrices, "key long, chunk int, rows int, matrix binary").groupBy("key").applyInPandas(choose, "key long, chunk int, from_state int, to_state int")
     traced = large.join(chosen, ["key", "chunk"]).mapInPandas(trace, schema)
-    return parts.filter(whole).mapInPandas(plain, schema).unionByName(traced)
+    return source.filter(short).mapInPandas(plain, schema).unionByName(traced)
 
 
 def decode_chunks(encoded: DataFrame, path: str) -> DataFrame:
