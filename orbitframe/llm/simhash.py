@@ -1,4 +1,5 @@
-"""SimHash fingerprints and their Hamming self-join as a walk over pairs of binary-trie nodes."""
+"""SimHash fingerprints and their Hamming self-join as a walk over pairs of binary-trie nodes; near duplicates of a
+wanted shingle similarity by an exact set join."""
 
 from __future__ import annotations
 
@@ -10,11 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _splitmix, prepare, staged
+from .common import _splitmix, documents, prepare, row_key, staged, text_batches
 from .components import connected_components
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
+#: Shingles that a task counts at once, how often a common one occurs among them, and how many common ones are ordered.
+COUNTED, COMMON_FROM, COMMON = 2_000_000, 8, 65_536
+#: Bytes of the counts that bound the overlap of two sets.
+COUNTS = 256
+#: Rounds that link nodes to one node of each group, and pairs that share one copy of a text.
+STARS, SALTED = 2, 500
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -212,11 +219,6 @@ def exact_keys(names: list[str], budget: int):
     return [list(range(i * width, (i + 1) * width if i < budget else total)) for i in range(blocks)]
 
 
-def sampled_keys(names: list[str], bits: int, tables: int, seed: int = 7):
-    draw = np.random.default_rng(seed)
-    return [sorted(draw.choice(64 * len(names), bits, replace=False).tolist()) for _ in range(tables)]
-
-
 def _masks(names: list[str], keys: list[list[int]], first: int = 0):
     """A literal array of structs (slot, m0, m1, ...): the bits that each key keeps, place 0 being the leftmost."""
     rows = []
@@ -276,19 +278,156 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(found, "f0").select("doc_id", hexed, "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 48) -> DataFrame:
-    """Near duplicates of a wanted shingle similarity: ``(doc_id, component_id)``.
+# ---------------------------------------------------------------- the set join
+
+
+def _sets(shingle: int):
+    """Document rows with their shingle set's hash and size and, with a null node, how often common shingles occur."""
+    columns = ["doc_id", "key", "text", "node", "n", "counts", "hash", "times"]
+
+    def common(held):
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= COMMON_FROM
+        return pd.DataFrame({"hash": h[often].view(np.int64), "times": times[often]}).reindex(columns=columns).astype({"doc_id": "Int64", "key": "Int64", "node": "Int64", "n": "Int64", "text": object, "counts": object})
+
+    def run(batches):
+        held, total = [], 0
+        for frame in text_batches(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "key": frame["key"], "text": frame["text"].astype(object)})
+            out = out.assign(node=node, n=[len(s) for s in sets], counts=[_counts(s) for s in sets], hash=None, times=None)
+            yield out.astype({"hash": "Int64", "times": "Int64"})
+            held += sets
+            total += sum(len(s) for s in sets)
+            if total >= COUNTED:
+                yield common(held)
+                held, total = [], 0
+        if total:
+            yield common(held)
+
+    return run
+
+
+def _counts(own: np.ndarray) -> bytes:
+    """How many of the hashes fall in each of ``COUNTS`` bins; empty where a count doesn't fit its byte."""
+    count = np.bincount((own >> np.uint64(40)).astype(np.int64) % COUNTS, minlength=COUNTS)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
 
-    A fingerprint of 256 bits estimates the similarity of two shingle sets: sets of Jaccard j have a cosine of
-    2j / (1 + j), and differ in arccos of it over pi of the bits on average. The budget is that share plus one and a
-    half standard deviations, at which unrelated texts (half of the bits) don't link. Nodes meet if they agree on
-    one of ``tables`` samples of bits; the samples grow with the logarithm of the number of nodes, so groups
-    don't grow with the corpus. Texts without a word aren't linked to anything but each other."""
+def _prefixes(shingle: int, similarity: float, common: np.ndarray):
+    """``common``: hashes by rising frequency. All sets are ordered by (place in ``common``, hash), others first."""
+    place = np.argsort(common)
+    known = common[place]
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for text, node in zip(frame["text"], frame["node"], strict=True):
+                own = np.unique(shingle_hashes(text, shingle))
+                n = len(own)
+                rank = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, place[at] + 1, 0)
+                size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                out.append((own[np.lexsort([own, rank])[:size]], node, n))
+            sizes = [len(o[0]) for o in out]
+            hashes = np.concatenate([np.zeros(0, np.uint64), *[o[0] for o in out]]).view(np.int64)
+            pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in sizes]])
+            yield pd.DataFrame({"hash": hashes, "node": np.repeat(np.array([o[1] for o in out], np.int64), sizes), "n": np.repeat(np.array([o[2] for o in out], np.int64), sizes), "pos": pos})
+
+    return run
+
+
+def _possible(a: str, b: str, similarity: float):
+    """Sizes and places of a shared shingle at which two sets can still have the similarity."""
+    sizes = f"least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n) - 1e-6"
+    return F.expr(f"{sizes} AND least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {similarity / (1 + similarity)} * ({a}.n + {b}.n) - 1e-6")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets have the similarity, as links ``(u, v)``. Pairs that the bins' counts rule out
+    go first. A text of many pairs is sent in copies, so that no task gets them all."""
+
+    def bounded(batches):
+        for frame in batches:
+            keep = np.ones(len(frame), bool)
+            for i, (x, y, n, m) in enumerate(zip(frame["x"], frame["y"], frame["n"], frame["m"], strict=True)):
+                if x and y:
+                    both = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+                    keep[i] = both >= similarity * (n + m - both) - 1e-9
+            yield frame.loc[keep, ["a", "b"]]
+
+    def verified(batches):
+        known = {}
+        for frame in batches:
+            links = []
+            for a, b, x, y in zip(frame["a"], frame["b"], frame["x"], frame["y"], strict=True):
+                if b not in known:
+                    known = {b: np.unique(shingle_hashes(y, shingle))}
+                own, other = np.unique(shingle_hashes(x, shingle)), known[b]
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both >= similarity * (len(own) + len(other) - both) - 1e-9:
+                    links.append((a, b))
+            yield pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+    sizes = nodes.select("node", "n", "counts")
+    left, right = sizes.toDF("a", "n", "x"), sizes.toDF("b", "m", "y")
+    open_pairs = staged(pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"), "pairs")
+    many = staged(open_pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / SALTED).alias("copies")), "many")
+    texts = nodes.select("node", "text")
+    right = many.join(texts.toDF("b", "y"), "b").select("b", "y", F.explode(F.sequence(F.lit(0).cast("long"), "copies")).alias("copy"))
+    left = open_pairs.join(many, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies") + 1)).drop("copies").join(texts.toDF("a", "x"), "a")
+    return staged(left.join(right, ["b", "copy"]).mapInPandas(verified, "u long, v long"), "links")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Near duplicates of a wanted shingle similarity: ``(doc_id, key, component_id, component_key)``, one row for each row
+    of ``docs``; ``key`` is the row's ``row_key``, and the last two are those of the component's smallest row.
+
+    Two texts link if the Jaccard similarity of their shingle sets is at least ``similarity``, and components follow links.
+    Exact up to equal 64-bit hashes: no link is lost and none is added. Texts of equal sets are one node. Under any one
+    order of the shingles two similar sets share one among the first of each, so nodes meet on these; the order puts
+    common shingles last. Nodes first link to one node of each group; then all pairs within the groups count that aren't in one
+    component yet. Every link is verified on the sets themselves. Texts without a word aren't linked to anything but
+    each other. Rows of null doc_id link others, but never name a component unless all of it is null."""
     prepare(docs.sparkSession)
-    names = [f"f{i}" for i in range(4)]
-    prints = staged(fingerprints(docs, id_col, text_col, shingle, 4, distinct=True), "prints")
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    budget = int(256 * share + 1.5 * math.sqrt(256 * share * (1 - share)))
-    wide = max(10, math.ceil(math.log2(max(2, prints.count()))) - 4)
-    found = hamming_components(prints, names, budget, sampled_keys(names, wide, tables))
-    return prints.join(found, names).select("doc_id", "component_id")
+    source = documents(docs, id_col, text_col).select("doc_id", row_key("doc_id", "text").alias("key"), "text")
+    schema = "doc_id long, key long, text string, node long, n long, counts binary, hash long, times long"
+    found = staged(source.mapInPandas(_sets(shingle), schema), "sets")
+    rows = found.filter("node IS NOT NULL").select("doc_id", "key", "node")
+    often = found.filter("node IS NULL").groupBy("hash").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hash").limit(COMMON)
+    common = np.array([r.hash for r in often.collect()][::-1], np.int64).view(np.uint64)
+    nodes = staged(found.filter("node IS NOT NULL").select("node", "n", "text", "counts").dropDuplicates(["node"]), "nodes")
+    entries = staged(nodes.mapInPandas(_prefixes(shingle, similarity, common), "hash long, node long, n long, pos long"), "prefixes")
+    met = entries.groupBy("hash").count().filter("count > 1").select("hash")
+    entries = staged(entries.join(met, "hash", "left_semi"), "met")
+    links = roots = None
+
+    def mixed():
+        if roots is None:
+            now = entries.withColumn("root", F.col("node"))
+        else:
+            now = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return now.select("hash", F.struct("node", "n", "pos", "root").alias("a"))
+
+    for star in range(STARS):
+        now = mixed().withColumn("o", F.xxhash64("a.node", F.lit(star)))
+        low = now.groupBy("hash").agg(F.min(F.struct("o", "a")).alias("low"), F.min("a.root").alias("x"), F.max("a.root").alias("y")).filter("x < y")
+        low = low.select("hash", F.col("low.o").alias("p"), F.col("low.a").alias("b"))
+        near = now.join(low, "hash").filter(F.expr("a.root != b.root") & _possible("a", "b", similarity))
+        pairs = near.groupBy("a.node").agg(F.min(F.struct("p", "b.node")).alias("low")).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+        more = _similar(pairs, nodes, shingle, similarity)
+        links = more if links is None else links.unionByName(more)
+        roots = staged(connected_components(links), "roots")
+    now = mixed()
+    parted = now.groupBy("hash").agg(F.min("a.root").alias("x"), F.max("a.root").alias("y")).filter("x < y").select("hash")
+    now = staged(now.join(parted, "hash", "left_semi"), "mixed")
+    both = now.join(now.select("hash", F.col("a").alias("b")), "hash").filter(F.expr("a.root != b.root AND a.node < b.node") & _possible("a", "b", similarity))
+    pairs = both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    roots = connected_components(links.unionByName(_similar(pairs, nodes, shingle, similarity)))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first")
+    lowest = rows.groupBy("node").agg(first).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = lowest.join(lowest.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("node", "lowest")
+    return rows.join(lowest, "node").select("doc_id", "key", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.key").alias("component_key"))

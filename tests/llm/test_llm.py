@@ -120,6 +120,39 @@ def test_near_duplicates_catch_copies_and_leave_others(spark):
     assert all(got[30 + i] == i for i in range(10)) and all(got[40 + i] == i for i in range(3)) and all(got[i] == i for i in range(30))
 
 
+def shingle_sets(rows, k=5):
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return sets
+
+
+def brute_near(rows, similarity=0.8):
+    sets = shingle_sets(rows)
+    roots = brute_components(rows, lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9)
+    low = {}
+    for (d, _), r in zip(rows, roots, strict=True):
+        low[r] = min(low.get(r, d), d)
+    return {d: low[r] for (d, _), r in zip(rows, roots, strict=True)}
+
+
+def test_near_duplicates_lose_no_link(spark):
+    draw = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    # Pairs at or just above 0.8, long and short: 100 shingles of which 11 differ on each side, and 9 of which 1 does.
+    for i in range(150):
+        w = draw.choice(words, 104).tolist()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(["x", "y"] + w[:-2] if i % 2 else w[:-11] + draw.choice(words, 11).tolist()))]
+        w = draw.choice(words, 13).tolist()
+        rows += [(1000 + 2 * i, " ".join(w)), (1001 + 2 * i, " ".join(w[:-1] + ["z"]))]
+    rows += [(2000, ""), (2001, None), (2002, "One two"), (2003, "one TWO")]
+    want = brute_near(rows)
+    assert sum(want[1000 + 2 * i] == want[1001 + 2 * i] for i in range(150)) == 150
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 201)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
