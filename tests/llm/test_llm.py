@@ -153,6 +153,22 @@ def test_near_duplicates_lose_no_link(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_near_duplicates_link_nothing_below_the_similarity(spark):
+    draw = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(5000)]
+    base, hub, rows = draw.choice(words, 150).tolist(), draw.choice(words, 120).tolist(), []
+    # A template with own endings (0.5 to 0.8), a chain of small shifts, and copies around one text that differ from each other.
+    rows += [(i, " ".join(base[: 104 + i % 24] + draw.choice(words, 46 - i % 24).tolist())) for i in range(60)]
+    long = draw.choice(words, 400).tolist()
+    rows += [(100 + i, " ".join(long[10 * i : 10 * i + 104])) for i in range(10)]
+    rows += [(200 + i, " ".join(hub[: 4 * i] + ["x"] * (i % 3) + hub[4 * i :])) for i in range(25)]
+    sets = shingle_sets(rows)
+    between = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.5 < j < 0.8 for j in between) > 500 and sum(j >= 0.8 for j in between) > 50
+    want = brute_near(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 201)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
