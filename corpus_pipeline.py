@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.llm import packing, secrets, simhash, substring, toxicity
-from orbitframe.llm.common import prepare, staged
+from orbitframe.llm.common import prepare, row_key, staged
 
 TOXIC_FROM = 0.5
 NEAR_SIMILARITY = 0.8
@@ -17,27 +17,36 @@ PASSAGE_WORDS = 50
 SEQUENCE = 2048
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, by which the rows of one id are told apart."""
+    return docs.withColumn("row", row_key(F.col("doc_id").cast("long"), "text"))
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the toxicity grammar rejects. Rows that repeat an id go if any of them is rejected."""
+    """Drop the documents that the toxicity grammar rejects. Rows that repeat an id are judged apart."""
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     stems, weights = toxicity.fit_toxicity(docs, labels)
-    toxic = toxicity.toxicity_scores(docs, stems, weights).filter(F.col("score") >= TOXIC_FROM).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    scores = toxicity.toxicity_scores(_keyed(docs).filter("doc_id IS NOT NULL"), stems, weights, id_col="row")
+    toxic = scores.filter(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("row")).distinct()
+    return _keyed(docs).join(toxic, "row", "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """Keep one row of each group of near duplicates, of the smallest doc_id: five-word shingles, similarity 0.8. Of rows
+    that repeat an id, others stay if they aren't near duplicates; of rows of one id and text one stays."""
     groups = simhash.near_duplicates(docs, shingle=5, similarity=NEAR_SIMILARITY)
-    copies = groups.filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    first = groups.filter("doc_id = component_id AND key = component_key").groupBy("doc_id", F.col("key").alias("row")).count()
+    kept = _keyed(docs).join(staged(first, "first"), ["doc_id", "row"])
+    again = kept.filter("count > 1").groupBy("doc_id", "row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return kept.filter("count = 1").select(*docs.columns).unionByName(again).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of fifty words or more that a document of a smaller id has; drop documents of which nothing is left."""
-    cut = substring.substring_dedup(docs, window=PASSAGE_WORDS, layout=True).filter("n_removed > 0")
-    cut = cut.groupBy("doc_id").agg(F.min_by(F.struct("kept", "n_words", "n_removed"), "kept").alias("cut"))
-    joined = docs.join(cut, "doc_id", "left").filter("cut IS NULL OR cut.n_removed < cut.n_words")
+    cut = substring.substring_dedup(docs, window=PASSAGE_WORDS, layout=True).filter("n_removed > 0").withColumnRenamed("key", "row")
+    cut = cut.groupBy("doc_id", "row").agg(F.min_by(F.struct("kept", "n_words", "n_removed"), "kept").alias("cut"))
+    joined = _keyed(docs).join(cut, ["doc_id", "row"], "left").filter("cut IS NULL OR cut.n_removed < cut.n_words")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("cut.kept"))
     joined = joined.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut.kept").cast("long")))
     return joined.withColumn("text", text).select(*docs.columns)

@@ -39,9 +39,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(id_col: str, text_col: str):
+def row_key(id_col, text_col):
     """Identifies a document row by its id and its text, so that two rows of one id stay apart."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(id_col, text_col)
 
 
 def unsigned_mod(column: str, n: int):

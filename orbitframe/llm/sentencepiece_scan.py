@@ -258,6 +258,10 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
     large = chunks(source.filter(~short), path, chunk, search).dropDuplicates(["key", "chunk"])
     chosen = large.mapInPandas(matrices, "key long, chunk int, rows int, matrix binary").groupBy("key").applyInPandas(choose, "key long, chunk int, from_state int, to_state int")
     traced = large.join(chosen, ["key", "chunk"]).mapInPandas(trace, schema)
+    # Equal rows are traced once and returned as often as they occur.
+    copies = source.filter(~short).groupBy("key").count()
+    names = traced.columns
+    traced = traced.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).select(*names)
     return source.filter(short).mapInPandas(plain, schema).unionByName(traced)
 
 

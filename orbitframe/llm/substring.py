@@ -269,7 +269,7 @@ def _spans(cover: np.ndarray) -> list[list[int]]:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False, group_rows: int = 1_000_000) -> DataFrame:
-    """``(doc_id, n_words, n_removed, spans, kept)`` for every row of ``docs``.
+    """``(doc_id, n_words, n_removed, spans, kept, key)`` for every row of ``docs``, ``key`` being its ``row_key``.
 
     Words are runs of anything but ASCII white space. A word goes if it lies in a window of ``window`` words whose
     sequence also starts in a document of a smaller id; the smallest keeps it, and repeats within one document stay.
@@ -295,7 +295,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     suffixes = by_block().cogroup(shared.groupBy("block")).applyInPandas(_send_suffixes(window, groups, begin, parts, blocks), SUFFIXES)
     removed = suffixes.groupBy("grp").applyInPandas(_subtree(blocks), "block long, data binary")
-    schema = "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string"
+    schema = "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string, key long"
 
     def cut(rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
         texts = encoded(rows["text"])
@@ -304,7 +304,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spans = [_spans(c) for c in covers]
         edge = np.searchsorted(words.doc, np.arange(len(rows) + 1))
         kept = [_without(t, s, words.place[a:b], layout) for t, s, a, b in zip(texts, spans, edge[:-1], edge[1:], strict=True)]
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_words": [len(c) for c in covers], "n_removed": [int(c.sum()) for c in covers], "spans": spans, "kept": kept})
+        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_words": [len(c) for c in covers], "n_removed": [int(c.sum()) for c in covers], "spans": spans, "kept": kept, "key": rows["key"]})
 
     def whole(batches):
         for frame in _chunks(batches):

@@ -502,6 +502,13 @@ def test_encode_and_decode_documents(spark, pieces):
     assert max(r.chunks for r in rows) > 5
 
 
+def test_long_rows_that_repeat_are_all_encoded(spark, pieces):
+    rows = [(1, "word " * 200), (1, "word " * 200), (1, "other " * 200), (2, "word " * 200), (None, "word " * 200), (None, "word " * 200)]
+    out = sentencepiece_scan.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), pieces, chunk=300, search=20)
+    first = collections.Counter(r.doc_id for r in out.filter("chunk = 0").collect())
+    assert first == {1: 3, 2: 1, None: 2} and out.count() == sum(r.chunks for r in out.filter("chunk = 0").collect())
+
+
 def test_max_plus_is_associative():
     draw = np.random.default_rng(8)
     a, b, c = draw.normal(size=(3, 4)), draw.normal(size=(4, 2)), draw.normal(size=(2, 5))

@@ -45,3 +45,20 @@ def test_null_rows_pass(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
     assert sorted(str(r.doc_id) for r in docs.collect()) in (["1", "2", "None"], ["1", "None"])
+
+
+def test_rows_that_repeat_an_id_are_judged_apart(spark):
+    def text(seed, n=120):
+        return " ".join(f"w{seed}x{i}" for i in range(n))
+
+    passage = text(9, 60)
+    rows = [(1, text(1)), (7, text(1)), (7, text(2)), (7, text(3)), (7, text(2)), (7, text(2)), (3, passage), (8, f"{text(4)} {passage}"), (8, text(5)), (8, passage + " " + text(6)), (None, text(1)), (None, text(1))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def shown(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert shown(near) == sorted([rows[i] for i in (0, 2, 3, 6, 7, 8, 9, 10, 11)], key=str)
+    cut = corpus_pipeline.drop_repeated_passages(spark, docs.filter("doc_id IN (3, 8)"), DATA)
+    assert [(d, t.strip()) for d, t in shown(cut)] == sorted([rows[6], (8, text(4)), rows[8], (8, text(6))], key=str)
