@@ -5,8 +5,8 @@ common prefix lie side by side. A query descends each tree to the vectors that s
 ascend together, one bit at a time, until enough distinct candidates have gathered; these are scored exactly.
 
 The vectors are dealt at random to shards of a bounded size, each with its own forest, and blocks of queries meet every
-shard; the best of a shard travel on, and the best of all remain. Copies of one vector share all their strings, so a
-query that reaches one reaches all of them in its shard.
+shard; the best of a shard travel on, and the best of all remain. Copies of one vector are one entry of a forest, with
+the smallest of their ids.
 """
 
 from __future__ import annotations
@@ -91,19 +91,25 @@ def _search(trees: int, share: float, least: int, k: int, seed: int, tops: dict)
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(rows) or not len(queries):
             return empty
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids, x = rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy())
+        rows = rows.assign(low=[int(i[0]) for i in rows["ids"]]).sort_values("low", kind="stable")
+        x = np.stack(rows["v"].to_numpy())
+        count = np.array([len(i) for i in rows["ids"]])
+        ids, begin = np.concatenate(rows["ids"].to_list()).astype(np.int64), np.cumsum(count) - count
         forest = Forest(x, tops[int(key[0])], trees, seed)
         asked, q = queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy())
         out = []
         for i, found in enumerate(forest.candidates(q, max(8 * k, least, math.ceil(share * len(x))))):
-            found = found[ids[found] != asked[i]]
             score = x[found] @ q[i]
-            if len(found) > 4 * k:
-                cut = -np.partition(-score, k - 1)[k - 1]
+            # One of the best may hold nothing but the query itself.
+            if len(found) > k + 1:
+                cut = -np.partition(-score, k)[k]
                 found, score = found[score >= cut], score[score >= cut]
-            best = np.lexsort([ids[found], -score])[:k]
-            out.append((np.full(len(best), asked[i]), ids[found][best], score[best]))
+            n = count[found]
+            own = ids[np.repeat(begin[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            score = np.repeat(score, n)[own != asked[i]]
+            own = own[own != asked[i]]
+            best = np.lexsort([own, -score])[:k]
+            out.append((np.full(len(best), asked[i]), own[best], score[best]))
         return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "vec_id", "score"))})
 
     return run
@@ -114,12 +120,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     first, ties to the smaller id; a query never finds its own id.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, on either side; vectors meet
-    others of their length. Repeated rows of one id count once, by their smallest vector. ``share`` is the part of a shard
-    that is scored, and at least ``least`` of its vectors are; more finds more, at more cost: measured recall is in the README. Work is spread over (shard, block) pairs of at most ``shard_rows`` by
+    others of their length. Repeated rows of one id count once, by their smallest vector. Ids of equal vectors share one
+    entry, with their k + 1 smallest ids, of which a query needs no more. ``share`` is the part of a shard's distinct vectors that is scored, and at least ``least`` of its vectors are; more finds more, at more cost: measured recall is in the README. Work is spread over (shard, block) pairs of at most ``shard_rows`` by
     ``block_rows``."""
     spark = vectors.sparkSession
     prepare(spark)
-    rows = staged(usable(vectors, id_col, vector_col).groupBy("vec_id", "dim").agg(F.min("v").alias("v"), F.max("norm").alias("norm")), "vectors")
+    single = usable(vectors, id_col, vector_col).groupBy("vec_id", "dim").agg(F.min("v").alias("v"), F.max("norm").alias("norm"))
+    copies = Window.partitionBy("dim", "v").orderBy("vec_id")
+    few = single.withColumn("place", F.row_number().over(copies)).filter(F.col("place") <= k + 1)
+    rows = staged(few.groupBy("dim", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("norm").alias("norm")), "vectors")
     asked = usable(queries, id_col, vector_col).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
     asked = staged(asked, "queries")
     per_dim = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()
@@ -127,13 +136,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     shards = max(1, math.ceil(max((r["n"] for r in per_dim), default=0) / shard_rows))
     blocks = max(1, math.ceil(n_asked / block_rows))
     tops = {r["dim"]: r["top"] * (1 + 1e-9) for r in per_dim}
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
+    shard = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(shards))
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))
 
     def each(n):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-    left = rows.select("vec_id", "v", "dim", shard.alias("shard"), each(blocks).alias("block"))
+    left = rows.select("ids", "v", "dim", shard.alias("shard"), each(blocks).alias("block"))
     right = asked.select("vec_id", "v", "dim", block.alias("block"), each(shards).alias("shard"))
     keys = ["dim", "shard", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(trees, share, least, k, seed, tops), "query_id long, vec_id long, score double")

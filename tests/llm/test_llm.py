@@ -413,6 +413,44 @@ def test_forest_recall(spark):
     assert hits / total >= 0.9
 
 
+def copied_vectors(distinct, copies, dim=64):
+    """Structureless vectors; a group of copies holds a share of the rows, among other ids."""
+    x = np.random.default_rng(12).standard_normal((distinct, dim)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, np.repeat(x[:1], copies, axis=0)])
+    ids = np.random.default_rng(13).permutation(len(x))
+    return ids, x
+
+
+def recall_of(spark, ids, x, places, **how):
+    """Recall against brute force for the queries at ``places``; scores and places must be right for all that is found."""
+    rows = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<float>")
+    asked = rows.filter(F.col("vec_id").isin(ids[places].tolist()))
+    got = collections.defaultdict(dict)
+    for r in ann.nearest(rows, asked, **how).collect():
+        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    wide, place = x.astype(float), {int(v): i for i, v in enumerate(ids)}
+    hits = 0
+    for p in places:
+        s = wide @ wide[p]
+        best = [v for v in ids[np.lexsort([ids, -np.round(s, 9)])].tolist() if v != ids[p]][:20]
+        found = got[int(ids[p])]
+        assert sorted(found) == list(range(1, 21)) and int(ids[p]) not in {v for v, _ in found.values()}
+        assert all(abs(score - s[place[v]]) < 1e-6 for v, score in found.values())
+        hits += len(set(best) & {v for v, _ in found.values()})
+    return hits / (20 * len(places))
+
+
+def test_forest_recall_beside_copies(spark):
+    ids, x = copied_vectors(6000, 3000)
+    places = np.arange(1, 101)
+    got = recall_of(spark, ids, x, places)
+    print("recall outside a group of a third of the rows:", got)
+    assert got >= 0.9
+    # A member of the group finds the smallest ids of its copies.
+    assert recall_of(spark, ids, x, np.array([0, 6000, 8999])) == 1.0
+
+
 def test_forest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
