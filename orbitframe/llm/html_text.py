@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
+#: The end of a tag or its next attribute. A quote counts only where a value begins, and only if it is closed.
+ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|(=?[^\s/>=]+|=)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|["']|(?=>)))?)""")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,10 +50,51 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
+def attributes(source: str, at: int) -> tuple[dict, int]:
+    """Attributes from ``at`` on, and where their tag ends; -1 if it never does. Of equal names the first counts."""
+    found: dict = {}
+    while m := ATTRIBUTE.match(source, at):
+        at = m.end()
+        if m[1]:
+            return found, at
+        found.setdefault(m[2].lower(), html.unescape(m[3] or m[4] or m[5] or ""))
+    return found, -1
+
+
+def tokens(source: str):
+    """``(kind, text or tag, attributes, end)`` in one pass: text, start, end, and raw after a start tag of ``RAW``. What looks
+    like a tag but never ends is text, and nothing after it can be a tag."""
+    begin = at = 0
+    while (low := source.find("<", at)) >= 0:
+        tag = None
+        if source.startswith("<!--", low):
+            end = source.find("-->", low + 2)
+            end = end + 3 if end >= 0 else len(source)
+        elif source.startswith(("<!", "<?"), low):
+            end = source.find(">", low) + 1
+        elif tag := TAG.match(source, low):
+            attrs, end = attributes(source, tag.end())
+        else:
+            at = low + 1
+            continue
+        if end <= 0:
+            break
+        yield "text", source[begin:low], None, low
+        begin = at = end
+        if tag:
+            name = tag[1].lower()
+            yield "end" if source[low + 1] == "/" else "start", name, attrs, end
+            if name in RAW and source[low + 1] != "/":
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, end)
+                yield "raw", source[end : close.start() if close else len(source)], None, end
+                begin = at = close.end() if close else len(source)
+    yield "text", source[begin:], None, len(source)
+
+
 def build_tree(source: str) -> Node:
     root = Node("html")
     stack = [root]
-    at = 0
+    raw = root
 
     def add_text(text):
         if text:
@@ -66,19 +108,20 @@ def build_tree(source: str) -> Node:
             if stack[i].tag in barrier:
                 return
 
-    while m := TOKEN.search(source, at):
-        add_text(source[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+    for kind, text, attrs, at in tokens(source):
+        if kind == "text":
+            add_text(text)
             continue
-        if m["close"]:
+        if kind == "raw":
+            raw.kids.append(text if raw.tag in ("script", "style") else html.unescape(text))
+            continue
+        tag = text
+        if kind == "end":
             if tag == "p" and not any(n.tag == "p" for n in stack):
                 stack[-1].kids.append(Node("p"))
             elif tag not in ("html", "body"):
                 close({tag}, {"table"} if tag in ("p", "div", "li", "span") else set())
             continue
-        attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(m["attrs"])}
         if tag == "html":
             root.attrs.update(attrs)
             continue
@@ -94,17 +137,12 @@ def build_tree(source: str) -> Node:
             close({"head"}, set())
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag in VOID or m["attrs"].endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or source[at - 2] == "/" and tag in ("svg", "path"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-            stop = end.start() if end else len(source)
-            node.kids.append(source[at:stop] if tag in ("script", "style") else html.unescape(source[at:stop]))
-            at = end.end() if end else len(source)
-            continue
-        if len(stack) < DEPTH:
+            raw = node
+        elif len(stack) < DEPTH:
             stack.append(node)
-    add_text(source[at:])
     return root
 
 
