@@ -9,22 +9,30 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be long, so batches are kept small.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch. Texts may be long, so batches are kept small.
+BATCH_ROWS, BATCH_BYTES = 500, 33_554_432
 
 
 def prepare(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches by rows and bytes. A smaller bound of the session's own stays; a larger one is lowered for good, as
+    the plans made here read it only when they run."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 _OWN_FOLDER: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode, where all tasks share
+    the machine, and an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(f"file://{tempfile.mkdtemp(prefix='orbitframe-')}")
     return _OWN_FOLDER[0]
@@ -40,31 +48,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(id_col, text_col):
-    """Identifies a document row by its id and its text, so that two rows of one id stay apart."""
-    return F.xxhash64(id_col, text_col)
+    """128 bits, as hex digits, of a document row's id and text, by which the rows of one id are told apart."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.when(F.col(text_col).isNull(), "-").otherwise(F.concat(F.lit(":"), F.col(text_col)))))
 
 
-def unsigned_mod(column: str, n: int):
-    """The remainder of a long read as an unsigned number."""
-    half = F.shiftrightunsigned(F.col(column), 1)
-    return F.pmod(F.pmod(half, F.lit(n)) * 2 + F.col(column).bitwiseAND(1), F.lit(n)).cast("long")
+def map_texts(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``mapInPandas`` over ``(doc_id, text, ...)`` that gives ``doc_id`` and the columns of ``schema``. Inside, a null id is zero
+    and ``no_id``, so that ids never become floats there; ``run`` passes both columns on. ``more``: further columns."""
+    number = F.col(id_col).cast("long")
+    source = docs.select(F.coalesce(number, F.lit(0).cast("long")).alias("doc_id"), number.isNull().alias("no_id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in more.items()])
+    return with_null_ids(source.mapInPandas(run, f"doc_id long, no_id boolean, {schema}"))
 
 
-def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, text)``. Columns that have these names and types already are taken as they are, without an alias, so that
-    plans over them stay comparable and their exchanges can be shared."""
-    if (id_col, text_col) == ("doc_id", "text") and dict(docs.dtypes)["doc_id"] == "bigint":
-        return docs.select("doc_id", "text")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def with_null_ids(df: DataFrame) -> DataFrame:
+    """``doc_id`` null again where ``no_id`` says so."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def held_out(id_col: str = "doc_id"):
-    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == 0
-
-
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """Deal rows evenly over the shuffle partitions by a hash of ``column``."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+    """Whether a row is kept from the fit; a row of null id isn't held out, though it is never fitted to."""
+    return F.coalesce((F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == 0, F.lit(False))
 
 
 # ---------------------------------------------------------------- words as arrays

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, text_batches
+from .common import map_texts, prepare, staged, text_batches, with_null_ids
 
 _ENCODERS: dict = {}
 
@@ -23,7 +24,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def encoder(path: str):
-    """One tokenizer per worker process; special tokens' strings are ordinary text."""
+    """One tokenizer per worker process."""
     if path not in _ENCODERS:
         import os
 
@@ -31,7 +32,6 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         _ENCODERS[path] = Tokenizer.from_file(path)
-        _ENCODERS[path].encode_special_tokens = True
     return _ENCODERS[path]
 
 
@@ -43,15 +43,21 @@ def _bytes_of_letters() -> dict[str, int]:
 
 
 class Ids:
-    """Ids of whole texts by a byte-level BPE tokenizer file.
+    """Ids of whole texts as ``tokenizers`` gives them for a file, its special strings included.
 
-    Where the file's merges come in the order of their ids, as ranks, the rank encoder gives the same ids in less than half
-    of the time; it is held against the tokenizer itself on some texts first. Any other file is used as it is."""
+    Where the file's merges come in the order of their ids, as ranks, a rank encoder gives the same ids in less than half
+    of the time. ``proven`` holds the two against each other on every word of the vocabulary and on every character of the
+    basic plane beside letters, digits, marks and blanks: words are cut by character class, and within a word only the vocabulary
+    counts. Texts with a special string, a character beyond that plane or ``LONG_BLANK`` blanks in a row, which the rank
+    encoder's pattern can't match, go to the tokenizer itself. So does everything where the proof fails."""
 
-    PROBES = ("It's  a test\n\n of 12,345 cafés – naïve!\t", " <|endoftext|>", "   x", "\u00a0漢字 \U0001f600", "we'll'S  \r\n")
+    LONG_BLANK = re.compile(r"\s{20000}")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_ranks: bool = True):
         self.tokenizer, self.ranks = encoder(path), None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not by_ranks:
+            return
         letters = _bytes_of_letters()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -63,17 +69,45 @@ class Ids:
 
             by_bytes = {bytes(letters[c] for c in w): i for w, i in vocabulary.items()}
             try:
-                ranks = tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=by_bytes, special_tokens={})
+                self.ranks = tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=by_bytes, special_tokens={})
             except (ValueError, KeyError):
                 return
-            if all(ranks.encode_ordinary(p) == self.slow(p).tolist() for p in self.PROBES):
-                self.ranks = ranks
 
     def slow(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def ranked(self, text: str) -> bool:
+        """Whether the rank encoder may take the text."""
+        if self.ranks is None or any(s in text for s in self.special):
+            return False
+        if not text.isascii() and len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
+            return False
+        return len(text) < 20_000 or not self.LONG_BLANK.search(text)
+
     def encode(self, text: str) -> np.ndarray:
-        return self.slow(text) if self.ranks is None else self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False) if self.ranked(text) else self.slow(text)
+
+    def agrees(self) -> bool:
+        if self.ranks is None:
+            return False
+        plane = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+        texts = ["".join(f"a{c}1{c}!{c}{c} {c} \n{c}" for c in plane[i : i + 64]) for i in range(0, len(plane), 64)]
+        letters = _bytes_of_letters()
+        for word in self.tokenizer.get_vocab():
+            if all(c in letters for c in word):
+                texts.append(bytes(letters[c] for c in word).decode("utf-8", "ignore"))
+        texts = [t for t in texts if self.ranked(t)]
+        return all(self.ranks.encode_ordinary(t) == e.ids for t, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+_PROVEN: dict[str, bool] = {}
+
+
+def proven(path: str) -> bool:
+    """Whether the rank encoder of a file gives the tokenizer's ids; found out once, on the driver."""
+    if path not in _PROVEN:
+        _PROVEN[path] = Ids(path).agrees()
+    return _PROVEN[path]
 
 
 #: Fixed value: how the byte-level vocabulary's pre-tokenizer cuts a text.
@@ -83,23 +117,22 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, ids)``: each document's ids and ``end_id``, cut every ``length``. Without
     ``with_ids`` the ids stay in their task."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    names = ["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    by_ranks = proven(tokenizer)
 
     def run(batches):
-        cache = Ids(tokenizer)
+        cache = Ids(tokenizer, by_ranks)
         for frame in text_batches(batches, 4_000_000):
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc, none, text in zip(frame["doc_id"], frame["no_id"], frame["text"], strict=True):
                 ids = cache.encode(text) if isinstance(text, str) else np.zeros(0, "<u4")
                 ids = np.append(ids, np.array([end_id], "<u4"))
                 for a in range(0, len(ids), length):
                     part = ids[a : a + length]
-                    rows.append((doc, a, len(part), zlib.crc32(part), len(ids), *[part.astype("<i4")] * with_ids))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                    rows.append((doc, none, a, len(part), zlib.crc32(part), len(ids), *[part.astype("<i4")] * with_ids))
+            yield pd.DataFrame(rows, columns=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))
+    return map_texts(docs, run, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names[2:]), id_col, text_col)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +163,8 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 8192, seed: int = 42) -> DataFrame:
     """``pieces(doc_id, start, length, ...)`` -> the same rows with ``sequence_id`` and ``offset``.
 
-    Pieces go to randomised groups of about ``group_rows`` by a hash of doc_id and start; each group is packed by
+    Pieces go to randomised groups of about ``group_rows`` by a hash of their place in the table, which must be a written one
+    that every read gives alike, so that rows of one id spread as others do; each group is packed by
     itself. A piece of full length fills a sequence alone. Sequence ids are the group's number and the bin's within it.
     Repeated rows are packed as often as they occur."""
     total = pieces.count()
@@ -138,14 +172,14 @@ def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 8192, seed: in
     names = pieces.columns
 
     def run(key, frame):
-        frame = frame.sort_values(["doc_id", "start", "ids_crc32"] if "ids_crc32" in frame else ["doc_id", "start"], kind="stable")
+        frame = frame.sort_values(["no_id", "doc_id", "start", "ids_crc32"] if "ids_crc32" in frame else ["no_id", "doc_id", "start"], kind="stable")
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(np.int64), length)
-        out = frame[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
-        return out.assign(doc_id=out["doc_id"].astype("Int64"))
+        return frame[["no_id", *names]].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("grp").applyInPandas(run, schema)
+    return with_null_ids(dealt.groupBy("grp").applyInPandas(run, "no_id boolean, " + schema)).select(*names, "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, with_ids: bool = False) -> DataFrame:

@@ -10,9 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import _FACTORS, Words, _splitmix, encoded, prepare, text_batches
+from .common import _FACTORS, Words, _splitmix, encoded, map_texts, prepare, text_batches
 from .training import fit_logistic, labelled_sample, sigmoid
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&|<>", "mark": b"!?", "stop": b".,;:", "bracket": b"()[]{}/\\=_@~^+"}
@@ -163,15 +162,17 @@ def fit_field(doc: np.ndarray, weight: np.ndarray, own: np.ndarray, y: np.ndarra
     return field
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Field:
-    """Fit on at most ``max_rows`` labelled documents that aren't held out; only their line features come to the driver."""
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_lines: int = 2000) -> Field:
+    """Fit on at most ``max_rows`` labelled documents that aren't held out. Of each, the features of at most ``max_lines`` lines
+    in a row, from a place that its id's hash picks, come to the driver: ``max_rows`` * ``max_lines`` * 56 bytes at most."""
 
     def run(batches):
         for frame in batches:
             doc, weight, own = line_features(encoded(frame["text"]))
             edge = np.searchsorted(doc, np.arange(len(frame) + 1))
             packed = np.column_stack([weight, own]).astype(np.float32)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [packed[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]})
+            first = edge[:-1] + [int(_splitmix(np.array([d], np.uint64))[0]) % max(1, n - max_lines + 1) for d, n in zip(frame["doc_id"].to_numpy(np.int64).view(np.uint64), np.diff(edge).tolist(), strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [packed[a : min(a + max_lines, b)].tobytes() for a, b in zip(first, edge[1:], strict=True)]})
 
     found = labelled_sample(docs, labels, "quality", max_rows).mapInPandas(run, "doc_id long, y int, x binary").collect()
     found.sort(key=lambda r: r.doc_id)
@@ -188,6 +189,6 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, id_col: st
 
     def run(batches):
         for frame in text_batches(batches):
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": field.scores(encoded(frame["text"]))})
+            yield frame[["doc_id", "no_id"]].assign(score=field.scores(encoded(frame["text"])))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return map_texts(docs, run, "score double", id_col, text_col)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import map_texts, prepare
 
 # The patterns of the base kinds and their least lengths.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -111,16 +111,15 @@ SPANS = "array<struct<start:int,kind:string,end:int>>"
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, spans)`` for every row; ``spans`` is empty for a null or empty text."""
+    """``(doc_id, spans)`` for every row; ``spans`` is empty for a null or empty text."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for frame in batches:
             spans = [[{"start": a, "kind": k, "end": b} for a, k, b in find_secrets(t)] for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "spans": spans})
+            yield frame[["doc_id", "no_id"]].assign(spans=spans)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, f"doc_id long, spans {SPANS}")
+    return map_texts(docs, run, f"spans {SPANS}", id_col, text_col)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:

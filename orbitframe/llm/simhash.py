@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _splitmix, documents, prepare, row_key, staged, text_batches
+from .common import _splitmix, map_texts, prepare, row_key, staged, text_batches
 from .components import connected_components
 
 SEED = 42
@@ -66,10 +66,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for frame in batches:
             bits = np.array([fingerprint(t, shingle, words, distinct) for t in frame["text"]], np.uint64).reshape(-1, words)
-            yield pd.DataFrame({"doc_id": frame["doc_id"]} | {c: bits[:, i].view(np.int64) for i, c in enumerate(names)})
+            yield frame[["doc_id", "no_id"]].assign(**{c: bits[:, i].view(np.int64) for i, c in enumerate(names)})
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+    return map_texts(docs, run, ", ".join(f"{c} long" for c in names), id_col, text_col)
 
 
 # ---------------------------------------------------------------- the trie walk

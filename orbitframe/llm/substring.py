@@ -1,178 +1,218 @@
 """Exact removal of repeated passages with prefix-partitioned suffix trees over words.
 
-A passage is a window of a set number of words. Three steps find the windows that another document repeats:
-
-1. Anchors. Every window names the smallest hash among its half-length runs of words; equal windows name equal
-   anchors. Only (anchor, document) pairs travel, about a fifth of all windows, and a window whose anchor occurs in one
-   document alone is unique and takes no further part.
-2. Suffix trees. The suffixes at the windows that are left go to groups by variable-length prefixes of words: a short
-   prefix where few suffixes share it, a longer one where it would not fit in memory, chosen from counts over all windows. A group
-   sorts its suffixes, cut at the window length; equal neighbours are the leaves below one internal node at that
-   depth, a repeat. All of its documents but the smallest lose the window.
-3. Removal. Each document gets its repeated windows back and cuts the words that they cover.
-
-Before a block of documents sends a window, it decides all but the smallest document of equal ones itself. So a passage
-that a third of all documents repeat costs one entry per block.
-Windows are held as 64-bit hashes of their words; over n windows a wrong match is expected n * n / 2**65 times.
+Every word starts a suffix; a passage is the first ``window`` words of one. A passage that another document has is an
+internal node of the corpus's suffix tree at that depth or below, with leaves of two documents.
+
+1. Elastic prefixes. A suffix whose first words, half a window of them, start in one document only hangs on the tree as a
+   leaf above that depth. Blocks of documents send fingerprints of these prefixes, sorted and coded as differences, and learn which
+   of them another block has; the other suffixes take no further part. A false match only lets one more suffix through.
+2. Suffix trees. The suffixes that are left go to groups by variable-length prefixes of 1, 2, 4, ... words: the
+   shortest whose suffixes fit in a group, by counts over all suffixes. A suffix travels as its words, cut at the
+   window. A group sorts its suffixes by words, takes the common prefix of each pair of neighbours, and walks these
+   lengths to the internal nodes of the wanted depth. Below a node all documents but the smallest lose the passage.
+3. Removal. Each block of documents gets the places back and cuts the words that the passages cover.
+
+Before a block sends a suffix it sorts its own, so a passage costs one entry per block and document, and within a block only
+those of its smallest document: a passage that a third of all documents repeat is one entry per block of a million words.
+Words are compared as 64-bit hashes of their bytes, one for one: two passages count as equal only if all their words do.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents, encoded, prepare, row_key, text_batches, unsigned_mod
+from .common import Words, encoded, prepare, row_key, text_batches
 
-BINS = 4096
-#: Lengths of prefixes, in words, that may name a group of suffixes; beyond the last, the whole window does.
-PREFIXES = (1, 2, 4)
 CHUNK_BYTES = 24_000_000
 #: Words in a block of documents that is held at once.
 BLOCK_WORDS = 1_200_000
+#: The table of prefix counts has at most so many bins for each prefix length.
+MOST_BINS = 1 << 20
 
 
-def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The window starts of a batch and the anchor of each."""
-    at = words.windows(window)
-    k = (window + 1) // 2
-    runs, span = words.runs(k), window - k + 1
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
-    low = runs[at].copy()
-    for i in range(1, span):
-        np.minimum(low, runs[at + i], out=low)
-    return at, low
-
-
-def _chunks(batches):
-    for frame in text_batches(batches, CHUNK_BYTES):
-        yield frame.reset_index(drop=True)
-
-
-def _pack(group: int, ids: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[int, bytes]:
-    """Pairs (hash, document) of one group and chunk: hashes ascending, documents by their place in a list of ids."""
-    order = np.argsort(h, kind="stable")
-    used, place = np.unique(doc[order], return_inverse=True)
-    kind = np.uint16 if len(used) <= 65536 else np.uint32
-    return group, struct.pack("<II", len(used), len(order)) + ids[used].tobytes() + h[order].tobytes() + place.astype(kind).tobytes()
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n_ids, n = struct.unpack_from("<II", blob)
-    ids = np.frombuffer(blob, np.int64, 2 * n_ids, 8)
-    h = np.frombuffer(blob, np.uint64, n, 8 + 16 * n_ids)
-    place = np.frombuffer(blob, np.uint16 if n_ids <= 65536 else np.uint32, n, 8 + 16 * n_ids + 8 * n)
-    return ids.reshape(-1, 2), h, place
-
-
-def _packed(group: np.ndarray, ids: np.ndarray, h: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(group, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]])) if len(order) else [0]
-    rows = [_pack(int(group[order[a]]), ids, h[order[a:b]], doc[order[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["grp", "data"])
-
-
-def _first_of_each(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort([doc, h])
-    h, doc = h[order], doc[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
-    return h[new], doc[new]
-
-
-def _for_blocks(keys: np.ndarray, h: np.ndarray, blocks: int) -> pd.DataFrame:
-    """Hashes that document rows get back, packed by block of rows: (block, data)."""
-    if not len(keys):
-        return pd.DataFrame({"block": np.zeros(0, np.int64), "data": []})
-    block = keys.view(np.uint64) % np.uint64(blocks)
-    order = np.lexsort([h, keys, block])
-    keys, h, block = keys[order], h[order], block[order]
-    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-    rows = []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        own, count = np.unique(keys[a:b], return_counts=True)
-        rows.append((int(block[a]), struct.pack("<II", len(own), b - a) + own.tobytes() + count.astype(np.uint32).tobytes() + h[a:b].tobytes()))
-    return pd.DataFrame(rows, columns=["block", "data"])
+# ---------------------------------------------------------------- coding
+
 
+def _planes(values: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as differences, 16 bits at a time: the upper planes are nearly all zero and compress."""
+    step = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    return np.ascontiguousarray(step.view(np.uint16).reshape(-1, 4).T).tobytes()
 
-def _returned(blobs, keys: np.ndarray) -> list[np.ndarray]:
-    """For every row of a block the hashes that were sent back for its key."""
-    own, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for blob in blobs:
-        n_keys, n = struct.unpack_from("<II", blob)
-        count = np.frombuffer(blob, np.uint32, n_keys, 8 + 8 * n_keys)
-        own.append(np.repeat(np.frombuffer(blob, np.int64, n_keys, 8), count))
-        h.append(np.frombuffer(blob, np.uint64, n, 8 + 12 * n_keys))
-    own, h = np.concatenate(own), np.concatenate(h)
-    order = np.argsort(own, kind="stable")
-    own, h = own[order], h[order]
-    begin, end = np.searchsorted(own, keys, side="left"), np.searchsorted(own, keys, side="right")
-    return [h[a:b] for a, b in zip(begin, end, strict=True)]
 
+def _ascending(blob: bytes) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(blob, np.uint16).reshape(4, -1).T).view(np.uint64).reshape(-1)
+    return np.cumsum(step, dtype=np.uint64)
 
-def _send_anchors(window: int, parts: int):
-    def run(batches):
-        for frame in _chunks(batches):
-            words = Words(encoded(frame["text"]))
-            at, low = _anchors(words, window)
-            h, doc = _first_of_each(low, words.doc[at])
-            ids = np.stack([frame["doc_id"].to_numpy(np.int64), frame["key"].to_numpy(np.int64)], axis=1)
-            yield _packed((h % np.uint64(parts)).astype(np.int64), ids, h, doc)
 
-    return run
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
-def _gather(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes ascending, and within each the documents ascending, with their rows' keys."""
-    parts = [_unpack(b) for b in blobs]
-    h = np.concatenate([p[1] for p in parts])
-    doc = np.concatenate([p[0][p[2], 0] for p in parts])
-    key = np.concatenate([p[0][p[2], 1] for p in parts])
-    order = np.lexsort([doc, h])
-    return h[order], doc[order], key[order]
+def pack_suffixes(codes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """``codes``: (n, window) word hashes; ``doc``: ids; ``place``: where in its block each suffix starts. Words are written as
+    places in a list of the different ones, the commonest first."""
+    words, inverse, count = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    kind = np.uint16 if len(words) <= 65536 else np.uint32
+    small = np.ascontiguousarray(rank[inverse].reshape(codes.shape).astype(kind).T)
+    planes = np.ascontiguousarray(small.view(np.uint8).reshape(-1, kind().itemsize).T)
+    ids, own = np.unique(doc, return_inverse=True)
+    head = struct.pack("<IIII", len(words), len(codes), codes.shape[1], len(ids))
+    return head + zlib.compress(words[order].tobytes() + ids.astype(np.int64).tobytes() + own.astype(np.uint32).tobytes() + place.astype(np.uint32).tobytes() + planes.tobytes(), 1)
 
 
-def _shared_anchors(blocks: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        h, doc, key = _gather(frame["data"])
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(first, len(h)))
-        shared = np.repeat(doc[first] != doc[first + size - 1], size)
-        return _for_blocks(key[shared], h[shared], blocks)
+def unpack_suffixes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(words, codes as places in words, doc, place)``."""
+    n_words, n, window, n_ids = struct.unpack_from("<IIII", blob)
+    body = zlib.decompress(blob[16:])
+    kind, at = np.uint16 if n_words <= 65536 else np.uint32, 0
+
+    def take(dtype, count):
+        nonlocal at
+        out = np.frombuffer(body, dtype, count, at)
+        at += out.nbytes
+        return out
+
+    words, ids, own, place = take(np.uint64, n_words), take(np.int64, n_ids), take(np.uint32, n), take(np.uint32, n)
+    size = kind().itemsize
+    planes = take(np.uint8, n * window * size).reshape(size, -1)
+    codes = np.ascontiguousarray(planes.T).view(kind).reshape(window, n).T
+    return words, codes.astype(np.int64), ids[own], place
+
+
+# ---------------------------------------------------------------- suffix arrays
+
+
+def sorted_suffixes(codes: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``codes``: (n, window) numbers below 2**31. The order of the rows, ``ties`` deciding among equal ones, and for each
+    sorted row how many leading columns it shares with the one before; zero for the first."""
+    n, width = codes.shape
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = max(1, int(codes.max()).bit_length())
+    each = 63 // bits
+    keys = []
+    for a in range(0, width, each):
+        key = np.zeros(n, np.int64)
+        for c in range(a, min(a + each, width)):
+            key = (key << bits) | codes[:, c]
+        keys.append(key)
+    order = np.lexsort([*ties[::-1], *keys[::-1]])
+    shared = np.zeros(n, np.int64)
+    open_ = np.arange(1, n)
+    for c in range(width):
+        column = codes[order, c]
+        open_ = open_[column[open_] == column[open_ - 1]]
+        shared[open_] += 1
+    return order, shared
+
+
+def deep_nodes(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Internal nodes of at least ``depth``, from the common prefixes of sorted neighbours: ``(begin, end)`` of the leaves
+    below each topmost one."""
+    deep = np.concatenate([[False], shared[1:] >= depth, [False]]) if len(shared) else np.zeros(1, bool)
+    edge = np.flatnonzero(np.diff(deep.view(np.int8)))
+    return edge[0::2], edge[1::2] + 1
+
+
+# ---------------------------------------------------------------- blocks
+
+
+class Block:
+    """The words of a block of rows, in an order that every read of the block gives: by id and text."""
+
+    def __init__(self, frame: pd.DataFrame, window: int):
+        self.rows = frame.sort_values(["doc_id", "key"], kind="stable").reset_index(drop=True)
+        self.texts = encoded(self.rows["text"])
+        self.words = Words(self.texts)
+        self.at = self.words.windows(window)
+        self.id = self.rows["doc_id"].to_numpy(np.int64)
+
+    def fingerprints(self, prefix: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the suffixes at ``at``: the fingerprint of each one's prefix and its id."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return self.words.runs(prefix)[self.at] >> np.uint64(64 - bits), self.id[self.words.doc[self.at]]
+
+
+def _send_prefixes(window: int, bits: int, parts: int):
+    """Per block and part of the fingerprint range: the block's different fingerprints."""
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        prints = np.unique(Block(frame, window).fingerprints((window + 1) // 2, bits)[0])
+        part = (prints * np.uint64(parts)) >> np.uint64(bits)
+        edge = _edges(part)
+        rows = [(int(part[a]), int(key[0]), _planes(prints[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["part", "block", "data"])
 
     return run
 
 
-def _prefix_bins(words: Words, at: np.ndarray) -> list[np.ndarray]:
-    return [(words.runs(k)[at] >> np.uint64(52)).astype(np.int64) for k in PREFIXES]
+def _shared_prefixes(frame: pd.DataFrame) -> pd.DataFrame:
+    """Tells each block which of its fingerprints another block has."""
+    blocks = frame["block"].to_numpy(np.int64)
+    each = [_ascending(b) for b in frame["data"]]
+    own = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    prints = np.concatenate([*each, np.zeros(0, np.uint64)])
+    order = np.argsort(prints, kind="stable")
+    sorted_ = prints[order]
+    same = np.zeros(len(sorted_) + 1, bool)
+    same[1:-1] = sorted_[1:] == sorted_[:-1]
+    common = np.zeros(len(prints), bool)
+    common[order] = same[1:] | same[:-1]
+    edge = np.searchsorted(own, np.arange(len(each) + 1))
+    rows = [(int(blocks[i]), _planes(prints[a:b][common[a:b]])) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if common[a:b].any()]
+    return pd.DataFrame(rows, columns=["block", "data"])
+
+
+def _isin(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
-def _count_prefixes(window: int):
+def _prefix_lengths(window: int) -> list[int]:
+    return [k for k in (1 << i for i in range(20)) if k < window] or [1]
+
+
+def _prefix_bins(words: Words, at: np.ndarray, window: int, bins: int) -> list[np.ndarray]:
+    return [(words.runs(k)[at] % np.uint64(bins)).astype(np.int64) for k in _prefix_lengths(window)]
+
+
+def _count_prefixes(window: int, bins: int):
     def run(batches):
-        total = np.zeros((len(PREFIXES), BINS), np.int64)
-        for frame in _chunks(batches):
+        total = np.zeros((len(_prefix_lengths(window)), bins), np.int64)
+        for frame in text_batches(batches, CHUNK_BYTES):
             words = Words(encoded(frame["text"]))
             at = words.windows(window)
             if len(at):
-                for i, bins in enumerate(_prefix_bins(words, at)):
-                    total[i] += np.bincount(bins, minlength=BINS)
+                for i, own in enumerate(_prefix_bins(words, at, window, bins)):
+                    total[i] += np.bincount(own, minlength=bins)
         level, place = np.nonzero(total)
         yield pd.DataFrame({"level": level, "bin": place, "n": total[level, place]})
 
     return run
 
 
-def prefix_groups(docs: DataFrame, window: int, group_rows: int) -> tuple[np.ndarray, int, int, int]:
+def prefix_groups(docs: DataFrame, window: int, group_rows: int, n_chars: int) -> tuple[np.ndarray, int, int, int]:
     """For each prefix length and bin the number of its group, -1 where the prefix must be longer; the first group that
-    whole windows name, how many of these there are, and the number of windows. The table has a fixed size; its counts cover all windows."""
-    counted = docs.mapInPandas(_count_prefixes(window), "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
-    sizes = np.zeros((len(PREFIXES), BINS), np.int64)
-    for level, place, n in counted.collect():
-        sizes[level, place] = n
+    whole passages name, how many of these there are, and the number of suffixes. Prefixes fall in bins by hash, four for each
+    group that ``n_chars`` characters can make and ``MOST_BINS`` at most; the counts cover all suffixes."""
+    bins = min(MOST_BINS, 1 << max(10, math.ceil(math.log2(max(1, n_chars / 4 / group_rows) * 4))))
+    counted = docs.mapInPandas(_count_prefixes(window, bins), "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
+    sizes = np.zeros((len(_prefix_lengths(window)), bins), np.int64)
+    found = counted.toPandas()
+    sizes[found["level"].to_numpy(np.int64), found["bin"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     groups, begin = np.full(sizes.shape, -1), 0
     for i, own in enumerate(sizes):
         light = (own > 0) & (own <= group_rows)
@@ -183,93 +223,106 @@ def prefix_groups(docs: DataFrame, window: int, group_rows: int) -> tuple[np.nda
     return groups, begin, max(1, math.ceil(heavy / group_rows)), int(sizes[0].sum())
 
 
-SUFFIXES = "grp long, settled boolean, block long, data binary"
+def _spans(cover: np.ndarray) -> np.ndarray:
+    """[from, to) of the runs of true values."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], cover, [False]]).view(np.int8))).reshape(-1, 2)
 
 
-def _send_suffixes(window: int, groups: np.ndarray, begin: int, parts: int, blocks: int):
-    """Candidate windows of a block of rows: those that a smaller document of the block has are settled here and only
-    pass through the groups; the others go to the group of their prefix."""
-    empty = pd.DataFrame({"grp": np.zeros(0, np.int64), "settled": np.zeros(0, bool), "block": np.zeros(0, np.int64), "data": []})
+def _intervals(at: np.ndarray, window: int) -> bytes:
+    """Places that a window from any of ``at`` on covers, as ascending ends of intervals."""
+    at = np.sort(at)
+    gap = np.flatnonzero(np.diff(at) > window)
+    low, high = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + window
+    return _planes(np.stack([low, high], axis=1).reshape(-1))
 
-    def run(rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(blobs):
-            return empty
-        key = rows["key"].to_numpy(np.int64)
-        words = Words(encoded(rows["text"]))
-        at, low = _anchors(words, window)
-        shared = _returned(blobs["data"], key)
-        owner = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
-        want = np.sort(np.concatenate([*shared, np.zeros(0, np.uint64)]) ^ _salt(owner))
-        if not len(want) or not len(at):
-            return empty
-        have = low ^ _salt(words.doc[at])
-        at = at[want[np.minimum(np.searchsorted(want, have), len(want) - 1)] == have]
-        if not len(at):
-            return empty
-        doc, h = words.doc[at], words.runs(window)[at]
-        number = np.full(len(at), -1)
-        for i, bins in enumerate(_prefix_bins(words, at)):
-            number = np.where(number < 0, groups[i][bins], number)
-        number = np.where(number < 0, begin + (h % np.uint64(parts)).astype(np.int64), number)
-        ids = np.stack([rows["doc_id"].to_numpy(np.int64), key], axis=1)
-        own = ids[doc, 0]
-        order = np.lexsort([doc, own, h])
-        h, doc, own, number = h[order], doc[order], own[order], number[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        later = own != own[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        again = ~new & np.concatenate([[False], doc[1:] == doc[:-1]])
-        out = _for_blocks(ids[doc[later & ~again], 1], h[later & ~again], blocks)
-        keep = ~later & ~again
-        return pd.concat([empty, out.assign(grp=out["block"] % (begin + parts), settled=True), _packed(number[keep], ids, h[keep], doc[keep]).assign(settled=False, block=0)])[["grp", "settled", "block", "data"]]
 
-    return run
+TRAVELS = "grp long, block long, settled boolean, data binary"
 
 
-def _salt(doc: np.ndarray) -> np.ndarray:
-    from .common import _splitmix
+def _send_suffixes(window: int, bits: int, groups: np.ndarray, begin: int, parts: int):
+    """The suffixes of a block that another document may share. Those of which the block itself has a smaller document are
+    settled and pass through as intervals; the others go to the group of their prefix, one entry a place."""
+    names = ["grp", "block", "settled", "data"]
 
-    return _splitmix(np.asarray(doc, np.uint64) + np.uint64(77))
+    def run(key, frame: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
+        block = Block(frame, window) if len(frame) else None
+        if block is None or not len(block.at):
+            return pd.DataFrame([], columns=names)
+        words, number = block.words, int(key[0])
+        prints, ids = block.fingerprints((window + 1) // 2, bits)
+        order = np.lexsort([ids, prints])
+        edge = _edges(prints[order])
+        several = ids[order[edge[:-1]]] != ids[order[edge[1:] - 1]]
+        known = np.sort(np.concatenate([prints[order[edge[:-1]]][several], *[_ascending(b) for b in blobs["data"]]]))
+        open_ = _isin(prints, known)
+        at, ids = block.at[open_], ids[open_]
+        if not len(at):
+            return pd.DataFrame([], columns=names)
+        distinct, code = np.unique(words.hash, return_inverse=True)
+        codes = code[at[:, None] + np.arange(window)]
+        order, shared = sorted_suffixes(codes, ids, at)
+        at, ids, codes = at[order], ids[order], codes[order]
+        node = np.cumsum(shared < window) - 1
+        first = np.flatnonzero(shared < window)
+        later = ids != ids[first[node]]
+        rows = [(number % (begin + parts), number, True, _intervals(at[later], window))] if later.any() else []
+        at, ids, codes = at[~later], ids[~later], codes[~later]
+        group = np.full(len(at), -1)
+        for i, own in enumerate(_prefix_bins(words, at, window, groups.shape[1])):
+            group = np.where(group < 0, groups[i][own], group)
+        group = np.where(group < 0, begin + (words.runs(window)[at] % np.uint64(parts)).astype(np.int64), group)
+        order = np.argsort(group, kind="stable")
+        edge = _edges(group[order])
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            own = order[a:b]
+            rows.append((int(group[own[0]]), number, False, pack_suffixes(distinct[codes[own]], ids[own], at[own])))
+        return pd.DataFrame(rows, columns=names)
+
+    return run
 
 
-def _subtree(blocks: int):
-    """One group of suffixes: runs of equal sorted suffixes are the internal nodes at window depth."""
+def _subtrees(window: int):
+    """One group of suffixes: sort, common prefixes, deep nodes, and the places of all but each node's smallest document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         settled = frame["settled"].to_numpy(bool)
-        out = frame.loc[settled, ["block", "data"]]
-        if settled.all():
-            return out
-        h, doc, key = _gather(frame.loc[~settled, "data"])
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
-        later = doc != doc[first]
-        return pd.concat([out, _for_blocks(key[later], h[later], blocks)])
+        out = [(b, True, d) for b, d in zip(frame["block"][settled], frame["data"][settled], strict=True)]
+        parts = [unpack_suffixes(d) for d in frame["data"][~settled]]
+        if parts:
+            size = [len(p[2]) for p in parts]
+            block = np.repeat(frame["block"].to_numpy(np.int64)[~settled], size)
+            distinct, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            base = np.cumsum([0, *[len(p[0]) for p in parts]])
+            codes = np.concatenate([code[b + p[1]] for b, p in zip(base[:-1], parts, strict=True)])
+            doc, place = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64)
+            order, shared = sorted_suffixes(codes, doc)
+            low, high = deep_nodes(shared, window)
+            doc, place, block = doc[order], place[order], block[order]
+            smallest = np.repeat(doc[low], high - low)
+            below = np.repeat(low - np.cumsum(np.concatenate([[0], (high - low)[:-1]])), high - low) + np.arange((high - low).sum())
+            gone = below[doc[below] != smallest]
+            gone = gone[np.argsort(block[gone], kind="stable")]
+            edge = _edges(block[gone])
+            out += [(int(block[gone[a]]), True, _intervals(place[gone[a:b]], window)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame(out, columns=["block", "settled", "data"])[["block", "data"]]
 
     return run
 
 
-def _covered(words: Words, n_docs: int, found: list, window: int) -> list[np.ndarray]:
-    """For each text of a batch which of its words a repeated window covers."""
-    at = words.windows(window)
-    cover = np.zeros(len(words.hash) + 1, np.int64)
-    owner = np.repeat(np.arange(n_docs), [len(x) for x in found])
-    want = np.sort(np.concatenate([*found, np.zeros(0, np.uint64)]) ^ _salt(owner))
-    if len(want) and len(at):
-        have = words.runs(window)[at] ^ _salt(words.doc[at])
-        hit = at[want[np.minimum(np.searchsorted(want, have), len(want) - 1)] == have]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + window, -1)
-    covered = np.cumsum(cover)[:-1] > 0
-    edge = np.searchsorted(words.doc, np.arange(n_docs + 1))
-    return [covered[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-
-
-def _spans(cover: np.ndarray) -> list[list[int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], cover, [False]]).view(np.int8)))
-    return edge.reshape(-1, 2).tolist()
+def _without(text: bytes, spans, place: np.ndarray, layout: bool) -> str:
+    """``place``: the byte at which each word starts."""
+    if len(spans):
+        edge = np.append(place, len(text))
+        keep, begin = [], 0
+        for a, b in spans:
+            keep.append(text[begin : edge[a]])
+            begin = edge[b]
+        text = b"".join([*keep, text[begin:]])
+    return (text if layout else b" ".join(text.split())).decode()
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False, group_rows: int = 1_000_000) -> DataFrame:
-    """``(doc_id, n_words, n_removed, spans, kept, key)`` for every row of ``docs``, ``key`` being its ``row_key``.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False, group_rows: int = 1_000_000, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_words, n_removed, spans, kept)`` for every row of ``docs``, and its columns ``carry`` as a struct of that name.
 
     Words are runs of anything but ASCII white space. A word goes if it lies in a window of ``window`` words whose
     sequence also starts in a document of a smaller id; the smallest keeps it, and repeats within one document stay.
@@ -277,49 +330,53 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text as it was without them. A null text has no words and an empty ``kept``. A row of null id takes no part: it
     loses nothing and nothing is lost because of it. Rows that repeat an id are never held against each other.
 
-    A group of suffixes has about ``group_rows`` rows, 20 bytes each in its task."""
+    A group of suffixes has about ``group_rows`` rows; a block of documents about ``block_words`` words, or one document."""
     spark = docs.sparkSession
     prepare(spark)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents(docs, id_col, text_col).withColumn("key", row_key("doc_id", "text"))
+    carried = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
+    number = F.col(id_col).cast("long")
+    rows = docs.select(number.alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carry"), row_key(id_col, text_col).alias("key"))
     known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rest = rows.filter("doc_id IS NULL OR text IS NULL")
-    groups, begin, parts, total = prefix_groups(known, window, group_rows)
-    blocks = max(slots, math.ceil(total / BLOCK_WORDS))
-    sent = known.mapInPandas(_send_anchors(window, max(slots, begin + parts)), "grp long, data binary")
-    shared = sent.groupBy("grp").applyInPandas(_shared_anchors(blocks), "block long, data binary")
+    n_chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups, begin, parts, total = prefix_groups(known.select("text"), window, group_rows, n_chars)
+    blocks = max(slots, math.ceil(total / block_words))
+    bits = min(60, max(1, total).bit_length() + 8)
+    # Read three times, by plans that share one exchange.
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("key", "doc_id"), F.lit(blocks)))
 
-    # Both cogroups below read the same exchange of the documents.
     def by_block():
-        return known.withColumn("block", unsigned_mod("key", blocks)).groupBy("block")
-
-    suffixes = by_block().cogroup(shared.groupBy("block")).applyInPandas(_send_suffixes(window, groups, begin, parts, blocks), SUFFIXES)
-    removed = suffixes.groupBy("grp").applyInPandas(_subtree(blocks), "block long, data binary")
-    schema = "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string, key long"
-
-    def cut(rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        texts = encoded(rows["text"])
-        words = Words(texts)
-        covers = _covered(words, len(rows), _returned(blobs["data"], rows["key"].to_numpy(np.int64)), window)
-        spans = [_spans(c) for c in covers]
-        edge = np.searchsorted(words.doc, np.arange(len(rows) + 1))
-        kept = [_without(t, s, words.place[a:b], layout) for t, s, a, b in zip(texts, spans, edge[:-1], edge[1:], strict=True)]
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_words": [len(c) for c in covers], "n_removed": [int(c.sum()) for c in covers], "spans": spans, "kept": kept, "key": rows["key"]})
-
-    def whole(batches):
-        for frame in _chunks(batches):
-            yield cut(frame, pd.DataFrame({"data": []}))
-
-    return by_block().cogroup(removed.groupBy("block")).applyInPandas(cut, schema).unionByName(rest.mapInPandas(whole, schema))
-
-
-def _without(text: bytes, spans: list, place: np.ndarray, layout: bool) -> str:
-    """``place``: the byte at which each word starts."""
-    if spans:
-        edge = np.append(place, len(text))
-        keep, begin = [], 0
-        for a, b in spans:
-            keep.append(text[begin : edge[a]])
-            begin = edge[b]
-        text = b"".join([*keep, text[begin:]])
-    return (text if layout else b" ".join(text.split())).decode()
+        return dealt.groupBy("block")
+
+    ranges = max(slots, math.ceil(total / 2_000_000))
+    prints = by_block().applyInPandas(_send_prefixes(window, bits, ranges), "part long, block long, data binary")
+    common = prints.groupBy("part").applyInPandas(_shared_prefixes, "block long, data binary")
+    suffixes = by_block().cogroup(common.groupBy("block")).applyInPandas(_send_suffixes(window, bits, groups, begin, parts), TRAVELS)
+    removed = suffixes.groupBy("grp").applyInPandas(_subtrees(window), "block long, data binary")
+    carry_type = rows.schema["carry"].dataType.simpleString()
+    schema = f"doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string, carry {carry_type}"
+
+    def cut(frame: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
+        block = Block(frame, window)
+        words, n = block.words, len(block.texts)
+        cover = np.zeros(len(words.hash) + 1, np.int64)
+        for blob in blobs["data"]:
+            low, high = _ascending(blob).astype(np.int64).reshape(-1, 2).T
+            np.add.at(cover, low, 1)
+            np.add.at(cover, high, -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        edge = np.searchsorted(words.doc, np.arange(n + 1))
+        each = [gone[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        spans = [_spans(c).tolist() for c in each]
+        kept = [_without(t, s, words.place[a:b], layout) for t, s, a, b in zip(block.texts, spans, edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame({"doc_id": block.id, "n_words": np.diff(edge), "n_removed": [int(c.sum()) for c in each], "spans": spans, "kept": kept, "carry": block.rows["carry"]})
+
+    return by_block().cogroup(removed.groupBy("block")).applyInPandas(cut, schema).unionByName(_untouched(rest, layout))
+
+
+def _untouched(rest: DataFrame, layout: bool) -> DataFrame:
+    """Rows that take no part; a few at most lack an id or a text, so plain expressions do."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    kept = F.coalesce("text", F.lit("")) if layout else F.array_join(words, " ")
+    return rest.select("doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<array<int>>").alias("spans"), kept.alias("kept"), "carry")

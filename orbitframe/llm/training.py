@@ -11,11 +11,13 @@ from .common import held_out
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """``(doc_id, text, y)`` of at most ``max_rows`` labelled documents that aren't held out, those of the smallest
-    id hashes. Ids or labels that are null, and labels that contradict each other, are left out. At most ``max_rows`` ids are sent to the tasks."""
+    id hashes. Ids or labels that are null, and labels that contradict each other, are left out. Where rows repeat an id, one of them
+    counts. At most ``max_rows`` ids are sent to the tasks."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.filter(~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").drop("z")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.md5("text"), "text")).alias("text"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
