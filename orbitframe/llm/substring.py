@@ -14,7 +14,8 @@ internal node of the corpus's suffix tree at that depth or below, with leaves of
 
 Before a block sends a suffix it sorts its own, so a passage costs one entry per block and document, and within a block only
 those of its smallest document: a passage that a third of all documents repeat is one entry per block of a million words.
-Words are compared as 64-bit hashes of their bytes, one for one: two passages count as equal only if all their words do.
+Suffixes are compared word by word, a word being 16 bits of its hash, and then by a check of 32 bits over all their words: different
+passages of 13 words would have to agree in 240 bits, and those that differ in one word in 48.
 """
 
 from __future__ import annotations
@@ -51,61 +52,57 @@ def _ascending(blob: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[_edges(x)[:-1]]
+
+
 def _edges(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
+def word_classes(words: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """(n, window + 2): what a suffix travels as. Each of its words as 16 bits of its hash, and last a check, 32 bits of the hash
+    of them all, so that passages which differ in one word only differ here too."""
+    small = (words.hash >> np.uint64(48)).astype(np.uint16)
+    check = (words.runs(window)[at] >> np.uint64(32)).astype(np.uint32)
+    return np.column_stack([small[at[:, None] + np.arange(window)], (check >> 16).astype(np.uint16), check.astype(np.uint16)])
+
+
 def pack_suffixes(codes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
-    """``codes``: (n, window) word hashes; ``doc``: ids; ``place``: where in its block each suffix starts. Words are written as
-    places in a list of the different ones, the commonest first."""
-    words, inverse, count = np.unique(codes, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    kind = np.uint16 if len(words) <= 65536 else np.uint32
-    small = np.ascontiguousarray(rank[inverse].reshape(codes.shape).astype(kind).T)
-    planes = np.ascontiguousarray(small.view(np.uint8).reshape(-1, kind().itemsize).T)
-    ids, own = np.unique(doc, return_inverse=True)
-    head = struct.pack("<IIII", len(words), len(codes), codes.shape[1], len(ids))
-    return head + zlib.compress(words[order].tobytes() + ids.astype(np.int64).tobytes() + own.astype(np.uint32).tobytes() + place.astype(np.uint32).tobytes() + planes.tobytes(), 1)
-
-
-def unpack_suffixes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(words, codes as places in words, doc, place)``."""
-    n_words, n, window, n_ids = struct.unpack_from("<IIII", blob)
-    body = zlib.decompress(blob[16:])
-    kind, at = np.uint16 if n_words <= 65536 else np.uint32, 0
-
-    def take(dtype, count):
-        nonlocal at
-        out = np.frombuffer(body, dtype, count, at)
-        at += out.nbytes
-        return out
-
-    words, ids, own, place = take(np.uint64, n_words), take(np.int64, n_ids), take(np.uint32, n), take(np.uint32, n)
-    size = kind().itemsize
-    planes = take(np.uint8, n * window * size).reshape(size, -1)
-    codes = np.ascontiguousarray(planes.T).view(kind).reshape(window, n).T
-    return words, codes.astype(np.int64), ids[own], place
+    """``codes``: (n, window + 2); ``doc``: ids; ``place``: where in its block each suffix starts."""
+    order = np.argsort(place, kind="stable")
+    ids, own = np.unique(doc[order], return_inverse=True)
+    head = struct.pack("<III", len(codes), codes.shape[1], len(ids))
+    step = np.diff(place[order], prepend=0).astype(np.uint32)
+    return head + zlib.compress(ids.astype(np.int64).tobytes() + own.astype(np.uint32).tobytes() + step.tobytes() + codes[order].T.tobytes(), 1)
+
+
+def unpack_suffixes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(codes, doc, place)``."""
+    n, width, n_ids = struct.unpack_from("<III", blob)
+    body = zlib.decompress(blob[12:])
+    ids = np.frombuffer(body, np.int64, n_ids)
+    own, step = np.frombuffer(body, np.uint32, 2 * n, 8 * n_ids).reshape(2, n)
+    codes = np.frombuffer(body, np.uint16, n * width, 8 * n_ids + 8 * n).reshape(width, n).T
+    return codes, ids[own], np.cumsum(step, dtype=np.int64)
 
 
 # ---------------------------------------------------------------- suffix arrays
 
 
 def sorted_suffixes(codes: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``codes``: (n, window) numbers below 2**31. The order of the rows, ``ties`` deciding among equal ones, and for each
+    """``codes``: (n, window) numbers of 16 bits. The order of the rows, ``ties`` deciding among equal ones, and for each
     sorted row how many leading columns it shares with the one before; zero for the first."""
     n, width = codes.shape
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = max(1, int(codes.max()).bit_length())
-    each = 63 // bits
     keys = []
-    for a in range(0, width, each):
-        key = np.zeros(n, np.int64)
-        for c in range(a, min(a + each, width)):
-            key = (key << bits) | codes[:, c]
+    for a in range(0, width, 4):
+        key = np.zeros(n, np.uint64)
+        for c in range(a, min(a + 4, width)):
+            key = (key << np.uint64(16)) | codes[:, c]
         keys.append(key)
     order = np.lexsort([*ties[::-1], *keys[::-1]])
     shared = np.zeros(n, np.int64)
@@ -149,7 +146,7 @@ def _send_prefixes(window: int, bits: int, parts: int):
     """Per block and part of the fingerprint range: the block's different fingerprints."""
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        prints = np.unique(Block(frame, window).fingerprints((window + 1) // 2, bits)[0])
+        prints = _distinct(Block(frame, window).fingerprints((window + 1) // 2, bits)[0])
         part = (prints * np.uint64(parts)) >> np.uint64(bits)
         edge = _edges(part)
         rows = [(int(part[a]), int(key[0]), _planes(prints[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -181,6 +178,20 @@ def _isin(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
+def _of_several(prints: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The fingerprints that several documents have. Ids are numbered and share a word with the fingerprint, if that is wide enough."""
+    distinct, number = np.unique(ids, return_inverse=True)
+    low = np.uint64(max(1, int(len(distinct)).bit_length()))
+    if len(prints) and int(prints.max()).bit_length() + int(low) > 64:
+        order = np.lexsort([number, prints])
+        prints, number = prints[order], number[order]
+    else:
+        both = np.sort((prints << low) | number.astype(np.uint64))
+        prints, number = both >> low, both & ((np.uint64(1) << low) - np.uint64(1))
+    differ = (prints[1:] == prints[:-1]) & (number[1:] != number[:-1])
+    return _distinct(prints[1:][differ])
+
+
 def _prefix_lengths(window: int) -> list[int]:
     return [k for k in (1 << i for i in range(20)) if k < window] or [1]
 
@@ -250,20 +261,16 @@ def _send_suffixes(window: int, bits: int, groups: np.ndarray, begin: int, parts
             return pd.DataFrame([], columns=names)
         words, number = block.words, int(key[0])
         prints, ids = block.fingerprints((window + 1) // 2, bits)
-        order = np.lexsort([ids, prints])
-        edge = _edges(prints[order])
-        several = ids[order[edge[:-1]]] != ids[order[edge[1:] - 1]]
-        known = np.sort(np.concatenate([prints[order[edge[:-1]]][several], *[_ascending(b) for b in blobs["data"]]]))
+        known = np.sort(np.concatenate([_of_several(prints, ids), *[_ascending(b) for b in blobs["data"]]]))
         open_ = _isin(prints, known)
         at, ids = block.at[open_], ids[open_]
         if not len(at):
             return pd.DataFrame([], columns=names)
-        distinct, code = np.unique(words.hash, return_inverse=True)
-        codes = code[at[:, None] + np.arange(window)]
+        codes = word_classes(words, at, window)
         order, shared = sorted_suffixes(codes, ids, at)
         at, ids, codes = at[order], ids[order], codes[order]
-        node = np.cumsum(shared < window) - 1
-        first = np.flatnonzero(shared < window)
+        node = np.cumsum(shared < codes.shape[1]) - 1
+        first = np.flatnonzero(shared < codes.shape[1])
         later = ids != ids[first[node]]
         rows = [(number % (begin + parts), number, True, _intervals(at[later], window))] if later.any() else []
         at, ids, codes = at[~later], ids[~later], codes[~later]
@@ -275,7 +282,7 @@ def _send_suffixes(window: int, bits: int, groups: np.ndarray, begin: int, parts
         edge = _edges(group[order])
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             own = order[a:b]
-            rows.append((int(group[own[0]]), number, False, pack_suffixes(distinct[codes[own]], ids[own], at[own])))
+            rows.append((int(group[own[0]]), number, False, pack_suffixes(codes[own], ids[own], at[own])))
         return pd.DataFrame(rows, columns=names)
 
     return run
@@ -289,14 +296,10 @@ def _subtrees(window: int):
         out = [(b, True, d) for b, d in zip(frame["block"][settled], frame["data"][settled], strict=True)]
         parts = [unpack_suffixes(d) for d in frame["data"][~settled]]
         if parts:
-            size = [len(p[2]) for p in parts]
-            block = np.repeat(frame["block"].to_numpy(np.int64)[~settled], size)
-            distinct, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            base = np.cumsum([0, *[len(p[0]) for p in parts]])
-            codes = np.concatenate([code[b + p[1]] for b, p in zip(base[:-1], parts, strict=True)])
-            doc, place = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64)
+            block = np.repeat(frame["block"].to_numpy(np.int64)[~settled], [len(p[1]) for p in parts])
+            codes, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, shared = sorted_suffixes(codes, doc)
-            low, high = deep_nodes(shared, window)
+            low, high = deep_nodes(shared, window + 2)
             doc, place, block = doc[order], place[order], block[order]
             smallest = np.repeat(doc[low], high - low)
             below = np.repeat(low - np.cumsum(np.concatenate([[0], (high - low)[:-1]])), high - low) + np.arange((high - low).sum())
