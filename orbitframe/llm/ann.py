@@ -2,11 +2,17 @@
 
 A tree is the sorted array of the long bit strings that one set of random hyperplanes gives the vectors; vectors of a
 common prefix lie side by side. A query descends each tree to the vectors that share its longest prefix. All trees then
-ascend together, one bit at a time, until enough distinct candidates have gathered; these are scored exactly.
-
-The vectors are dealt at random to shards of a bounded size, each with its own forest, and blocks of queries meet every
-shard; the best of a shard travel on, and the best of all remain. Copies of one vector are one entry of a forest, with
-the smallest of their ids.
+ascend together, one bit at a time, until enough entries have gathered; their different vectors are the candidates.
+
+1. Index. Every vector gives one entry (tree, bits, node) a tree; copies of one vector are one node, with the smallest of
+   their ids. Entries are dealt by tree and leading bits, as many bits as keep a part near ``part_rows``; a part that is
+   much larger, where vectors crowd, is dealt on at random, and queries go to all of its pieces.
+2. Descent. Each part sorts its bit strings; a query finds the range that shares its prefix at every length by binary search
+   and sends the sizes. Summed over trees they say at which length, the same in all trees, enough entries lie.
+3. Ascent. The parts give each query its range at that length. A query for which the parts' leading bits were too many starts
+   anew with half as many of them, so none is left short.
+4. Candidates meet their vectors in shards of nodes and are scored on the original components, in double precision and a
+   fixed order of addition.
 """
 
 from __future__ import annotations
@@ -34,12 +40,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def bit_strings(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """(rows, trees) unsigned: the signs of ``planes`` (trees, BITS, columns), first plane leftmost."""
-    out = np.zeros((len(x), len(planes)), np.uint32)
-    for t, p in enumerate(planes):
-        bits = (x @ p.T > 0).astype(np.uint32)
-        for b in range(BITS):
-            out[:, t] |= bits[:, b] << np.uint32(BITS - 1 - b)
-    return out
+    signs = x @ planes.reshape(-1, x.shape[1]).T > 0
+    packed = np.packbits(signs.reshape(len(x), len(planes), BITS), axis=2)
+    return np.ascontiguousarray(packed).view(">u4")[:, :, 0].astype(np.uint32)
 
 
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -48,104 +51,192 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack([x, rest])
 
 
-class Forest:
-    def __init__(self, x: np.ndarray, top: float, trees: int, seed: int):
-        self.x = x
-        draw = np.random.default_rng(seed)
-        self.planes = draw.standard_normal((trees, BITS, x.shape[1] + 1))
-        keys = bit_strings(lifted(x, top), self.planes)
-        self.order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
-        self.keys = np.ascontiguousarray(np.take_along_axis(keys.T, self.order, axis=1)).astype(np.uint64)
-
-    def candidates(self, q: np.ndarray, wanted: int):
-        """For each row of ``q`` the places of its candidates, at least ``wanted`` or all."""
-        own = bit_strings(np.column_stack([q, np.zeros(len(q))]), self.planes).astype(np.uint64)
-        n = len(self.x)
-        trees = len(self.planes)
-        low, high = np.zeros((BITS + 1, trees, len(q)), np.int64), np.full((BITS + 1, trees, len(q)), n)
-        for level in range(1, BITS + 1):
-            shift = np.uint64(BITS - level)
-            for t in range(trees):
-                prefix = own[:, t] >> shift
-                low[level, t] = np.searchsorted(self.keys[t], prefix << shift)
-                high[level, t] = np.searchsorted(self.keys[t], (prefix + np.uint64(1)) << shift)
-        for i in range(len(q)):
-            # All trees climb to the next bit; at the last one only as many as it takes.
-            seen = np.zeros(n, bool)
-            done = False
-            for level in range(BITS, -1, -1):
-                if (high[level, :, i] - low[level, :, i]).sum() < wanted and level:
-                    continue
+def planes(trees: int, dim: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((trees, BITS, dim + 1))
+
+
+def _pack(bits: np.ndarray, node: np.ndarray) -> bytes:
+    return bits.astype("<u4").tobytes() + node.astype("<i8").tobytes()
+
+
+def _unpack(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """A part's sorted array: bit strings ascending, and the node of each."""
+    blobs = [bytes(b) for b in blobs]
+    bits = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(b, "<u4", len(b) // 12) for b in blobs]])
+    node = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b[len(b) // 12 * 4 :], "<i8") for b in blobs]])
+    order = np.argsort(bits, kind="stable")
+    return bits[order].astype(np.uint64), node[order]
+
+
+def _held(batches, rows: int):
+    held, count = [], 0
+    for frame in batches:
+        held.append(frame)
+        count += len(frame)
+        if count >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, count = [], 0
+    if count:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _index_entries(trees: int, seed: int, tops: dict, begin: int, rows: int = 20_000):
+    """The entries of some vectors by tree and leading bits, packed."""
+
+    def run(batches):
+        for frame in _held(batches, rows):
+            out = []
+            for dim, own in frame.groupby("dim"):
+                node, keys = own["node"].to_numpy(np.int64), bit_strings(lifted(np.stack(own["v"].to_numpy()), tops[int(dim)]), planes(trees, int(dim), seed))
                 for t in range(trees):
-                    seen[self.order[t, low[level, t, i] : high[level, t, i]]] = True
-                    if t % 4 == 3 and np.count_nonzero(seen) >= wanted:
-                        done = True
-                        break
-                if done:
-                    break
-            yield np.flatnonzero(seen)
-
-
-def _search(trees: int, share: float, least: int, k: int, seed: int, tops: dict):
-    def run(key, rows, queries):
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(rows) or not len(queries):
-            return empty
-        rows = rows.assign(low=[int(i[0]) for i in rows["ids"]]).sort_values("low", kind="stable")
-        x = np.stack(rows["v"].to_numpy())
-        count = np.array([len(i) for i in rows["ids"]])
-        ids, begin = np.concatenate(rows["ids"].to_list()).astype(np.int64), np.cumsum(count) - count
-        forest = Forest(x, tops[int(key[0])], trees, seed)
-        asked, q = queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy())
-        out = []
-        for i, found in enumerate(forest.candidates(q, max(8 * k, least, math.ceil(share * len(x))))):
-            score = x[found] @ q[i]
-            # One of the best may hold nothing but the query itself.
-            if len(found) > k + 1:
-                cut = -np.partition(-score, k)[k]
-                found, score = found[score >= cut], score[score >= cut]
-            n = count[found]
-            own = ids[np.repeat(begin[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            score = np.repeat(score, n)[own != asked[i]]
-            own = own[own != asked[i]]
-            best = np.lexsort([own, -score])[:k]
-            out.append((np.full(len(best), asked[i]), own[best], score[best]))
-        return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "vec_id", "score"))})
+                    lead = keys[:, t].astype(np.int64) >> (BITS - begin)
+                    order = np.argsort(lead, kind="stable")
+                    edge = np.flatnonzero(np.concatenate([[True], np.diff(lead[order]) != 0, [True]]))
+                    out += [(int(dim), t, int(lead[order[a]]), b - a, _pack(keys[order[a:b], t], node[order[a:b]])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield pd.DataFrame(out, columns=["dim", "tree", "lead", "n", "data"])
+
+    return run
+
+
+def _query_bits(trees: int, seed: int):
+    """A query's bit strings, one a tree. Its lifted column is zero: its own length changes no order."""
+
+    def run(batches):
+        for frame in batches:
+            for dim, own in frame.groupby("dim"):
+                x = np.stack(own["v"].to_numpy())
+                keys = bit_strings(np.column_stack([x, np.zeros(len(x))]), planes(trees, int(dim), seed))
+                yield pd.DataFrame({"query": own["query"], "dim": own["dim"], "keys": [k.astype(np.int64).tolist() for k in keys]})
+
+    return run
+
+
+def ranges(keys: np.ndarray, own: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the ascending ``keys`` those that share the first ``length`` bits of ``own``: begins and ends."""
+    shift = (BITS - length).astype(np.uint64)
+    prefix = own.astype(np.uint64) >> shift
+    return np.searchsorted(keys, prefix << shift), np.searchsorted(keys, (prefix + np.uint64(1)) << shift)
+
+
+def _sizes(begin: int):
+    """Per query of a part: how many entries share its prefix, at the lengths from ``begin`` to ``BITS``."""
+    lengths = np.arange(begin, BITS + 1)
+
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        low, high = ranges(_unpack(rows["data"])[0], queries["bits"].to_numpy(np.int64)[None, :], lengths[:, None])
+        return pd.DataFrame({"query": queries["query"], "dim": queries["dim"]} | {f"n{i}": high[j] - low[j] for j, i in enumerate(lengths)})
+
+    return run
+
+
+def _found(shards: int):
+    """The entries of a part that share a query's prefix of its length, as one list for each query and shard of nodes."""
+
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        keys, node = _unpack(rows["data"])
+        low, high = ranges(keys, queries["bits"].to_numpy(np.int64), queries["length"].to_numpy(np.int64))
+        shard, out = node % shards, []
+        for q, dim, a, b in zip(queries["query"].tolist(), queries["dim"].tolist(), low.tolist(), high.tolist(), strict=True):
+            order = np.argsort(shard[a:b], kind="stable") + a
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if b > a else np.zeros(1, int)
+            out += [(q, dim, int(shard[order[x]]), node[order[x:y]].astype("<i8").tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame(out, columns=["query", "dim", "shard", "nodes"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64, share: float = 0.5, least: int = 2000, shard_rows: int = 16_000, block_rows: int = 4_000, seed: int = 11) -> DataFrame:
+def candidates(nodes: DataFrame, asked: DataFrame, tops: dict, n: int, trees: int, wanted: int, part_rows: int, shards: int, seed: int) -> DataFrame:
+    """``(query, dim, shard, nodes)``: the nodes whose entries share a query's prefix, of one length in all trees, at which at
+    least ``wanted`` entries do, packed and with repeats. Where even no bit at all gives so many, a query gets all nodes."""
+    begin = min(BITS - 1, max(0, math.ceil(math.log2(max(1, n / part_rows)))))
+    key, out = ["dim", "tree", "lead", "piece"], None
+    left = staged(asked.mapInPandas(_query_bits(trees, seed), "query long, dim int, keys array<long>"), "bits")
+    while True:
+        entries = staged(nodes.select("node", "dim", "v").mapInPandas(_index_entries(trees, seed, tops, begin), "dim int, tree int, lead long, n long, data binary"), "entries")
+        pieces = F.greatest(F.lit(1), F.ceil(F.sum("n") / (4 * part_rows)))
+        crowded = staged(entries.groupBy(*key[:3]).agg(pieces.alias("pieces")).filter("pieces > 1"), "crowded")
+        rows = entries.join(crowded, key[:3], "left").withColumn("piece", F.pmod(F.xxhash64("data"), F.coalesce("pieces", F.lit(1)))).select(*key, "data")
+        long = left.select("query", "dim", F.posexplode("keys").alias("tree", "bits")).withColumn("lead", F.shiftright("bits", BITS - begin) if begin else F.lit(0).cast("long"))
+        queries = long.join(crowded, key[:3], "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1))).select(*key, "query", "bits")
+        names = [f"n{i}" for i in range(begin, BITS + 1)]
+        sizes = rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(_sizes(begin), "query long, dim int, " + ", ".join(f"{c} long" for c in names))
+        total = sizes.groupBy("query", "dim").agg(*[F.sum(c).alias(c) for c in names])
+        deepest = F.coalesce(*[F.when(F.col(c) >= wanted, F.lit(int(c[1:]))) for c in reversed(names)], *([F.lit(0)] if begin == 0 else []))
+        chosen = staged(total.select("query", "dim", deepest.alias("length")).filter("length IS NOT NULL"), "lengths")
+        hits = rows.groupBy(*key).cogroup(queries.join(chosen, ["query", "dim"]).groupBy(*key)).applyInPandas(_found(shards), "query long, dim int, shard long, nodes binary")
+        out = hits if out is None else out.unionByName(hits)
+        if begin == 0:
+            return out
+        left = staged(left.join(chosen, ["query", "dim"], "left_anti"), "left")
+        if left.isEmpty():
+            return out
+        begin //= 2
+
+
+def _score(k: int):
+    """A partition sorted by shard: first the shard's vectors, then its queries with their candidates, which are scored."""
+    names = ["query", "score", "ids"]
+
+    def run(batches):
+        at, node, x, ids = None, [], [], []
+        for frame in batches:
+            out = []
+            for r in frame.itertuples(index=False):
+                if (r.dim, r.shard) != at:
+                    at, node, x, ids, table = (r.dim, r.shard), [], [], [], None
+                if r.nodes is None:
+                    node.append(r.node)
+                    x.append(r.v)
+                    ids.append(r.ids)
+                    continue
+                if table is None:
+                    order = np.argsort(node)
+                    table = np.array(node)[order], np.stack(x)[order], [ids[i] for i in order]
+                found = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in r.nodes]))
+                place = np.searchsorted(table[0], found)
+                score = np.add.reduce(table[1][place] * r.v, axis=1)
+                if len(score) > k + 1:
+                    # One of the best may hold nothing but the query itself.
+                    best = score >= -np.partition(-score, k)[k]
+                    place, score = place[best], score[best]
+                out += [(r.query, s, table[2][p]) for p, s in zip(place.tolist(), score.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 256, wanted: float = 2.7, power: float = 0.77, part_rows: int = 65_536, shard_rows: int = 16_000, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: up to ``k`` rows of ``vectors`` for each row of ``queries``, largest inner product
     first, ties to the smaller id; a query never finds its own id.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, on either side; vectors meet
     others of their length. Repeated rows of one id count once, by their smallest vector. Ids of equal vectors share one
-    entry, with their k + 1 smallest ids, of which a query needs no more. ``share`` is the part of a shard's distinct vectors that is scored, and at least ``least`` of its vectors are; more finds more, at more cost: measured recall is in the README. Work is spread over (shard, block) pairs of at most ``shard_rows`` by
-    ``block_rows``."""
+    node, with their k + 1 smallest ids, of which a query needs no more.
+
+    The trees ascend until ``wanted`` * nodes ** ``power`` entries, and one a tree for the query itself, share the query's prefixes;
+    where that is more than all, everything is scored. More trees and more entries find more, at more cost; measured
+    recall and shares are in the README."""
     spark = vectors.sparkSession
     prepare(spark)
     single = usable(vectors, id_col, vector_col).groupBy("vec_id", "dim").agg(F.min("v").alias("v"), F.max("norm").alias("norm"))
     copies = Window.partitionBy("dim", "v").orderBy("vec_id")
     few = single.withColumn("place", F.row_number().over(copies)).filter(F.col("place") <= k + 1)
-    rows = staged(few.groupBy("dim", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("norm").alias("norm")), "vectors")
-    asked = usable(queries, id_col, vector_col).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    asked = staged(asked, "queries")
-    per_dim = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()
-    n_asked = asked.count()
-    shards = max(1, math.ceil(max((r["n"] for r in per_dim), default=0) / shard_rows))
-    blocks = max(1, math.ceil(n_asked / block_rows))
+    nodes = few.groupBy("dim", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("norm").alias("norm"))
+    nodes = staged(nodes.withColumn("node", F.col("ids")[0]), "nodes")
+    asked = staged(usable(queries, id_col, vector_col).groupBy("vec_id", "dim").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query"), "queries")
+    per_dim = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()
+    n = max((r["n"] for r in per_dim), default=0)
     tops = {r["dim"]: r["top"] * (1 + 1e-9) for r in per_dim}
-    shard = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(shards))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))
-
-    def each(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = rows.select("ids", "v", "dim", shard.alias("shard"), each(blocks).alias("block"))
-    right = asked.select("vec_id", "v", "dim", block.alias("block"), each(shards).alias("shard"))
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(trees, share, least, k, seed, tops), "query_id long, vec_id long, score double")
+    shards = max(1, math.ceil(n / shard_rows))
+    enough = trees + max(8 * k, math.ceil(wanted * n**power))
+    hits = candidates(nodes, asked, tops, n, trees, enough, part_rows, shards, seed)
+    held = hits.groupBy("query", "dim", "shard").agg(F.collect_list("nodes").alias("nodes")).join(asked, ["query", "dim"])
+    none = F.lit(None)
+    both = nodes.select("dim", F.pmod("node", F.lit(shards)).alias("shard"), "node", "ids", "v", none.cast("long").alias("query"), none.cast("array<binary>").alias("nodes"))
+    both = both.unionByName(held.select("dim", "shard", F.lit(0).cast("long").alias("node"), none.cast("array<long>").alias("ids"), "v", "query", "nodes"))
+    dealt = both.repartition(max(1, min(shards, 4096)), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("nodes").isNotNull())
+    scored = dealt.mapInPandas(_score(k), "query long, score double, ids array<long>")
+    each = scored.select(F.col("query").alias("query_id"), "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

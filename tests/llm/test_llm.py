@@ -392,27 +392,6 @@ def test_rules_are_native_and_total(spark):
 # ------------------------------------------------------------------ op5
 
 
-def test_forest_recall(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    asked = rows.filter("vec_id % 20 = 0")
-    got = collections.defaultdict(dict)
-    for r in ann.nearest(rows, asked, trees=96, share=0.7, least=0, shard_rows=200, block_rows=10).collect():
-        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
-    ids = [r.vec_id for r in rows.collect()]
-    x = np.array([r.embedding for r in rows.collect()], float)
-    hits = total = 0
-    for i, q in enumerate(ids):
-        if q % 20:
-            continue
-        s = x @ x[i]
-        best = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[j], ids[j]))[:20]
-        found = got[q]
-        assert sorted(found) == list(range(1, 21)) and q not in {v for v, _ in found.values()}
-        assert all(abs(score - s[ids.index(v)]) < 1e-9 for v, score in found.values())
-        hits, total = hits + len({ids[j] for j in best} & {v for v, _ in found.values()}), total + 20
-    assert hits / total >= 0.9
-
-
 def copied_vectors(distinct, copies, dim=64):
     """Structureless vectors; a group of copies holds a share of the rows, among other ids."""
     x = np.random.default_rng(12).standard_normal((distinct, dim)).astype(np.float32)
@@ -441,6 +420,29 @@ def recall_of(spark, ids, x, places, **how):
     return hits / (20 * len(places))
 
 
+@pytest.mark.parametrize("distinct", [500, 2000, 10_000])
+def test_forest_recall(spark, distinct):
+    """The query's own settings on structureless vectors."""
+    ids, x = copied_vectors(distinct, 0)
+    got = recall_of(spark, ids, x, np.arange(0, distinct, distinct // 100))
+    print("recall over", distinct, got)
+    assert got >= 0.9
+
+
+def test_forest_of_many_parts(spark):
+    """Leading bits, crowded parts and queries that start anew change no candidate."""
+    ids, x = copied_vectors(1000, 300)
+    x[:300] = x[0] + x[:300] * 1e-3
+    places = np.arange(0, 1000, 37)
+    rows = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<float>")
+    asked = rows.filter(F.col("vec_id").isin(ids[places].tolist()))
+
+    def run(**how):
+        return sorted(tuple(r) for r in ann.nearest(rows, asked, trees=16, wanted=0.5, **how).collect())
+
+    assert run() == run(part_rows=20, shard_rows=50)
+
+
 def test_forest_recall_beside_copies(spark):
     ids, x = copied_vectors(6000, 3000)
     places = np.arange(1, 101)
