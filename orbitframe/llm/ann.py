@@ -40,9 +40,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def bit_strings(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """(rows, trees) unsigned: the signs of ``planes`` (trees, BITS, columns), first plane leftmost."""
-    signs = x @ planes.reshape(-1, x.shape[1]).T > 0
-    packed = np.packbits(signs.reshape(len(x), len(planes), BITS), axis=2)
-    return np.ascontiguousarray(packed).view(">u4")[:, :, 0].astype(np.uint32)
+    flat, out = planes.reshape(-1, x.shape[1]).T, np.zeros((len(x), len(planes)), np.uint32)
+    for a in range(0, len(x), 512):
+        signs = x[a : a + 512] @ flat > 0
+        packed = np.packbits(signs.reshape(len(signs), len(planes), BITS), axis=2)
+        out[a : a + 512] = np.ascontiguousarray(packed).view(">u4")[:, :, 0]
+    return out
 
 
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -80,7 +83,7 @@ def _held(batches, rows: int):
         yield pd.concat(held, ignore_index=True)
 
 
-def _index_entries(trees: int, seed: int, tops: dict, begin: int, rows: int = 20_000):
+def _index_entries(trees: int, seed: int, tops: dict, begin: int, rows: int = 8_000):
     """The entries of some vectors by tree and leading bits, packed."""
 
     def run(batches):
@@ -118,6 +121,29 @@ def ranges(keys: np.ndarray, own: np.ndarray, length: np.ndarray) -> tuple[np.nd
     return np.searchsorted(keys, prefix << shift), np.searchsorted(keys, (prefix + np.uint64(1)) << shift)
 
 
+def _dealt(node: np.ndarray, part: np.ndarray):
+    if not len(node):
+        return
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(part[order[a]]), node[order[a:b]].astype("<i8")
+
+
+def _shards(shards: int):
+    """A list's different nodes, by shard."""
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for q, dim, blobs in zip(frame["query"], frame["dim"], frame["nodes"], strict=True):
+                node = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in blobs]))
+                out += [(q, dim, w, own.tobytes()) for w, own in _dealt(node, node % shards)]
+            yield pd.DataFrame(out, columns=["query", "dim", "shard", "nodes"])
+
+    return run
+
+
 def _sizes(begin: int):
     """Per query of a part: how many entries share its prefix, at the lengths from ``begin`` to ``BITS``."""
     lengths = np.arange(begin, BITS + 1)
@@ -129,25 +155,25 @@ def _sizes(begin: int):
     return run
 
 
-def _found(shards: int):
-    """The entries of a part that share a query's prefix of its length, as one list for each query and shard of nodes."""
+def _found(lists: int):
+    """The entries of a part that share a query's prefix of its length, as ``lists`` lists of nodes for each query."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         keys, node = _unpack(rows["data"])
         low, high = ranges(keys, queries["bits"].to_numpy(np.int64), queries["length"].to_numpy(np.int64))
-        shard, out = node % shards, []
+        part, out = node % lists, []
         for q, dim, a, b in zip(queries["query"].tolist(), queries["dim"].tolist(), low.tolist(), high.tolist(), strict=True):
-            order = np.argsort(shard[a:b], kind="stable") + a
-            edge = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if b > a else np.zeros(1, int)
-            out += [(q, dim, int(shard[order[x]]), node[order[x:y]].astype("<i8").tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True)]
-        return pd.DataFrame(out, columns=["query", "dim", "shard", "nodes"])
+            out += [(q, dim, w, own.tobytes()) for w, own in _dealt(node[a:b], part[a:b])]
+        return pd.DataFrame(out, columns=["query", "dim", "list", "nodes"])
 
     return run
 
 
-def candidates(nodes: DataFrame, asked: DataFrame, tops: dict, n: int, trees: int, wanted: int, part_rows: int, shards: int, seed: int) -> DataFrame:
-    """``(query, dim, shard, nodes)``: the nodes whose entries share a query's prefix, of one length in all trees, at which at
-    least ``wanted`` entries do, packed and with repeats. Where even no bit at all gives so many, a query gets all nodes."""
+def candidates(nodes: DataFrame, asked: DataFrame, tops: dict, n: int, trees: int, wanted: int, part_rows: int, seed: int) -> DataFrame:
+    """``(query, dim, list, nodes)``: the nodes whose entries share a query's prefix, of one length in all trees, at which at
+    least ``wanted`` entries do, packed and with repeats. Where even no bit at all gives so many, a query gets all nodes. A
+    query's nodes are in as many lists as keep one near ``part_rows``."""
+    lists = max(1, wanted // part_rows)
     begin = min(BITS - 1, max(0, math.ceil(math.log2(max(1, n / part_rows)))))
     key, out = ["dim", "tree", "lead", "piece"], None
     left = staged(asked.mapInPandas(_query_bits(trees, seed), "query long, dim int, keys array<long>"), "bits")
@@ -163,7 +189,7 @@ def candidates(nodes: DataFrame, asked: DataFrame, tops: dict, n: int, trees: in
         total = sizes.groupBy("query", "dim").agg(*[F.sum(c).alias(c) for c in names])
         deepest = F.coalesce(*[F.when(F.col(c) >= wanted, F.lit(int(c[1:]))) for c in reversed(names)], *([F.lit(0)] if begin == 0 else []))
         chosen = staged(total.select("query", "dim", deepest.alias("length")).filter("length IS NOT NULL"), "lengths")
-        hits = rows.groupBy(*key).cogroup(queries.join(chosen, ["query", "dim"]).groupBy(*key)).applyInPandas(_found(shards), "query long, dim int, shard long, nodes binary")
+        hits = rows.groupBy(*key).cogroup(queries.join(chosen, ["query", "dim"]).groupBy(*key)).applyInPandas(_found(lists), "query long, dim int, list long, nodes binary")
         out = hits if out is None else out.unionByName(hits)
         if begin == 0:
             return out
@@ -192,8 +218,7 @@ def _score(k: int):
                 if table is None:
                     order = np.argsort(node)
                     table = np.array(node)[order], np.stack(x)[order], [ids[i] for i in order]
-                found = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in r.nodes]))
-                place = np.searchsorted(table[0], found)
+                place = np.searchsorted(table[0], np.frombuffer(r.nodes, "<i8"))
                 score = np.add.reduce(table[1][place] * r.v, axis=1)
                 if len(score) > k + 1:
                     # One of the best may hold nothing but the query itself.
@@ -229,10 +254,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     tops = {r["dim"]: r["top"] * (1 + 1e-9) for r in per_dim}
     shards = max(1, math.ceil(n / shard_rows))
     enough = trees + max(8 * k, math.ceil(wanted * n**power))
-    hits = candidates(nodes, asked, tops, n, trees, enough, part_rows, shards, seed)
-    held = hits.groupBy("query", "dim", "shard").agg(F.collect_list("nodes").alias("nodes")).join(asked, ["query", "dim"])
+    hits = candidates(nodes, asked, tops, n, trees, enough, part_rows, seed)
+    lists = hits.groupBy("query", "dim", "list").agg(F.collect_list("nodes").alias("nodes")).select("query", "dim", "nodes")
+    held = lists.mapInPandas(_shards(shards), "query long, dim int, shard long, nodes binary").join(asked, ["query", "dim"])
     none = F.lit(None)
-    both = nodes.select("dim", F.pmod("node", F.lit(shards)).alias("shard"), "node", "ids", "v", none.cast("long").alias("query"), none.cast("array<binary>").alias("nodes"))
+    both = nodes.select("dim", F.pmod("node", F.lit(shards)).alias("shard"), "node", "ids", "v", none.cast("long").alias("query"), none.cast("binary").alias("nodes"))
     both = both.unionByName(held.select("dim", "shard", F.lit(0).cast("long").alias("node"), none.cast("array<long>").alias("ids"), "v", "query", "nodes"))
     dealt = both.repartition(max(1, min(shards, 4096)), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("nodes").isNotNull())
     scored = dealt.mapInPandas(_score(k), "query long, score double, ids array<long>")

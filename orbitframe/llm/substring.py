@@ -14,8 +14,8 @@ internal node of the corpus's suffix tree at that depth or below, with leaves of
 
 Before a block sends a suffix it sorts its own, so a passage costs one entry per block and document, and within a block only
 those of its smallest document: a passage that a third of all documents repeat is one entry per block of a million words.
-Suffixes are compared word by word, a word being 16 bits of its hash, and then by a check of 32 bits over all their words: different
-passages of 13 words would have to agree in 240 bits, and those that differ in one word in 48.
+Suffixes are compared word by word, a word being a byte of its hash, and then by a check of 64 bits over all their words: different
+passages of 13 words would have to agree in 168 bits, and those that differ in one word in 72.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ CHUNK_BYTES = 24_000_000
 BLOCK_WORDS = 1_200_000
 #: The table of prefix counts has at most so many bins for each prefix length.
 MOST_BINS = 1 << 20
+#: Bytes of the check that follows a suffix's words.
+CHECK = 8
 
 
 # ---------------------------------------------------------------- coding
@@ -63,15 +65,15 @@ def _edges(x: np.ndarray) -> np.ndarray:
 
 
 def word_classes(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """(n, window + 2): what a suffix travels as. Each of its words as 16 bits of its hash, and last a check, 32 bits of the hash
+    """(n, window + 8) bytes: what a suffix travels as. Each of its words as one byte of its hash, and last a check, the 64-bit hash
     of them all, so that passages which differ in one word only differ here too."""
-    small = (words.hash >> np.uint64(48)).astype(np.uint16)
-    check = (words.runs(window)[at] >> np.uint64(32)).astype(np.uint32)
-    return np.column_stack([small[at[:, None] + np.arange(window)], (check >> 16).astype(np.uint16), check.astype(np.uint16)])
+    small = (words.hash >> np.uint64(56)).astype(np.uint8)
+    check = words.runs(window)[at].astype(">u8").view(np.uint8).reshape(-1, CHECK)
+    return np.column_stack([small[at[:, None] + np.arange(window)], check])
 
 
 def pack_suffixes(codes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
-    """``codes``: (n, window + 2); ``doc``: ids; ``place``: where in its block each suffix starts."""
+    """``codes``: (n, window + CHECK); ``doc``: ids; ``place``: where in its block each suffix starts."""
     order = np.argsort(place, kind="stable")
     ids, own = np.unique(doc[order], return_inverse=True)
     head = struct.pack("<III", len(codes), codes.shape[1], len(ids))
@@ -85,7 +87,7 @@ def unpack_suffixes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body = zlib.decompress(blob[12:])
     ids = np.frombuffer(body, np.int64, n_ids)
     own, step = np.frombuffer(body, np.uint32, 2 * n, 8 * n_ids).reshape(2, n)
-    codes = np.frombuffer(body, np.uint16, n * width, 8 * n_ids + 8 * n).reshape(width, n).T
+    codes = np.frombuffer(body, np.uint8, n * width, 8 * n_ids + 8 * n).reshape(width, n).T
     return codes, ids[own], np.cumsum(step, dtype=np.int64)
 
 
@@ -93,16 +95,16 @@ def unpack_suffixes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sorted_suffixes(codes: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``codes``: (n, window) numbers of 16 bits. The order of the rows, ``ties`` deciding among equal ones, and for each
+    """``codes``: (n, window) bytes. The order of the rows, ``ties`` deciding among equal ones, and for each
     sorted row how many leading columns it shares with the one before; zero for the first."""
     n, width = codes.shape
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = []
-    for a in range(0, width, 4):
+    for a in range(0, width, 8):
         key = np.zeros(n, np.uint64)
-        for c in range(a, min(a + 4, width)):
-            key = (key << np.uint64(16)) | codes[:, c]
+        for c in range(a, min(a + 8, width)):
+            key = (key << np.uint64(8)) | codes[:, c]
         keys.append(key)
     order = np.lexsort([*ties[::-1], *keys[::-1]])
     shared = np.zeros(n, np.int64)
@@ -299,7 +301,7 @@ def _subtrees(window: int):
             block = np.repeat(frame["block"].to_numpy(np.int64)[~settled], [len(p[1]) for p in parts])
             codes, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, shared = sorted_suffixes(codes, doc)
-            low, high = deep_nodes(shared, window + 2)
+            low, high = deep_nodes(shared, window + CHECK)
             doc, place, block = doc[order], place[order], block[order]
             smallest = np.repeat(doc[low], high - low)
             below = np.repeat(low - np.cumsum(np.concatenate([[0], (high - low)[:-1]])), high - low) + np.arange((high - low).sum())

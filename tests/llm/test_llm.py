@@ -2,9 +2,12 @@
 
 import collections
 import struct
+import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -401,9 +404,15 @@ def copied_vectors(distinct, copies, dim=64):
     return ids, x
 
 
+def vector_rows(spark, ids, x):
+    path = f"{tempfile.mkdtemp()}/v.parquet"
+    pq.write_table(pa.table({"vec_id": ids.astype("int64"), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), path)
+    return spark.read.parquet(path)
+
+
 def recall_of(spark, ids, x, places, **how):
     """Recall against brute force for the queries at ``places``; scores and places must be right for all that is found."""
-    rows = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<float>")
+    rows = vector_rows(spark, ids, x)
     asked = rows.filter(F.col("vec_id").isin(ids[places].tolist()))
     got = collections.defaultdict(dict)
     for r in ann.nearest(rows, asked, **how).collect():
@@ -434,7 +443,7 @@ def test_forest_of_many_parts(spark):
     ids, x = copied_vectors(1000, 300)
     x[:300] = x[0] + x[:300] * 1e-3
     places = np.arange(0, 1000, 37)
-    rows = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<float>")
+    rows = vector_rows(spark, ids, x)
     asked = rows.filter(F.col("vec_id").isin(ids[places].tolist()))
 
     def run(**how):
