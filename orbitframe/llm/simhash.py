@@ -4,6 +4,7 @@ wanted shingle similarity by an exact set join."""
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import _splitmix, map_texts, prepare, row_key, staged, text_batches
 from .components import connected_components
+from .substring import _ascending as ascending
+from .substring import _planes as planes
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -20,8 +23,10 @@ _LANES = np.uint64(0x0101010101010101)
 COUNTED, COMMON_FROM, COMMON = 2_000_000, 8, 65_536
 #: Bytes of the counts that bound the overlap of two sets.
 COUNTS = 256
-#: Rounds that link nodes to one node of each group, and pairs that share one copy of a text.
-STARS, SALTED = 2, 500
+#: Pairs that share one copy of a text.
+SALTED = 500
+#: Fingerprint columns of a set, tries they are walked in, and bits of a shingle's hash that sets meet on.
+PRINTS, TABLES, HASH_BITS = ("f0", "f1", "f2", "f3"), 12, 48
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -52,23 +57,21 @@ def majority_bits(hashes: np.ndarray) -> np.uint64:
     return np.packbits((2 * counts > n).reshape(-1), bitorder="little").view(np.uint64)[0]
 
 
-def fingerprint(text: str | None, k: int, words: int, distinct: bool = False) -> np.ndarray:
-    h = shingle_hashes(text, k)
-    h = np.unique(h) if distinct else h
-    return np.array([majority_bits(h if i == 0 else _splitmix(h ^ _splitmix(np.full(1, i, np.uint64)))) for i in range(words)], np.uint64)
+def set_bits(h: np.ndarray, words: int) -> list[np.uint64]:
+    """``words`` times 64 fingerprint bits of a set of hashes, each from other hashes of these."""
+    return [majority_bits(h if i == 0 else _splitmix(h ^ _splitmix(np.full(1, i, np.uint64)))) for i in range(words)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """``(doc_id, f0, f1, ...)``: ``words`` longs of 64 fingerprint bits. Null and empty texts have all bits zero. A shingle
-    counts as often as it occurs, or once with ``distinct``."""
-    names = [f"f{i}" for i in range(words)]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``(doc_id, f0)``: a long of 64 fingerprint bits. Null and empty texts have all bits zero. A shingle counts as often as it
+    occurs."""
 
     def run(batches):
         for frame in batches:
-            bits = np.array([fingerprint(t, shingle, words, distinct) for t in frame["text"]], np.uint64).reshape(-1, words)
-            yield frame[["doc_id", "no_id"]].assign(**{c: bits[:, i].view(np.int64) for i, c in enumerate(names)})
+            bits = np.array([majority_bits(shingle_hashes(t, shingle)) for t in frame["text"]], np.uint64)
+            yield frame[["doc_id", "no_id"]].assign(f0=bits.view(np.int64))
 
-    return map_texts(docs, run, ", ".join(f"{c} long" for c in names), id_col, text_col)
+    return map_texts(docs, run, "f0 long", id_col, text_col)
 
 
 # ---------------------------------------------------------------- the trie walk
@@ -191,19 +194,20 @@ def _links(names: list[str], budget: int, rows: int = 300_000):
         return pd.DataFrame({"u": node[other], "v": node[label[other]]})
 
     def run(batches):
-        held = []
-        count = 0
+        held, count, most = [], 0, rows
         for frame in batches:
             held.append(frame)
             count += len(frame)
-            if count >= rows:
+            if count >= most:
                 whole = pd.concat(held, ignore_index=True)
                 last = whole.iloc[-1]
                 tail = (whole["slot"] == last["slot"]) & (whole["key"] == last["key"])
                 if not tail.all():
                     yield emit(whole[~tail])
                     whole = whole[tail]
+                # A group that goes on is looked at again when it has doubled.
                 held, count = [whole], len(whole)
+                most = max(rows, 2 * count)
         if count:
             yield emit(pd.concat(held, ignore_index=True))
 
@@ -259,9 +263,12 @@ def hamming_components(prints: DataFrame, names: list[str], budget: int, keys: l
     dealt = keyed.repartition(parts, "slot", "key").sortWithinPartitions("slot", "key")
     links = dealt.mapInPandas(_links(names, budget), "u long, v long")
     roots = connected_components(links)
-    joined = nodes.join(roots, nodes["node"] == roots["node"], "left").select(*names, "low", F.coalesce("root", nodes["node"]).alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    return joined.join(lowest, "root").select(*names, "component_id")
+    # Components of several nodes join their minimum; a node alone is its own, so most rows meet no common key.
+    mine = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    alone = mine.filter("root IS NULL").select(*names, F.col("low").alias("component_id"))
+    several = mine.filter("root IS NOT NULL").select(*names, "low", "root")
+    lowest = several.groupBy("root").agg(F.min("low").alias("component_id"))
+    return alone.unionByName(several.join(lowest, "root").select(*names, "component_id"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -281,21 +288,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _sets(shingle: int):
-    """Document rows with their shingle set's hash and size and, with a null node, how often common shingles occur."""
-    columns = ["doc_id", "key", "text", "node", "n", "counts", "hash", "times"]
+    """Document rows with their shingle set's hash, size and fingerprint and, with a null node, how often common shingles occur."""
+    columns = ["doc_id", "no_id", "key", "node", "n", "counts", *PRINTS, "hash", "times"]
 
     def common(held):
         h, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= COMMON_FROM
-        return pd.DataFrame({"hash": h[often].view(np.int64), "times": times[often]}).reindex(columns=columns).astype({"doc_id": "Int64", "key": "Int64", "node": "Int64", "n": "Int64", "text": object, "counts": object})
+        own = pd.DataFrame({"hash": h[often].view(np.int64), "times": times[often], "doc_id": 0, "no_id": True})
+        return own.reindex(columns=columns).astype({"key": object, "node": "Int64", "n": "Int64", "counts": object} | dict.fromkeys(PRINTS, "Int64"))
 
     def run(batches):
         held, total = [], 0
         for frame in text_batches(batches):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "key": frame["key"], "text": frame["text"].astype(object)})
-            out = out.assign(node=node, n=[len(s) for s in sets], counts=[_counts(s) for s in sets], hash=None, times=None)
+            bits = np.array([set_bits(s, len(PRINTS)) for s in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
+            out = frame[["doc_id", "no_id", "key"]].assign(node=node, n=[len(s) for s in sets], counts=[_counts(s) for s in sets], **{c: bits[:, i] for i, c in enumerate(PRINTS)}, hash=None, times=None)
             yield out.astype({"hash": "Int64", "times": "Int64"})
             held += sets
             total += sum(len(s) for s in sets)
@@ -314,31 +322,62 @@ def _counts(own: np.ndarray) -> bytes:
     return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
 
 
-def _prefixes(shingle: int, similarity: float, common: np.ndarray):
-    """``common``: hashes by rising frequency. All sets are ordered by (place in ``common``, hash), others first."""
+def _prefixes(shingle: int, similarity: float, common: np.ndarray, parts: int):
+    """``common``: hashes by rising frequency. All sets are ordered by (place in ``common``, hash), others first; the first hashes
+    of the sets of a batch are packed by part of the hash range, with each set's node and size and each hash's place."""
     place = np.argsort(common)
     known = common[place]
 
     def run(batches):
-        for frame in batches:
-            out = []
-            for text, node in zip(frame["text"], frame["node"], strict=True):
+        for frame in text_batches(batches):
+            first, size = [], []
+            for text in frame["text"]:
                 own = np.unique(shingle_hashes(text, shingle))
                 n = len(own)
                 rank = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     rank = np.where(known[at] == own, place[at] + 1, 0)
-                size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-                out.append((own[np.lexsort([own, rank])[:size]], node, n))
-            sizes = [len(o[0]) for o in out]
-            hashes = np.concatenate([np.zeros(0, np.uint64), *[o[0] for o in out]]).view(np.int64)
-            pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in sizes]])
-            yield pd.DataFrame({"hash": hashes, "node": np.repeat(np.array([o[1] for o in out], np.int64), sizes), "n": np.repeat(np.array([o[2] for o in out], np.int64), sizes), "pos": pos})
+                first.append(own[np.lexsort([own, rank])[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]])
+                size.append(n)
+            many = [len(f) for f in first]
+            h = np.concatenate([np.zeros(0, np.uint64), *first]) >> np.uint64(64 - HASH_BITS)
+            owner = np.repeat(np.arange(len(first)), many)
+            pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in many]])
+            order = np.argsort(h, kind="stable")
+            h, owner, pos = h[order], owner[order], pos[order]
+            part = (h * np.uint64(parts)) >> np.uint64(HASH_BITS)
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(h) else [0]
+            rows = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                used, nth = np.unique(owner[a:b], return_inverse=True)
+                head = frame["node"].to_numpy(np.int64)[used].tobytes() + np.array(size, np.int64)[used].tobytes()
+                rows.append((int(part[a]), len(used), int(b - a), zlib.compress(head + planes(h[a:b]) + nth.astype(np.uint32).tobytes() + pos[a:b].astype(np.uint32).tobytes(), 1)))
+            yield pd.DataFrame(rows, columns=["part", "nodes", "n", "data"])
 
     return run
 
 
+def _met(frame: pd.DataFrame) -> pd.DataFrame:
+    """The hashes of a part that several nodes have, with these."""
+    h, node, size, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for k, n, data in zip(frame["nodes"], frame["n"], frame["data"], strict=True):
+        raw = zlib.decompress(data)
+        names, sizes = np.frombuffer(raw, np.int64, 2 * k).reshape(2, k)
+        nth, own = np.frombuffer(raw, np.uint32, 2 * n, 16 * k + 8 * n).reshape(2, n)
+        h.append(ascending(raw[16 * k : 16 * k + 8 * n]))
+        node.append(names[nth])
+        size.append(sizes[nth])
+        pos.append(own)
+    h, node, size, pos = (np.concatenate(x) for x in (h, node, size, pos))
+    order = np.argsort(h, kind="stable")
+    h, node, size, pos = h[order], node[order], size[order], pos[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    several = same[1:] | same[:-1]
+    return pd.DataFrame({"hash": h[several].view(np.int64), "node": node[several], "n": size[several], "pos": pos[several].astype(np.int64)})
+
+
 def _possible(a: str, b: str, similarity: float):
     """Sizes and places of a shared shingle at which two sets can still have the similarity."""
     sizes = f"least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n) - 1e-6"
@@ -386,41 +425,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of ``docs``; ``key`` is the row's ``row_key``, and the last two are those of the component's smallest row.
 
     Two texts link if the Jaccard similarity of their shingle sets is at least ``similarity``, and components follow links.
-    Exact up to equal 64-bit hashes: no link is lost and none is added. Texts of equal sets are one node. Under any one
-    order of the shingles two similar sets share one among the first of each, so nodes meet on these; the order puts
-    common shingles last. Nodes first link to one node of each group; then all pairs within the groups count that aren't in one
-    component yet. Every link is verified on the sets themselves. Texts without a word aren't linked to anything but
+    Texts of equal sets are one node. First the trie walk over SimHash fingerprints of the sets, ``64 * len(PRINTS)`` bits,
+    links nodes within the budget of bits that the similarity stands for; every link is verified on the sets. Fingerprints lose
+    some pairs, so an exact join adds the rest: under any one order of the shingles two similar sets share one among the first
+    of each, so nodes that aren't in one component yet meet on these, common shingles last, and are verified too. No link
+    is lost and none is added, but by equal 64-bit hashes. Texts without a word aren't linked to anything but
     each other. Rows of null doc_id link others, but never name a component unless all of it is null."""
     prepare(docs.sparkSession)
-    source = documents(docs, id_col, text_col).select("doc_id", row_key("doc_id", "text").alias("key"), "text")
-    schema = "doc_id long, key long, text string, node long, n long, counts binary, hash long, times long"
-    found = staged(source.mapInPandas(_sets(shingle), schema), "sets")
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = row_key(id_col, text_col)
+    schema = "key string, node long, n long, counts binary, " + "".join(f"{c} long, " for c in PRINTS) + "hash long, times long"
+    found = staged(map_texts(docs, _sets(shingle), schema, id_col, text_col, key=key), "sets")
     rows = found.filter("node IS NOT NULL").select("doc_id", "key", "node")
     often = found.filter("node IS NULL").groupBy("hash").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hash").limit(COMMON)
     common = np.array([r.hash for r in often.collect()][::-1], np.int64).view(np.uint64)
-    nodes = staged(found.filter("node IS NOT NULL").select("node", "n", "text", "counts").dropDuplicates(["node"]), "nodes")
-    entries = staged(nodes.mapInPandas(_prefixes(shingle, similarity, common), "hash long, node long, n long, pos long"), "prefixes")
-    met = entries.groupBy("hash").count().filter("count > 1").select("hash")
-    entries = staged(entries.join(met, "hash", "left_semi"), "met")
-    links = roots = None
-
-    def mixed():
-        if roots is None:
-            now = entries.withColumn("root", F.col("node"))
-        else:
-            now = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return now.select("hash", F.struct("node", "n", "pos", "root").alias("a"))
-
-    for star in range(STARS):
-        now = mixed().withColumn("o", F.xxhash64("a.node", F.lit(star)))
-        low = now.groupBy("hash").agg(F.min(F.struct("o", "a")).alias("low"), F.min("a.root").alias("x"), F.max("a.root").alias("y")).filter("x < y")
-        low = low.select("hash", F.col("low.o").alias("p"), F.col("low.a").alias("b"))
-        near = now.join(low, "hash").filter(F.expr("a.root != b.root") & _possible("a", "b", similarity))
-        pairs = near.groupBy("a.node").agg(F.min(F.struct("p", "b.node")).alias("low")).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
-        more = _similar(pairs, nodes, shingle, similarity)
-        links = more if links is None else links.unionByName(more)
-        roots = staged(connected_components(links), "roots")
-    now = mixed()
+    of_node = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "counts", *PRINTS)])
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    nodes = staged(of_node.join(texts, "key").drop("key"), "nodes")
+    count, entries = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
+
+    # Fingerprints: sampled bits of the fingerprint are the tries' leading ones, so that a trie has few nodes.
+    wide = max(12, math.ceil(math.log2(max(2, count))))
+    draw = np.random.default_rng(SEED)
+    keys = [sorted(draw.choice(64 * len(PRINTS), wide, replace=False).tolist()) for _ in range(TABLES)]
+    cosine = 2 * similarity / (1 + similarity)
+    budget = math.floor(64 * len(PRINTS) * math.acos(min(1.0, cosine)) / math.pi)
+    prints = nodes.filter("n > 0").select("node", *PRINTS)
+    dealt = _keyed(prints, list(PRINTS), keys).repartition(slots, "slot", "key").sortWithinPartitions("slot", "key")
+    pairs = dealt.mapInPandas(_links(list(PRINTS), budget), "u long, v long").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    links = _similar(pairs, nodes, shingle, similarity)
+    roots = staged(connected_components(links), "roots")
+
+    # The exact join.
+    parts = max(slots, math.ceil((entries or 0) * (1 - similarity) / 2_000_000))
+    packed = nodes.select("node", "text").mapInPandas(_prefixes(shingle, similarity, common, parts), "part long, nodes long, n long, data binary")
+    met = staged(packed.groupBy("part").applyInPandas(_met, "hash long, node long, n long, pos long"), "met")
+    now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("hash", F.struct("node", "n", "pos", "root").alias("a"))
     parted = now.groupBy("hash").agg(F.min("a.root").alias("x"), F.max("a.root").alias("y")).filter("x < y").select("hash")
     now = staged(now.join(parted, "hash", "left_semi"), "mixed")
     both = now.join(now.select("hash", F.col("a").alias("b")), "hash").filter(F.expr("a.root != b.root AND a.node < b.node") & _possible("a", "b", similarity))
