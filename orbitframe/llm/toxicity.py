@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is cut into clauses. A cascade of transducers rewrites a clause's words: the lexical one names insults, threats,
-targets, negations and verbs of report; the negation one marks a hit in the scope of a negation; the report one marks a
-hit that someone is quoted with; the target one marks a hit next to a person or group. The weighted end states give each
-clause a score per kind of match, and a logistic regression over the matched clauses of a text gives its score.
+A text is cut into clauses. The lexical transducer names a clause's insults, threats, targets, negations and verbs of report,
+with weights. The negation machine marks a hit in the scope of a negation, the report machine a hit that someone is quoted
+with, the target machines a hit next to a person or group, on either side. These are composed once into one machine over
+word classes (and one from the right), whose arcs name a hit's kind. Its weights add up to a score of each kind for a
+clause, and a logistic regression over the matched clauses of a text gives its score.
 
 Insults start from a short list. Others are learned from labelled texts as word stems, weighted by how much more often
 they occur in toxic ones, so the grammar isn't tied to a language.
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import map_texts, prepare
 from .training import fit_logistic, labelled_sample, sigmoid
 
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash clown clowns pathetic worthless disgusting filth filthy imbecile fool vermin garbage creep coward pig swine bastard bitch asshole jerk retard freak parasite degenerate ugly useless crétin connard imbécile salaud ordure abruti dummkopf arschloch trottel abschaum versager idiota imbécil estúpido basura escoria cabrón"
@@ -66,44 +67,95 @@ class Lexicon:
                 self.hits[w] = t
 
 
-def _scoped(tags: list[str], opener: str, mark: str, before: int, after: int = 0) -> list[str]:
-    """A transducer that copies its input and adds ``mark`` to hits at most ``before`` words after ``opener`` or ``after``
-    words before it. Its state is the number of words for which the scope stays open."""
-    out, open_for = [], 0
-    for t in tags:
-        out.append(t + mark if open_for > 0 and t[0] in "IH" else t)
-        open_for = before if t[0] == opener else open_for - 1
-    if after:
-        out = _scoped(out[::-1], opener, mark, after)[::-1]
-    return out
+# ---------------------------------------------------------------- the grammar
+
+CLASSES = "-IHTNR"
+#: What the composed machine says of a hit.
+KINDS = ("none", "plain", "target", "negated", "reported")
+
+
+class Transducer:
+    """A sequential machine over symbols: ``next[state][symbol]`` and ``out[state][symbol]``, starting in state 0."""
+
+    def __init__(self, next_: list[list[int]], out: list[list[tuple]]):
+        self.next, self.out = next_, out
+
+    def run(self, symbols) -> list[tuple]:
+        state, said = 0, []
+        for x in symbols:
+            said.append(self.out[state][x])
+            state = self.next[state][x]
+        return said
+
+
+def scope(opener: str, width: int, name: str, symbols: int = len(CLASSES)) -> Transducer:
+    """Says ``(name,)`` of insults and threats at most ``width`` words after ``opener``; the state is how long the scope stays open."""
+    opens, hits = CLASSES.index(opener), (CLASSES.index("I"), CLASSES.index("H"))
+    next_ = [[width if x % len(CLASSES) == opens else max(0, s - 1) for x in range(symbols)] for s in range(width + 1)]
+    out = [[(name,) if s and x % len(CLASSES) in hits else () for x in range(symbols)] for s in range(width + 1)]
+    return Transducer(next_, out)
+
+
+def marked(name: str, symbols: int) -> Transducer:
+    """Says ``(name,)`` of the hits in the upper half of the symbols, which a machine from the right has marked."""
+    hits = (CLASSES.index("I"), CLASSES.index("H"))
+    return Transducer([[0] * symbols], [[(name,) if x >= len(CLASSES) and x % len(CLASSES) in hits else () for x in range(symbols)]])
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both machines over one input, as one over the reachable pairs of states; what they say is joined."""
+    number, order, next_, out = {(0, 0): 0}, [(0, 0)], [], []
+    for s, t in order:
+        row = []
+        for x, y in zip(a.next[s], b.next[t], strict=True):
+            if (x, y) not in number:
+                number[(x, y)] = len(order)
+                order.append((x, y))
+            row.append(number[(x, y)])
+        next_.append(row)
+        out.append([x + y for x, y in zip(a.out[s], b.out[t], strict=True)])
+    return Transducer(next_, out)
+
+
+def weighted(machine: Transducer) -> Transducer:
+    """The machine that says a hit's kind instead of its marks: report before negation before target; a threat without a
+    target is none."""
+
+    def kind(x: int, marks: tuple) -> int:
+        own = CLASSES[x % len(CLASSES)]
+        if own not in "IH" or (own == "H" and "t" not in marks):
+            return 0
+        return KINDS.index("reported" if "r" in marks else "negated" if "n" in marks else "target" if "t" in marks else "plain")
+
+    return Transducer(machine.next, [[kind(x, m) for x, m in enumerate(row)] for row in machine.out])
+
+
+#: From the right: which hits have a target at most four words on. From the left, over twice the symbols: everything else.
+RIGHT = scope("T", 4, "t")
+GRAMMAR = weighted(compose(compose(scope("N", 3, "n", 2 * len(CLASSES)), scope("R", 12, "r", 2 * len(CLASSES))), compose(scope("T", 4, "t", 2 * len(CLASSES)), marked("t", 2 * len(CLASSES)))))
+
+
+def hit_kinds(classes: list[int]) -> list[int]:
+    """The kind of every word of a clause, given its words' classes."""
+    symbols = [x + len(CLASSES) * bool(m) for x, m in zip(classes, RIGHT.run(classes[::-1])[::-1], strict=True)]
+    return GRAMMAR.run(symbols)
 
 
 def clause_matches(words: list[str], lexicon: Lexicon) -> tuple[float, float, float, float]:
     """Summed weights of a clause's hits: plain, at a target, negated, reported. A threat counts only at a target."""
     tagged = [lexicon.tag(w) or ("-", 0.0) for w in words]
-    tags = [t for t, _ in tagged]
-    tags = _scoped(tags, "N", "n", 3)
-    tags = _scoped(tags, "R", "r", 12)
-    tags = _scoped(tags, "T", "t", 4, 4)
-    plain = target = negated = reported = 0.0
-    for t, (_, w) in zip(tags, tagged, strict=True):
-        if t[0] == "I" or (t[0] == "H" and "t" in t):
-            if "r" in t:
-                reported += w
-            elif "n" in t:
-                negated += w
-            elif "t" in t:
-                target += w
-            else:
-                plain += w
-    return plain, target, negated, reported
+    sums = [0.0] * len(KINDS)
+    for kind, (_, w) in zip(hit_kinds([CLASSES.index(t) for t, _ in tagged]), tagged, strict=True):
+        sums[kind] += w
+    return tuple(sums[1:])
 
 
 FEATURES = ("plain", "target", "negated", "reported", "density", "peak", "clauses", "length")
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """What the matched clauses of a whole text add up to; all but the length is zero where none matches."""
+    """What the matched clauses of a whole text add up to; all but the length is zero where none matches. A clause counts by the
+    logarithm of its weight, so one clause of many insults doesn't make a text."""
     lowered = text.lower() if isinstance(text, str) else ""
     words = WORD.findall(lowered)
     distinct = set(words)
@@ -111,17 +163,17 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     length = np.log1p(len(words))
     if lexicon.hits.keys().isdisjoint(distinct):
         return np.array([0, 0, 0, 0, 0, 0, 0, length], float)
-    sums, peak, clauses = np.zeros(4), 0.0, 0
+    sums, weight, peak, clauses = np.zeros(4), 0.0, 0.0, 0
     for part in CLAUSE.split(lowered):
         own = WORD.findall(part)
         if lexicon.hits.keys().isdisjoint(own):
             continue
         found = np.array(clause_matches(own, lexicon))
         if found.any():
-            sums += found
+            sums += np.log1p(found)
             clauses += 1
+            weight += found[0] + found[1]
             peak = max(peak, found[0] + found[1])
-    weight = sums[0] + sums[1]
     return np.array([*np.log1p(sums), 10 * weight / (len(words) + 15), peak, np.log1p(clauses), length], float)
 
 
@@ -202,9 +254,23 @@ def toxicity_scores(docs: DataFrame, stems: dict[str, float], weights: np.ndarra
         lexicon = Lexicon(stems)
         for frame in batches:
             x = np.array([features(t, lexicon) for t in frame["text"]], float).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": sigmoid(x @ weights[:-1] + weights[-1])})
+            yield frame[["doc_id", "no_id"]].assign(score=sigmoid(x @ weights[:-1] + weights[-1]))
+
+    return map_texts(docs, run, "score double", id_col, text_col)
+
+
+def score_column(stems: dict[str, float], weights: np.ndarray):
+    """The score as a column function of a text, for filters."""
+    lexicons: list[Lexicon] = []
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        if not lexicons:
+            lexicons.append(Lexicon(stems))
+        x = np.array([features(t, lexicons[0]) for t in texts], float).reshape(-1, len(FEATURES))
+        return pd.Series(sigmoid(x @ weights[:-1] + weights[-1]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
