@@ -18,8 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by chunk, and the hash of the text that they decode to."""
     path = packing.tokenizer_path("piece_bpe_32k.model")
-    out = sentencepiece_scan.round_trip(_table(spark, sf_dir, "documents"), path)
-    return out.drop("key")
+    return sentencepiece_scan.round_trip(_table(spark, sf_dir, "documents"), path)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

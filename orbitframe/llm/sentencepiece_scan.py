@@ -3,7 +3,7 @@
 A document is cut into chunks. At a cut the state is the piece that ends at it or lies across it. A chunk's transfer
 matrix holds, for each state on its left and its right, the best score of the pieces between them, or minus infinity;
 matrices combine by max-plus products, which are associative, and once the states on the best path are known every
-chunk is traced back by itself.
+chunk is traced back by itself. Products are combined in a tree over rounds, so no task holds a whole document.
 
 For a unigram model a score is the sum of the pieces' scores. A BPE model picks no maximum, but its result is the one
 sequence in which every two neighbours, joined and encoded, give themselves again; so a chunk scores zero if all
@@ -14,6 +14,7 @@ before such a space has one state; other cuts are made only where no such space
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import zlib
@@ -23,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, row_key
+from .common import prepare, row_key, staged, text_batches, with_null_ids
 
-CHUNK = 32_768
-SEARCH = 2_048
+CHUNK = 4_096
+#: How far back from its end a chunk may be cut at a blank; elsewhere the cut has several states.
+SEARCH = 8
 _MODELS: dict = {}
 
 
@@ -134,12 +136,14 @@ def between(text: str, left: tuple[int, int], right: tuple[int, int], m: Model,
 def transfer(text: str, low: int, high: int, m: Model, first: bool) -> np.ndarray:
     """The max-plus matrix of a chunk. ``text`` reaches past the cuts ``low`` and ``high`` by a piece's length."""
     left, right = states(text, low, m), states(text, high, m)
+    if len(left) == len(right) == 1 and not m.unigram:
+        return np.zeros((1, 1))
     out = np.full((len(left), len(right)), -math.inf)
     inner = [p for p in _lone_spaces(text, low + m.longest, high - m.longest) if len(left) > 1 or len(right) > 1] if m.spaces_lead else []
     if inner:
         a = np.array([_value(between(text, s, (inner[0], inner[0]), m, first), m) for s in left])
         b = np.array([_value(between(text, (inner[-1], inner[-1]), s, m, False), m) for s in right])
-        core = _value(m.inner(text[inner[0] : inner[-1]]), m)
+        core = _value(m.inner(text[inner[0] : inner[-1]]), m) if m.unigram else 0.0
         return a[:, None] + core + b[None, :]
     for i, s in enumerate(left):
         for j, e in enumerate(right):
@@ -162,40 +166,111 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def best_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every cut on the best path: prefix products forward, then one choice per cut backward."""
-    reach = [np.zeros((1, 1))]
+def best_states(matrices: list[np.ndarray], first: int = 0, last: int = 0) -> list[int]:
+    """The state at every cut on the best path from ``first`` to ``last``: prefix products forward, then one choice per cut backward."""
+    start = np.full((1, len(matrices[0])), -math.inf)
+    start[0, first] = 0
+    reach = [start]
     for t in matrices:
         reach.append(max_plus(reach[-1], t))
-    chosen = [0]
+    chosen = [last]
     for k in range(len(matrices) - 1, -1, -1):
         chosen.append(int(np.argmax(reach[k][0] + matrices[k][:, chosen[-1]])))
     return chosen[::-1]
 
 
-PIECE = "doc_id long, key long, chunk int, chunks int, text string, low int, high int"
+#: Matrices that one step of the tree combines.
+FAN = 64
+PIECE = "doc_id long, no_id boolean, key string, chunk int, chunks int, text string, low int, high int"
+IDS = "chunk int, chunks int, ids array<int>"
+DIGEST = "chunk int, chunks int, n_ids long, ids_crc32 long, n_chars long, text_md5 string"
+HEAD = "doc_id long, no_id boolean, key string, "
 
 
 def chunks(source: DataFrame, path: str, chunk: int, search: int) -> DataFrame:
-    """Rows of chunks out of ``source(doc_id, key, text)``."""
+    """Rows of chunks out of ``source(doc_id, no_id, key, text)``."""
+
     def run(batches):
         m = model(path)
         for frame in batches:
             rows = []
-            for doc, key, text in zip(frame["doc_id"], frame["key"], frame["text"], strict=True):
-                text = text if isinstance(text, str) else ""
+            for doc, none, key, text in zip(frame["doc_id"], frame["no_id"], frame["key"], frame["text"], strict=True):
                 at = cuts(text, m, chunk, search)
                 for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     begin = max(0, a - m.longest - 1)
-                    rows.append((doc, key, i, len(at) - 1, text[begin : b + m.longest + 2], a - begin, b - begin))
-            out = pd.DataFrame(rows, columns=["doc_id", "key", "chunk", "chunks", "text", "low", "high"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                    rows.append((doc, none, key, i, len(at) - 1, text[begin : b + m.longest + 2], a - begin, b - begin))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "key", "chunk", "chunks", "text", "low", "high"])
 
     return source.mapInPandas(run, PIECE)
 
 
-IDS = "doc_id long, key long, chunk int, chunks int, ids array<int>"
-DIGEST = "doc_id long, key long, chunk int, chunks int, n_ids long, ids_crc32 long, n_chars long, text_md5 string"
+MATRIX = "key string, at int, height int, matrix binary"
+
+
+def _groups(batches):
+    """Runs of rows of one (key, above), over the ends of batches."""
+    held, now = [], None
+    for frame in batches:
+        for r in frame.itertuples(index=False):
+            if (r.key, r.above) != now:
+                if held:
+                    yield now, held
+                held, now = [], (r.key, r.above)
+            if not held or held[-1].at != r.at:
+                held.append(r)
+    if held:
+        yield now, held
+
+
+def _matrices(rows: list) -> list[np.ndarray]:
+    return [np.frombuffer(r.matrix).reshape(r.height, -1) for r in rows]
+
+
+def _written(rows: list, columns: list[str], batch: int = 5000):
+    for a in range(0, len(rows), batch):
+        yield pd.DataFrame(rows[a : a + batch], columns=columns)
+
+
+def _products(batches):
+    """One matrix for each run of neighbours."""
+    out = []
+    for (key, above), rows in _groups(batches):
+        whole = functools.reduce(max_plus, _matrices(rows))
+        out.append((key, above, len(whole), whole.tobytes()))
+    yield from _written(out, ["key", "at", "height", "matrix"])
+
+
+def _descend(batches):
+    """The states between neighbours, given those at the ends of their run."""
+    out = []
+    for (key, _), rows in _groups(batches):
+        chosen = best_states(_matrices(rows), rows[0].from_state, rows[0].to_state)
+        out += [(key, r.at, a, b) for r, a, b in zip(rows, chosen[:-1], chosen[1:], strict=True)]
+    yield from _written(out, ["key", "at", "from_state", "to_state"])
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "above").sortWithinPartitions("key", "above", "at")
+
+
+def chosen_states(matrices: DataFrame, longest: int, fan: int = FAN) -> DataFrame:
+    """``matrices(key, at, height, matrix)`` -> ``(key, at, from_state, to_state)`` on each key's best path. Products of ``fan``
+    neighbours, then of ``fan`` of these, and so on up to one run a key; then down again, each run by itself. ``longest``:
+    the most matrices of a key. Repeated rows count once."""
+    above = F.floor(F.col("at") / fan).cast("int")
+    levels = [matrices.withColumn("above", above)]
+    while longest > fan:
+        longest = math.ceil(longest / fan)
+        up = staged(_together(levels[-1]).mapInPandas(_products, MATRIX), "products")
+        levels.append(up.withColumn("above", above))
+    schema = "key string, at int, from_state int, to_state int"
+    ends = levels.pop().withColumn("from_state", F.lit(0)).withColumn("to_state", F.lit(0))
+    while True:
+        states_ = _together(ends).mapInPandas(_descend, schema)
+        if not levels:
+            return states_
+        ends = levels.pop().join(states_.withColumnRenamed("at", "above"), ["key", "above"])
 
 
 def _ids(m: Model, frame: pd.DataFrame, ids: list) -> pd.DataFrame:
@@ -211,8 +286,8 @@ def _digest(m: Model, frame: pd.DataFrame, ids: list) -> pd.DataFrame:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, search: int = SEARCH) -> DataFrame:
     """``(doc_id, key, chunk, chunks, ids)``: a document's ids are those of its chunks in turn, equal to what the library gives
-    the whole text. Null and empty texts have one chunk without ids. Rows that repeat a long text are encoded once
-    per distinct (doc_id, text). A model whose normalisation changes texts is applied to whole texts."""
+    the whole text. Null and empty texts have one chunk without ids. ``key`` is the row's ``row_key``; a row that repeats another in id
+    and text gives its chunks again. A model whose normalisation changes texts is applied to whole texts."""
     return _encoded(docs, path, id_col, text_col, chunk, search, _ids, IDS)
 
 
@@ -224,28 +299,22 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int, search: int, emit, schema: str) -> DataFrame:
     prepare(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    short = F.coalesce(F.length("text"), F.lit(0)) <= chunk + search
-
-    def named(frame):
-        return frame[["doc_id", "key", "chunk", "chunks"]].assign(doc_id=frame["doc_id"].astype("Int64"))
+    number = F.col(id_col).cast("long")
+    source = docs.select(F.coalesce(number, F.lit(0).cast("long")).alias("doc_id"), number.isNull().alias("no_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    length = F.coalesce(F.length("text"), F.lit(0))
+    names = ["doc_id", "no_id", "key", "chunk", "chunks"]
 
     def plain(batches):
         m = model(path)
-        for frame in batches:
+        for frame in text_batches(batches):
             ids = m.sp.encode([t if isinstance(t, str) else "" for t in frame["text"]], num_threads=1) if len(frame) else []
-            yield emit(m, named(frame.assign(chunk=0, chunks=1)), ids)
+            yield emit(m, frame.assign(chunk=0, chunks=1)[names], ids)
 
     def matrices(batches):
         m = model(path)
         for frame in batches:
             found = [transfer(t, a, b, m, c == 0) for t, a, b, c in zip(frame["text"], frame["low"], frame["high"], frame["chunk"], strict=True)]
-            yield frame[["key", "chunk"]].assign(rows=[len(t) for t in found], matrix=[t.tobytes() for t in found])
-
-    def choose(frame):
-        frame = frame.drop_duplicates("chunk").sort_values("chunk")
-        path_states = best_states([np.frombuffer(b).reshape(n, -1) for n, b in zip(frame["rows"], frame["matrix"], strict=True)])
-        return pd.DataFrame({"key": frame["key"], "chunk": frame["chunk"], "from_state": path_states[:-1], "to_state": path_states[1:]})
+            yield pd.DataFrame({"key": frame["key"], "at": frame["chunk"], "height": [len(t) for t in found], "matrix": [t.tobytes() for t in found]})
 
     def trace(batches):
         m = model(path)
@@ -253,16 +322,18 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int,
             ids = []
             for t, a, b, c, i, j in zip(frame["text"], frame["low"], frame["high"], frame["chunk"], frame["from_state"], frame["to_state"], strict=True):
                 ids.append(between(t, states(t, a, m)[i], states(t, b, m)[j], m, c == 0) if m.cuttable else m.sp.encode(t))
-            yield emit(m, named(frame), ids)
+            yield emit(m, frame[names], ids)
 
-    large = chunks(source.filter(~short), path, chunk, search).dropDuplicates(["key", "chunk"])
-    chosen = large.mapInPandas(matrices, "key long, chunk int, rows int, matrix binary").groupBy("key").applyInPandas(choose, "key long, chunk int, from_state int, to_state int")
-    traced = large.join(chosen, ["key", "chunk"]).mapInPandas(trace, schema)
-    # Equal rows are traced once and returned as often as they occur.
-    copies = source.filter(~short).groupBy("key").count()
-    names = traced.columns
-    traced = traced.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).select(*names)
-    return source.filter(short).mapInPandas(plain, schema).unionByName(traced)
+    short = source.filter(length <= chunk + search).mapInPandas(plain, HEAD + schema)
+    longest = docs.agg(F.max(F.length(text_col))).first()[0] or 0
+    if longest <= chunk + search:
+        return with_null_ids(short)
+    # The text of a cut reaches ``search`` back at most, so chunks are no shorter than this.
+    most = math.ceil(longest / max(1, chunk - search))
+    large = chunks(source.filter(length > chunk + search), path, chunk, search)
+    chosen = chosen_states(large.mapInPandas(matrices, MATRIX), most)
+    traced = large.join(chosen.withColumnRenamed("at", "chunk"), ["key", "chunk"]).mapInPandas(trace, HEAD + schema)
+    return with_null_ids(short.unionByName(traced))
 
 
 def decode_chunks(encoded: DataFrame, path: str) -> DataFrame:
@@ -271,7 +342,7 @@ def decode_chunks(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         m = model(path)
         for frame in batches:
-            text = [m.joined([int(x) for x in ids], c == 0) for ids, c in zip(frame["ids"], frame["chunk"], strict=True)]
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), text=text)
+            yield frame.assign(text=[m.joined([int(x) for x in ids], c == 0) for ids, c in zip(frame["ids"], frame["chunk"], strict=True)])
 
-    return encoded.select("doc_id", "key", "chunk", "chunks", "ids").mapInPandas(run, IDS + ", text string")
+    number = encoded.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    return with_null_ids(number.select("doc_id", "no_id", "key", "chunk", "chunks", "ids").mapInPandas(run, HEAD + IDS + ", text string"))

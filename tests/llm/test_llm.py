@@ -323,6 +323,26 @@ def test_grammar_scopes():
     assert kinds("i will kill you") == [0, 1, 0, 0]
 
 
+def brute_kind(classes, i):
+    """A hit's kind by the distances to what stands around it."""
+    own = classes[i]
+
+    def near(opener, before, after=0):
+        return any(classes[j] == opener for j in range(max(0, i - before), min(len(classes), i + after + 1)))
+
+    if own not in "IH" or (own == "H" and not near("T", 4, 4)):
+        return "none"
+    return "reported" if near("R", 12) else "negated" if near("N", 3) else "target" if near("T", 4, 4) else "plain"
+
+
+def test_composed_grammar_against_distances():
+    draw = np.random.default_rng(7)
+    for _ in range(2000):
+        classes = draw.choice(list(toxicity.CLASSES), draw.integers(0, 30), p=[0.6, 0.12, 0.08, 0.08, 0.06, 0.06]).tolist()
+        got = toxicity.hit_kinds([toxicity.CLASSES.index(c) for c in classes])
+        assert [toxicity.KINDS[k] for k in got] == [brute_kind(classes, i) for i in range(len(classes))]
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -558,6 +578,31 @@ def test_long_rows_that_repeat_are_all_encoded(spark, pieces):
     assert first == {1: 3, 2: 1, None: 2} and out.count() == sum(r.chunks for r in out.filter("chunk = 0").collect())
 
 
+def test_states_by_a_tree(spark):
+    """Products in a tree choose the path that one pass over all matrices chooses; only one is best."""
+    draw = np.random.default_rng(11)
+    rows, want = [], {}
+    for key, n in (("a", 1), ("b", 7), ("c", 40)):
+        sizes = [1, *draw.integers(1, 5, n - 1).tolist(), 1]
+        own = [draw.normal(size=s) for s in zip(sizes[:-1], sizes[1:], strict=True)]
+        states = sentencepiece_scan.best_states(own)
+        want |= {(key, i): (states[i], states[i + 1]) for i in range(n)}
+        rows += [(key, i, len(t), bytearray(t.tobytes())) for i, t in enumerate(own)] * 2
+    df = spark.createDataFrame(rows, sentencepiece_scan.MATRIX)
+    for fan in (64, 3):
+        assert {(r.key, r.at): (r.from_state, r.to_state) for r in sentencepiece_scan.chosen_states(df, 40, fan).collect()} == want
+
+
+def test_giant_texts_without_blanks(spark, pieces):
+    m = sentencepiece_scan.model(pieces)
+    rows = [(2**53 + 1, "ab" * 3000), (None, "thequickbrownfox" * 500), (3, "漢字" * 2000), (4, "x y " * 2000)]
+    encoded = sentencepiece_scan.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), pieces, chunk=50, search=0)
+    by = collections.defaultdict(dict)
+    for r in encoded.collect():
+        by[r.doc_id][r.chunk] = list(r.ids)
+    assert {d: sum((c[i] for i in sorted(c)), []) for d, c in by.items()} == {d: m.sp.encode(t) for d, t in rows}
+
+
 def test_max_plus_is_associative():
     draw = np.random.default_rng(8)
     a, b, c = draw.normal(size=(3, 4)), draw.normal(size=(4, 2)), draw.normal(size=(2, 5))
