@@ -19,37 +19,37 @@ SEQUENCE = 2048
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``row``, by which the rows of one id are told apart."""
-    return docs.withColumn("row", row_key(F.col("doc_id").cast("long"), "text"))
+    return docs.withColumn("row", row_key("doc_id", "text"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the toxicity grammar rejects. Rows that repeat an id are judged apart."""
+    """Drop the documents that the toxicity grammar rejects. Every row is judged by itself, without a join."""
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    stems, weights = toxicity.fit_toxicity(docs, labels)
-    scores = toxicity.toxicity_scores(_keyed(docs).filter("doc_id IS NOT NULL"), stems, weights, id_col="row")
-    toxic = scores.filter(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("row")).distinct()
-    return _keyed(docs).join(toxic, "row", "left_anti").select(*docs.columns)
+    fitted = toxicity.fit_toxicity(docs, labels)
+    score = toxicity.score_column(*fitted)
+    return docs.filter(F.col("doc_id").isNull() | (score("text") < TOXIC_FROM))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near duplicates, of the smallest doc_id: five-word shingles, similarity 0.8. Of rows
     that repeat an id, others stay if they aren't near duplicates; of rows of one id and text one stays."""
     groups = simhash.near_duplicates(docs, shingle=5, similarity=NEAR_SIMILARITY)
-    first = groups.filter("doc_id = component_id AND key = component_key").groupBy("doc_id", F.col("key").alias("row")).count()
-    kept = _keyed(docs).join(staged(first, "first"), ["doc_id", "row"])
-    again = kept.filter("count > 1").groupBy("doc_id", "row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return kept.filter("count = 1").select(*docs.columns).unionByName(again).unionByName(docs.filter("doc_id IS NULL"))
+    # Rows that go, not rows that stay: most stay, so the table that texts are joined to is the small one.
+    counts = staged(groups.filter("doc_id IS NOT NULL").groupBy("doc_id", F.col("key").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("doc_id = component_id AND key = component_key")).alias("first")).filter("n > 1 OR NOT first"), "copies")
+    rows = _keyed(docs).join(counts, ["doc_id", "row"], "left")
+    again = rows.filter("first").groupBy("doc_id", "row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return rows.filter("n IS NULL").select(*docs.columns).unionByName(again)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of fifty words or more that a document of a smaller id has; drop documents of which nothing is left."""
-    cut = substring.substring_dedup(docs, window=PASSAGE_WORDS, layout=True).filter("n_removed > 0").withColumnRenamed("key", "row")
-    cut = cut.groupBy("doc_id", "row").agg(F.min_by(F.struct("kept", "n_words", "n_removed"), "kept").alias("cut"))
-    joined = _keyed(docs).join(cut, ["doc_id", "row"], "left").filter("cut IS NULL OR cut.n_removed < cut.n_words")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("cut.kept"))
-    joined = joined.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut.kept").cast("long")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marked = docs.withColumn("_null", F.col("text").isNull())
+    cut = substring.substring_dedup(marked, window=PASSAGE_WORDS, layout=True, carry=(*others, "_null")).filter("n_removed = 0 OR n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") == 0, F.col("carry.n_chars")).otherwise(F.length("kept").cast("long"))
+    columns = {c: F.col(f"carry.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carry._null"), F.col("kept"))} | ({"n_chars": n_chars} if "n_chars" in others else {})
+    return cut.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
