@@ -27,6 +27,8 @@ COUNTS = 256
 SALTED = 500
 #: Fingerprint columns of a set, tries they are walked in, and bits of a shingle's hash that sets meet on.
 PRINTS, TABLES, HASH_BITS = ("f0", "f1", "f2", "f3"), 12, 48
+#: Sets that a task remembers to have sent.
+SEEN = 1_000_000
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -324,16 +326,25 @@ def _counts(own: np.ndarray) -> bytes:
 
 def _prefixes(shingle: int, similarity: float, common: np.ndarray, parts: int):
     """``common``: hashes by rising frequency. All sets are ordered by (place in ``common``, hash), others first; the first hashes
-    of the sets of a batch are packed by part of the hash range, with each set's node and size and each hash's place."""
+    of the sets of a batch are packed by part of the hash range, with each set's node and size and each hash's place. A task
+    sends a set once, as far as it remembers."""
     place = np.argsort(common)
     known = common[place]
 
     def run(batches):
+        seen: set[int] = set()
         for frame in text_batches(batches):
-            first, size = [], []
+            if len(seen) > SEEN:
+                seen.clear()
+            first, size, node = [], [], []
             for text in frame["text"]:
                 own = np.unique(shingle_hashes(text, shingle))
                 n = len(own)
+                name = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+                if name in seen:
+                    continue
+                seen.add(name)
+                node.append(name)
                 rank = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -351,7 +362,7 @@ def _prefixes(shingle: int, similarity: float, common: np.ndarray, parts: int):
             rows = []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 used, nth = np.unique(owner[a:b], return_inverse=True)
-                head = frame["node"].to_numpy(np.int64)[used].tobytes() + np.array(size, np.int64)[used].tobytes()
+                head = np.array(node, np.uint64)[used].tobytes() + np.array(size, np.int64)[used].tobytes()
                 rows.append((int(part[a]), len(used), int(b - a), zlib.compress(head + planes(h[a:b]) + nth.astype(np.uint32).tobytes() + pos[a:b].astype(np.uint32).tobytes(), 1)))
             yield pd.DataFrame(rows, columns=["part", "nodes", "n", "data"])
 
@@ -370,8 +381,10 @@ def _met(frame: pd.DataFrame) -> pd.DataFrame:
         size.append(sizes[nth])
         pos.append(own)
     h, node, size, pos = (np.concatenate(x) for x in (h, node, size, pos))
-    order = np.argsort(h, kind="stable")
+    order = np.lexsort([node, h])
     h, node, size, pos = h[order], node[order], size[order], pos[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])]) if len(h) else np.zeros(0, bool)
+    h, node, size, pos = h[new], node[new], size[new], pos[new]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
     several = same[1:] | same[:-1]
@@ -384,7 +397,24 @@ def _possible(a: str, b: str, similarity: float):
     return F.expr(f"{sizes} AND least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {similarity / (1 + similarity)} * ({a}.n + {b}.n) - 1e-6")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """``wanted(node, key)`` with the text of each: ``(node, text)``. A table of 2 ** 20 bits of the wanted keys' hashes keeps
+    most of the other texts out of the shuffle as long as a small part is wanted; the join decides."""
+    size = 1 << 20
+    place = F.pmod(F.xxhash64("key"), F.lit(size))
+    bits = np.zeros(size, bool)
+    bits[wanted.select(place.alias("place")).distinct().toPandas()["place"].to_numpy(np.int64)] = True
+    packed = np.packbits(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.int64)
+        return pd.Series((packed[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return texts.filter(maybe(place)).join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets have the similarity, as links ``(u, v)``. Pairs that the bins' counts rule out
     go first. A text of many pairs is sent in copies, so that no task gets them all."""
 
@@ -414,7 +444,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float
     left, right = sizes.toDF("a", "n", "x"), sizes.toDF("b", "m", "y")
     open_pairs = staged(pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"), "pairs")
     many = staged(open_pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / SALTED).alias("copies")), "many")
-    texts = nodes.select("node", "text")
+    wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    texts = staged(_texts_of(staged(wanted, "wanted"), texts), "texts")
     right = many.join(texts.toDF("b", "y"), "b").select("b", "y", F.explode(F.sequence(F.lit(0).cast("long"), "copies")).alias("copy"))
     left = open_pairs.join(many, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies") + 1)).drop("copies").join(texts.toDF("a", "x"), "a")
     return staged(left.join(right, ["b", "copy"]).mapInPandas(verified, "u long, v long"), "links")
@@ -440,8 +471,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = found.filter("node IS NULL").groupBy("hash").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hash").limit(COMMON)
     common = np.array([r.hash for r in often.collect()][::-1], np.int64).view(np.uint64)
     of_node = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "counts", *PRINTS)])
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    nodes = staged(of_node.join(texts, "key").drop("key"), "nodes")
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    nodes = staged(of_node, "nodes")
     count, entries = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
 
     # Fingerprints: sampled bits of the fingerprint are the tries' leading ones, so that a trie has few nodes.
@@ -453,19 +484,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = nodes.filter("n > 0").select("node", *PRINTS)
     dealt = _keyed(prints, list(PRINTS), keys).repartition(slots, "slot", "key").sortWithinPartitions("slot", "key")
     pairs = dealt.mapInPandas(_links(list(PRINTS), budget), "u long, v long").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-    links = _similar(pairs, nodes, shingle, similarity)
+    links = _similar(pairs, nodes, texts, shingle, similarity)
     roots = staged(connected_components(links), "roots")
 
     # The exact join.
     parts = max(slots, math.ceil((entries or 0) * (1 - similarity) / 2_000_000))
-    packed = nodes.select("node", "text").mapInPandas(_prefixes(shingle, similarity, common, parts), "part long, nodes long, n long, data binary")
+    packed = texts.select("text").mapInPandas(_prefixes(shingle, similarity, common, parts), "part long, nodes long, n long, data binary")
     met = staged(packed.groupBy("part").applyInPandas(_met, "hash long, node long, n long, pos long"), "met")
     now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("hash", F.struct("node", "n", "pos", "root").alias("a"))
     parted = now.groupBy("hash").agg(F.min("a.root").alias("x"), F.max("a.root").alias("y")).filter("x < y").select("hash")
     now = staged(now.join(parted, "hash", "left_semi"), "mixed")
     both = now.join(now.select("hash", F.col("a").alias("b")), "hash").filter(F.expr("a.root != b.root AND a.node < b.node") & _possible("a", "b", similarity))
     pairs = both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    roots = connected_components(links.unionByName(_similar(pairs, nodes, shingle, similarity)))
+    roots = connected_components(links.unionByName(_similar(pairs, nodes, texts, shingle, similarity)))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first")
     lowest = rows.groupBy("node").agg(first).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = lowest.join(lowest.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("node", "lowest")
