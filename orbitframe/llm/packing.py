@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, prepare, staged, text_batches, with_null_ids
@@ -97,16 +97,18 @@ class Ids:
             if all(c in letters for c in word):
                 texts.append(bytes(letters[c] for c in word).decode("utf-8", "ignore"))
         texts = [t for t in texts if self.ranked(t)]
-        return all(self.ranks.encode_ordinary(t) == e.ids for t, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
+        parts = (texts[i : i + 2000] for i in range(0, len(texts), 2000))
+        return all(self.ranks.encode_ordinary(t) == e.ids for p in parts for t, e in zip(p, self.tokenizer.encode_batch(p, add_special_tokens=False), strict=True))
 
 
 _PROVEN: dict[str, bool] = {}
 
 
-def proven(path: str) -> bool:
-    """Whether the rank encoder of a file gives the tokenizer's ids; found out once, on the driver."""
+def proven(spark: SparkSession, path: str) -> bool:
+    """Whether the rank encoder of a file gives the tokenizer's ids; found out once, by a task."""
     if path not in _PROVEN:
-        _PROVEN[path] = Ids(path).agrees()
+        task = spark.range(0, 1, 1, 1).mapInPandas(lambda rows: (pd.DataFrame({"ok": [Ids(path).agrees()] * len(r)}) for r in rows), "ok boolean")
+        _PROVEN[path] = task.first()[0]
     return _PROVEN[path]
 
 
@@ -118,7 +120,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """``(doc_id, start, length, ids_crc32, doc_tokens, ids)``: each document's ids and ``end_id``, cut every ``length``. Without
     ``with_ids`` the ids stay in their task."""
     names = ["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-    by_ranks = proven(tokenizer)
+    by_ranks = proven(docs.sparkSession, tokenizer)
 
     def run(batches):
         cache = Ids(tokenizer, by_ranks)
