@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 # Band composites (numbered from 1), value ranges, and band means and deviations of the low-resolution sensor.
 COMPOSITES = {"true_color": [4, 3, 2], "false_color": [8, 4, 3], "swir": [12, 8, 4], "agriculture": [11, 8, 2], "geology": [12, 11, 2], "bathimetric": [4, 3, 1]}
 DEPTH = {8: 255.0, 12: 10000.0}
@@ -50,15 +52,15 @@ def split_from_list(df: DataFrame, listed: DataFrame) -> DataFrame:
 
 def shuffle_scenes(df: DataFrame, seed: int = 42) -> DataFrame:
     """``(aoi, position)``: a random order of the areas, numbered from 0."""
-    aois = df.select("aoi").distinct()
-    return aois.withColumn("position", F.row_number().over(Window.orderBy(digest(seed, "aoi"), "aoi")) - 1)
+    aois = df.select("aoi").distinct().withColumn("_digest", digest(seed, "aoi"))
+    return numbered(aois, "position", "_digest", "aoi").select("aoi", (F.col("position") - 1).cast("int").alias("position"))
 
 
 def split_scenes(df: DataFrame, train: float | int = 0.8, val: float | int = 0.1, test: float | int = 0.1, seed: int = 42) -> DataFrame:
     """Add ``split``. Shares are truncated to whole scenes and taken in turn after the shuffle; the rest is dropped. All rows
-    of a scene share its split. Only the areas' ids are numbered in one place."""
+    of a scene share its split."""
     order = shuffle_scenes(df, seed)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
+    n = F.lit(order.count())
 
     def size(x):
         return F.lit(x) if isinstance(x, int) else F.floor(n * x + 1e-9)
@@ -71,13 +73,15 @@ def split_scenes(df: DataFrame, train: float | int = 0.8, val: float | int = 0.1
     return df.join(named.filter("split IS NOT NULL").select("aoi", "split"), "aoi")
 
 
-def subset_train(df: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """The first ``share`` of the training scenes in the shuffled order; other splits stay."""
+def subset_train(df: DataFrame, share: float, seed: int = 42, item: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``share`` of the training items, by scene in the shuffled order and then by ``item``, the columns that name a chip
+    within its scene; without these a scene is one item. Other splits stay."""
     if share >= 1:
         return df
-    order = shuffle_scenes(df.filter("split = 'train'"), seed).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    kept = order.filter(F.col("position") < F.floor(F.col("_n") * share)).select("aoi")
-    return df.filter("split != 'train'").unionByName(df.filter("split = 'train'").join(kept, "aoi", "left_semi"))
+    items = df.filter("split = 'train'").select("aoi", *item).distinct().withColumn("_digest", digest(seed, "aoi"))
+    order = numbered(items, "_at", "_digest", "aoi", *item)
+    kept = order.filter(F.col("_at") <= F.floor(F.lit(items.count()) * share)).select("aoi", *item)
+    return df.filter("split != 'train'").unionByName(df.filter("split = 'train'").join(kept, ["aoi", *item], "left_semi"))
 
 
 def select_bands(df: DataFrame, composite: str | list[int] = "true_color") -> DataFrame:

@@ -91,6 +91,13 @@ def baseline_compare(model: DataFrame, baseline: DataFrame, keys: list[str]) ->
     return model.join(other, keys).withColumn("PSNR_ratio", F.col("baseline_PSNR") / F.col("PSNR"))
 
 
+def full_metric_log(paired: DataFrame, baseline: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """One row per item: MSE, MAE, SSIM_loss, TV, PSNR and, from pairs of a baseline's images keyed ``by``, baseline_MSE and
+    baseline_PSNR."""
+    other = metric_log(baseline, by).select(*by, F.col("MSE").alias("baseline_MSE"), F.col("PSNR").alias("baseline_PSNR"))
+    return metric_log(paired, keys).join(ssim(paired, keys), keys).join(other, by)
+
+
 def weighted_loss(log: DataFrame, mse: float = 1.0, mae: float = 0.0, ssim_weight: float = 0.0, tv: float = 0.0) -> DataFrame:
     """Add ``loss``; the weights of MSE, MAE and SSIM must sum to 1."""
     if abs(mse + mae + ssim_weight - 1) > 1e-9:

@@ -14,9 +14,11 @@ def raster_blocks(cells: DataFrame, size: int = 256) -> DataFrame:
         (F.pmod("row", F.lit(size)) * size + F.pmod("col", F.lit(size))).cast("int").alias("at"), F.col("value").cast("int").alias("value"),
     )
     one = at.groupBy("block_row", "block_col", "at").agg(F.min("value").alias("value"))
-    held = one.groupBy("block_row", "block_col").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
-    byte = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("long")), 2, "0"))
-    return held.select("block_row", "block_col", F.unhex(F.array_join(byte, "")).alias("cells"))
+    held = one.groupBy("block_row", "block_col").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("m"))
+    # Every cell brings the empty ones between it and the one before.
+    byte = F.transform("m", lambda c, i: F.concat(F.repeat(F.lit("00"), (c["at"] - F.coalesce(F.get("m", i - 1)["at"], F.lit(-1)) - 1).cast("int")), F.lpad(F.hex(c["value"].cast("long")), 2, "0")))
+    rest = F.repeat(F.lit("00"), (F.lit(size * size - 1) - F.element_at("m", -1)["at"]).cast("int"))
+    return held.select("block_row", "block_col", F.unhex(F.concat(F.array_join(byte, ""), rest)).alias("cells"))
 
 
 def cell_of(x: Column, y: Column, affine: tuple[float, float, float, float], rounding: str = "ceil") -> tuple[Column, Column]:

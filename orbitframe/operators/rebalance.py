@@ -53,13 +53,14 @@ def stratified_sample(points: DataFrame, allocated: DataFrame, cls: str, seed: i
 
 def sample_with_top_up(draw, allocated: DataFrame, cls: str, n: int, seed: int = 42, rounds: int = 5) -> DataFrame:
     """A stratified sample from ``draw(n)``, a growing table of stratified points, drawn again with twice as many while a
-    class is short, ``rounds`` times at most."""
+    class is short; after ``rounds`` draws RuntimeError names the classes that still are."""
     for k in range(rounds):
         points = draw(n << k)
         sample = stratified_sample(points, allocated, cls, seed)
-        if k == rounds - 1 or shortages(points, allocated, cls).isEmpty():
+        short = [r[0] for r in shortages(points, allocated, cls).select(cls).collect()]
+        if not short:
             return sample
-    raise AssertionError
+    raise RuntimeError(f"too few points of {', '.join(map(str, short))} after {rounds} draws")
 
 
 def shortages(points: DataFrame, allocated: DataFrame, cls: str) -> DataFrame:

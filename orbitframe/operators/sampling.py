@@ -27,15 +27,16 @@ def sample_sphere(spark: SparkSession, n: int, seed: int = 42, start: int = 0) -
     return ids.select("point_id", lon.alias("lon"), lat.alias("lat"))
 
 
-def sample_land(spark: SparkSession, n: int, on_land, seed: int = 42, land_share: float = 0.25, rounds: int = 5) -> DataFrame:
+def sample_land(spark: SparkSession, n: int, on_land, seed: int = 42, land_share: float = 0.25, rounds: int = 12) -> DataFrame:
     """The first ``n`` points of the sequence of ``sample_sphere`` that ``on_land`` (DataFrame -> DataFrame) keeps: uniform on
-    land. Draws about ``n / land_share`` points at once and again as many where that falls short, ``rounds`` times at most."""
+    land, exactly ``n``. Draws about ``n / land_share`` points and, where that falls short, twice as many; after ``rounds`` draws
+    RuntimeError says that the land is smaller than that."""
     step = max(16, math.ceil(n / land_share))
     for k in range(1, rounds + 1):
-        kept = on_land(sample_sphere(spark, k * step, seed))
-        if k == rounds or kept.count() >= n:
+        kept = on_land(sample_sphere(spark, step << (k - 1), seed))
+        if kept.count() >= n:
             return kept.orderBy("point_id").limit(n)
-    raise AssertionError
+    raise RuntimeError(f"fewer than {n} points on land among {step << (rounds - 1)}")
 
 
 def aoi_bounds(points: DataFrame, area_sqkm: float = 2.5) -> DataFrame:

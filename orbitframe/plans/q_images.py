@@ -67,9 +67,9 @@ def i06(s, d):
     return images.split_scenes(A.chip(s, d)).select("aoi", "revisit", "split")
 
 
-@query("i07_subset_train", "pixel", SPLIT + ", tr AS (SELECT aoi, row_number() OVER (ORDER BY md5('42-' || aoi), aoi) - 1 AS p, count(*) OVER () AS m FROM sp WHERE split = 'train') SELECT DISTINCT aoi, split FROM pixel JOIN sp USING (aoi) LEFT JOIN tr USING (aoi) WHERE split IN ('val', 'test') OR p < floor(m * 0.5)")
+@query("i07_subset_train", "pixel", SPLIT + ", it AS (SELECT DISTINCT aoi, revisit, split FROM pixel JOIN sp USING (aoi)), tr AS (SELECT aoi, revisit, row_number() OVER (ORDER BY md5('42-' || aoi), aoi, revisit) - 1 AS p, count(*) OVER () AS m FROM it WHERE split = 'train') SELECT aoi, revisit::INTEGER AS revisit, split FROM it LEFT JOIN tr USING (aoi, revisit) WHERE split IN ('val', 'test') OR p < floor(m * 0.5)")
 def i07(s, d):
-    return images.subset_train(images.split_scenes(A.chip(s, d)), 0.5).select("aoi", "split").distinct()
+    return images.subset_train(images.split_scenes(A.chip(s, d)), 0.5, item=("revisit",)).select("aoi", "revisit", "split")
 
 
 def banded(s, d):
@@ -304,7 +304,18 @@ _register("m03_psnr", "PSNR", 6)
 _register("m04_tv", "TV", 10)
 
 
-@query("m05_ssim_loss")
+def _gauss(size: int = 5, sigma: float = 1.5) -> str:
+    """A table of the window's weights by offset."""
+    return f"gk AS (SELECT i, exp(-i * i / {2 * sigma * sigma!r}::DOUBLE) / sum(exp(-i * i / {2 * sigma * sigma!r}::DOUBLE)) OVER () AS w FROM range({-(size // 2)}, {size // 2 + 1}) r(i))"
+
+
+#: Windows reach over an image's edge by reflection, without repeating the edge.
+SSIM = f"""{_gauss()}, rf AS (SELECT c, a.i AS i, a.w AS w, CASE WHEN c + a.i < 0 THEN -(c + a.i) WHEN c + a.i > 7 THEN 14 - (c + a.i) ELSE c + a.i END AS f FROM range(0, 8) r(c), gk a),
+ bl AS (SELECT q.aoi, q.revisit, y.c AS y, x.c AS x, sum(y.w * x.w * p) AS mp, sum(y.w * x.w * t) AS mt, sum(y.w * x.w * p * p) AS pp, sum(y.w * x.w * t * t) AS tt, sum(y.w * x.w * p * t) AS pt FROM pr q JOIN rf y ON y.f = q.y JOIN rf x ON x.f = q.x GROUP BY ALL),
+ ss AS (SELECT aoi, revisit, avg(least(greatest((1 - (2 * mp * mt + 0.0001::DOUBLE) * (2 * (pt - mp * mt) + 0.0009::DOUBLE) / ((mp * mp + mt * mt + 0.0001::DOUBLE) * (pp - mp * mp + tt - mt * mt + 0.0009::DOUBLE) + 1e-12::DOUBLE)) / 2, 0), 1)) AS ssim FROM bl GROUP BY aoi, revisit)"""
+
+
+@query("m05_ssim_loss", "pixel", f"{SCALED}, {SSIM} SELECT aoi, revisit::INTEGER AS revisit, round(ssim, 6) AS value FROM ss")
 def m05(s, d):
     return metrics.ssim(paired(s, d), KEYS).select(*KEYS, F.round("SSIM_loss", 6).alias("value"))
 
@@ -332,9 +343,13 @@ def m09(s, d):
     return metrics.weighted_loss(log(s, d), 0.7, 0.3, tv=0.1).select(*KEYS, F.round("loss", 6).alias("loss"))
 
 
-@query("m10_metric_log", "pixel", LOG + " SELECT aoi, revisit::INTEGER AS revisit, round(mse, 6) AS MSE, round(mae, 10) AS MAE, round(tv, 10) AS TV, round(psnr, 5) AS PSNR FROM lg")
+#: The second revisit stands in for the baseline's image of every area.
+@query("m10_metric_log", "pixel", f"{LOG}, {SSIM} SELECT aoi, a.revisit::INTEGER AS revisit, round(a.mse, 6) AS MSE, round(a.mae, 10) AS MAE, round(ssim, 6) AS SSIM_loss, round(a.tv, 10) AS TV, round(a.psnr, 5) AS PSNR, round(b.mse, 6) AS baseline_MSE, round(b.psnr, 5) AS baseline_PSNR FROM lg a JOIN ss USING (aoi, revisit) JOIN (SELECT * FROM lg WHERE revisit = 2) b USING (aoi)")
 def m10(s, d):
-    return log(s, d).select(*KEYS, F.round("MSE", 6).alias("MSE"), *[F.round(c, 10).alias(c) for c in ("MAE", "TV")], F.round("PSNR", 5).alias("PSNR"))
+    p = paired(s, d)
+    out = metrics.full_metric_log(p, p.filter("revisit = 2").drop("revisit"), KEYS, ["aoi"])
+    six = [F.round(c, 6).alias(c) for c in ("MSE", "SSIM_loss", "baseline_MSE")]
+    return out.select(*KEYS, *six, *[F.round(c, 10).alias(c) for c in ("MAE", "TV")], *[F.round(c, 5).alias(c) for c in ("PSNR", "baseline_PSNR")])
 
 
 @query("m11_metric_summary", "pixel split_list", LOG + " SELECT split, revisit::INTEGER AS revisit, round(avg(mse), 6) AS MSE, round(avg(mae), 6) AS MAE, count(*) AS n FROM lg JOIN split_list USING (aoi) GROUP BY ROLLUP (split, revisit)")

@@ -139,7 +139,7 @@ def c14(s, d):
     return rebalance.sampled_distribution(rebalance.stratified_sample(A.point(s, d), a, "IPCC"), a, "IPCC")
 
 
-@query("g02_sample_land", "raster_cell", f"""{BLOCKED}, u AS (SELECT i AS point_id, 360 * (('0x' || substr(md5('42-' || i), 1, 8))::BIGINT / 4294967296 - 0.5) AS lon, degrees(acos(1 - 2 * (('0x' || substr(md5('43-' || i), 1, 8))::BIGINT / 4294967296))) - 90 AS lat FROM range(0, 4000) t(i)),
+@query("g02_sample_land", "raster_cell", f"""{BLOCKED}, u AS (SELECT i AS point_id, 360 * (('0x' || substr(md5('42-' || i), 1, 8))::BIGINT / 4294967296 - 0.5) AS lon, degrees(acos(1 - 2 * (('0x' || substr(md5('43-' || i), 1, 8))::BIGINT / 4294967296))) - 90 AS lat FROM range(0, 1638400) t(i)),
  placed AS (SELECT point_id, lon, lat, {_cell('lon', 'lat')} FROM u) SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM placed JOIN cell ON row = r AND col = c WHERE value NOT IN (0, 210) ORDER BY point_id LIMIT 200""")
 def g02(s, d):
     mask = blocks(s, d)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..schemas import NAME_KEYS
 
 
@@ -51,7 +52,8 @@ def normalise_poi(df: DataFrame, name_prefix: str | None = None, order_by: str |
     """Points with ``lon``, ``lat`` and ``name``.
 
     Coordinates come from lon/lat, longitude/latitude, or a WKT ``geometry``. With ``name_prefix`` names are PREFIX-1,
-    PREFIX-2, ... in the order of ``order_by`` (the first column if none is given). Otherwise one of the name keys must be there; the
+    PREFIX-2, ... in the order of ``order_by`` (the first column if none is given), rows that are equal there by a hash of all
+    columns. Otherwise one of the name keys must be there; the
     first of poi_id, poi_name, id, name serves."""
     if {"lon", "lat"} <= set(df.columns):
         out = df
@@ -63,8 +65,7 @@ def normalise_poi(df: DataFrame, name_prefix: str | None = None, order_by: str |
     else:
         raise ValueError("no coordinates: lon/lat, longitude/latitude or geometry")
     if name_prefix is not None:
-        number = F.row_number().over(Window.orderBy(order_by or df.columns[0]))
-        return out.withColumn("name", F.concat_ws("-", F.lit(name_prefix), number))
+        return numbered(out, "name", order_by or out.columns[0]).withColumn("name", F.concat_ws("-", F.lit(name_prefix), F.col("name")))
     key = next((k for k in NAME_KEYS if k in out.columns), None)
     if key is None:
         raise ValueError(f"no name column: one of {', '.join(NAME_KEYS)}")
