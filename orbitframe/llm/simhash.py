@@ -19,10 +19,11 @@ from .substring import _planes as planes
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
-#: Shingles that a task counts at once, how often a common one occurs among them, and how many common ones are ordered.
-COUNTED, COMMON_FROM, COMMON = 2_000_000, 8, 65_536
-#: Bytes of the counts that bound the overlap of two sets.
-COUNTS = 256
+#: Shingles of different sets that a task counts at once, how often a common one occurs among them, and how many common ones are ordered.
+COUNTED, COMMON_FROM, COMMON = 2_000_000, 4, 131_072
+#: Bins of a set's hashes. The bins that hold an odd number bound the difference of two sets, in four numbers; sets of more than
+#: COUNTED_FROM shingles, for which these say little, have the bins' counts as well.
+COUNTS, PARITY, COUNTED_FROM = 256, ("b0", "b1", "b2", "b3"), 100
 #: Pairs that share one copy of a text.
 SALTED = 500
 #: Fingerprint columns of a set, tries they are walked in, and bits of a shingle's hash that sets meet on.
@@ -290,38 +291,43 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _sets(shingle: int):
-    """Document rows with their shingle set's hash, size and fingerprint and, with a null node, how often common shingles occur."""
-    columns = ["doc_id", "no_id", "key", "node", "n", "counts", *PRINTS, "hash", "times"]
+    """Document rows with their shingle set's hash, size, bins and fingerprint and, with a null node, how often common shingles occur."""
+    columns = ["doc_id", "no_id", "key", "node", "n", "counts", *PARITY, *PRINTS, "hash", "times"]
 
     def common(held):
-        h, times = np.unique(np.concatenate(held), return_counts=True)
+        h, times = np.unique(np.concatenate(list(held.values())), return_counts=True)
         often = times >= COMMON_FROM
         own = pd.DataFrame({"hash": h[often].view(np.int64), "times": times[often], "doc_id": 0, "no_id": True})
-        return own.reindex(columns=columns).astype({"key": object, "node": "Int64", "n": "Int64", "counts": object} | dict.fromkeys(PRINTS, "Int64"))
+        return own.reindex(columns=columns).astype({"key": object, "node": "Int64", "n": "Int64", "counts": object} | dict.fromkeys((*PARITY, *PRINTS), "Int64"))
 
     def run(batches):
-        held, total = [], 0
+        held, total = {}, 0
         for frame in text_batches(batches):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             bits = np.array([set_bits(s, len(PRINTS)) for s in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
-            out = frame[["doc_id", "no_id", "key"]].assign(node=node, n=[len(s) for s in sets], counts=[_counts(s) for s in sets], **{c: bits[:, i] for i, c in enumerate(PRINTS)}, hash=None, times=None)
+            bins = [_bins(s) for s in sets]
+            odd = np.array([np.packbits(b & 1).view(np.int64) for b in bins], np.int64).reshape(-1, len(PARITY))
+            many = [b.astype(np.uint8).tobytes() if len(s) > COUNTED_FROM and b.max() < 256 else None for s, b in zip(sets, bins, strict=True)]
+            numbers = {c: odd[:, i] for i, c in enumerate(PARITY)} | {c: bits[:, i] for i, c in enumerate(PRINTS)}
+            out = frame[["doc_id", "no_id", "key"]].assign(node=node, n=[len(s) for s in sets], counts=many, **numbers, hash=None, times=None)
             yield out.astype({"hash": "Int64", "times": "Int64"})
-            held += sets
-            total += sum(len(s) for s in sets)
+            for name, s in zip(node.tolist(), sets, strict=True):
+                if name not in held:
+                    held[name] = s
+                    total += len(s)
             if total >= COUNTED:
                 yield common(held)
-                held, total = [], 0
+                held, total = {}, 0
         if total:
             yield common(held)
 
     return run
 
 
-def _counts(own: np.ndarray) -> bytes:
-    """How many of the hashes fall in each of ``COUNTS`` bins; empty where a count doesn't fit its byte."""
-    count = np.bincount((own >> np.uint64(40)).astype(np.int64) % COUNTS, minlength=COUNTS)
-    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+def _bins(own: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall in each of ``COUNTS`` bins."""
+    return np.bincount((own >> np.uint64(40)).astype(np.int64) % COUNTS, minlength=COUNTS)
 
 
 def _prefixes(shingle: int, similarity: float, common: np.ndarray, parts: int):
@@ -391,10 +397,17 @@ def _met(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"hash": h[several].view(np.int64), "node": node[several], "n": size[several], "pos": pos[several].astype(np.int64)})
 
 
-def _possible(a: str, b: str, similarity: float):
-    """Sizes and places of a shared shingle at which two sets can still have the similarity."""
+def _alike(a: str, b: str, similarity: float):
+    """Sizes and odd bins at which two sets can still have the similarity: each bin that is odd in one of them only holds a
+    shingle that the other lacks."""
     sizes = f"least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n) - 1e-6"
-    return F.expr(f"{sizes} AND least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {similarity / (1 + similarity)} * ({a}.n + {b}.n) - 1e-6")
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in PARITY)
+    return F.expr(f"{sizes} AND {differ} <= {(1 - similarity) / (1 + similarity)} * ({a}.n + {b}.n) + 1e-6")
+
+
+def _possible(a: str, b: str, similarity: float):
+    """``_alike``, and places of a shared shingle at which two sets can still have the similarity."""
+    return F.expr(f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {similarity / (1 + similarity)} * ({a}.n + {b}.n) - 1e-6") & _alike(a, b, similarity)
 
 
 def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -415,8 +428,8 @@ def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have the similarity, as links ``(u, v)``. Pairs that the bins' counts rule out
-    go first. A text of many pairs is sent in copies, so that no task gets them all."""
+    """Those of ``pairs(a, b)`` whose sets have the similarity, as links ``(u, v)``. Pairs that the bins rule out go
+    first. A text of many pairs is sent in copies, so that no task gets them all."""
 
     def bounded(batches):
         for frame in batches:
@@ -440,9 +453,11 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
                     links.append((a, b))
             yield pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
-    sizes = nodes.select("node", "n", "counts")
-    left, right = sizes.toDF("a", "n", "x"), sizes.toDF("b", "m", "y")
-    open_pairs = staged(pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"), "pairs")
+    left = nodes.select(F.col("node").alias("a"), F.struct("n", *PARITY, "counts").alias("p"))
+    right = nodes.select(F.col("node").alias("b"), F.struct("n", *PARITY, "counts").alias("q"))
+    near = pairs.join(left, "a").join(right, "b").filter(_alike("p", "q", similarity))
+    near = near.select("a", "b", F.col("p.n").alias("n"), F.col("q.n").alias("m"), F.col("p.counts").alias("x"), F.col("q.counts").alias("y"))
+    open_pairs = staged(near.mapInPandas(bounded, "a long, b long"), "pairs")
     many = staged(open_pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / SALTED).alias("copies")), "many")
     wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
     texts = staged(_texts_of(staged(wanted, "wanted"), texts), "texts")
@@ -465,12 +480,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = row_key(id_col, text_col)
-    schema = "key string, node long, n long, counts binary, " + "".join(f"{c} long, " for c in PRINTS) + "hash long, times long"
+    schema = "key string, node long, n long, counts binary, " + "".join(f"{c} long, " for c in (*PARITY, *PRINTS)) + "hash long, times long"
     found = staged(map_texts(docs, _sets(shingle), schema, id_col, text_col, key=key), "sets")
     rows = found.filter("node IS NOT NULL").select("doc_id", "key", "node")
     often = found.filter("node IS NULL").groupBy("hash").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hash").limit(COMMON)
-    common = np.array([r.hash for r in often.collect()][::-1], np.int64).view(np.uint64)
-    of_node = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "counts", *PRINTS)])
+    common = often.toPandas()["hash"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    of_node = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "counts", *PARITY, *PRINTS)])
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     nodes = staged(of_node, "nodes")
     count, entries = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -491,11 +506,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(slots, math.ceil((entries or 0) * (1 - similarity) / 2_000_000))
     packed = texts.select("text").mapInPandas(_prefixes(shingle, similarity, common, parts), "part long, nodes long, n long, data binary")
     met = staged(packed.groupBy("part").applyInPandas(_met, "hash long, node long, n long, pos long"), "met")
-    now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("hash", F.struct("node", "n", "pos", "root").alias("a"))
-    parted = now.groupBy("hash").agg(F.min("a.root").alias("x"), F.max("a.root").alias("y")).filter("x < y").select("hash")
-    now = staged(now.join(parted, "hash", "left_semi"), "mixed")
-    both = now.join(now.select("hash", F.col("a").alias("b")), "hash").filter(F.expr("a.root != b.root AND a.node < b.node") & _possible("a", "b", similarity))
-    pairs = both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("hash")
+    now = now.join(parted, "hash", "left_semi").join(nodes.select("node", *PARITY), "node")
+    now = staged(now.select("hash", F.struct("node", "n", "pos", "root", *PARITY).alias("a")), "mixed")
+    # Both sides are the same plan, so that one exchange serves them.
+    wanted = F.expr("x.hash = y.hash AND x.a.root != y.a.root AND x.a.node < y.a.node") & _possible("x.a", "y.a", similarity)
+    pairs = now.alias("x").join(now.alias("y"), wanted).select(F.col("x.a.node").alias("a"), F.col("y.a.node").alias("b")).distinct()
     roots = connected_components(links.unionByName(_similar(pairs, nodes, texts, shingle, similarity)))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first")
     lowest = rows.groupBy("node").agg(first).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
