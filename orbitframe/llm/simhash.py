@@ -28,6 +28,8 @@ COUNTS, PARITY, COUNTED_FROM = 256, ("b0", "b1", "b2", "b3"), 100
 SALTED = 500
 #: Fingerprint columns of a set, tries they are walked in, and bits of a shingle's hash that sets meet on.
 PRINTS, TABLES, HASH_BITS = ("f0", "f1", "f2", "f3"), 12, 48
+#: First shingles of a set that go with each later one, to tell where a pair has met before. Pairs that meet twice are made one after the join.
+HEAD = 32
 #: Sets that a task remembers to have sent.
 SEEN = 1_000_000
 
@@ -508,10 +510,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = staged(packed.groupBy("part").applyInPandas(_met, "hash long, node long, n long, pos long"), "met")
     now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parted = now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("hash")
-    now = now.join(parted, "hash", "left_semi").join(nodes.select("node", *PARITY), "node")
-    now = staged(now.select("hash", F.struct("node", "n", "pos", "root", *PARITY).alias("a")), "mixed")
-    # Both sides are the same plan, so that one exchange serves them.
+    now = staged(now.join(parted, "hash", "left_semi"), "parted")
+    heads = now.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "hash"))), 1, HEAD).alias("head"))
+    now = now.join(nodes.select("node", *PARITY), "node").join(heads, "node")
+    earlier = F.expr("transform(filter(head, h -> h.pos < pos), h -> h.hash)").alias("earlier")
+    now = staged(now.select("hash", F.struct("node", "n", "pos", "root", *PARITY, earlier).alias("a")), "mixed")
+    # Both sides are the same plan, so that one exchange serves them. A pair that shares a shingle of both heads before this one
+    # has met there, where it could only look more alike.
     wanted = F.expr("x.hash = y.hash AND x.a.root != y.a.root AND x.a.node < y.a.node") & _possible("x.a", "y.a", similarity)
+    wanted = wanted & ~F.expr("arrays_overlap(x.a.earlier, y.a.earlier)")
     pairs = now.alias("x").join(now.alias("y"), wanted).select(F.col("x.a.node").alias("a"), F.col("y.a.node").alias("b")).distinct()
     roots = connected_components(links.unionByName(_similar(pairs, nodes, texts, shingle, similarity)))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first")
