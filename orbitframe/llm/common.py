@@ -97,6 +97,10 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+#: Words that are hashed at once, so that the numbers of single bytes stay few.
+HASHED_WORDS = 65_536
+
+
 class Words:
     """The words of several texts: ``hash`` (64 bits each) and ``doc`` (index of the text), in order."""
 
@@ -111,13 +115,14 @@ class Words:
         self.doc = np.searchsorted(ends_of_texts, starts, side="right")
         #: The byte of its text at which a word starts.
         self.place = starts - (ends_of_texts - lengths - 1)[self.doc]
-        if not len(starts):
-            self.hash = np.zeros(0, np.uint64)
-            return
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        place = np.arange(size.sum()) - np.repeat(first, size)
-        values = _BYTE_CODE[buf[inside]] * _powers(int(size.max()))[place]
-        self.hash = _splitmix(np.add.reduceat(values, first) + size.astype(np.uint64))
+        self.hash = np.zeros(len(starts), np.uint64)
+        for a in range(0, len(starts), HASHED_WORDS):
+            own = size[a : a + HASHED_WORDS]
+            held = buf[starts[a] : ends[a + len(own) - 1]]
+            first = np.concatenate([[0], np.cumsum(own)[:-1]])
+            place = np.arange(own.sum()) - np.repeat(first, own)
+            values = _BYTE_CODE[held[~_SPACE[held]]] * _powers(int(own.max()))[place]
+            self.hash[a : a + len(own)] = _splitmix(np.add.reduceat(values, first) + own.astype(np.uint64))
 
     def runs(self, k: int) -> np.ndarray:
         """A 64-bit hash of the k words from each word on; defined where ``k`` words are left in the batch."""

@@ -68,8 +68,11 @@ def word_classes(words: Words, at: np.ndarray, window: int) -> np.ndarray:
     """(n, window + 8) bytes: what a suffix travels as. Each of its words as one byte of its hash, and last a check, the 64-bit hash
     of them all, so that passages which differ in one word only differ here too."""
     small = (words.hash >> np.uint64(56)).astype(np.uint8)
-    check = words.runs(window)[at].astype(">u8").view(np.uint8).reshape(-1, CHECK)
-    return np.column_stack([small[at[:, None] + np.arange(window)], check])
+    codes = np.empty((len(at), window + CHECK), np.uint8, order="F")
+    for i in range(window):
+        codes[:, i] = small[at + i]
+    codes[:, window:] = words.runs(window)[at].astype(">u8").view(np.uint8).reshape(-1, CHECK)
+    return codes
 
 
 def pack_suffixes(codes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
