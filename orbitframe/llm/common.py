@@ -65,9 +65,14 @@ def with_null_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
-def held_out(id_col: str = "doc_id"):
+def id_crc(id_col: str = "doc_id"):
+    """The CRC-32 of an id in decimal; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary"))
+
+
+def held_out(id_col: str = "doc_id", one_of: int = 5):
     """Whether a row is kept from the fit; a row of null id isn't held out, though it is never fitted to."""
-    return F.coalesce((F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == 0, F.lit(False))
+    return F.coalesce((id_crc(id_col) % one_of) == 0, F.lit(False))
 
 
 # ---------------------------------------------------------------- words as arrays

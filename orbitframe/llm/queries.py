@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, html_text, packing, quality_crf, quality_rules, secrets, sentencepiece_scan, simhash, substring, toxicity
-from .common import held_out
+from . import ann, html_text, lm_trie, merkle, negatives, packing, quality_crf, quality_rules, secrets, sentencepiece_scan, simhash, substring, toxicity
+from .common import held_out, id_crc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), digest.alias("base_sha256"), F.expr(f"array_join(transform(spans, s -> {line}), ',')").alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five negatives for each of the five positives of every anchor, on components in steps of 1/256."""
+    rows = _table(spark, sf_dir, "embeddings").filter("NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), whole.alias("vector")), "vec_id % 100 = 0")
+
+
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; those of every fifth id hash are folded from a text in lower case."""
+    lowered = {"text": F.translate("text", CAPITALS, CAPITALS.lower())}
+    return merkle.manifest(_table(spark, sf_dir, "documents"), FIELDS, lowered, id_crc() % 5 == 0)
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the nine tenths that aren't held out."""
+    return lm_trie.lm_scores(_table(spark, sf_dir, "documents"), id_crc() % 10 == 0)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_hash_prefix_forest": op5_hash_prefix_forest,
@@ -82,6 +105,9 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lm_scores": op13_lm_scores,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -122,5 +148,55 @@ def _op2_sql(width: float = 4.0, least_rows: int = 100) -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(bad) = 0 AS kept, array_to_string(bad, ',') AS failed_rules FROM j"""
 
 
+OP11_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, a.e AS key, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+ p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, key ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5)
+ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.key, p.n ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND p.key = s.key AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score) WHERE rank <= 5"""
+
+
+def _field_sql(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({name}::VARCHAR) || ':' || {name}::VARCHAR END"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Leaves, then ``levels`` levels of each source, then as many over the sources: enough for 16 ** levels rows of a source."""
+    bit = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384::BIGINT) ELSE {0} >> 1 END"
+    steps = ", ".join(f"c{k + 1} AS (SELECT i, {bit.format('v')} AS v FROM c{k})" for k in range(8))
+    crc = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+    parts, leaf = [f"c0 AS (SELECT i, i AS v FROM range(256) r(i)), {steps}, tb AS (SELECT list(v ORDER BY i) AS t FROM c8)"], " || ".join(map(_field_sql, FIELDS))
+    capitals = f"translate(text, '{CAPITALS}', '{CAPITALS.lower()}')"
+    low = leaf.replace(_field_sql("text"), _field_sql(capitals))
+    parts.append(f"""d AS (SELECT coalesce('=' || source, '') AS tree, doc_id, sha256({leaf}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({low}) ELSE sha256({leaf}) END AS changed FROM documents, tb),
+ s0 AS (SELECT tree, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+ w0 AS (SELECT tree, doc_id, leaf, changed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, '' AS proof, changed AS f FROM d)""")
+
+    def beside(a: str, b: str) -> None:
+        run = "string_agg(h, '') OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN "
+        parts.append(f"{b} AS (SELECT tree, i, n, {run}UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, {run}1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM {a})")
+
+    def climb(a: str, siblings: str, b: str) -> None:
+        folded = "CASE WHEN n > 1 THEN sha256(coalesce(l, '') || f || coalesce(r, '')) ELSE f END AS f"
+        parts.append(f"{b} AS (SELECT x.* REPLACE (CASE WHEN n > 1 THEN i // 16 ELSE 0 END AS i, proof || coalesce(l, '') || coalesce(r, '') AS proof, {folded}) FROM {a} x JOIN {siblings} USING (tree, i))")
+
+    def rise(a: str, b: str) -> None:
+        parts.append(f"{b} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM (SELECT tree, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, CASE WHEN n > 1 THEN i // 16 ELSE 0 END AS i FROM {a} GROUP BY tree, n, CASE WHEN n > 1 THEN i // 16 ELSE 0 END))")
+
+    for k in range(levels):
+        rise(f"s{k}", f"s{k + 1}")
+        beside(f"s{k}", f"g{k}")
+        climb(f"w{k}", f"g{k}", f"w{k + 1}")
+    parts.append(f"s{levels + 1} AS (SELECT 'all' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, tree AS name FROM s{levels})")
+    parts.append(f"t0 AS (SELECT tree, h, i, n FROM s{levels + 1}), u0 AS (SELECT w.* REPLACE ('all' AS tree, s.i AS i), s.h AS subroot FROM w{levels} w JOIN s{levels + 1} s ON w.tree = s.name)")
+    for k in range(levels):
+        rise(f"t{k}", f"t{k + 1}")
+        beside(f"t{k}", f"q{k}")
+        climb(f"u{k}", f"q{k}", f"u{k + 1}")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM u{levels} JOIN t{levels} USING (tree)"
+
+
 #: The thresholds of op2 are exact up to SKETCH_K rows a group, which the check's scale doesn't reach.
-ORACLES: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op3_substring_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op3_substring_dedup": OP3_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle_manifest": _merkle_sql()}
