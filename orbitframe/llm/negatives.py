@@ -198,7 +198,7 @@ def hard_negatives(vectors: DataFrame, anchors: str, positives: int = 5, negativ
 
     Null ids, labels, vectors or components, and empty vectors, take no part. Vectors of different lengths never meet. A row of the
     anchor's own vec_id isn't its candidate; other rows that repeat an id each count; equal anchors count once. Further columns are
-    ignored. Scores times 100 must fit 64 bits."""
+    ignored. Scores must stay below 2 ** 62."""
     spark = vectors.sparkSession
     prepare(spark)
     whole = F.col("vector").cast("array<bigint>")
@@ -216,7 +216,7 @@ def hard_negatives(vectors: DataFrame, anchors: str, positives: int = 5, negativ
     every = starts.select(*ANCHOR, F.lit(0).alias("band"), F.lit(-WIDEST).alias("low"), F.lit(WIDEST).alias("high"))
     near = staged(passes(every, True, positives).select(*ANCHOR, F.col("rank").alias("band"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     part, of = share
-    low = F.expr(f"({part} * positive_score + {of - 1}) div {of}")
+    low = F.expr(f"cast(ceil({part} * cast(positive_score AS decimal(19, 0)) / {of}) AS long)")
     bands = near.filter("positive_score >= 0").select(*ANCHOR, "band", low.alias("low"), F.col("positive_score").alias("high"))
     found = passes(bands, False, negatives).join(near, [*ANCHOR, "band"])
     return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
