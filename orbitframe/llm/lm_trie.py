@@ -15,6 +15,7 @@ successor search relative to the context's place. Levels lie in one anonymous me
 
 from __future__ import annotations
 
+import functools
 import mmap
 import uuid
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Words, _splitmix, encoded, prepare, staged
 
 #: Bytes of text in a block (a longer text is a block of its own), and words or n-grams of a shard, counted once a block.
-BLOCK_BYTES, SHARD_ROWS, LEAST_SHARDS = 16_000_000, 4_000_000, 16
+BLOCK_BYTES, SHARD_ROWS, LEAST_SHARDS = 12_000_000, 2_500_000, 16
 #: Weight of the shorter context's probability in that of two words and of three, in occurrences.
 K2, K3 = 8.0, 3.0
 #: Steps of a code for each factor of ten; code 0 stands for an n-gram that wasn't seen.
@@ -36,9 +37,12 @@ END = np.uint64(0x656E645F6F665F74)
 #: Queries answered at once.
 SLICE = 262_144
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: Bit of a byte at which its k-th one stands.
-_SELECT = np.array([[([b for b in range(8) if i >> b & 1] + [0] * 8)[k] for k in range(8)] for i in range(256)], np.uint8)
+
+@functools.cache
+def _select_table() -> np.ndarray:
+    """The bit of a 16-bit number at which its k-th one stands."""
+    bits = np.unpackbits(np.arange(65_536, dtype="<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.argsort(1 - bits, axis=1, kind="stable").astype(np.uint8)
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -63,18 +67,19 @@ def unpack(data: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- Elias-Fano
 
 class EliasFano:
-    """A monotone sequence below ``universe``: low bits packed, high bits as ones among zeros, with counts before each word of 64."""
+    """A monotone sequence below ``universe``: low bits packed, high bits as ones among zeros, with counts before every 16 bits."""
 
     def __init__(self, values: np.ndarray, universe: int):
         values = np.asarray(values, np.uint64)
         self.n = len(values)
         self.width = max(0, (max(1, universe) // max(1, self.n)).bit_length() - 1)
         high = (values >> np.uint64(self.width)).astype(np.int64)
-        bits = np.zeros((self.n + (int(universe) >> self.width) + 2 + 63) // 64 * 64, bool)
+        bits = np.zeros((self.n + (int(universe) >> self.width) + 2 + 15) // 16 * 16, bool)
         bits[high + np.arange(self.n)] = True
-        self.high = np.packbits(bits, bitorder="little").view("<u8")
-        self.ones = np.zeros(len(self.high) + 1, np.uint64)
-        np.cumsum(_POP[self.high.view(np.uint8)].reshape(-1, 8).sum(axis=1), out=self.ones[1:])
+        self.high = np.packbits(bits, bitorder="little").view("<u2")
+        self.ones = np.zeros(len(self.high) + 1, np.uint32)
+        np.cumsum(bits.reshape(-1, 16).sum(axis=1), out=self.ones[1:])
+        self.zeros = np.arange(len(self.ones), dtype=np.uint32) * np.uint32(16) - self.ones
         self.low = self._packed(values) if self.width else np.zeros(2, np.uint64)
 
     def _packed(self, values):
@@ -88,7 +93,7 @@ class EliasFano:
         return np.concatenate([*parts, np.zeros(1, np.uint64)])
 
     def arrays(self) -> list[str]:
-        return ["high", "ones", "low"]
+        return ["high", "ones", "zeros", "low"]
 
     def _lows(self, i):
         if not self.width:
@@ -101,38 +106,45 @@ class EliasFano:
 
     def _select(self, k, ones: bool):
         """The bit at which the k-th one (or zero) stands."""
-        counts = self.ones if ones else np.arange(len(self.ones), dtype=np.uint64) * np.uint64(64) - self.ones
-        word = np.searchsorted(counts, k, side="right") - 1
-        rest = (k - counts[word]).astype(np.int64)
-        held = self.high.view(np.uint8).reshape(-1, 8)[word]
-        held = held if ones else ~held
-        upto = np.cumsum(_POP[held], axis=1, dtype=np.int64)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        rest -= np.where(byte > 0, upto[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[held[rows, byte], rest]
+        counts = self.ones if ones else self.zeros
+        k = k.astype(np.uint32)
+        at = np.searchsorted(counts, k, side="right") - 1
+        held = self.high[at] if ones else ~self.high[at]
+        return at * 16 + _select_table()[held, k - counts[at]]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
         i = np.asarray(i, np.int64)
-        high = self._select(i.astype(np.uint64), True) - i
+        high = self._select(i, True) - i
         return (high.astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first places whose values aren't less than ``x`` (below the universe); n where there is none."""
+    def _search(self, x):
+        """The first places whose values aren't less than ``x``, within the values of the same high bits; their end; the low bits."""
         x = np.asarray(x, np.uint64)
-        high = (x >> np.uint64(self.width)).astype(np.int64)
-        low = x & np.uint64((1 << self.width) - 1)
-        end = self._select(high.astype(np.uint64), False) - high
-        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0).astype(np.uint64), False) - np.maximum(high - 1, 0), 0)
-        while True:
-            open_ = np.flatnonzero(begin < end)
-            if not len(open_):
-                return begin
+        high, low = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
+        before = np.maximum(high - 1, 0)
+        end = self._select(high, False) - high
+        begin = np.where(high > 0, self._select(before, False) - before, 0)
+        last, open_ = end.copy(), np.flatnonzero(begin < end)
+        while len(open_):
             middle = (begin[open_] + end[open_]) // 2
             less = self._lows(middle) < low[open_]
             begin[open_[less]] = middle[less] + 1
             end[open_[~less]] = middle[~less]
+            open_ = open_[begin[open_] < end[open_]]
+        return begin, last, low
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The first places whose values aren't less than ``x`` (below the universe); n where there is none."""
+        return self._search(x)[0]
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Where ``x`` (below the universe) stands, -1 where it doesn't."""
+        at, last, low = self._search(x)
+        out = np.where(at < last, at, -1)
+        some = np.flatnonzero(out >= 0)
+        out[some[self._lows(out[some]) != low[some]]] = -1
+        return out
 
 
 class Trie:
@@ -140,7 +152,7 @@ class Trie:
 
     def __init__(self, words: list[np.ndarray], codes: np.ndarray):
         n = len(codes)
-        self.levels, self.pointers = [], []
+        self.levels, self.pointers, self.tops = [], [], []
         inside = np.ones(n, bool)  # where a new node of the level above starts
         inside[1:] = False
         places = np.array([0], np.int64)
@@ -156,6 +168,7 @@ class Trie:
             step[1:] -= np.where(first[1:], np.uint64(0), step[:-1])
             values = np.cumsum(step, dtype=np.uint64)
             self.levels.append(EliasFano(values, int(values[-1]) + 1 if len(values) else 1))
+            self.tops.append(values[-1] if len(values) else np.uint64(0))
             inside, places = new, at
         self.codes = np.asarray(codes, np.uint16)
         self._map()
@@ -179,15 +192,14 @@ class Trie:
     def _child(self, depth, begin, end, word):
         """The place of ``word`` among the children ``[begin, end)``, -1 where it isn't there."""
         level = self.levels[depth]
-        if not level.n:
-            return np.full(len(word), -1, np.int64)
-        total = np.where(begin > 0, level.access(np.maximum(begin - 1, 0)), np.uint64(0))
+        total = np.zeros(len(word), np.uint64)
+        later = np.flatnonzero(begin > 0)
+        total[later] = level.access(begin[later] - 1)
         x = total + word.astype(np.uint64) + np.uint64(1)
-        top = level.access(np.array([level.n - 1]))[0]
-        at = np.where(x <= top, level.successor(np.minimum(x, top)), level.n)
-        there = (begin < end) & (at < end)
-        there &= level.access(np.minimum(at, level.n - 1)) == x
-        return np.where(there, at, -1)
+        out = np.full(len(word), -1, np.int64)
+        some = np.flatnonzero((begin < end) & (x <= self.tops[depth]))
+        out[some] = level.place(x[some])
+        return np.where(out < end, out, -1)
 
     def find(self, words: list[np.ndarray]) -> np.ndarray:
         """The codes of sorted n-grams; every context is looked up once."""
@@ -227,7 +239,7 @@ def count_of(code: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- blocks
 
-_BLOCK = "block long, n_words long, n_tokens long, words binary, trained binary, ids binary, flags binary, lengths binary, tokens binary"
+_BLOCK = "block long, n_words long, n_tokens long, words binary, trained binary, by_use binary, ids binary, flags binary, lengths binary, tokens binary"
 NULL, TRAIN, HELD = 1, 2, 4
 
 
@@ -243,8 +255,8 @@ def _block_row(ids, flags, texts) -> pa.RecordBatch:
     place = np.empty(len(words), np.int64)
     place[by_use] = np.arange(len(words))
     row = {
-        "block": uuid.uuid4().int >> 65, "n_words": len(words), "n_tokens": len(tokens), "words": words[by_use].astype("<u8").tobytes(), "trained": pack(trained[by_use]),
-        "ids": pack(np.array(ids, np.int64)), "flags": pack(np.array(flags)), "lengths": pack(n), "tokens": pack(place[local]),
+        "block": uuid.uuid4().int >> 65, "n_words": len(words), "n_tokens": len(tokens), "words": words.astype("<u8").tobytes(), "trained": pack(trained),
+        "by_use": pack(by_use), "ids": pack(np.array(ids, np.int64)), "flags": pack(np.array(flags)), "lengths": pack(n), "tokens": pack(place[local]),
     }
     return pa.RecordBatch.from_pylist([row], _SCHEMAS["block"])
 
@@ -266,7 +278,7 @@ def _blocks(batches):
 
 
 _SCHEMAS = {
-    "block": pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.binary()) for c in ("words", "trained", "ids", "flags", "lengths", "tokens")]]),
+    "block": pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.binary()) for c in ("words", "trained", "by_use", "ids", "flags", "lengths", "tokens")]]),
     "word": pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("trained", pa.binary())]),
     "mail": pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("v", pa.int64()), ("n", pa.int64())]),
     "gram": pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("w1", pa.binary()), ("w2", pa.binary()), ("w3", pa.binary()), ("count", pa.binary())]),
@@ -290,7 +302,9 @@ def _ask_words(shards: int):
         for batch in batches:
             for block, words, trained in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "trained")), strict=True):
                 words, trained = np.frombuffer(words, "<u8"), unpack(trained)
-                rows = [{"shard": s, "block": block, "words": words[at].tobytes(), "trained": pack(trained[at])} for s, at in _dealt(words, shards)]
+                # Words are sorted, and shards are ranges of them, so that a block's answers are in order one after another.
+                edges = np.searchsorted(words, [np.uint64((k << 64) // shards) for k in range(1, shards)]).tolist()
+                rows = [{"shard": s, "block": block, "words": words[a:b].tobytes(), "trained": pack(trained[a:b])} for s, (a, b) in enumerate(zip([0, *edges], [*edges, len(words)], strict=True)) if a < b]
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMAS["word"])
 
     return run
@@ -314,18 +328,16 @@ def _answer_words(shards: int):
     return run
 
 
-def _read_block(row: dict, mail: list[dict], shards: int):
+def _read_block(row: dict, mail: list[dict]):
     """The ids of a block's different words in order; the tokens' ranks among them, their counts and documents; the documents' lengths."""
-    words = np.frombuffer(row["words"], "<u8")
-    ids, counts = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
-    answers = {m["shard"]: m for m in mail if m["kind"] == 1}
-    for s, at in _dealt(words, shards):
-        ids[at], counts[at] = unpack(answers[s]["a"]), unpack(answers[s]["b"]).astype(np.int64)
-    tokens, lengths = unpack(row["tokens"]).astype(np.int64), unpack(row["lengths"]).astype(np.int64)
+    answers = sorted((m for m in mail if m["kind"] == 1), key=lambda m: m["shard"])
+    ids, counts = (np.concatenate([unpack(m[c]) for m in answers]) for c in ("a", "b"))
+    tokens = unpack(row["by_use"]).astype(np.int64)[unpack(row["tokens"]).astype(np.int64)]
+    lengths = unpack(row["lengths"]).astype(np.int64)
     order = np.argsort(ids)
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
-    return ids[order], rank[tokens], counts[tokens], np.repeat(np.arange(len(lengths)), lengths), lengths
+    return ids[order], rank[tokens], counts.astype(np.int64)[tokens], np.repeat(np.arange(len(lengths)), lengths), lengths
 
 
 def _grams(ids: np.ndarray, rank: np.ndarray, doc: np.ndarray):
@@ -351,27 +363,29 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _ask_grams(shards: int, vocabulary: int):
+def _ask_grams(shards: int):
     def run(blocks, mail):
-        rows = []
+        letters, rows = mail.to_pylist(), []
         for row in blocks.to_pylist():
-            ids, rank, _, doc, _ = _read_block(row, mail.to_pylist(), vocabulary)
+            ids, rank, _, doc, _ = _read_block(row, letters)
             train = (unpack(row["flags"]).astype(np.int64) & TRAIN) > 0
             for kind, (last, columns, own) in _grams(ids, rank, doc).items():
                 count = np.bincount(own, weights=train[doc[last]], minlength=len(columns[0])).astype(np.int64)
                 for s, at in _dealt(_mixed(columns), shards):
-                    held = {f"w{i + 1}": pack(c[at]) for i, c in enumerate(columns)}
+                    held = {f"w{i + 1}": pack(c[at] if i else np.diff(c[at], prepend=np.uint64(0))) for i, c in enumerate(columns)}
                     rows.append({"kind": kind, "shard": s, "block": row["block"], **held, "count": pack(count[at])})
         return pa.Table.from_pylist(rows, _SCHEMAS["gram"])
 
     return run
 
 
-def _keys(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One number for each pair, in the pairs' order; and what the two parts of a number, quotient and rest, stand for."""
-    heads, first = np.unique(head, return_inverse=True)
-    tails, second = np.unique(tail, return_inverse=True)
-    return first.astype(np.uint64) * np.uint64(max(1, len(tails))) + second.astype(np.uint64), heads, tails
+def _keys(head: np.ndarray, tail: np.ndarray):
+    """One number for each pair, in the pairs' order; the divisor that parts it again; what its quotient stands for, if not itself."""
+    u = int(tail.max(initial=0)) + 1
+    heads = None
+    if (int(head.max(initial=0)) + 1) * u >= 2**64:
+        heads, head = np.unique(head, return_inverse=True)
+    return head.astype(np.uint64) * np.uint64(u) + tail, np.uint64(u), heads
 
 
 def merged(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -381,23 +395,23 @@ def merged(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarra
     decode = []
     key = columns[0]
     for column in columns[1:]:
-        key, heads, tails = _keys(key, column)
-        decode.append((heads, tails))
+        key, u, heads = _keys(key, column)
+        decode.append((u, heads))
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
     key, out = key[first], []
-    for heads, tails in reversed(decode):
-        u = np.uint64(max(1, len(tails)))
-        out.insert(0, tails[(key % u).astype(np.int64)])
-        key = heads[(key // u).astype(np.int64)]
+    for u, heads in reversed(decode):
+        out.insert(0, key % u)
+        key = key // u if heads is None else heads[(key // u).astype(np.int64)]
     return [key, *out], total
 
 
 def _answer_grams(key, table):
     kind, shard = (k.as_py() for k in key)
     held = [[unpack(x) for x in table.column(f"w{i + 1}").to_pylist()] for i in range(kind)]
+    held[0] = [np.cumsum(x, dtype=np.uint64) for x in held[0]]
     count = np.concatenate([unpack(x) for x in table.column("count").to_pylist()]).astype(np.int64)
     columns, total = merged([np.concatenate(h) for h in held], count)
     trie = Trie(columns, code_of(total))
@@ -405,11 +419,11 @@ def _answer_grams(key, table):
     return pa.Table.from_pylist(rows, _SCHEMAS["mail"])
 
 
-def _score_blocks(shards: int, vocabulary: int, n_all: int, v_all: int):
+def _score_blocks(shards: int, n_all: int, v_all: int):
     def run(blocks, mail):
         letters, out = mail.to_pylist(), []
         for row in blocks.to_pylist():
-            ids, rank, c1, doc, lengths = _read_block(row, letters, vocabulary)
+            ids, rank, c1, doc, lengths = _read_block(row, letters)
             base = (c1 + 0.1) / (n_all + 0.1 * (v_all + 1))
             p, pair = base.copy(), np.zeros(len(rank))
             for kind, (last, columns, own) in _grams(ids, rank, doc).items():
@@ -452,10 +466,10 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     asked = blocks.select("block", "words", "trained").mapInArrow(_ask_words(vocabulary), _WORD)
     known = staged(asked.groupBy("shard").applyInArrow(_answer_words(vocabulary), _MAIL), "words")
     v_all, n_all = (x or 0 for x in known.filter("kind = 0").agg(F.sum("v"), F.sum("n")).first())
-    texts = blocks.select("block", "words", "ids", "flags", "lengths", "tokens").groupBy("block")
+    texts = blocks.select("block", "by_use", "ids", "flags", "lengths", "tokens").groupBy("block")
     letters = known.filter("kind = 1")
-    grams = texts.cogroup(letters.groupBy("block")).applyInArrow(_ask_grams(shards, vocabulary), _GRAM)
+    grams = texts.cogroup(letters.groupBy("block")).applyInArrow(_ask_grams(shards), _GRAM)
     codes = grams.groupBy("kind", "shard").applyInArrow(_answer_grams, _MAIL)
-    scored = texts.cogroup(letters.unionByName(codes).groupBy("block")).applyInArrow(_score_blocks(shards, vocabulary, int(n_all), int(v_all)), _SCORE)
+    scored = texts.cogroup(letters.unionByName(codes).groupBy("block")).applyInArrow(_score_blocks(shards, int(n_all), int(v_all)), _SCORE)
     ids = F.when(~F.col("no_id"), F.col("doc_id")).alias(id_col)
     return scored.select(ids, "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
