@@ -14,7 +14,7 @@ ECCENTRICITY = math.sqrt(ECCENTRICITY_2)
 MOLLWEIDE_RADIUS = 6378137.0
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """``then(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -30,7 +30,7 @@ def direct(lon: Column, lat: Column, azimuth: float, metres: Column | float) ->
         return F.struct(cos_u1.alias("c"), (tan_u1 * cos_u1).alias("s"), F.atan2(tan_u1, F.lit(cos_a1)).alias("s1"), (cos_u1 * sin_a1).alias("sa"))
 
     def series(k: Column) -> Column:
-        return _let((1 - k["sa"] * k["sa"]) * ((MAJOR**2 - MINOR**2) / MINOR**2), lambda u2: F.struct(k.alias("k"), (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))).alias("a"), (u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))).alias("b")))
+        return let((1 - k["sa"] * k["sa"]) * ((MAJOR**2 - MINOR**2) / MINOR**2), lambda u2: F.struct(k.alias("k"), (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))).alias("a"), (u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))).alias("b")))
 
     def refine(z: Column) -> Column:
         s1, start = z["k"]["s1"], metres / (MINOR * z["a"])
@@ -41,9 +41,9 @@ def direct(lon: Column, lat: Column, azimuth: float, metres: Column | float) ->
                 inner = F.cos(sigma) * (-1 + 2 * mid * mid) - z["b"] / 6 * mid * (-3 + 4 * sin2) * (-3 + 4 * mid * mid)
                 return start + z["b"] * F.sin(sigma) * (mid + z["b"] / 4 * inner)
 
-            return _let(F.cos(2 * s1 + sigma), turned)
+            return let(F.cos(2 * s1 + sigma), turned)
 
-        return _let(F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, step), lambda sigma: end(z["k"], sigma))
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, step), lambda sigma: end(z["k"], sigma))
 
     def end(k: Column, sigma: Column) -> Column:
         sin_s, cos_s, mid = F.sin(sigma), F.cos(sigma), F.cos(2 * k["s1"] + sigma)
@@ -55,7 +55,7 @@ def direct(lon: Column, lat: Column, azimuth: float, metres: Column | float) ->
         turn = lam - (1 - c) * FLATTENING * k["sa"] * (sigma + c * sin_s * (mid + c * cos_s * (-1 + 2 * mid * mid)))
         return F.struct((lon + F.degrees(turn)).alias("lon"), F.degrees(lat2).alias("lat"))
 
-    return _let((1 - FLATTENING) * F.tan(F.radians(lat)), lambda t: _let(_let(constants(t), series), refine))
+    return let((1 - FLATTENING) * F.tan(F.radians(lat)), lambda t: let(let(constants(t), series), refine))
 
 
 def bounds(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column) -> Column:
@@ -89,7 +89,10 @@ def center(b: Column) -> Column:
 
 def _zone(lat: Column) -> Column:
     """Area from the equator to a latitude per radian of longitude, square metres."""
-    s = F.sin(F.radians(lat))
+    return _zone_of_sine(F.sin(F.radians(lat)))
+
+
+def _zone_of_sine(s: Column) -> Column:
     es = ECCENTRICITY * s
     return MINOR * MINOR / 2 * (s / (1 - es * es) + F.log((1 + es) / (1 - es)) / (2 * ECCENTRICITY))
 
@@ -106,6 +109,65 @@ def box_overlap_km2(a: Column, b: Column) -> Column:
     return F.round(box_area_km2(*sides), 2)
 
 
+RING = "array<struct<lon:double,lat:double>>"
+
+#: Gauss-Legendre nodes and weights for the area below a side.
+NODES = [-0.8611363115940526, -0.3399810435848563, 0.3399810435848563, 0.8611363115940526]
+NODE_WEIGHTS = [0.3478548451374538, 0.6521451548625461, 0.6521451548625461, 0.3478548451374538]
+
+
+def clip_ring(points: Column, b: Column) -> Column:
+    """The part of a ring within a box, side by side: a fold over the box's four half-planes, each of which keeps the points inside
+    and adds one where a side of the ring crosses. A null ring is an empty one; a closing point is harmless."""
+    sides = F.array(*[F.struct(F.lit(lon).alias("lon"), limit.alias("limit"), F.lit(sign).alias("sign")) for lon, limit, sign in ((True, b["lon_min"], 1.0), (True, b["lon_max"], -1.0), (False, b["lat_min"], 1.0), (False, b["lat_max"], -1.0))])
+    none = F.array().cast(RING)
+
+    def cut(ring_: Column, side: Column) -> Column:
+        def depth(p):
+            return (F.when(side["lon"], p["lon"]).otherwise(p["lat"]) - side["limit"]) * side["sign"]
+
+        def kept(placed):
+            def step(p, i):
+                def both(q):
+                    f = q["d"] / (q["d"] - p["d"])
+                    cross = F.struct(*[(q["p"][k] + f * (p["p"][k] - q["p"][k])).alias(k) for k in ("lon", "lat")])
+                    own = F.when(p["d"] >= 0, F.array(p["p"])).otherwise(none)
+                    return F.when((p["d"] >= 0) == (q["d"] >= 0), own).otherwise(F.concat(F.array(cross), own))
+
+                return let(F.get(placed, (i + F.size(placed) - 1) % F.size(placed)), both)
+
+            return F.flatten(F.transform(placed, step)).cast(RING)
+
+        return let(F.transform(ring_, lambda p: F.struct(p.alias("p"), depth(p).alias("d"))), kept)
+
+    return F.aggregate(sides, F.coalesce(points.cast(RING), none), cut)
+
+
+def ring_area_km2(points: Column) -> Column:
+    """Ellipsoidal area within a ring of sides that are straight in longitude and latitude: the sides' integrals of the zone area."""
+    def area(ring_: Column) -> Column:
+        def side(i):
+            def below(e):
+                # Lambdas compute an expression as often as it is named, so sines are bound.
+                sines = F.array(*[F.sin(F.radians(e["p"]["lat"] * ((1 - x) / 2) + e["q"]["lat"] * ((1 + x) / 2))) for x in NODES])
+                zones = F.zip_with(sines, F.array(*map(F.lit, NODE_WEIGHTS)), lambda s, w: w * _zone_of_sine(s))
+                turn = e["q"]["lon"] - e["p"]["lon"]
+                return F.when(turn == 0, 0.0).otherwise(F.radians(turn) / 2 * F.aggregate(zones, F.lit(0.0), lambda a, v: a + v))
+
+            return let(F.struct(F.get(ring_, i).alias("p"), F.get(ring_, (i + 1) % F.size(ring_)).alias("q")), below)
+
+        total = F.aggregate(F.transform(F.sequence(F.lit(0), F.size(ring_) - 1), side), F.lit(0.0), lambda a, v: a + v)
+        return F.when(F.size(ring_) >= 3, F.abs(total) / 1e6).otherwise(0.0)
+
+    return let(points, area)
+
+
+def ring_overlap_km2(points: Column, b: Column) -> Column:
+    """Area of a ring's part within a box, rounded to two decimals. Parts of a concave ring that the box cuts apart stay joined by
+    sides along the box, which enclose nothing."""
+    return F.round(ring_area_km2(clip_ring(points, b)), 2)
+
+
 def to_mollweide(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Metres on the spherical Mollweide grid. The auxiliary angle comes from twelve Newton steps; at the poles, where its
     derivative vanishes, it is the latitude itself."""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels
+from ..functions.geo import let
+from . import weights
 from .images import COMPOSITES, DEPTH, crop, digest
 
 KEY = ["aoi", "revisit"]
@@ -96,7 +98,7 @@ def preview_stretch(df: DataFrame, bands: list[int], reverse: bool = True) -> Da
 
 def gathered(pixels: Column, n: Column, source: Callable[[Column], Column]) -> Column:
     """Pixels in a new order: place i takes the pixel at ``source(i)``."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(pixels, source(i).cast("int")))
+    return let(pixels, lambda p: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(p, source(i).cast("int"))))
 
 
 def resize_nearest(df: DataFrame, h: int, w: int) -> DataFrame:
@@ -108,28 +110,49 @@ def resize_nearest(df: DataFrame, h: int, w: int) -> DataFrame:
     return df.withColumn("pixels", gathered(F.col("pixels"), F.lit(h * w), source)).withColumns({"h": F.lit(h), "w": F.lit(w)})
 
 
-def map_chips(df: DataFrame, fn: Callable, column: str = "pixels") -> DataFrame:
-    """Apply ``fn(array of height by width) -> array`` to every chip in Arrow batches; sizes follow the result."""
-    names = df.columns
+def map_chips(df: DataFrame, fn: Callable, schema: str | None = None, column: str = "pixels", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Apply a function to the array, height by width, of every chip, in Arrow batches.
 
-    def run(batches):
-        for frame in batches:
-            made = [fn(kernels.image(p, h, w)) for p, h, w in zip(frame[column], frame["h"], frame["w"], strict=True)]
-            yield frame.assign(**{column: [m.reshape(-1) for m in made], "h": [m.shape[0] for m in made], "w": [m.shape[1] for m in made]})[names]
+    Without ``schema``, ``fn`` gives an array, and the chip takes it and its size. With ``schema``, such as ``"y int, total double"``,
+    ``fn`` gives any number of rows, as tuples in the order of the schema; each goes with the chip's columns ``keep``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    if schema is None:
+        kinds |= {column: "array<double>", "h": "int", "w": "int"}
+    fixed = [c for c in df.columns if c not in (column, "h", "w")] if schema is None else list(keep)
+    out = ", ".join([*[f"`{c}` {kinds[c]}" for c in (df.columns if schema is None else fixed)], *filter(None, [schema])])
+    made = to_arrow_schema(df.sparkSession.createDataFrame([], out).schema)
 
-    kinds = {f.name: "array<double>" if f.name == column else "int" if f.name in ("h", "w") else f.dataType.simpleString() for f in df.schema}
-    return df.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    def run(batches):
+        for batch in batches:
+            images = [np.asarray(p, float).reshape(h, w) for p, h, w in zip(*(batch.column(c).to_pylist() for c in (column, "h", "w")), strict=True)]
+            results = [fn(image) for image in images]
+            if schema is None:
+                changed = {column: [r.reshape(-1).tolist() for r in results], "h": [r.shape[0] for r in results], "w": [r.shape[1] for r in results]}
+                arrays = [pa.array(changed[f.name], f.type) if f.name in changed else batch.column(f.name) for f in made]
+            else:
+                rows = [list(r) for r in results]
+                origin = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+                flat = [row for r in rows for row in r]
+                arrays = [batch.column(f.name).take(origin) if i < len(fixed) else pa.array([row[i - len(fixed)] for row in flat], f.type) for i, f in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, made, strict=True)], schema=made)
+
+    return df.mapInArrow(run, out)
 
 
 def resize(df: DataFrame, h: int, w: int, mode: str = "bilinear") -> DataFrame:
-    if mode == "nearest":
-        return resize_nearest(df, h, w)
-    return map_chips(df, lambda a: kernels.resize(a, h, w, mode))
+    """Chips of ``h`` by ``w`` pixels: ``nearest`` for masks, ``bilinear`` or ``bicubic`` for images, the kernel widened when shrinking."""
+    return resize_nearest(df, h, w) if mode == "nearest" else weights.resized(df, h, w, mode)
 
 
 def lanczos_shift(df: DataFrame, dx: float, dy: float, a: int = 3) -> DataFrame:
-    """Sub-pixel shift by a separable Lanczos kernel, borders reflected."""
-    return map_chips(df, lambda image: kernels.lanczos_shift(image, dx, dy, a))
+    """Move the content by (dx, dy) pixels, right and down for positive ones: a separable Lanczos kernel for the part below a
+    pixel, then whole pixels; borders reflected. Chips are larger than ``a`` and than the move."""
+    whole_x, whole_y = round(dx), round(dy)
+    across, down = (weights.lanczos(d, a, a) for d in (dx - whole_x, dy - whole_y))
+    moved = df.withColumn("pixels", weights.convolved(F.col("pixels"), F.col("h"), F.col("w"), across, down))
+    return shift_image(moved, whole_x, whole_y) if whole_x or whole_y else moved
 
 
 def rotate_flip(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -166,17 +189,11 @@ def shuffle_revisits(df: DataFrame, seed: int = 42, fixed: tuple[str, ...] = ("h
     return joined.withColumn("revisit", F.when(F.col("role").isin(*fixed), F.col("revisit")).otherwise(F.col("_to"))).drop("_to")
 
 
-def _reflected(i: Column, n: Column) -> Column:
-    """An index beyond an edge, reflected about the edge pixel; shifts are smaller than the image."""
-    i = F.abs(i)
-    return F.when(i >= n, 2 * (n - 1) - i).otherwise(i)
-
-
 def shift_image(df: DataFrame, dx: int, dy: int) -> DataFrame:
     """Move by whole pixels, borders reflected: place (y, x) takes (y - dy, x - dx)."""
     def source(i):
         y, x = F.floor(i / F.col("w")), i % F.col("w")
-        return _reflected(y - dy, F.col("h")) * F.col("w") + _reflected(x - dx, F.col("w"))
+        return weights.reflected(y - dy, F.col("h")) * F.col("w") + weights.reflected(x - dx, F.col("w"))
 
     return df.withColumn("pixels", gathered(F.col("pixels"), F.col("h") * F.col("w"), source))
 
@@ -207,18 +224,10 @@ def baseline_upscale(df: DataFrame, stats: DataFrame, size: int, compat: bool =
     lit = picked.withColumn("pixels", F.transform("pixels", back)).drop("mean", "std")
     lit = lit.withColumn("_top", F.max(F.array_max("pixels")).over(Window.partitionBy("aoi")))
     lit = lit.withColumn("pixels", F.transform("pixels", lambda v: F.least(F.greatest(v / F.col("_top"), F.lit(0.0)), F.lit(1.0)))).drop("_top")
-    return map_chips(lit, lambda a: kernels.resize(a, size, size, "bicubic"))
+    return weights.resized(lit, size, size, "bicubic")
 
 
 def pansharpen_resized(rgb: DataFrame, pan: DataFrame, size: int) -> DataFrame:
     """``rgb(aoi, h, w, r, g, b)`` resized bilinearly to the ``size`` of ``pan(aoi, pan)`` and sharpened; values in [0, 1]."""
-    names = ["r", "g", "b"]
-
-    def run(batches):
-        for frame in batches:
-            out = {c: [kernels.resize(kernels.image(p, h, w), size, size, "bilinear").reshape(-1) for p, h, w in zip(frame[c], frame["h"], frame["w"], strict=True)] for c in names}
-            yield pd.DataFrame({"aoi": frame["aoi"], **out})
-
-    kind = rgb.schema["aoi"].dataType.simpleString()
-    wide = rgb.select("aoi", "h", "w", *names).mapInPandas(run, f"aoi {kind}, r array<double>, g array<double>, b array<double>")
-    return pansharpen(wide.join(pan, "aoi"))
+    wide = weights.resized(rgb.select("aoi", "h", "w", "r", "g", "b"), size, size, "bilinear", ("r", "g", "b"))
+    return pansharpen(wide.select("aoi", "r", "g", "b").join(pan, "aoi"))

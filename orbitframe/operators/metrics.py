@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from ..functions import geo
+from . import weights
 from .catalogue import histogram
 from .images import crop
 
@@ -44,21 +45,59 @@ def psnr(mse: Column) -> Column:
 
 def metric_log(paired: DataFrame, keys: list[str]) -> DataFrame:
     """One row per item: MSE, MAE, TV, PSNR over its bands and pixels, from one pass and one aggregation."""
-    own = paired.select(*keys, absolute_error(F.col("pred"), F.col("truth")).alias("ae"), squared_error(F.col("pred"), F.col("truth")).alias("se"), variation(F.col("pred"), F.col("h"), F.col("w")).alias("tv"), F.size("pred").alias("n"))
-    out = own.groupBy(*keys).agg((F.sum("se") / F.sum("n")).alias("MSE"), (F.sum("ae") / F.sum("n")).alias("MAE"), F.avg("tv").alias("TV"))
+    p, t = F.col("pred"), F.col("truth")
+    own = paired.select(*keys, absolute_error(p, t).alias("ae"), squared_error(p, t).alias("se"), variation(p, F.col("h"), F.col("w")).alias("tv"), F.size("pred").alias("n"))
+    return _log(own, keys)
+
+
+def _log(own: DataFrame, keys: list[str]) -> DataFrame:
+    more = [F.avg("sl").alias("SSIM_loss")] if "sl" in own.columns else []
+    out = own.groupBy(*keys).agg((F.sum("se") / F.sum("n")).alias("MSE"), (F.sum("ae") / F.sum("n")).alias("MAE"), F.avg("tv").alias("TV"), *more)
     return out.withColumn("PSNR", psnr(F.col("MSE")))
 
 
-def ssim(paired: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
-    """``(keys, SSIM_loss)``, mean over bands."""
-    def run(batches):
-        for frame in batches:
-            loss = [kernels.ssim_loss(kernels.image(p, h, w), kernels.image(t, h, w), size) for p, t, h, w in zip(frame["pred"], frame["truth"], frame["h"], frame["w"], strict=True)]
-            yield frame[keys].assign(loss=np.array(loss, float))
+def ssim_losses(p: np.ndarray, t: np.ndarray, size: int = 5, top: float = 1.0) -> np.ndarray:
+    """Of stacks of images (n, h, w), the mean of clamp((1 - ssim) / 2, 0, 1) over a Gaussian window with reflected borders."""
+    taps, r = weights.gaussian(size), size // 2
+    c1, c2 = (0.01 * top) ** 2, (0.03 * top) ** 2
+
+    def blur(a):
+        h, w = a.shape[1:]
+        rows = np.pad(a, [(0, 0), (r, r), (r, r)], mode="reflect")
+        rows = sum(k * rows[:, i : i + h] for i, k in enumerate(taps))
+        return sum(k * rows[:, :, i : i + w] for i, k in enumerate(taps))
+
+    mp, mt = blur(p), blur(t)
+    means = mp * mp + mt * mt
+    ssim_ = (2 * mp * mt + c1) * (2 * (blur(p * t) - mp * mt) + c2) / ((means + c1) * (blur(p * p + t * t) - means + c2) + 1e-12)
+    return np.clip((1 - ssim_) / 2, 0, 1).mean(axis=(1, 2))
+
 
+def ssim_log(paired: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
+    """``metric_log`` with SSIM_loss, also from one pass and one aggregation. A window's sums are array work, which Spark's lambdas do
+    pixel by pixel; Arrow batches of equally large images do it at once. Images are larger than half a window."""
     kinds = {f.name: f.dataType.simpleString() for f in paired.schema}
-    made = paired.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", loss double")
-    return made.groupBy(*keys).agg(F.avg("loss").alias("SSIM_loss"))
+    out = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ae double, se double, tv double, n int, sl double"
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            h, w = (table.column(c).to_numpy() for c in ("h", "w"))
+            for a, b in sorted(set(zip(h.tolist(), w.tolist(), strict=True))):
+                at = np.flatnonzero((h == a) & (w == b))
+                own = table.take(at)
+                p, t = (np.stack(own.column(c).to_numpy()).astype(float).reshape(len(at), a, b) for c in ("pred", "truth"))
+                tv = (np.abs(np.diff(p, axis=1)).sum(axis=(1, 2)) + np.abs(np.diff(p, axis=2)).sum(axis=(1, 2))) / (a * b)
+                sums = [np.abs(p - t).sum(axis=(1, 2)), ((p - t) ** 2).sum(axis=(1, 2)), tv, np.full(len(at), a * b, np.int32), ssim_losses(p, t, size)]
+                made = pa.table([*[own.column(k) for k in keys], *map(pa.array, sums)], names=[*keys, "ae", "se", "tv", "n", "sl"])
+                yield from made.to_batches()
+
+    return _log(paired.select(*keys, "h", "w", "pred", "truth").mapInArrow(run, out), keys)
+
+
+def ssim(paired: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
+    """``(keys, SSIM_loss)``, mean over bands."""
+    return ssim_log(paired, keys, size).select(*keys, "SSIM_loss")
 
 
 def bias_adjust(paired: DataFrame) -> DataFrame:
@@ -85,6 +124,51 @@ def registered_loss(paired: DataFrame, keys: list[str], shift: int, metric: str
     return every.groupBy(*keys).agg(least).select(*keys, "m.loss", "m.dx", "m.dy")
 
 
+def subpixel_loss(paired: DataFrame, keys: list[str], shift: int = 2, step: float = 0.5, lobes: int = 3) -> DataFrame:
+    """``(keys, loss, dx, dy)``: the least mean squared error of the prediction's centre against the truth moved by multiples of
+    ``step`` pixels up to ``shift`` each way by a Lanczos kernel, and the move; ties go to the smaller dy, then dx.
+
+    The truth is resampled along its rows only, once for each dx. A move by dy is a weighted sum of the result's rows, so its error
+    follows from sums of products: of the prediction with the rows at each distance, and of the rows at any two distances.
+    The centre is what the kernel reaches from everywhere, ``shift + lobes`` pixels from the borders; smaller images have no row."""
+    r = shift + lobes
+    moves = [k * step - shift for k in range(int(round(2 * shift / step)) + 1)]
+    table = F.array(*[F.array(*[F.lit(v) for v in weights.lanczos(d, r, lobes)]) for d in moves])
+    taps, h, w = 2 * r + 1, F.col("h"), F.col("w")
+    wide, n = w - 2 * r, (w - 2 * r) * (h - 2 * r)
+
+    def dot(a, b):
+        return _total(F.zip_with(a, b, lambda x, y: x * y))
+
+    def rows(truth, d):
+        return F.transform(F.sequence(F.lit(0), h * wide - 1), lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(taps - 1)), F.lit(0.0), lambda a, o: a + F.get(d, o) * F.get(truth, (F.floor(i / wide) * w + i % wide + 2 * r - o).cast("int"))))
+
+    def errors(centre, truth, d, at):
+        def moved(u):
+            # The rows at distance o from the centre's lie one after another.
+            part = [F.slice(u, ((2 * r - o) * wide + 1).cast("int"), n.cast("int")) for o in range(taps)]
+            sums = F.struct(dot(centre, centre).alias("pp"), F.array(*[dot(centre, p) for p in part]).alias("x"), F.array(*[F.array(*[dot(part[i], part[j]) for j in range(i + 1)]) for i in range(taps)]).alias("a"))
+
+            def losses(m):
+                def one(k, at_y):
+                    cross = _total(F.zip_with(k, m["x"], lambda a, b: a * b))
+                    inner = _total(F.transform(m["a"], lambda line, i: F.get(k, i) * _total(F.transform(line, lambda v, j: v * F.get(k, j) * F.when(i == j, 1.0).otherwise(2.0)))))
+                    return F.struct((at * step - shift).alias("dx"), (at_y * step - shift).alias("dy"), (m["pp"] - 2 * cross + inner).alias("e"))
+
+                return F.transform(table, one)
+
+            return geo.let(sums, losses)
+
+        return geo.let(rows(truth, d), moved)
+
+    held = paired.filter((h > 2 * r) & (w > 2 * r))
+    centre = crop(F.col("pred"), w, F.lit(r), F.lit(r), wide, h - 2 * r)
+    found = geo.let(F.struct(centre.alias("c"), F.col("truth").alias("t")), lambda m: F.flatten(F.transform(table, lambda d, at: errors(m["c"], m["t"], d, at))))
+    every = held.select(*keys, n.alias("n"), F.inline(found))
+    summed = every.groupBy(*keys, "dx", "dy").agg((F.sum("e") / F.sum("n")).alias("loss"))
+    return summed.groupBy(*keys).agg(F.min(F.struct("loss", "dy", "dx")).alias("m")).select(*keys, "m.loss", "m.dx", "m.dy")
+
+
 def baseline_compare(model: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Join two metric logs: the baseline's MSE and PSNR and the ratio of PSNRs, baseline over model."""
     other = baseline.select(*keys, F.col("MSE").alias("baseline_MSE"), F.col("PSNR").alias("baseline_PSNR"))
@@ -95,7 +179,7 @@ def full_metric_log(paired: DataFrame, baseline: DataFrame, keys: list[str], by:
     """One row per item: MSE, MAE, SSIM_loss, TV, PSNR and, from pairs of a baseline's images keyed ``by``, baseline_MSE and
     baseline_PSNR."""
     other = metric_log(baseline, by).select(*by, F.col("MSE").alias("baseline_MSE"), F.col("PSNR").alias("baseline_PSNR"))
-    return metric_log(paired, keys).join(ssim(paired, keys), keys).join(other, by)
+    return ssim_log(paired, keys).join(other, by)
 
 
 def weighted_loss(log: DataFrame, mse: float = 1.0, mae: float = 0.0, ssim_weight: float = 0.0, tv: float = 0.0) -> DataFrame:
@@ -117,14 +201,4 @@ def loss_histogram(log: DataFrame, column: str = "loss", bins: int = 10) -> Data
 
 def overlap_area_rings(df: DataFrame, ring: str = "coordinates", bounds: str = "bounds") -> DataFrame:
     """Add ``area``: a footprint polygon's part within the bounds, km2 to two decimals; for footprints that aren't boxes."""
-    @F.pandas_udf("double")
-    def common(rings: pd.Series, boxes: pd.DataFrame) -> pd.Series:
-        out = []
-        for r, b in zip(rings, boxes.itertuples(index=False), strict=True):
-            part = kernels.ring_overlap([(p["lon"], p["lat"]) for p in r] if r is not None else [], (b.lon_min, b.lat_min, b.lon_max, b.lat_max))
-            out.append(kernels.ring_area_km2(part))
-        return pd.Series(out)
-
-    return df.withColumn("area", F.round(common(F.col(ring), F.col(bounds)), 2))
-
-
+    return df.withColumn("area", geo.ring_overlap_km2(F.col(ring), F.col(bounds)))

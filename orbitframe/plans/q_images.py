@@ -180,12 +180,23 @@ def p06(s, d):
     return out.select("aoi", "pos", F.round("p.r", 6).alias("r"), F.round("p.b", 6).alias("b"))
 
 
-@query("p07_pansharpen_resized")
+def _resample_sql(name: str, m: int, mode: str, n: int = 8) -> str:
+    """A table (o, f, w): how much pixel f of n counts for pixel o of m, when enlarging."""
+    t = f"abs(j - ((o + 0.5::DOUBLE) * {n} / {m} - 0.5::DOUBLE))"
+    shape = f"greatest(0, 1 - {t})"
+    if mode == "bicubic":
+        shape = f"CASE WHEN {t} <= 1 THEN 1.25::DOUBLE * power({t}, 3) - 2.25::DOUBLE * power({t}, 2) + 1 WHEN {t} < 2 THEN -0.75::DOUBLE * (power({t}, 3) - 5 * power({t}, 2) + 8 * {t} - 4) ELSE 0 END"
+    return f"{name}0 AS (SELECT o, least(greatest(j, 0), {n - 1}) AS f, {shape} AS v FROM range(0, {m}) a(o), range(-3, {n + 3}) b(j)), {name} AS (SELECT o, f, sum(v) / sum(sum(v)) OVER (PARTITION BY o) AS w FROM {name}0 WHERE v <> 0 GROUP BY o, f)"
+
+
+@query("p07_pansharpen_resized", "pixel", WIDE + f""", {_resample_sql('rs', 16, 'bilinear')}, pn AS (SELECT aoi, yy * 16 + xx AS pos, pan FROM wd, range(0, 16) a(yy), range(0, 16) b(xx) WHERE pos = yy // 2 * 8 + xx // 2),
+ up AS (SELECT aoi, y.o * 16 + x.o AS pos, sum(y.w * x.w * r) AS r, sum(y.w * x.w * g) AS g, sum(y.w * x.w * b) AS b FROM wd JOIN rs y ON y.f = pos // 8 JOIN rs x ON x.f = pos % 8 GROUP BY ALL)
+ SELECT aoi, pos::INTEGER AS pos, round(CASE WHEN greatest(r, g, b) > 0 THEN r / greatest(r, g, b) * pan ELSE pan END / pi(), 6) AS v FROM up JOIN pn USING (aoi, pos)""")
 def p07(s, d):
     w = wide(s, d)
     pan = chips.resize_nearest(w.select("aoi", "h", "w", F.col("pan").alias("pixels")), 16, 16).select("aoi", F.col("pixels").alias("pan"))
     out = chips.pansharpen_resized(w, pan, 16)
-    return out.select("aoi", F.posexplode("r").alias("pos", "v")).withColumn("v", F.round("v", 6))
+    return out.select("aoi", F.posexplode("r").alias("pos", "v")).withColumn("v", F.round(F.col("v") / F.pi(), 6))
 
 
 @query("p08_to_8bit", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, pos::INTEGER AS pos, floor(least(greatest(dn / 10000.0::DOUBLE, 0), 1) * 255)::INTEGER AS v FROM px")
@@ -203,11 +214,21 @@ def p10(s, d):
     return _long(chips.resize_nearest(A.chip(s, d), 12, 12), "aoi", "revisit")
 
 
-@query("p10_resize_bilinear")
+RESIZED = "(y.o * 12 + x.o)::INTEGER AS pos, round(sum(y.w * x.w * {0}){1}, 6) AS v FROM px JOIN rs y ON y.f = y JOIN rs x ON x.f = x GROUP BY aoi, revisit, y.o, x.o"
+
+
+@query("p10_resize_bilinear", "pixel", f"{P}, {_resample_sql('rs', 12, 'bilinear')} SELECT aoi, revisit::INTEGER AS revisit, {RESIZED.format('dn', '')}")
 def p10b(s, d):
     return _long(chips.resize(A.chip(s, d), 12, 12, "bilinear"), "aoi", "revisit", digits=6)
 
 
+#: Cubic weights are short binary fractions, so values could lie on a rounding border; over pi none does.
+@query("p10_resize_bicubic", "pixel", f"{P}, {_resample_sql('rs', 12, 'bicubic')} SELECT aoi, revisit::INTEGER AS revisit, {RESIZED.format('least(greatest(dn / 10000.0::DOUBLE, 0), 1)', ' / pi()')}")
+def p10c(s, d):
+    out = chips.resize(images.radiometric_scale(A.chip(s, d)), 12, 12, "bicubic")
+    return _long(out.withColumn("pixels", F.transform("pixels", lambda v: v / F.pi())), "aoi", "revisit", digits=6)
+
+
 DRAW = "('0x' || substr(md5('42-' || aoi), {}, {}))::INTEGER"
 
 
@@ -237,9 +258,18 @@ def p14(s, d):
     return _long(chips.shift_image(A.chip(s, d), 2, -1), "aoi", "revisit")
 
 
-@query("p15_lanczos_shift")
+def _lanczos_sql(name: str, moves: str, reach: int, lobes: int) -> str:
+    """A table (d, o, w): the normalised tap at distance o of the kernel that moves by d."""
+    x = "(o - d + 0.001::DOUBLE)"
+    return f"{name}0 AS (SELECT d, o, CASE WHEN abs({x}) < {lobes} THEN {lobes} * sin(pi() * {x}) * sin(pi() * {x} / {lobes}) / power(pi() * {x}, 2) ELSE 0 END AS v FROM (SELECT unnest([{moves}]::DOUBLE[]) AS d), range({-reach}, {reach + 1}) t(o)), {name} AS (SELECT d, o, v / sum(v) OVER (PARTITION BY d) AS w FROM {name}0)"
+
+
+LANCZOS = f"{P}, {_lanczos_sql('lk', '0.5, -0.25', 3, 3)}, lr AS (SELECT d, c, CASE WHEN c - o < 0 THEN o - c WHEN c - o > 7 THEN 14 - c + o ELSE c - o END AS f, w FROM lk, range(0, 8) t(c))"
+
+
+@query("p15_lanczos_shift", "pixel", LANCZOS + " SELECT aoi, revisit::INTEGER AS revisit, (y.c * 8 + x.c)::INTEGER AS pos, round(sum(y.w * x.w * least(greatest(dn / 10000.0::DOUBLE, 0), 1)), 6) AS v FROM px JOIN lr y ON y.f = px.y AND y.d = -0.25 JOIN lr x ON x.f = px.x AND x.d = 0.5 GROUP BY aoi, revisit, y.c, x.c")
 def p15(s, d):
-    return _long(chips.lanczos_shift(A.chip(s, d), 0.5, -0.25), "aoi", "revisit", digits=6)
+    return _long(chips.lanczos_shift(images.radiometric_scale(A.chip(s, d)), 0.5, -0.25), "aoi", "revisit", digits=6)
 
 
 @query("p16_reference_frame", "pixel", P + " SELECT aoi, pos::INTEGER AS pos, quantile_disc(dn, 0.5) AS v FROM px GROUP BY aoi, pos")
@@ -260,18 +290,29 @@ def p18(s, d):
     return out.select("aoi", "revisit", "band", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query("p19_baseline_upscale")
+@query("p19_baseline_upscale", "pixel", f"""{P}, {STATS}, {_resample_sql('rs', 16, 'bicubic')}, bk AS (SELECT aoi, revisit AS band, y, x, dn / 10000.0::DOUBLE * std + mean AS v FROM px JOIN stt ON revisit = stt.band WHERE revisit IN (2, 3, 4)),
+ lt AS (SELECT aoi, band, y, x, least(greatest(v / max(v) OVER (PARTITION BY aoi), 0), 1) AS v FROM bk)
+ SELECT aoi, band::INTEGER AS band, (y.o * 16 + x.o)::INTEGER AS pos, round(sum(y.w * x.w * v), 6) AS v FROM lt JOIN rs y ON y.f = lt.y JOIN rs x ON x.f = lt.x GROUP BY aoi, band, y.o, x.o""")
 def p19(s, d):
     c = A.chip(s, d).filter("revisit <= 4").withColumns({"band": F.col("revisit"), "revisit": F.lit(1)}).drop("mask")
     c = c.withColumn("pixels", F.transform("pixels", lambda v: v / 10000))
     return _long(chips.baseline_upscale(c, images.stats_table(c), 16), "aoi", "band", digits=6)
 
 
-@query("p20_map_chips")
+@query("p20_map_chips", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, ((7 - y) * 8 + x)::INTEGER AS pos, (dn * 2)::DOUBLE AS v FROM px")
 def p20(s, d):
     return _long(chips.map_chips(A.chip(s, d).drop("mask"), lambda a: a[::-1] * 2), "aoi", "revisit", digits=6)
 
 
+@query("p20_map_chips_to_rows", "pixel", P + " SELECT aoi, revisit::INTEGER AS revisit, y, sum(dn)::DOUBLE AS total, arg_max(x, dn - x / 100.0::DOUBLE)::INTEGER AS brightest FROM px GROUP BY aoi, revisit, y HAVING sum(dn) > 0")
+def p20b(s, d):
+    """Rows of an image with a positive sum: the sum and the first brightest column."""
+    def lines(a):
+        return [(y, float(line.sum()), int(line.argmax())) for y, line in enumerate(a) if line.sum() > 0]
+
+    return chips.map_chips(A.chip(s, d), lines, "y int, total double, brightest int", keep=("aoi", "revisit"))
+
+
 KEYS = ["aoi", "revisit"]
 
 
@@ -331,6 +372,14 @@ def m07(s, d):
     return metrics.registered_loss(paired(s, d), KEYS, 1).withColumn("loss", F.round("loss", 6))
 
 
+@query("m07_subpixel_loss", "pixel", SCALED + f""", {_lanczos_sql('lk', '-1, -0.5, 0, 0.5, 1', 3, 2)}, ax AS (SELECT aoi, revisit, d AS dx, y, c AS x, sum(w * t) AS t FROM pr, lk, range(3, 5) r(c) WHERE x = c - o GROUP BY ALL),
+ ay AS (SELECT aoi, revisit, dx, d AS dy, c AS y, x, sum(w * t) AS t FROM ax, lk, range(3, 5) r(c) WHERE y = c - o GROUP BY ALL),
+ ls AS (SELECT aoi, revisit, dx, dy, avg(power(p - m.t, 2)) AS loss FROM ay m JOIN pr USING (aoi, revisit, y, x) GROUP BY ALL)
+ SELECT aoi, revisit::INTEGER AS revisit, round(min(loss), 6) AS loss, arg_min(dx, loss) AS dx, arg_min(dy, loss) AS dy FROM ls GROUP BY aoi, revisit""")
+def m07b(s, d):
+    return metrics.subpixel_loss(paired(s, d), KEYS, 1, 0.5, 2).withColumn("loss", F.round("loss", 6))
+
+
 @query("m08_baseline_compare", "pixel", LOG + " SELECT a.aoi, round(b.mse, 6) AS baseline_MSE, round(b.psnr / a.psnr, 6) AS ratio FROM lg a JOIN lg b ON a.aoi = b.aoi AND a.revisit = 2 AND b.revisit = 3")
 def m08(s, d):
     m = log(s, d)
@@ -363,9 +412,31 @@ def m12(s, d):
     return metrics.loss_histogram(log(s, d), "MSE").select("bin", "count")
 
 
-@query("g08_ring_overlap")
+def _clip_sql() -> str:
+    """Points of a notched footprint, cut by the four sides of the area in turn."""
+    corners = [("f_lon_min", "f_lat_min"), ("f_lon_min", "f_lat_max"), ("(f_lon_min + f_lon_max) / 2", "(f_lat_min + f_lat_max) / 2"), ("f_lon_max", "f_lat_max"), ("f_lon_max", "f_lat_min")]
+    points = ", ".join(f"{{'k': {k}, 'lon': {x}, 'lat': {y}}}" for k, (x, y) in enumerate(corners))
+    text = f"c0 AS (SELECT product_id, lon_min, lat_min, lon_max, lat_max, p.k AS k, p.lon AS lon, p.lat AS lat FROM (SELECT product_id, lon_min, lat_min, lon_max, lat_max, unnest([{points}]) AS p FROM revisit JOIN aoi USING (aoi_index)))"
+    for i, (axis, limit, sign) in enumerate((("lon", "lon_min", 1), ("lon", "lon_max", -1), ("lat", "lat_min", 1), ("lat", "lat_max", -1))):
+        lag = {a: f"coalesce(lag({a}) OVER w, last_value({a}) OVER (PARTITION BY product_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))" for a in ("lon", "lat")}
+        f = f"(({limit} - q{axis}) / ({axis} - q{axis}))"
+        text += f""", d{i} AS (SELECT *, {lag['lon']} AS qlon, {lag['lat']} AS qlat FROM c{i} WINDOW w AS (PARTITION BY product_id ORDER BY k)),
+ c{i + 1} AS (SELECT product_id, lon_min, lat_min, lon_max, lat_max, row_number() OVER (PARTITION BY product_id ORDER BY k, part) AS k, lon, lat FROM (
+  SELECT * EXCLUDE (qlon, qlat), 1 AS part FROM d{i} WHERE {sign} * ({axis} - {limit}) >= 0 UNION ALL
+  SELECT product_id, lon_min, lat_min, lon_max, lat_max, k, qlon + {f} * (lon - qlon), qlat + {f} * (lat - qlat), 0 FROM d{i} WHERE ({sign} * ({axis} - {limit}) >= 0) <> ({sign} * (q{axis} - {limit}) >= 0)))"""
+    nodes = ", ".join(f"({x!r}::DOUBLE, {w!r}::DOUBLE)" for x, w in zip(geo.NODES, geo.NODE_WEIGHTS, strict=True))
+    return text + f""", nd(x, w) AS (VALUES {nodes}), e AS (SELECT product_id, lon, lat, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS nlon, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS nlat FROM c4 WINDOW w AS (PARTITION BY product_id ORDER BY k)),
+ ar AS (SELECT product_id, abs(sum(radians(nlon - lon) / 2 * w * zone((lat + nlat) / 2 + (nlat - lat) / 2 * x))) / 1000000 AS area FROM e, nd GROUP BY product_id)
+ SELECT product_id, round(coalesce(area, 0), 2) AS area FROM (SELECT product_id FROM revisit) LEFT JOIN ar USING (product_id)"""
+
+
+@query("g08_ring_overlap", "aoi revisit", _clip_sql())
 def g08b(s, d):
+    """Footprints with a notch from their northern side to the middle."""
     aois = A.aoi(s, d).select("aoi_index", "bounds")
-    joined = A.revisit(s, d).join(aois, "aoi_index").withColumn("coordinates", geo.ring(F.col("footprint"), closed=True))
-    return metrics.overlap_area_rings(joined).select("product_id", "area")
-
+    joined = A.revisit(s, d).join(aois, "aoi_index")
+    f = F.col("footprint")
+    notch = F.struct(*[((f[f"{k}_min"] + f[f"{k}_max"]) / 2).alias(k) for k in ("lon", "lat")])
+    corners = geo.ring(f)
+    ring = F.concat(F.slice(corners, 1, 2), F.array(notch), F.slice(corners, 3, 2))
+    return metrics.overlap_area_rings(joined.withColumn("coordinates", ring)).select("product_id", "area")

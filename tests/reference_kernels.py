@@ -1,10 +1,10 @@
-"""Numpy kernels on single images, run inside Arrow batches."""
+"""Numpy forms of resizing, shifts, windows and clipping, one image at a time, that the library's columns are held against."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from ..functions.geo import ECCENTRICITY, MINOR
+from orbitframe.functions.geo import ECCENTRICITY, MINOR
 
 #: Gauss-Legendre nodes and weights for the area below a side.
 NODES, WEIGHTS = np.polynomial.legendre.leggauss(8)

@@ -4,11 +4,13 @@ import math
 
 import numpy as np
 import pytest
+import reference_kernels as kernels
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geo
-from orbitframe.operators import catalogue, chips, images, integrity, kernels, metrics, orders, raster, rebalance, sampling, selection, stratify
+from orbitframe.operators import catalogue, chips, images, integrity, metrics, orders, raster, rebalance, sampling, selection, stratify
 from orbitframe.plans import adapters as A
+from orbitframe.plans import queries
 from orbitframe.sources import files, points
 
 DATA = "/root/testdata/sf0.001"
@@ -231,3 +233,102 @@ def test_weighted_loss_weights(spark):
     assert metrics.weighted_loss(log, 0.5, 0.5, tv=1.0).first().loss == 1.375
     with pytest.raises(ValueError):
         metrics.weighted_loss(log, 0.5)
+
+
+def as_chips(spark, images):
+    rows = [(k, 1, *a.shape, a.reshape(-1).tolist()) for k, a in enumerate(images)]
+    return spark.createDataFrame(rows, "aoi int, band int, h int, w int, pixels array<double>")
+
+
+def arrays(df):
+    return {r.aoi: np.array(r.pixels).reshape(r.h, r.w) for r in df.collect()}
+
+
+@pytest.mark.parametrize("mode", ["bilinear", "bicubic"])
+@pytest.mark.parametrize("size", [(12, 12), (3, 5), (7, 16), (8, 6), (1, 1)])
+def test_resize_equals_the_matrix_form(spark, mode, size):
+    rng = np.random.default_rng(4)
+    images_ = [rng.random((8, 6)), rng.random((5, 9)), rng.random((8, 6)), np.full((2, 2), 3.0)]
+    got = arrays(chips.resize(as_chips(spark, images_), *size, mode))
+    assert all(np.allclose(got[k], kernels.resize(a, *size, mode)) for k, a in enumerate(images_))
+
+
+def test_resize_of_unknown_kind_and_of_nothing(spark):
+    with pytest.raises(ValueError):
+        chips.resize(as_chips(spark, [np.ones((2, 2))]), 3, 3, "cubic")
+    assert chips.resize(as_chips(spark, [np.ones((2, 2))]).limit(0), 3, 3).count() == 0
+
+
+@pytest.mark.parametrize("dx,dy", [(0, 0), (0.5, -0.25), (1.75, 2), (-2.5, 0.4)])
+def test_lanczos_shift_equals_the_padded_form(spark, dx, dy):
+    rng = np.random.default_rng(6)
+    images_ = [rng.random((9, 7)), rng.random((6, 11))]
+    got = arrays(chips.lanczos_shift(as_chips(spark, images_), dx, dy))
+    assert all(np.allclose(got[k], kernels.lanczos_shift(a, dx, dy)) for k, a in enumerate(images_))
+
+
+def test_subpixel_registration_equals_resampling_and_finds_a_half_pixel(spark):
+    rng = np.random.default_rng(7)
+    y, x = np.mgrid[0:20, 0:18]
+
+    def scene(dx, dy):
+        return np.sin((x - dx) / 3) + np.cos((y - dy) / 2.5) + 0.3 * np.sin((x - dx + y - dy) / 4)
+
+    noise = rng.random((2, 20, 18))
+    pred, truth = as_chips(spark, [scene(0, 0), noise[0]]), as_chips(spark, [scene(0.5, -1), noise[1]])
+    found = {r.aoi: r for r in metrics.subpixel_loss(metrics.pairs(pred, truth, ["aoi"]), ["aoi"], 2).collect()}
+    assert (found[0].dx, found[0].dy) == (-0.5, 1.0) and found[0].loss < 1e-3
+
+    def tap(o, d):
+        v = o - d + 1e-3
+        return 3 * math.sin(math.pi * v) * math.sin(math.pi * v / 3) / (math.pi * v) ** 2 if abs(v) < 3 else 0.0
+
+    best = None
+    for dy, dx in [(a / 2, b / 2) for a in range(-4, 5) for b in range(-4, 5)]:
+        ky, kx = (np.array([tap(o, d) for o in range(-5, 6)]) for d in (dy, dx))
+        moved = sum(ky[i] / ky.sum() * kx[j] / kx.sum() * noise[1][10 - i : 20 - i, 10 - j : 18 - j] for i in range(11) for j in range(11))
+        best = min(best or (9, 0, 0), (((noise[0][5:15, 5:13] - moved) ** 2).mean(), dy, dx))
+    assert np.allclose((found[1].loss, found[1].dy, found[1].dx), best)
+
+
+def test_subpixel_registration_of_small_images_has_no_row(spark):
+    pair = metrics.pairs(*[as_chips(spark, [np.ones((10, 10))])] * 2, ["aoi"])
+    assert metrics.subpixel_loss(pair, ["aoi"], 2).count() == 0
+
+
+def test_ssim_of_mixed_sizes(spark):
+    rng = np.random.default_rng(8)
+    a, b = ([rng.random((6, 9)), rng.random((5, 5)), rng.random((6, 9))] for _ in range(2))
+    got = {r.aoi: r for r in metrics.ssim_log(metrics.pairs(as_chips(spark, a), as_chips(spark, b), ["aoi"]), ["aoi"]).collect()}
+    plain = {r.aoi: r for r in metrics.metric_log(metrics.pairs(as_chips(spark, a), as_chips(spark, b), ["aoi"]), ["aoi"]).collect()}
+    for k in range(3):
+        assert abs(got[k].SSIM_loss - kernels.ssim_loss(a[k], b[k])) < 1e-9
+        assert all(abs(got[k][m] - plain[k][m]) < 1e-9 for m in ("MSE", "MAE", "TV", "PSNR"))
+
+
+def test_concave_and_odd_rings(spark):
+    box = (10.0, 20.0, 12.0, 21.0)
+    rings = [
+        [(9, 19), (9, 22), (11, 20.5), (13, 22), (13, 19)], [(9, 20.2), (13, 20.2), (13, 20.4), (9.5, 20.4), (9.5, 20.6), (13, 20.6), (13, 20.8), (9, 20.8)],
+        [(11, 19), (13, 20.5), (11, 22), (9, 20.5), (11, 19)], [(10.5, 20.2), (10.5, 20.8), (11.5, 20.8)], [(0, 0), (1, 0), (1, 1)], [(11, 20.5)], [], [(10, 20), (10, 21), (12, 21), (12, 20)],
+    ]
+    rows = [(i, [(float(x), float(y)) for x, y in r], box) for i, r in enumerate(rings)] + [(99, None, box)]
+    df = spark.createDataFrame(rows, f"k int, coordinates {geo.RING}, bounds struct<lon_min:double,lat_min:double,lon_max:double,lat_max:double>")
+    got = {r.k: r.area for r in metrics.overlap_area_rings(df).collect()}
+    assert got.pop(99) == 0
+    assert all(abs(got[i] - round(kernels.ring_area_km2(kernels.ring_overlap(r, box)), 2)) < 0.011 for i, r in enumerate(rings))
+
+
+def test_map_chips_to_any_number_of_rows(spark):
+    df = as_chips(spark, [np.array([[1.0, 2.0], [3.0, 4.0]]), np.zeros((1, 1)), np.ones((3, 1))])
+    out = chips.map_chips(df, lambda a: [(int(i), float(v)) for i, v in enumerate(a.sum(axis=1)) if v], "line int, total double", keep=("aoi",))
+    assert out.columns == ["aoi", "line", "total"] and sorted(map(tuple, out.collect())) == [(0, 0, 3.0), (0, 1, 7.0), (2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
+    assert chips.map_chips(df, lambda a: [], "line int").count() == 0
+    turned = arrays(chips.map_chips(df, lambda a: a.T))
+    assert turned[2].shape == (1, 3)
+
+
+def test_image_queries_need_no_python_workers(spark):
+    for name in ("p07_pansharpen_resized", "p10_resize_bicubic", "p15_lanczos_shift", "p19_baseline_upscale", "m07_subpixel_loss", "g08_ring_overlap"):
+        text = plan(queries.QUERIES[name](spark, DATA))
+        assert "Python" not in text and "InArrow" not in text, name
