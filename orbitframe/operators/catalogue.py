@@ -6,24 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import cells
 
 S2_DOC = "struct<id:string,properties:struct<datetime:string,`eo:cloud_cover`:double>,geometry:struct<type:string,coordinates:array<array<array<array<double>>>>>>"
 SPOT_DOC = "struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<id:string,acquisitionDate:string,cloudCover:double,incidenceAngle:double,azimuthAngle:double,illuminationAzimuthAngle:double,illuminationElevationAngle:double,resolution:double>,_links:struct<quicklook:struct<href:string>,thumbnail:struct<href:string>>>"
 
 
-def _cells(b: Column, size: float) -> tuple[Column, Column]:
-    def steps(low: str, high: str) -> Column:
-        return F.sequence(F.floor(b[low] / size), F.floor(b[high] / size))
-
-    return steps("lon_min", "lon_max"), steps("lat_min", "lat_max")
-
-
 def search_catalogue(aois: DataFrame, scenes: DataFrame, start: str = "2017-01-01", end: str | None = None, max_cloud: float | None = None, inclusive: bool = False, max_incidence: float | None = None, cell: float = 1.0) -> DataFrame:
     """Scenes whose ``footprint`` box meets the ``bounds`` of an area: the scene's columns and ``aoi_index``.
 
     Time, cloud and incidence limits are plain predicates on the scenes, so they reach the scan. The overlap is an
     equi-join on grid cells of ``cell`` degrees that both boxes cover; each pair counts in one cell only, the one
-    that holds the south-west corner of the common part, so no distinct follows. Boxes that touch meet."""
+    that holds the south-west corner of the common part, so no distinct follows. Boxes that touch meet. Where rows are dense,
+    cells are quartered down to the size of the boxes, and what is still too full is dealt in shares (``cells.plan_grid``). Boxes
+    may pass 180 degrees, by an end beyond it or by a west end east of the east end."""
     cloud = F.col("cloud_cover")
     kept = scenes.filter(F.col("datetime") >= F.lit(start).cast("timestamp"))
     if end is not None:
@@ -33,16 +29,14 @@ def search_catalogue(aois: DataFrame, scenes: DataFrame, start: str = "2017-01-0
     if max_incidence is not None:
         kept = kept.filter(F.col("incidence") <= max_incidence)
 
-    def covered(df, box):
-        x, y = _cells(F.col(box), cell)
-        return df.withColumn("cell_x", F.explode(x)).withColumn("cell_y", F.explode(y))
-
-    left = covered(aois.select("aoi_index", F.col("bounds").alias("aoi_bounds")), "aoi_bounds")
-    right = covered(kept, "footprint")
-    a, s = F.col("aoi_bounds"), F.col("footprint")
-    meets = (a["lon_min"] <= s["lon_max"]) & (s["lon_min"] <= a["lon_max"]) & (a["lat_min"] <= s["lat_max"]) & (s["lat_min"] <= a["lat_max"])
-    own = (F.floor(F.greatest(a["lon_min"], s["lon_min"]) / cell) == F.col("cell_x")) & (F.floor(F.greatest(a["lat_min"], s["lat_min"]) / cell) == F.col("cell_y"))
-    return left.join(right, ["cell_x", "cell_y"]).filter(meets & own).drop("cell_x", "cell_y", "aoi_bounds")
+    # The scene's columns go by number through the join, so that none meets the names used there.
+    names = [f"c{i}" for i in range(len(scenes.columns))]
+    left = cells.parts(aois.select("aoi_index", F.col("bounds").alias("_a")), "_a", "_a")
+    right = cells.parts(kept.toDF(*names), names[scenes.columns.index("footprint")], "_b")
+    grid = cells.plan_grid(left, right, ("_a", "_b"), cell, cells.sizes(aois, scenes))
+    met = cells.covered(left, "_a", grid, 0).drop("_level", "_x", "_y").join(cells.covered(right, "_b", grid, 1), cells.KEY)
+    found = met.filter(cells.counts_here("_a", "_b", cell))
+    return found.select("aoi_index", *[F.col(n).alias(c) for n, c in zip(names, scenes.columns, strict=True) if c != "aoi_index"])
 
 
 def _ring(points: Column) -> Column:

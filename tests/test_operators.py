@@ -8,7 +8,7 @@ import reference_kernels as kernels
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geo
-from orbitframe.operators import catalogue, chips, images, integrity, metrics, orders, raster, rebalance, sampling, selection, stratify
+from orbitframe.operators import catalogue, cells, chips, images, integrity, metrics, orders, raster, rebalance, sampling, selection, stratify
 from orbitframe.plans import adapters as A
 from orbitframe.plans import queries
 from orbitframe.sources import files, points
@@ -332,3 +332,55 @@ def test_image_queries_need_no_python_workers(spark):
     for name in ("p07_pansharpen_resized", "p10_resize_bicubic", "p15_lanczos_shift", "p19_baseline_upscale", "m07_subpixel_loss", "g08_ring_overlap"):
         text = plan(queries.QUERIES[name](spark, DATA))
         assert "Python" not in text and "InArrow" not in text, name
+
+
+BOX = "struct<lon_min:double,lat_min:double,lon_max:double,lat_max:double>"
+
+
+def spans(box):
+    west, _, east, _ = box
+    if east - west >= 360:
+        return [(-180, 180)]
+    west, east = (west - 360, east - 360) if west > 180 else (west + 360, east + 360) if east < -180 else (west, east)
+    if east > 180 or west > east:
+        return [(west, 180), (-180, east - 360 if east > 180 else east)]
+    return [(west + 360, 180), (-180, east)] if west < -180 else [(west, east)]
+
+
+def brute_pairs(aois, scenes):
+    return sorted((i, k) for i, a in aois for k, b in scenes if a[1] <= b[3] and b[1] <= a[3] and any(p[0] <= q[1] and q[0] <= p[1] for p in spans(a) for q in spans(b)))
+
+
+def searched(spark, aois, scenes):
+    left = spark.createDataFrame(aois, f"aoi_index int, bounds {BOX}")
+    right = spark.createDataFrame(scenes, f"scene_id int, footprint {BOX}").withColumns({"datetime": F.lit("2020-01-01").cast("timestamp"), "cloud_cover": F.lit(1.0), "x": F.lit("kept"), "_cell": F.lit(1), "_a": F.lit(2), "level": F.lit(3)})
+    return catalogue.search_catalogue(left, right)
+
+
+def test_boxes_over_the_date_line(spark):
+    aois = [(0, (179.5, 0.0, 180.5, 1.0)), (1, (179.5, 0.0, -179.5, 1.0)), (2, (-180.5, 0.0, -179.5, 1.0)), (3, (-179.8, 0.2, -179.7, 0.3)), (4, (179.7, 0.2, 179.8, 0.3)), (5, (-180.0, -1.0, 180.0, 1.0)), (6, (10.0, 0.0, 11.0, 1.0)), (7, (-180.0, 0.0, -179.9, 1.0)), (8, (180.2, 0.0, 180.4, 1.0)), (9, (-200.0, -1.0, 200.0, 1.0))]
+    scenes = [(k, b) for k, b in aois] + [(100, (179.9, 0.5, 181.0, 0.6)), (100, (179.9, 0.5, 181.0, 0.6)), (101, (175.0, 5.0, -175.0, 6.0)), (102, (-179.9, 0.9, -179.6, 2.0))]
+    found = searched(spark, aois, scenes)
+    assert set(found.select("x").distinct().first()) == {"kept"}
+    assert sorted((r.aoi_index, r.scene_id) for r in found.collect()) == brute_pairs(aois, scenes)
+
+
+@pytest.mark.parametrize("spread", [0.3, 0.01])
+def test_a_crowded_city_is_dealt_over_many_tasks(spark, monkeypatch, spread):
+    monkeypatch.setattr(cells, "MOST", 50)
+    rng = np.random.default_rng(9)
+
+    def boxes(n, half):
+        at = rng.normal([2.35, 48.85], spread, (n, 2))
+        return [(i, (float(x - half), float(y - half), float(x + half), float(y + half))) for i, (x, y) in enumerate(at)]
+
+    aois, scenes = boxes(300, 0.01), boxes(2000, 0.02)
+    found = searched(spark, aois, scenes)
+    assert sorted((r.aoi_index, r.scene_id) for r in found.collect()) == brute_pairs(aois, scenes)
+    right = cells.parts(spark.createDataFrame(scenes, f"scene_id int, footprint {BOX}"), "footprint", "_b")
+    left = cells.parts(spark.createDataFrame(aois, f"aoi_index int, bounds {BOX}"), "bounds", "_a")
+    grid = cells.plan_grid(left, right, ("_a", "_b"), 1.0, (300, 2000))
+    sizes = [r["count"] for r in cells.covered(right, "_b", grid, 1).groupBy(*cells.KEY).count().collect()]
+    assert max(sizes) <= 4 * 50 and sum(sizes) < 60 * 2000
+    plain = cells.covered(right, "_b", cells.Grid(1.0), 1).groupBy(*cells.KEY).count().agg(F.max("count")).first()[0]
+    assert plain > 500
