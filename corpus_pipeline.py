@@ -17,11 +17,6 @@ PASSAGE_WORDS = 50
 SEQUENCE = 2048
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, by which the rows of one id are told apart."""
-    return docs.withColumn("row", row_key("doc_id", "text"))
-
-
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity grammar rejects. Every row is judged by itself, without a join."""
     prepare(spark)
@@ -37,24 +32,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = simhash.near_duplicates(docs, shingle=5, similarity=NEAR_SIMILARITY)
     # Rows that go, not rows that stay: most stay, so the table that texts are joined to is the small one.
     counts = staged(groups.filter("doc_id IS NOT NULL").groupBy("doc_id", F.col("key").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("doc_id = component_id AND key = component_key")).alias("first")).filter("n > 1 OR NOT first"), "copies")
-    rows = _keyed(docs).join(counts, ["doc_id", "row"], "left")
-    again = rows.filter("first").groupBy("doc_id", "row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return rows.filter("n IS NULL").select(*docs.columns).unionByName(again)
+    # A document travels as one struct, so that its columns may have any names.
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.struct(*docs.columns).alias("doc")).join(counts, ["doc_id", "row"], "left")
+    again = rows.filter("first").groupBy("doc_id", "row").agg(F.min("doc").alias("doc"))
+    return rows.filter("n IS NULL").select("doc.*").unionByName(again.select("doc.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of fifty words or more that a document of a smaller id has; drop documents of which nothing is left."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked = docs.withColumn("_null", F.col("text").isNull())
-    cut = substring.substring_dedup(marked, window=PASSAGE_WORDS, layout=True, carry=(*others, "_null")).filter("n_removed = 0 OR n_removed < n_words")
-    n_chars = F.when(F.col("n_removed") == 0, F.col("carry.n_chars")).otherwise(F.length("kept").cast("long"))
-    columns = {c: F.col(f"carry.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carry._null"), F.col("kept"))} | ({"n_chars": n_chars} if "n_chars" in others else {})
+    carried = F.struct(F.col("text").isNull().alias("no_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    cut = substring.substring_dedup(docs.select("doc_id", "text", carried.alias("doc")), window=PASSAGE_WORDS, layout=True, carry=("doc",)).filter("n_removed = 0 OR n_removed < n_words")
+    columns = {c: F.col(f"carry.doc.c{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carry.doc.no_text"), F.col("kept"))}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length("kept").cast("long"))
     return cut.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; no document goes."""
     clean = secrets.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return clean.select(*docs.columns)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
