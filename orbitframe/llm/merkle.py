@@ -5,7 +5,7 @@ While a parent is hashed, a copy of the hash state before each child's slot is r
 its slot with the new digest and the siblings to the right; what lies to the left is never hashed again.
 
 Leaves are hashed by Spark's own functions, so texts never leave the executor that reads them. Digests are numbered within their source
-through ranges whose counts are added up, so one source may hold any share of the rows. A task builds the tree over 16 ** 4
+through ranges whose counts are added up, so one source may hold any share of the rows. A task builds the tree over 16 ** 3
 consecutive nodes; rounds of such tasks reach the root, and the ways to the root come down again, a row for each such group."""
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Children of a parent, levels that one task builds, and rows that are numbered together.
-FAN, LEVELS, RANGE_ROWS = 16, 4, 1_048_576
+FAN, LEVELS, RANGE_ROWS = 16, 3, 1_048_576
 HOLD = FAN**LEVELS
 
 WAY = "array<struct<left:string,right:string>>"

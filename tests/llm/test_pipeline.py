@@ -62,3 +62,16 @@ def test_rows_that_repeat_an_id_are_judged_apart(spark):
     assert shown(near) == sorted([rows[i] for i in (0, 2, 3, 6, 7, 8, 9, 10, 11)], key=str)
     cut = corpus_pipeline.drop_repeated_passages(spark, docs.filter("doc_id IN (3, 8)"), DATA)
     assert [(d, t.strip()) for d, t in shown(cut)] == sorted([rows[6], (8, text(4)), rows[8], (8, text(6))], key=str)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["n", "first", "row", "_null", "key", "doc", "kept", "n_words", "n_removed", "spans", "carry", "c0", "no_text", "hash", "component_id", "component_key", "score", "block", "_range", "_place", "_start"]
+    rows = [(1, "one two three four five six seven", *[f"1{c}" for c in names]), (2, "one two three four five six seven", *[f"2{c}" for c in names]), (3, "password=abcdef123 other words stand here in this row", *[f"3{c}" for c in names]), (4, None, *[None for _ in names])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == ["doc_id", "text", *names], name
+        for r in docs.collect():
+            assert all(r[c] == (f"{r.doc_id}{c}" if r.doc_id != 4 else None) for c in names), name
+    assert {1, 3} <= {r.doc_id for r in docs.collect()} and 2 not in {r.doc_id for r in docs.collect()}
+    assert stage is not corpus_pipeline.pack_sequences and corpus_pipeline.pack_sequences(spark, docs, DATA).count() >= 2
