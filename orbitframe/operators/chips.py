@@ -39,20 +39,36 @@ def lower_median(stack: Column) -> Column:
     """Pixel-wise lower median of an array of equally long arrays."""
     n = F.size(stack)
     middle = ((n - 1) / 2).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.size(F.get(stack, 0)) - 1), lambda i: F.get(F.array_sort(F.transform(stack, lambda p: F.get(p, i))), middle))
+    places = F.slice(F.sequence(F.lit(0), F.size(F.get(stack, 0))), 1, F.size(F.get(stack, 0)))
+    return F.transform(places, lambda i: F.get(F.array_sort(F.transform(stack, lambda p: F.get(p, i))), middle))
+
+
+#: Values that one task stacks for a median: revisits times pixels.
+STACKED = 4_000_000
+
+
+def _medians(df: DataFrame) -> DataFrame:
+    """``(aoi, band, pixels)``: pixel-wise lower medians. Images are stacked in stretches of pixels, the shorter the more revisits an
+    area has, so that a stack's size doesn't grow with their number; a first pass over the keys counts them."""
+    most = df.groupBy("aoi", "band").count().agg(F.max("count")).first()[0] or 1
+    step = max(1, STACKED // most)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("pixels"), F.lit(1)) - 1) / step).cast("int")), lambda k: F.slice("pixels", k * step + 1, step))
+    stretches = df.select("aoi", "band", F.posexplode(cuts).alias("_k", "_part")).groupBy("aoi", "band", "_k").agg(F.collect_list("_part").alias("_stack"))
+    medians = stretches.select("aoi", "band", F.struct("_k", lower_median(F.col("_stack")).alias("v")).alias("_m"))
+    return medians.groupBy("aoi", "band").agg(F.array_sort(F.collect_list("_m")).alias("_m")).select("aoi", "band", F.flatten("_m.v").alias("pixels"))
 
 
 def reference_frame(df: DataFrame) -> DataFrame:
-    """``(aoi, band, pixels)``: pixel-wise lower median over an area's revisits."""
-    return df.groupBy("aoi", "band").agg(F.collect_list("pixels").alias("stack")).select("aoi", "band", lower_median(F.col("stack")).alias("pixels"))
+    """``(aoi, band, pixels)``: pixel-wise lower median over an area's revisits, of any number."""
+    return _medians(df)
 
 
 def filter_bad_median(df: DataFrame, values: list[int], threshold: float = 0.4) -> DataFrame:
     """Bad revisits take the lower median of the good ones, or of all where none is good."""
     out = bad_fraction(df, values)
-    good = F.collect_list(F.when(F.col("bad") < threshold, F.col("pixels")))
-    stacks = out.groupBy("aoi", "band").agg(good.alias("good"), F.collect_list("pixels").alias("all"))
-    medians = stacks.select("aoi", "band", lower_median(F.when(F.size("good") > 0, F.col("good")).otherwise(F.col("all"))).alias("median"))
+    good = out.filter(F.col("bad") < threshold)
+    lost = out.join(good.select("aoi", "band").distinct(), ["aoi", "band"], "left_anti")
+    medians = _medians(good.unionByName(lost)).withColumnRenamed("pixels", "median")
     joined = out.join(medians, ["aoi", "band"])
     return joined.withColumn("pixels", F.when(F.col("bad") >= threshold, F.col("median")).otherwise(F.col("pixels"))).drop("median", "bad")
 
@@ -216,7 +232,7 @@ def append_masks(df: DataFrame, masks: DataFrame, bands: int) -> DataFrame:
 def baseline_upscale(df: DataFrame, stats: DataFrame, size: int, compat: bool = False) -> DataFrame:
     """The first revisit's true-colour bands, denormalised, divided by their largest value, clamped and resized bicubically.
     ``compat`` takes (v + mean) * std for the inverse."""
-    picked = df.filter((F.col("revisit") == 1) & F.col("band").isin(COMPOSITES["true_color"])).join(F.broadcast(stats), "band")
+    picked = df.filter((F.col("revisit") == 1) & F.col("band").isin(COMPOSITES["true_color"])).join(stats, "band")
 
     def back(v):
         return (v + F.col("mean")) * F.col("std") if compat else v * F.col("std") + F.col("mean")

@@ -106,19 +106,28 @@ def stats_table(df: DataFrame, mean: list[float] = LOW_MEAN, std: list[float] =
 
 def normalise_bands(df: DataFrame, stats: DataFrame) -> DataFrame:
     """(v - mean) / std by band; ``stats`` has a row per band."""
-    joined = df.join(F.broadcast(stats), "band")
+    joined = df.join(stats, "band")
     return joined.withColumn("pixels", F.transform("pixels", lambda v: (v - F.col("mean")) / F.col("std"))).drop("mean", "std")
 
 
 def denormalise_bands(df: DataFrame, stats: DataFrame) -> DataFrame:
-    joined = df.join(F.broadcast(stats), "band")
+    joined = df.join(stats, "band")
     return joined.withColumn("pixels", F.transform("pixels", lambda v: v * (F.col("std") + 1e-7) + F.col("mean"))).drop("mean", "std")
 
 
-def band_stats(df: DataFrame) -> DataFrame:
-    """``(band, n, median, std)``: the lower median and the root mean square distance from it. Values are counted first, with
-    partial counts per task; digital numbers have few of them, so the median is exact without gathering pixels."""
-    counts = df.select("band", F.explode("pixels").alias("v")).groupBy("band", "v").agg(F.count(F.lit(1)).alias("c"))
+def band_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """``(band, n, median, std)``: the lower median and the root mean square distance from it.
+
+    Exactly: values are counted first, with partial counts per task; digital numbers have few of them, so no pixels are gathered.
+    With ``accuracy``, for pixels of many values: a mergeable sketch of each band, whose median's rank is off by at most n / accuracy, and
+    sums from which the distance follows, in one pass."""
+    values = df.select("band", F.explode("pixels").alias("v"))
+    if accuracy is not None:
+        v = F.col("v").cast("double")
+        sums = values.groupBy("band").agg(F.count("v").alias("n"), F.percentile_approx("v", 0.5, accuracy).alias("median"), F.avg(v).alias("mean"), F.var_pop(v).alias("spread"))
+        away = F.col("mean") - F.col("median")
+        return sums.select("band", "n", "median", F.sqrt(F.col("spread") + away * away).alias("std"))
+    counts = values.groupBy("band", "v").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("band")
     upto = F.sum("c").over(w.orderBy("v"))
     marked = counts.withColumns({"upto": upto, "n": F.sum("c").over(w)})

@@ -9,21 +9,44 @@ from pyspark.sql import functions as F
 RANGES, SAMPLED = 256, 4096
 
 
-def numbered(df: DataFrame, name: str, *order_by: str) -> DataFrame:
-    """Add ``name``: 1, 2, ... in the order of ``order_by``, nulls first, rows that are equal there in the order of a hash of all
-    columns. Rows are numbered within ranges of the first column; the ranges' counts, ``RANGES`` rows at most, are added up and joined."""
-    first = order_by[0]
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name with underscores added until no column of ``df`` has it."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _dealt(df: DataFrame, order_by: tuple[str, ...], hashed: str, at: str) -> tuple[DataFrame, list[str]]:
+    columns = [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    marked, keys = df.withColumn(hashed, F.xxhash64(*columns)), [*order_by, hashed]
     share = min(1.0, SAMPLED / max(1, df.count()))
-    known = sorted({r[0] for r in df.select(first).filter(F.col(first).isNotNull()).sample(share, 7).limit(2 * SAMPLED).collect()})
+    known = marked.select(*keys).sample(share, 7).limit(2 * SAMPLED).orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()
     limits = known[:: max(1, -(-len(known) // (RANGES - 1)))]
-    at = F.lit(0)
+    place = F.lit(0)
     if limits:
-        array = F.array(*[F.lit(x).cast(df.schema[first].dataType) for x in limits])
-        at = F.coalesce(F.size(F.filter(array, lambda b: b <= F.col(first))), F.lit(0))
-        at = F.when(F.col(first).isNull(), 0).otherwise(at)
-    placed = df.withColumn("_range", at)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order_by], F.xxhash64(*df.columns))
-    out = placed.withColumn("_place", F.row_number().over(within)).join(F.broadcast(starts), "_range")
-    return out.withColumn(name, F.col("_start") + F.col("_place")).select(*[c for c in df.columns if c != name], name)
+        table = F.array(*[F.struct(*[F.lit(v).cast(marked.schema[k].dataType).alias(k) for k, v in zip(keys, row, strict=True)]) for row in limits])
+        place = F.size(F.filter(table, lambda b: b <= F.struct(*[F.col(k) for k in keys])))
+    return marked.withColumn(at, place), keys
+
+
+def ranges(df: DataFrame, *order_by: str) -> DataFrame:
+    """Add, as the last column, the range that a row lies in, by the columns of ``order_by`` and then a hash of all columns, so that rows
+    that are equal in the order are spread too. Limits come from ``SAMPLED`` rows; null comes first."""
+    hashed, at = _unused(df, "_hash", "_range")
+    return _dealt(df, order_by, hashed, at)[0].drop(hashed)
+
+
+def numbered(df: DataFrame, name: str, *order_by: str) -> DataFrame:
+    """Add ``name``: 1, 2, ... in the order of ``order_by``, nulls first, rows that are equal there in the order of a hash of all
+    columns but maps. Rows are numbered within ranges; the ranges' counts, ``RANGES`` rows at most, are added up and joined."""
+    hashed, at, start, place = _unused(df, "_hash", "_range", "_start", "_place")
+    placed, keys = _dealt(df, order_by, hashed, at)
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(at).agg(F.count(F.lit(1)).alias(place))
+    starts = counts.select(at, F.coalesce(F.sum(place).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(at).orderBy(*[F.col(c).asc_nulls_first() for c in keys])
+    out = placed.withColumn(place, F.row_number().over(within)).join(F.broadcast(starts), at)
+    return out.withColumn(name, F.col(start) + F.col(place)).select(*[c for c in df.columns if c != name], name)

@@ -43,24 +43,41 @@ def allocation_check(allocated: DataFrame, target: int) -> DataFrame:
     return allocated.agg(total.alias("total"), (total == target).alias("matches"))
 
 
+#: Parts that a class is sampled in before its samples meet.
+PARTS = 64
+
+
+def _smallest(points: DataFrame, cls: str, seed: int, key: str, *more: str) -> DataFrame:
+    order = Window.partitionBy(cls, *more).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary")), key)
+    return points.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= F.col("_wanted")).drop("_place")
+
+
 def stratified_sample(points: DataFrame, allocated: DataFrame, cls: str, seed: int = 42, key: str = "point_id") -> DataFrame:
-    """Exactly ``number_of_pois`` points of every class, or all there are: those of the smallest hashes of ``key``."""
-    wanted = F.broadcast(allocated.select(cls, "number_of_pois"))
-    order = Window.partitionBy(cls).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary")), key)
-    ranked = points.join(wanted, cls).withColumn("_place", F.row_number().over(order))
-    return ranked.filter(F.col("_place") <= F.col("number_of_pois")).drop("_place", "number_of_pois")
-
-
-def sample_with_top_up(draw, allocated: DataFrame, cls: str, n: int, seed: int = 42, rounds: int = 5) -> DataFrame:
-    """A stratified sample from ``draw(n)``, a growing table of stratified points, drawn again with twice as many while a
-    class is short; after ``rounds`` draws RuntimeError names the classes that still are."""
-    for k in range(rounds):
-        points = draw(n << k)
-        sample = stratified_sample(points, allocated, cls, seed)
-        short = [r[0] for r in shortages(points, allocated, cls).select(cls).collect()]
+    """Exactly ``number_of_pois`` points of every class, or all there are: those of the smallest hashes of ``key``.
+
+    Smallest hashes can be merged: every class is first cut down in ``PARTS`` parts, so that the points of a frequent class never
+    meet in one task, only that many samples of it."""
+    wanted = allocated.select(cls, F.col("number_of_pois").alias("_wanted"))
+    joined = points.join(wanted, cls).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    return _smallest(_smallest(joined, cls, seed, key, "_part").drop("_part"), cls, seed, key).drop("_wanted")
+
+
+def sample_with_top_up(draw, allocated: DataFrame, cls: str, n: int, seed: int = 42, rounds: int = 5, key: str = "point_id") -> DataFrame:
+    """A stratified sample from ``draw(a, b)``, the stratified points of draws a to b - 1: the first ``n``, then, while a class is short,
+    as many more as there were. Of each draw only its sample is kept, and the samples merge into that of all draws at once.
+    After ``rounds`` draws RuntimeError names the classes that are still short."""
+    held, have, begin, end = None, {}, 0, n
+    wanted = {r[0]: r[1] for r in allocated.select(cls, "number_of_pois").collect()}
+    for _ in range(rounds):
+        new = stratified_sample(draw(begin, end), allocated, cls, seed, key)
+        for name, count in new.groupBy(cls).count().collect():
+            have[name] = have.get(name, 0) + count
+        held = new if held is None else held.unionByName(new)
+        short = sorted(str(c) for c, k in wanted.items() if have.get(c, 0) < k)
         if not short:
-            return sample
-    raise RuntimeError(f"too few points of {', '.join(map(str, short))} after {rounds} draws")
+            return stratified_sample(held, allocated, cls, seed, key)
+        begin, end = end, 2 * end
+    raise RuntimeError(f"too few points of {', '.join(short)} after {rounds} draws")
 
 
 def shortages(points: DataFrame, allocated: DataFrame, cls: str) -> DataFrame:

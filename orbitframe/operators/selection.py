@@ -27,19 +27,43 @@ def average_rank(value: Column) -> Column:
     return F.when(value.isNotNull(), F.rank().over(w) + (ties - 1) / 2)
 
 
-def rank_revisits(df: DataFrame, w_delta: float = 1.0, w_cloud: float = 1.0) -> DataFrame:
-    """Add ``rank``: weighted sum of the average ranks of distance in days and of cloud; 1 for a lone revisit."""
-    ranked = w_delta * average_rank(F.abs("delta")) + w_cloud * average_rank(F.col("cloud_cover"))
-    lone = F.count(F.lit(1)).over(Window.partitionBy(AOI)) == 1
-    return df.withColumn("rank", F.when(lone, F.lit(1.0)).otherwise(ranked))
+def _counted_rank(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``average_rank`` as a column, from counts of each value: places before it, and half of those that share it."""
+    marked = df.withColumn("_v", value)
+    counts = marked.filter("_v IS NOT NULL").groupBy(AOI, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(AOI).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.join(counts.select(AOI, "_v", (before + (F.col("_c") + 1) / 2).alias(name)), [AOI, "_v"], "left").drop("_v")
+
+
+def rank_revisits(df: DataFrame, w_delta: float = 1.0, w_cloud: float = 1.0, spread: bool = False) -> DataFrame:
+    """Add ``rank``: weighted sum of the average ranks of distance in days and of cloud; 1 for a lone revisit.
+
+    With ``spread``, ranks come from counts of values, joined by area and value, so that an area of any size is spread over
+    tasks; without it, from windows over areas, which need no further exchange where rows are dealt by area."""
+    if not spread:
+        ranked = w_delta * average_rank(F.abs("delta")) + w_cloud * average_rank(F.col("cloud_cover"))
+        lone = F.count(F.lit(1)).over(Window.partitionBy(AOI)) == 1
+        return df.withColumn("rank", F.when(lone, F.lit(1.0)).otherwise(ranked))
+    both = _counted_rank(_counted_rank(df, F.abs("delta"), "_d"), F.col("cloud_cover"), "_k")
+    sizes = df.groupBy(AOI).agg(F.count(F.lit(1)).alias("_size"))
+    ranked = F.when(F.col("_size") == 1, F.lit(1.0)).otherwise(w_delta * F.col("_d") + w_cloud * F.col("_k"))
+    return both.join(sizes, AOI).withColumn("rank", ranked).select(*df.columns, "rank")
 
 
 def _order() -> list[Column]:
     return [F.col("rank").asc_nulls_last(), F.abs("delta"), F.col("cloud_cover"), F.col("product_id")]
 
 
-def select_best(df: DataFrame, n: int) -> DataFrame:
-    """The ``n`` lowest ranks per area, numbered in that order in ``n``."""
+#: Parts that an area's best are taken from before they meet.
+PARTS = 64
+
+
+def select_best(df: DataFrame, n: int, spread: bool = False) -> DataFrame:
+    """The ``n`` lowest ranks per area, numbered in that order in ``n``. With ``spread``, those of each of ``PARTS`` parts first."""
+    if spread:
+        parts = df.withColumn("_part", F.pmod(F.xxhash64("product_id"), F.lit(PARTS)))
+        best = parts.withColumn("_n", F.row_number().over(Window.partitionBy(AOI, "_part").orderBy(*_order()))).filter(F.col("_n") <= n)
+        df = best.drop("_part", "_n")
     return df.withColumn("n", F.row_number().over(Window.partitionBy(AOI).orderBy(*_order()))).filter(F.col("n") <= n)
 
 
@@ -51,19 +75,21 @@ def attach_aoi(df: DataFrame, aois: DataFrame) -> DataFrame:
     return df.join(aois.select(AOI, "name", "bounds", "target_date"), AOI)
 
 
-def select_revisits(aois: DataFrame, revisits: DataFrame, n: int = 8, max_delta: int | None = None, max_cloud: float | None = None, w_delta: float = 1.0, w_cloud: float = 1.0, aoi_area: float | None = None) -> DataFrame:
+def select_revisits(aois: DataFrame, revisits: DataFrame, n: int = 8, max_delta: int | None = None, max_cloud: float | None = None, w_delta: float = 1.0, w_cloud: float = 1.0, aoi_area: float | None = None, spread: bool = False) -> DataFrame:
     """Best ``n`` revisits of every area. Limits apply before ranks, which they change. All windows share one exchange on the
-    area; the areas' columns are joined once, before it."""
+    area; the areas' columns are joined once, before it. With ``spread``, for areas too large for one task, rows are never dealt by area
+    alone (``rank_revisits``, ``select_best``)."""
     known = aois.select(AOI, "name", "bounds", "target_date")
     joined = revisits.join(known, AOI)
     joined = joined.withColumn("area", catalogue.geo.box_overlap_km2(F.col("footprint"), F.col("bounds")))
     joined = joined.withColumn("delta", F.datediff(F.to_date("datetime"), "target_date"))
-    spread = joined.repartition(int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")), AOI)
-    kept = catalogue.dedupe_revisits(spread)
+    if not spread:
+        joined = joined.repartition(int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")), AOI)
+    kept = catalogue.dedupe_revisits(joined)
     if aoi_area is not None:
         kept = catalogue.filter_full_overlap(kept, aoi_area)
     kept = limit_cloud(limit_delta(kept, max_delta), max_cloud)
-    return select_best(rank_revisits(kept, w_delta, w_cloud), n)
+    return select_best(rank_revisits(kept, w_delta, w_cloud, spread), n, spread)
 
 
 def shortage_report(aois: DataFrame, selected: DataFrame, n: int) -> DataFrame:

@@ -212,13 +212,21 @@ def k14(s, d):
     return out.select("product_id", "name", F.col("target_date").cast("string").alias("target_date"), F.round("bounds.lon_min", 6).alias("lon_min"))
 
 
-@query("k15_select_revisits", "aoi revisit", f"""{MEASURED}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_index, datetime ORDER BY product_id) AS f FROM m) WHERE f = 1 AND abs(delta) <= {DAYS} AND cloud_cover <= {CLOUD}),
- {RANKED % 'u'}, {BEST} SELECT aoi_index, name, product_id, strftime(datetime, '%Y-%m-%d') AS day, cloud_cover, area, CAST(delta AS INTEGER) AS delta, rank, CAST(n AS INTEGER) AS n FROM b""")
-def k15(s, d):
-    out = selection.select_revisits(A.aoi(s, d), A.revisit(s, d), N, DAYS, CLOUD)
+K15 = f"""{MEASURED}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_index, datetime ORDER BY product_id) AS f FROM m) WHERE f = 1 AND abs(delta) <= {DAYS} AND cloud_cover <= {CLOUD}),
+ {RANKED % 'u'}, {BEST} SELECT aoi_index, name, product_id, strftime(datetime, '%Y-%m-%d') AS day, cloud_cover, area, CAST(delta AS INTEGER) AS delta, rank, CAST(n AS INTEGER) AS n FROM b"""
+
+
+@query("k15_select_revisits", "aoi revisit", K15)
+def k15(s, d, spread=False):
+    out = selection.select_revisits(A.aoi(s, d), A.revisit(s, d), N, DAYS, CLOUD, spread=spread)
     return out.select("aoi_index", "name", "product_id", _day(), "cloud_cover", "area", "delta", "rank", "n")
 
 
+@query("k15_select_revisits_spread", "aoi revisit", K15)
+def k15_spread(s, d):
+    return k15(s, d, spread=True)
+
+
 @query("k16_shortage_report", "aoi revisit", MEASURED + ", t AS (SELECT aoi_index, count(*) AS c FROM m WHERE abs(delta) <= 10 AND cloud_cover <= 30 GROUP BY aoi_index) SELECT aoi_index, coalesce(c, 0) AS found FROM aoi LEFT JOIN t USING (aoi_index) WHERE coalesce(c, 0) < 3")
 def k16(s, d):
     few = selection.limit_cloud(selection.limit_delta(measured(s, d), 10), 30.0)

@@ -110,6 +110,16 @@ def i12(s, d):
     return images.band_stats(banded(s, d)).withColumn("std", F.round("std", 4))
 
 
+@query("i12_band_stats_sketch", "pixel", BANDED + " SELECT band, count(*) AS n, true AS close FROM bd GROUP BY band")
+def i12b(s, d):
+    """Whether the rank of a sketch's median is off by a hundredth of the pixels at most."""
+    c = banded(s, d)
+    near = images.band_stats(c, 100).select("band", "n", "median")
+    below, upto = F.count_if(F.col("v") < F.col("median")), F.count_if(F.col("v") <= F.col("median"))
+    ranked = c.select("band", F.explode("pixels").alias("v")).join(near, "band").groupBy("band", "n").agg(below.alias("a"), upto.alias("b"))
+    return ranked.select("band", "n", ((F.col("a") - F.col("n") / 100 <= F.col("n") / 2) & (F.col("b") + F.col("n") / 100 >= F.col("n") / 2)).alias("close"))
+
+
 @query("i13_chip_grid", "split_list", "SELECT aoi, (x * 100)::INTEGER AS chip_x, (y * 100)::INTEGER AS chip_y FROM split_list, range(0, 5) a(x), range(0, 3) b(y)")
 def i13(s, d):
     return A.split_list(s, d).select("aoi", F.inline(images.chip_grid(500, 320, 100, 100)))

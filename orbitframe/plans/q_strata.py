@@ -133,6 +133,14 @@ def c13(s, d):
     return rebalance.stratified_sample(A.point(s, d), allocated(s, d), "IPCC").select("point_id", "IPCC")
 
 
+@query("c13_top_up", "point", "h AS (SELECT IPCC, floor(count(*) * 3 / 5) AS k FROM point GROUP BY IPCC) SELECT point_id, IPCC FROM (SELECT point_id, IPCC, k, row_number() OVER (PARTITION BY IPCC ORDER BY md5('42-' || point_id), point_id) AS r FROM point JOIN h USING (IPCC)) WHERE r <= k")
+def c13_top_up(s, d):
+    """Three fifths of every class from growing draws of an eighth, a quarter, half and all of the points: the last is needed."""
+    p = A.point(s, d)
+    wanted = stratify.class_distribution(p, "IPCC").select("IPCC", F.floor(F.col("count") * 3 / 5).cast("int").alias("number_of_pois"))
+    return rebalance.sample_with_top_up(lambda a, b: p.filter((F.col("point_id") > a) & (F.col("point_id") <= b)), wanted, "IPCC", -(-p.count() // 8)).select("point_id", "IPCC")
+
+
 @query("c14_sampled_distribution", "point", f"{SAMPLE} SELECT al.IPCC, count(sm.point_id) AS sampled, any_value(al.number_of_pois) AS wanted FROM al LEFT JOIN sm USING (IPCC) GROUP BY al.IPCC")
 def c14(s, d):
     a = allocated(s, d)

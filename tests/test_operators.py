@@ -100,11 +100,14 @@ def test_allocation_matches_the_loop(spark, counts, target):
 def test_stratified_sample_counts_and_top_up(spark):
     allocated = spark.createDataFrame([("a", 3), ("b", 5)], "cls string, number_of_pois int")
 
-    def draw(n):
-        return spark.range(n).selectExpr("id AS point_id", "CASE WHEN id % 4 = 0 THEN 'b' ELSE 'a' END AS cls")
+    def draw(a, b):
+        return spark.range(a, b).selectExpr("id AS point_id", "CASE WHEN id % 4 = 0 THEN 'b' ELSE 'a' END AS cls")
 
     sample = rebalance.sample_with_top_up(draw, allocated, "cls", 8)
     assert {r.cls: r["count"] for r in sample.groupBy("cls").count().collect()} == {"a": 3, "b": 5}
+    assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, rebalance.stratified_sample(draw(0, 32), allocated, "cls").collect()))
+    with pytest.raises(RuntimeError, match="b after 1"):
+        rebalance.sample_with_top_up(draw, allocated, "cls", 8, rounds=1)
 
 
 def test_raster_rounding(spark):
@@ -384,3 +387,45 @@ def test_a_crowded_city_is_dealt_over_many_tasks(spark, monkeypatch, spread):
     assert max(sizes) <= 4 * 50 and sum(sizes) < 60 * 2000
     plain = cells.covered(right, "_b", cells.Grid(1.0), 1).groupBy(*cells.KEY).count().agg(F.max("count")).first()[0]
     assert plain > 500
+
+
+def test_medians_of_many_revisits_in_short_stretches(spark, monkeypatch):
+    monkeypatch.setattr(chips, "STACKED", 700)
+    rng = np.random.default_rng(10)
+    stack = rng.integers(0, 50, (200, 11))
+    rows = [(1, i, 1, stack[i].tolist(), [int(i % 3 == 0)] * 11) for i in range(200)] + [(2, 1, 1, [4, 5], [1, 1]), (2, 2, 1, [3, 9], [1, 1]), (3, 1, 1, [], [])]
+    df = spark.createDataFrame(rows, "aoi int, revisit int, band int, pixels array<int>, mask array<int>")
+    got = {r.aoi: r.pixels for r in chips.reference_frame(df).collect()}
+    assert got == {1: np.sort(stack, axis=0)[99].tolist(), 2: [3, 5], 3: []}
+    good = np.sort(stack[[i for i in range(200) if i % 3]], axis=0)
+    mended = {(r.aoi, r.revisit): r.pixels for r in chips.filter_bad_median(df.filter("aoi < 3"), [1], 0.5).collect()}
+    assert mended[(1, 3)] == good[(len(good) - 1) // 2].tolist() and mended[(1, 1)] == stack[1].tolist() and mended[(2, 2)] == [3, 5]
+
+
+def test_sketched_band_stats(spark):
+    rng = np.random.default_rng(11)
+    values = rng.normal(5, 2, (40, 1000))
+    df = spark.createDataFrame([(1, v.tolist()) for v in values], "band int, pixels array<double>")
+    row = images.band_stats(df, 1000).first()
+    assert row.n == 40_000 and abs((values < row.median).mean() - 0.5) <= 0.001 and abs(row["std"] - math.sqrt(((values - row.median) ** 2).mean())) < 1e-6
+
+
+def test_a_huge_area_is_ranked_alike_in_parts(spark):
+    rng = np.random.default_rng(12)
+    rows = [(1 if i % 3 else i, f"p{i:05}", int(rng.integers(-40, 40)) if i % 50 else None, float(rng.integers(0, 9)) if i % 41 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "aoi_index long, product_id string, delta int, cloud_cover double")
+    plain, spread = (selection.select_best(selection.rank_revisits(df, 1.0, 0.5, spread=s), 7, spread=s) for s in (False, True))
+    columns = ["aoi_index", "product_id", "delta", "cloud_cover", "rank", "n"]
+    assert sorted(map(str, plain.select(*columns).collect())) == sorted(map(str, spread.select(*columns).collect()))
+
+
+def test_numbers_of_equal_values_and_odd_columns(spark):
+    from orbitframe.operators import numbering
+
+    rows = [("s", i % 5, {"k": i}, i) for i in range(2000)] + [(None, 1, {}, -1)]
+    df = spark.createDataFrame(rows, "source string, second int, m map<string,int>, id int").withColumns({"_range": F.lit("kept"), "_place": F.lit(1), "_start": F.lit(2), "_hash": F.col("id")})
+    got = numbering.numbered(df, "no", "source", "second").orderBy("no").collect()
+    assert [r.no for r in got] == list(range(1, 2002)) and got[0].source is None and {r._range for r in got} == {"kept"} and all(r._hash == r.id for r in got)
+    assert [r.second for r in got[1:]] == sorted(r.second for r in got[1:])
+    one = numbering.ranges(df, "source", "second")
+    assert one.groupBy("_range_").count().agg(F.max("count")).first()[0] < 200
