@@ -22,16 +22,16 @@ def parts(df: DataFrame, box: str, name: str) -> DataFrame:
     Boxes that pass 180 degrees, by an end beyond it or by a west end east of the east end, have two."""
     w, e = f"cast({box}.lon_min AS double)", f"cast({box}.lon_max AS double)"
 
-    def spans(*ends: tuple[str, str]) -> str:
-        return "array(" + ", ".join(f"named_struct('a', {a}, 'z', {z})" for a, z in ends) + ")"
-
-    found = f"""CASE WHEN {w} >= -180 AND {e} <= 180 AND {w} <= {e} THEN {spans((w, e))} WHEN {e} - {w} >= 360 THEN {spans(("-180D", "180D"))}
-     WHEN {w} > 180 AND {e} > 180 THEN {spans((f"{w} - 360", f"{e} - 360"))} WHEN {w} < -180 AND {e} < -180 THEN {spans((f"{w} + 360", f"{e} + 360"))}
-     WHEN {e} > 180 THEN {spans((w, "180D"), ("-180D", f"{e} - 360"))} WHEN {w} > {e} THEN {spans((w, "180D"), ("-180D", e))}
-     WHEN {w} < -180 THEN {spans((f"{w} + 360", "180D"), ("-180D", e))} END"""
-    out = df.select("*", F.expr(found).alias("_spans")).select("*", F.expr("posexplode(_spans) AS (_at, _span)"))
-    part = f"named_struct('at', _at, 'lon_min', _span.a, 'lon_max', _span.z, 'lat_min', cast({box}.lat_min AS double), 'lat_max', cast({box}.lat_max AS double), 'other_min', get(_spans, 1 - _at).a, 'other_max', get(_spans, 1 - _at).z)"
-    return out.withColumn(name, F.expr(part)).drop("_spans", "_at", "_span")
+    plain, full = f"{w} >= -180 AND {e} <= 180 AND {w} <= {e}", f"{e} - {w} >= 360"
+    east, west = f"{w} > 180 AND {e} > 180", f"{w} < -180 AND {e} < -180"
+    two = f"NOT ({plain}) AND NOT ({full}) AND NOT ({east}) AND NOT ({west})"
+    first = f"CASE WHEN {plain} THEN {w} WHEN {full} THEN -180D WHEN {east} THEN {w} - 360 WHEN {w} < -180 THEN {w} + 360 ELSE {w} END"
+    first_end = f"CASE WHEN {plain} THEN {e} WHEN {full} THEN 180D WHEN {east} THEN {e} - 360 WHEN {west} THEN {e} + 360 ELSE 180D END"
+    second_end = f"if({e} > 180, {e} - 360, {e})"
+    out = df.select("*", F.expr(f"explode(CASE WHEN {two} THEN array(0, 1) WHEN {w} IS NOT NULL AND {e} IS NOT NULL THEN array(0) END) AS _at"))
+    part = f"""named_struct('at', _at, 'lon_min', if(_at = 0, {first}, -180D), 'lon_max', if(_at = 0, {first_end}, {second_end}), 'lat_min', cast({box}.lat_min AS double), 'lat_max', cast({box}.lat_max AS double),
+     'other_min', CASE WHEN {two} THEN if(_at = 0, -180D, {first}) END, 'other_max', CASE WHEN {two} THEN if(_at = 0, {second_end}, 180D) END)"""
+    return out.withColumn(name, F.expr(part)).drop("_at")
 
 
 @dataclass
