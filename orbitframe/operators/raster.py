@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import rasters
+
 
 def raster_blocks(cells: DataFrame, size: int = 256) -> DataFrame:
     """``(block_row, block_col, cells)`` from rows ``(row, col, value)``: a byte per cell in row-major order, 0 where none is.
@@ -42,3 +45,23 @@ def raster_lookup(points: DataFrame, blocks: DataFrame, affine: tuple[float, flo
     value = F.when(F.col("cells").isNotNull(), byte)
     out = value if missing is None else F.coalesce(value, F.lit(missing))
     return joined.withColumn(name, out).drop("_r", "_c", "block_row", "block_col", "cells")
+
+
+def touched_blocks(points: DataFrame, mosaic: rasters.Mosaic, x: Column, y: Column, rounding: str = "ceil") -> bytes:
+    """A bit for each block of the raster, row by row, 1 where a point lies. The driver gets one number for each touched
+    block, so no more than the raster has."""
+    row, col = cell_of(x, y, mosaic.affine, rounding)
+    at = points.select(F.floor(row / mosaic.size).alias("r"), F.floor(col / mosaic.size).alias("c"))
+    inside = at.filter((F.col("r") >= 0) & (F.col("r") < mosaic.rows) & (F.col("c") >= 0) & (F.col("c") < mosaic.cols))
+    numbers = inside.select((F.col("r") * mosaic.cols + F.col("c")).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)
+    bits = np.zeros(mosaic.rows * mosaic.cols, np.uint8)
+    bits[numbers] = 1
+    return np.packbits(bits).tobytes()
+
+
+def raster_file_lookup(points: DataFrame, path: str, x: Column, y: Column, name: str, missing: int | None = None, rounding: str = "ceil", size: int = 256) -> DataFrame:
+    """``raster_lookup`` in a raster file or a folder of them, whose own place and cell size count. Only blocks that points touch are
+    read; ``points`` is read twice."""
+    mosaic = rasters.read_mosaic(path, size)
+    blocks = rasters.load_raster_blocks(points.sparkSession, path, size, touched_blocks(points, mosaic, x, y, rounding))
+    return raster_lookup(points, blocks, mosaic.affine, x, y, name, mosaic.size, missing, rounding)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classes, raster, rebalance, sampling, stratify
+from ..sources import rasters
 from . import adapters as A
+from .q_files import scratch
 from .registry import query
 
 AFFINE = (-180.0, 90.0, 7.2, 4.5)
@@ -32,13 +34,42 @@ def blocks(s, d):
     return raster.raster_blocks(A.raster_cell(s, d), SIZE)
 
 
-@query("s09_raster_blocks", "raster_cell", BLOCKED + f""", full_ AS (SELECT br, bc, y, x, coalesce(value, 0) AS v FROM blk, range(0, {SIZE}) a(y), range(0, {SIZE}) b(x) LEFT JOIN cell ON row = br * {SIZE} + y AND col = bc * {SIZE} + x)
- SELECT CAST(br AS INTEGER) AS block_row, CAST(bc AS INTEGER) AS block_col, string_agg(lpad(upper(to_hex(v)), 2, '0'), '' ORDER BY y, x) AS cells FROM full_ GROUP BY br, bc""")
+BLOCK_ROWS = BLOCKED + f""", full_ AS (SELECT br, bc, y, x, coalesce(value, 0) AS v FROM blk, range(0, {SIZE}) a(y), range(0, {SIZE}) b(x) LEFT JOIN cell ON row = br * {SIZE} + y AND col = bc * {SIZE} + x)
+ SELECT CAST(br AS INTEGER) AS block_row, CAST(bc AS INTEGER) AS block_col, string_agg(lpad(upper(to_hex(v)), 2, '0'), '' ORDER BY y, x) AS cells FROM full_ GROUP BY br, bc"""
+
+
+@query("s09_raster_blocks", "raster_cell", BLOCK_ROWS)
 def s09(s, d):
     return blocks(s, d).withColumn("cells", F.hex("cells"))
 
 
-@query("c01_raster_lookup", "point raster_cell", LOOKED + " SELECT point_id, id AS landcover_id, coalesce(id, 0) AS smod_id FROM looked")
+def raster_folder(s, d):
+    """The blocks as raster files; the path."""
+    path = scratch(s, "raster")
+    rasters.write_raster_blocks(blocks(s, d), path, AFFINE, SIZE)
+    return path
+
+
+@query("s09_raster_files", "raster_cell", BLOCK_ROWS)
+def s09_files(s, d):
+    """The same blocks, written as raster files and read back by path. Files know no rows left of or above them: their first block is 0."""
+    first = blocks(s, d).agg(F.min("block_row"), F.min("block_col")).first()
+    out = rasters.load_raster_blocks(s, raster_folder(s, d), SIZE)
+    return out.select((F.col("block_row") + first[0]).alias("block_row"), (F.col("block_col") + first[1]).alias("block_col"), F.hex("cells").alias("cells"))
+
+
+LOOKUP = LOOKED + " SELECT point_id, id AS landcover_id, coalesce(id, 0) AS smod_id FROM looked"
+
+
+@query("c01_raster_file_lookup", "point raster_cell", LOOKUP)
+def c01_files(s, d):
+    p = A.point(s, d).select("point_id", "lon", "lat")
+    path = raster_folder(s, d)
+    out = raster.raster_file_lookup(p, path, F.col("lon"), F.col("lat"), "landcover_id")
+    return raster.raster_file_lookup(out, path, F.col("lon"), F.col("lat"), "smod_id", missing=0).select("point_id", "landcover_id", "smod_id")
+
+
+@query("c01_raster_lookup", "point raster_cell", LOOKUP)
 def c01(s, d):
     p = A.point(s, d).select("point_id", "lon", "lat")
     out = raster.raster_lookup(p, blocks(s, d), AFFINE, F.col("lon"), F.col("lat"), "landcover_id", SIZE)
