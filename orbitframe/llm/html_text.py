@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import pandas as pd
@@ -39,7 +40,7 @@ CLOSES_P = BLOCKS - {"html", "body", "dd", "dt", "li"}
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "html"})
 #: Elements nested deeper are hung under the last allowed one, as browsers do.
 DEPTH = 200
-#: A table column is padded up to this width.
+#: A table column is always padded up to this width; further only where that costs little.
 WIDEST = 120
 
 
@@ -200,8 +201,11 @@ class Page:
 
 
 def _span(node: Node, name: str) -> int:
+    """As written; 1 where it is no number, 0 for a cell that goes on to the table's last row."""
     value = node.attrs.get(name, "1").strip()
-    return min(50, max(1, int(value))) if value.isascii() and value.isdigit() else 1
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    return int(value) if len(value) < 18 else 10**18
 
 
 def _rows(node: Node):
@@ -214,42 +218,70 @@ def _rows(node: Node):
 
 
 def render_table(node: Node, page: Page) -> None:
-    grid: list[list[list[str]]] = []
-    held: dict[int, int] = {}
     for kid in node.kids:
         if (isinstance(kid, Node) and is_visible(kid) and kid.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col")) or (isinstance(kid, str) and kid.strip()):
             own = Page()
             render([kid], own)
             own.block(False)
             page.indented(own.lines, "", "")
-    for row in _rows(node):
-        cells: list[list[str]] = []
-
-        def skip():
-            while held.get(len(cells), 0) > 0:
-                held[len(cells)] -= 1
-                cells.append([])
-
+    grid: list[list[tuple[int, list[str]]]] = []
+    held: list[tuple[int, int, float]] = []
+    for number, row in enumerate(_rows(node)):
+        # Columns that cells of earlier rows still hold: (first, behind the last, row in which they are free again).
+        held = [h for h in held if h[2] > number]
+        cells, taken, at, passed = [], [], 0, 0
         for cell in row.kids:
             if isinstance(cell, Node) and not is_visible(cell) or isinstance(cell, str) and not cell.strip():
                 continue
-            skip()
+            while passed < len(held) and held[passed][0] <= at:
+                at, passed = max(at, held[passed][1]), passed + 1
             own = Page()
             render(cell.kids if isinstance(cell, Node) and cell.tag in ("td", "th") else [cell], own)
             own.block(False)
-            spans = (_span(cell, "colspan"), _span(cell, "rowspan")) if isinstance(cell, Node) else (1, 1)
-            for k in range(spans[0]):
-                held[len(cells)] = spans[1] - 1
-                cells.append(own.lines if k == 0 else [])
-        skip()
+            across, down = (max(1, _span(cell, "colspan")), _span(cell, "rowspan")) if isinstance(cell, Node) else (1, 1)
+            cells.append((at, own.lines))
+            if down != 1:
+                free = number + down if down else math.inf
+                if taken and taken[-1][1:] == (at, free):
+                    taken[-1] = (taken[-1][0], at + across, free)
+                else:
+                    taken.append((at, at + across, free))
+            at += across
+        held = sorted(held + taken)
         grid.append(cells)
-    columns = max(map(len, grid), default=0)
-    width = [min(WIDEST, max((len(line) for r in grid if c < len(r) for line in r[c]), default=0)) for c in range(columns)]
+    _write_rows(grid, page)
+
+
+def _widths(grid: list[list[tuple[int, list[str]]]], place: dict[int, int]) -> list[int]:
+    """A column's width: its widest line, if that is at most ``WIDEST`` or the padding it asks for is no longer than the table's own text."""
+    width, padded, sizes = [0] * len(place), [0] * len(place), [0] * len(place)
+    for cells in grid:
+        for i, (c, lines) in enumerate(cells):
+            k = place[c]
+            width[k] = max(width[k], max(map(len, lines), default=0))
+            if i + 1 < len(cells):
+                padded[k] += max(1, len(lines))
+            sizes[k] += sum(map(len, lines))
+    return [w if w <= WIDEST or w * padded[k] <= 2 * sum(sizes) else WIDEST for k, w in enumerate(width)]
+
+
+def _write_rows(grid: list[list[tuple[int, list[str]]]], page: Page) -> None:
+    """Cells by row, each with its column. Columns in which no cell begins take no room."""
+    place = {c: k for k, c in enumerate(sorted({c for cells in grid for c, _ in cells}))}
+    width = _widths(grid, place)
+    left = [0]
+    for w in width:
+        left.append(left[-1] + w + 2)
     for cells in grid:
-        for i in range(max((len(c) for c in cells), default=0)):
-            shown = [(c[i] if i < len(c) else "").ljust(width[k]) for k, c in enumerate(cells)]
-            page.parts = ["  ".join(shown).rstrip()]
+        rest, i = [(place[c], lines) for c, lines in cells], 0
+        while rest := [c for c in rest if i < len(c[1])]:
+            shown, behind = [], 0
+            for k, lines in rest:
+                shown += [" " * (left[k] - left[behind]), lines[i], " " * (width[k] - len(lines[i]) + 2)]
+                behind = k + 1
+            page.parts = ["".join(shown).rstrip()]
             page.line()
+            i += 1
 
 
 def render(kids: list, page: Page, pre: bool = False) -> None:
