@@ -48,10 +48,10 @@ class Ids:
     Where the file's merges come in the order of their ids, as ranks, a rank encoder gives the same ids in less than half
     of the time. ``proven`` holds the two against each other on every word of the vocabulary and on every character of the
     basic plane beside letters, digits, marks and blanks: words are cut by character class, and within a word only the vocabulary
-    counts. Texts with a special string, a character beyond that plane or ``LONG_BLANK`` blanks in a row, which the rank
-    encoder's pattern can't match, go to the tokenizer itself. So does everything where the proof fails."""
+    counts. Texts with a special string, a character beyond that plane or 300 blanks in a row, on which the rank
+    encoder's pattern is slow, go to the tokenizer itself. So does everything where the proof fails."""
 
-    LONG_BLANK = re.compile(r"\s{20000}")
+    LONG_BLANK = re.compile(r"(?:^|\S)\s{300}")
 
     def __init__(self, path: str, by_ranks: bool = True):
         self.tokenizer, self.ranks = encoder(path), None
@@ -82,7 +82,7 @@ class Ids:
             return False
         if not text.isascii() and len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
             return False
-        return len(text) < 20_000 or not self.LONG_BLANK.search(text)
+        return not self.LONG_BLANK.search(text)
 
     def encode(self, text: str) -> np.ndarray:
         return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False) if self.ranked(text) else self.slow(text)
