@@ -143,7 +143,9 @@ def fit_field(doc: np.ndarray, weight: np.ndarray, own: np.ndarray, y: np.ndarra
     field = Field(mean, std, np.zeros(x.shape[1]), np.zeros((2, 2)), np.array([1.0, 0.0, 0.0]))
     if not len(x) or y.min() == y.max():
         return field
-    z, label = (x - mean) / std, y[doc]
+    x -= mean
+    x /= std
+    z, label = x, y[doc]
     share = np.array([(y == 0).mean(), (y == 1).mean()])
     per_line = 0.5 / share[label] / np.bincount(doc, minlength=len(y))[doc]
     inner = np.flatnonzero(doc[1:] == doc[:-1])
@@ -162,9 +164,10 @@ def fit_field(doc: np.ndarray, weight: np.ndarray, own: np.ndarray, y: np.ndarra
     return field
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_lines: int = 2000) -> Field:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_lines: int = 200) -> Field:
     """Fit on at most ``max_rows`` labelled documents that aren't held out. Of each, the features of at most ``max_lines`` lines
-    in a row, from a place that its id's hash picks, come to the driver: ``max_rows`` * ``max_lines`` * 56 bytes at most."""
+    in a row, from a place that its id's hash picks, come to the driver: ``max_rows`` * ``max_lines`` lines of 56 bytes at most. The fit needs about 500 bytes a line: half a
+    gigabyte for the million lines that the defaults allow."""
 
     def run(batches):
         for frame in batches:
