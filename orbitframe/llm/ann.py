@@ -9,8 +9,8 @@ ascend together, one bit at a time, until enough entries have gathered; their di
    much larger, where vectors crowd, is dealt on at random, and queries go to all of its pieces.
 2. Descent. Each part sorts its bit strings; a query finds the range that shares its prefix at every length by binary search
    and sends the sizes. Summed over trees they say at which length, the same in all trees, enough entries lie.
-3. Ascent. The parts give each query its range at that length. A query for which the parts' leading bits were too many starts
-   anew with half as many of them, so none is left short.
+3. Ascent. The parts give each query its range at that length. A query for which the parts' leading bits were too many meets
+   the same entries dealt by half as many of them, so none is left short.
 4. Candidates meet their vectors in shards of nodes and are scored on the original components, in double precision and a
    fixed order of addition.
 """
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, staged
+from .common import _splitmix, prepare, staged
 
 BITS = 32
 
@@ -130,6 +130,11 @@ def _dealt(node: np.ndarray, part: np.ndarray):
         yield int(part[order[a]]), node[order[a:b]].astype("<i8")
 
 
+def spread(node: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each node, by a hash: ids may come in steps."""
+    return (_splitmix(node.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def _shards(shards: int):
     """A list's different nodes, by shard."""
 
@@ -138,7 +143,7 @@ def _shards(shards: int):
             out = []
             for q, dim, blobs in zip(frame["query"], frame["dim"], frame["nodes"], strict=True):
                 node = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in blobs]))
-                out += [(q, dim, w, own.tobytes()) for w, own in _dealt(node, node % shards)]
+                out += [(q, dim, w, own.tobytes()) for w, own in _dealt(node, spread(node, shards))]
             yield pd.DataFrame(out, columns=["query", "dim", "shard", "nodes"])
 
     return run
@@ -161,7 +166,7 @@ def _found(lists: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         keys, node = _unpack(rows["data"])
         low, high = ranges(keys, queries["bits"].to_numpy(np.int64), queries["length"].to_numpy(np.int64))
-        part, out = node % lists, []
+        part, out = spread(node, lists), []
         for q, dim, a, b in zip(queries["query"].tolist(), queries["dim"].tolist(), low.tolist(), high.tolist(), strict=True):
             out += [(q, dim, w, own.tobytes()) for w, own in _dealt(node[a:b], part[a:b])]
         return pd.DataFrame(out, columns=["query", "dim", "list", "nodes"])
@@ -177,8 +182,8 @@ def candidates(nodes: DataFrame, asked: DataFrame, tops: dict, n: int, trees: in
     begin = min(BITS - 1, max(0, math.ceil(math.log2(max(1, n / part_rows)))))
     key, out = ["dim", "tree", "lead", "piece"], None
     left = staged(asked.mapInPandas(_query_bits(trees, seed), "query long, dim int, keys array<long>"), "bits")
+    entries = staged(nodes.select("node", "dim", "v").mapInPandas(_index_entries(trees, seed, tops, begin), "dim int, tree int, lead long, n long, data binary"), "entries")
     while True:
-        entries = staged(nodes.select("node", "dim", "v").mapInPandas(_index_entries(trees, seed, tops, begin), "dim int, tree int, lead long, n long, data binary"), "entries")
         pieces = F.greatest(F.lit(1), F.ceil(F.sum("n") / (4 * part_rows)))
         crowded = staged(entries.groupBy(*key[:3]).agg(pieces.alias("pieces")).filter("pieces > 1"), "crowded")
         rows = entries.join(crowded, key[:3], "left").withColumn("piece", F.pmod(F.xxhash64("data"), F.coalesce("pieces", F.lit(1)))).select(*key, "data")
@@ -196,7 +201,8 @@ def candidates(nodes: DataFrame, asked: DataFrame, tops: dict, n: int, trees: in
         left = staged(left.join(chosen, ["query", "dim"], "left_anti"), "left")
         if left.isEmpty():
             return out
-        begin //= 2
+        # The same entries, dealt by fewer of their bits.
+        entries, begin = entries.withColumn("lead", F.shiftright("lead", begin - begin // 2)), begin // 2
 
 
 def _score(k: int):
@@ -258,7 +264,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     lists = hits.groupBy("query", "dim", "list").agg(F.collect_list("nodes").alias("nodes")).select("query", "dim", "nodes")
     held = lists.mapInPandas(_shards(shards), "query long, dim int, shard long, nodes binary").join(asked, ["query", "dim"])
     none = F.lit(None)
-    both = nodes.select("dim", F.pmod("node", F.lit(shards)).alias("shard"), "node", "ids", "v", none.cast("long").alias("query"), none.cast("binary").alias("nodes"))
+
+    @F.pandas_udf("long")
+    def shard_of(node: pd.Series) -> pd.Series:
+        return pd.Series(spread(node.to_numpy(np.int64), shards))
+
+    both = nodes.select("dim", shard_of("node").alias("shard"), "node", "ids", "v", none.cast("long").alias("query"), none.cast("binary").alias("nodes"))
     both = both.unionByName(held.select("dim", "shard", F.lit(0).cast("long").alias("node"), none.cast("array<long>").alias("ids"), "v", "query", "nodes"))
     dealt = both.repartition(max(1, min(shards, 4096)), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("nodes").isNotNull())
     scored = dealt.mapInPandas(_score(k), "query long, score double, ids array<long>")
