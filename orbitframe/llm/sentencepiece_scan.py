@@ -257,9 +257,10 @@ def _together(rows: DataFrame) -> DataFrame:
 def chosen_states(matrices: DataFrame, longest: int, fan: int = FAN) -> DataFrame:
     """``matrices(key, at, height, matrix)`` -> ``(key, at, from_state, to_state)`` on each key's best path. Products of ``fan``
     neighbours, then of ``fan`` of these, and so on up to one run a key; then down again, each run by itself. ``longest``:
-    the most matrices of a key. Repeated rows count once."""
+    the most matrices of a key. Repeated rows count once, and before they are sent, so that a key's rows are as many as its places."""
     above = F.floor(F.col("at") / fan).cast("int")
-    levels = [matrices.withColumn("above", above)]
+    once = matrices.groupBy("key", "at").agg(F.first("height").alias("height"), F.first("matrix").alias("matrix"))
+    levels = [once.withColumn("above", above)]
     while longest > fan:
         longest = math.ceil(longest / fan)
         up = staged(_together(levels[-1]).mapInPandas(_products, MATRIX), "products")
