@@ -3,13 +3,14 @@ wanted shingle similarity by an exact set join."""
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _splitmix, map_texts, prepare, row_key, staged, text_batches
@@ -239,31 +240,55 @@ def _masks(names: list[str], keys: list[list[int]], first: int = 0):
     return F.array(*rows)
 
 
-def _keyed(nodes: DataFrame, names: list[str], keys: list[list[int]], first: int = 0) -> DataFrame:
+def _under(nodes: DataFrame, names: list[str], masks: Column) -> DataFrame:
     masked = [F.col(n).bitwiseAND(F.col(f"at.m{j}")) for j, n in enumerate(names)]
-    out = nodes.withColumn("at", F.explode(_masks(names, keys, first)))
+    out = nodes.withColumn("at", F.explode(masks))
     return out.select("node", *names, F.col("at.slot").alias("slot"), F.xxhash64(*masked).alias("key"))
 
 
+def _keyed(nodes: DataFrame, names: list[str], keys: list[list[int]]) -> DataFrame:
+    return _under(nodes, names, _masks(names, keys))
+
+
+def _finer(places: list[int], total: int, budget: int) -> list[list[int]]:
+    """Keys that hold ``places`` and one of ``budget`` + 1 blocks of the other bits each."""
+    rest = sorted(set(range(total)) - set(places))
+    width = len(rest) // (budget + 1)
+    return [places + (rest[j * width : (j + 1) * width] if j < budget else rest[j * width :]) for j in range(budget + 1)]
+
+
+def split_groups(nodes: DataFrame, names: list[str], keys: list[list[int]], budget: int, group_rows: int) -> DataFrame:
+    """``(node, *names, slot, key)``: nodes under each of ``keys``, the groups of more than ``group_rows`` nodes dealt again by finer keys
+    until none is left. A group whose key leaves f bits has 2 ** f nodes at most, and a round leaves three quarters of
+    them for a budget of three bits, so that rounds are few: five for 64 bits and 200,000 rows."""
+    total, places = 64 * len(names), dict(enumerate(keys))
+    keyed, done = _keyed(nodes, names, keys), []
+    while True:
+        large = staged(keyed.groupBy("slot", "key").count().filter(F.col("count") > group_rows).select("slot", "key"), "large")
+        # One row a slot, of which there are as many as keys; what leaves no more bits than the budget can't be dealt further.
+        slots = sorted(r.slot for r in large.select("slot").distinct().collect() if total - len(places[r.slot]) > budget)
+        if not slots:
+            return functools.reduce(DataFrame.unionByName, [*done, keyed])
+        large = large.filter(F.col("slot").isin(slots))
+        done.append(keyed.join(large, ["slot", "key"], "left_anti"))
+        hot = staged(keyed.join(large, ["slot", "key"], "left_semi").select("node", *names, F.col("slot").alias("of")), "hot")
+        masks = []
+        for slot in slots:
+            finer, first = _finer(places[slot], total, budget), len(places)
+            masks += [F.lit(slot), _masks(names, finer, first)]
+            places |= dict(enumerate(finer, first))
+        keyed = _under(hot, names, F.element_at(F.create_map(*masks), F.col("of")))
+
+
 def hamming_components(prints: DataFrame, names: list[str], budget: int, keys: list[list[int]], group_rows: int = 200_000) -> DataFrame:
     """``prints(doc_id, f0, ...)`` -> ``(f0, ..., component_id)``: the smallest doc_id reachable over links of at most
     ``budget`` differing bits, for every distinct fingerprint.
 
     Equal fingerprints are one node. Only nodes that share the bits of one of ``keys`` meet; with ``exact_keys`` no link
     is lost. A group of more than ``group_rows`` nodes is dealt out again on blocks of the bits that its key leaves,
-    by the same argument, before it is walked."""
+    by the same argument, as often as it takes, before it is walked."""
     nodes = staged(prints.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", F.xxhash64(*names) if len(names) > 1 else F.col(names[0])), "nodes")
-    keyed = _keyed(nodes, names, keys)
-    large = staged(keyed.groupBy("slot", "key").count().filter(F.col("count") > group_rows).select("slot", "key"), "large")
-    if not large.isEmpty():
-        hot = keyed.join(large, ["slot", "key"], "left_semi")
-        keyed = keyed.join(large, ["slot", "key"], "left_anti")
-        for i, k in enumerate(keys):
-            rest = [p for p in range(64 * len(names)) if p not in set(k)]
-            width = len(rest) // (budget + 1)
-            finer = [k + (rest[j * width : (j + 1) * width] if j < budget else rest[j * width :]) for j in range(budget + 1)]
-            own = hot.filter(F.col("slot") == i).select("node", *names)
-            keyed = keyed.unionByName(_keyed(own, names, finer, len(keys) + i * (budget + 1)))
+    keyed = split_groups(nodes, names, keys, budget, group_rows)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "slot", "key").sortWithinPartitions("slot", "key")
     links = dealt.mapInPandas(_links(names, budget), "u long, v long")
