@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, encoded, prepare, row_key, text_batches
+from .common import Words, encoded, prepare, row_key, staged, text_batches
 
 CHUNK_BYTES = 24_000_000
 #: Words in a block of documents that is held at once.
@@ -336,17 +336,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sequence also starts in a document of a smaller id; the smallest keeps it, and repeats within one document stay.
     ``spans`` lists the words [from, to) that go. ``kept`` has the others joined by one space or, with ``layout``, the
     text as it was without them. A null text has no words and an empty ``kept``. A row of null id takes no part: it
-    loses nothing and nothing is lost because of it. Rows that repeat an id are never held against each other.
+    loses nothing and nothing is lost because of it. Rows that repeat an id are never held against each other. Of rows
+    equal in id and text one is looked at, and the others get its result.
 
     A group of suffixes has about ``group_rows`` rows; a block of documents about ``block_words`` words, or one document."""
-    spark = docs.sparkSession
-    prepare(spark)
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepare(docs.sparkSession)
     carried = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
     number = F.col(id_col).cast("long")
     rows = docs.select(number.alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carry"), row_key(id_col, text_col).alias("key"))
     known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rest = rows.filter("doc_id IS NULL OR text IS NULL")
+    again = staged(known.groupBy("key").count().filter("count > 1").select("key"), "again")
+    if again.isEmpty():
+        return _removed(known, window, layout, group_rows, block_words).drop("key").unionByName(_untouched(rest, layout))
+    repeated = known.join(again, "key", "left_semi")
+    lone = F.lit(None).cast(rows.schema["carry"].dataType).alias("carry")
+    once = repeated.groupBy("doc_id", "key").agg(F.first("text").alias("text")).select("doc_id", "text", lone, "key")
+    both = known.join(again, "key", "left_anti").withColumn("shown", F.lit(False)).unionByName(once.withColumn("shown", F.lit(True)))
+    both = staged(both.select("doc_id", "text", F.struct("carry", "shown").alias("carry"), "key"), "once")
+    done = staged(_removed(both, window, layout, group_rows, block_words), "done")
+    columns = ["doc_id", "n_words", "n_removed", "spans", "kept"]
+    single = done.filter("NOT carry.shown").select(*columns, "carry.carry")
+    shown = done.filter("carry.shown").select("key", *columns)
+    given = repeated.select("key", "carry").join(shown, "key").select(*columns, "carry")
+    return single.unionByName(given).unionByName(_untouched(rest, layout))
+
+
+def _removed(known: DataFrame, window: int, layout: bool, group_rows: int, block_words: int) -> DataFrame:
+    """``substring_dedup`` of ``known(doc_id, text, carry, key)``, without nulls in the first two; ``key`` is kept."""
+    slots = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     groups, begin, parts, total = prefix_groups(known.select("text"), window, group_rows, n_chars)
     blocks = max(slots, math.ceil(total / block_words))
@@ -362,8 +380,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = prints.groupBy("part").applyInPandas(_shared_prefixes, "block long, data binary")
     suffixes = by_block().cogroup(common.groupBy("block")).applyInPandas(_send_suffixes(window, bits, groups, begin, parts), TRAVELS)
     removed = suffixes.groupBy("grp").applyInPandas(_subtrees(window), "block long, data binary")
-    carry_type = rows.schema["carry"].dataType.simpleString()
-    schema = f"doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string, carry {carry_type}"
+    carry_type = known.schema["carry"].dataType.simpleString()
+    schema = f"doc_id long, n_words long, n_removed long, spans array<array<int>>, kept string, carry {carry_type}, key string"
 
     def cut(frame: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
         block = Block(frame, window)
@@ -378,9 +396,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each = [gone[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
         spans = [_spans(c).tolist() for c in each]
         kept = [_without(t, s, words.place[a:b], layout) for t, s, a, b in zip(block.texts, spans, edge[:-1], edge[1:], strict=True)]
-        return pd.DataFrame({"doc_id": block.id, "n_words": np.diff(edge), "n_removed": [int(c.sum()) for c in each], "spans": spans, "kept": kept, "carry": block.rows["carry"]})
+        return pd.DataFrame({"doc_id": block.id, "n_words": np.diff(edge), "n_removed": [int(c.sum()) for c in each], "spans": spans, "kept": kept, "carry": block.rows["carry"], "key": block.rows["key"]})
 
-    return by_block().cogroup(removed.groupBy("block")).applyInPandas(cut, schema).unionByName(_untouched(rest, layout))
+    return by_block().cogroup(removed.groupBy("block")).applyInPandas(cut, schema)
 
 
 def _untouched(rest: DataFrame, layout: bool) -> DataFrame:

@@ -98,6 +98,23 @@ def test_simhash(spark, group_rows, monkeypatch):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()} == want
 
 
+def test_groups_are_split_until_they_fit(spark):
+    """Fingerprints of one cluster: the first 40 bits are equal, so most keys of the first rounds separate nothing."""
+    draw = np.random.default_rng(17)
+    low = np.unique(draw.integers(0, 1 << 24, 500)).tolist()
+    low += [x ^ (1 << int(draw.integers(24))) ^ (1 << int(draw.integers(24))) for x in low[:100]]
+    prints = sorted({(0x5A5A5A5A5A << 24) | x for x in low})
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    table = spark.createDataFrame(rows, "doc_id long, f0 long")
+    keys = simhash.exact_keys(["f0"], 3)
+    got = simhash.hamming_components(table, ["f0"], 3, keys, group_rows=60).collect()
+    roots = brute_components(prints, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    assert {r.f0: r.component_id for r in got} == {f: root for (_, f), root in zip(rows, roots, strict=True)}
+    nodes = table.withColumn("node", F.col("f0"))
+    sizes = [r["count"] for r in simhash.split_groups(nodes, ["f0"], keys, 3, 60).groupBy("slot", "key").count().collect()]
+    assert max(sizes) <= 60
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.simhash_components(odd_docs(spark)).collect()
     assert len(got) == len(TEXTS) + 4
@@ -216,6 +233,23 @@ def test_substring_odd_rows(spark):
     assert substring.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_of_equal_rows(spark):
+    """A third of all rows are equal in id and text: one is looked at, each keeps its own further columns."""
+    draw = np.random.default_rng(23)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(draw.choice(words, 60)) for _ in range(40)]
+    rows = [(i, t, {"n": str(i)}) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i] + " and " + texts[i + 1], {"n": "x"}) for i in range(20)]
+    rows += [(50, "before " + texts[3] + " after", {"n": str(k)}) for k in range(30)]
+    rows += [(None, texts[5], {"n": "no id"}), (60, None, {"n": "a"}), (60, None, {"n": "b"})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,string>")
+    got = substring.substring_dedup(docs, carry=("more",)).collect()
+    have = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got if r.doc_id is not None)
+    assert have == brute_substring([(d, t) for d, t, _ in rows if d is not None], 13)
+    assert sorted((r.doc_id, r.carry.more["n"]) for r in got if r.doc_id in (50, 60)) == sorted((d, m["n"]) for d, _, m in rows if d in (50, 60))
+    assert {r.n_removed for r in got if r.doc_id == 50} == {60} and len(got) == len(rows)
+
+
 def test_substring_keeps_layout(spark):
     rows = [(1, "a b\nc  d e"), (2, "x\n a b\nc  d e\n\ty z")]
     got = {r.doc_id: r.kept for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=4, layout=True).collect()}
