@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded as the SQL does it: the double times a power of ten, halves away from zero. ``F.round`` looks at the double's
+    decimal digits instead, which differs where a quotient lies on a half or next to it."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def _place(key: str) -> tuple[str, str]:
     return f"({key} * 7919 % 35000) / 100 - 175", f"({key} * 104729 % 14000) / 100 - 70"
 
