@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -102,6 +104,22 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+#: glibc's numbers of the settings for mmap and trimming, and the size from which freed memory leaves the process.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD, RETURNED_BYTES = -3, -1, 4_194_304
+
+
+@functools.cache
+def return_memory() -> None:
+    """Freed arrays of 4 MB or more go back to the system at once. Left alone, glibc raises that bound to 32 MB as it sees larger
+    arrays, and each worker keeps what its largest task took, through all later stages. Other C libraries stay as they are."""
+    try:
+        setting = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    setting(_MMAP_THRESHOLD, RETURNED_BYTES)
+    setting(_TRIM_THRESHOLD, RETURNED_BYTES)
+
+
 #: Words that are hashed at once, so that the numbers of single bytes stay few.
 HASHED_WORDS = 65_536
 
@@ -110,6 +128,7 @@ class Words:
     """The words of several texts: ``hash`` (64 bits each) and ``doc`` (index of the text), in order."""
 
     def __init__(self, texts: list[bytes]):
+        return_memory()
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         inside = ~_SPACE[buf]

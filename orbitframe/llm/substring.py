@@ -23,17 +23,21 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, encoded, prepare, row_key, staged, text_batches
+from .common import Words, encoded, prepare, return_memory, row_key, staged, text_batches
 
 CHUNK_BYTES = 24_000_000
-#: Words in a block of documents that is held at once.
-BLOCK_WORDS = 1_200_000
+#: Bytes of a block of documents that is held at once: 1.2 million words at a window of 13, 787,000 at 50, as a word takes about
+#: 100 bytes in arrays besides its suffix's codes, which are held once and sent once.
+BLOCK_BYTES, WORD_BYTES = 170_000_000, 100
+#: Bytes of the codes of a group of suffixes: a million of them at a window of 13, 362,000 at 50.
+GROUP_BYTES = 21_000_000
 #: The table of prefix counts has at most so many bins for each prefix length.
 MOST_BINS = 1 << 20
 #: Bytes of the check that follows a suffix's words.
@@ -81,7 +85,10 @@ def pack_suffixes(codes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> byte
     ids, own = np.unique(doc[order], return_inverse=True)
     head = struct.pack("<III", len(codes), codes.shape[1], len(ids))
     step = np.diff(place[order], prepend=0).astype(np.uint32)
-    return head + zlib.compress(ids.astype(np.int64).tobytes() + own.astype(np.uint32).tobytes() + step.tobytes() + codes[order].T.tobytes(), 1)
+    body = zlib.compressobj(1)
+    packed = [head, *[body.compress(x.tobytes()) for x in (ids.astype(np.int64), own.astype(np.uint32), step)]]
+    packed += [body.compress(codes[order, c].tobytes()) for c in range(codes.shape[1])]
+    return b"".join([*packed, body.flush()])
 
 
 def unpack_suffixes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,13 +110,14 @@ def sorted_suffixes(codes: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, n
     n, width = codes.shape
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = []
-    for a in range(0, width, 8):
+    # Least significant first, so that one key of eight columns exists at a time.
+    order = np.lexsort(ties[::-1]) if ties else np.arange(n)
+    for a in reversed(range(0, width, 8)):
         key = np.zeros(n, np.uint64)
         for c in range(a, min(a + 8, width)):
-            key = (key << np.uint64(8)) | codes[:, c]
-        keys.append(key)
-    order = np.lexsort([*ties[::-1], *keys[::-1]])
+            key <<= np.uint64(8)
+            key |= codes[:, c]
+        order = order[np.argsort(key[order], kind="stable")]
     shared = np.zeros(n, np.int64)
     open_ = np.arange(1, n)
     for c in range(width):
@@ -162,6 +170,7 @@ def _send_prefixes(window: int, bits: int, parts: int):
 
 def _shared_prefixes(frame: pd.DataFrame) -> pd.DataFrame:
     """Tells each block which of its fingerprints another block has."""
+    return_memory()
     blocks = frame["block"].to_numpy(np.int64)
     each = [_ascending(b) for b in frame["data"]]
     own = np.repeat(np.arange(len(each)), [len(x) for x in each])
@@ -201,8 +210,8 @@ def _prefix_lengths(window: int) -> list[int]:
     return [k for k in (1 << i for i in range(20)) if k < window] or [1]
 
 
-def _prefix_bins(words: Words, at: np.ndarray, window: int, bins: int) -> list[np.ndarray]:
-    return [(words.runs(k)[at] % np.uint64(bins)).astype(np.int64) for k in _prefix_lengths(window)]
+def _prefix_bins(words: Words, at: np.ndarray, window: int, bins: int) -> Iterator[np.ndarray]:
+    return ((words.runs(k)[at] % np.uint64(bins)).astype(np.int64) for k in _prefix_lengths(window))
 
 
 def _count_prefixes(window: int, bins: int):
@@ -271,14 +280,16 @@ def _send_suffixes(window: int, bits: int, groups: np.ndarray, begin: int, parts
         at, ids = block.at[open_], ids[open_]
         if not len(at):
             return pd.DataFrame([], columns=names)
+        del prints, known, open_
         codes = word_classes(words, at, window)
         order, shared = sorted_suffixes(codes, ids, at)
-        at, ids, codes = at[order], ids[order], codes[order]
-        node = np.cumsum(shared < codes.shape[1]) - 1
         first = np.flatnonzero(shared < codes.shape[1])
-        later = ids != ids[first[node]]
-        rows = [(number % (begin + parts), number, True, _intervals(at[later], window))] if later.any() else []
-        at, ids, codes = at[~later], ids[~later], codes[~later]
+        later = ids[order] != np.repeat(ids[order[first]], np.diff(first, append=len(order)))
+        rows = [(number % (begin + parts), number, True, _intervals(at[order[later]], window))] if later.any() else []
+        # The codes stay where they are: ``kept`` says which of them travel.
+        kept = order[~later]
+        at, ids = at[kept], ids[kept]
+        del order, shared, later
         group = np.full(len(at), -1)
         for i, own in enumerate(_prefix_bins(words, at, window, groups.shape[1])):
             group = np.where(group < 0, groups[i][own], group)
@@ -287,7 +298,7 @@ def _send_suffixes(window: int, bits: int, groups: np.ndarray, begin: int, parts
         edge = _edges(group[order])
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             own = order[a:b]
-            rows.append((int(group[own[0]]), number, False, pack_suffixes(codes[own], ids[own], at[own])))
+            rows.append((int(group[own[0]]), number, False, pack_suffixes(codes[kept[own]], ids[own], at[own])))
         return pd.DataFrame(rows, columns=names)
 
     return run
@@ -297,13 +308,16 @@ def _subtrees(window: int):
     """One group of suffixes: sort, common prefixes, deep nodes, and the places of all but each node's smallest document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return_memory()
         settled = frame["settled"].to_numpy(bool)
         out = [(b, True, d) for b, d in zip(frame["block"][settled], frame["data"][settled], strict=True)]
-        parts = [unpack_suffixes(d) for d in frame["data"][~settled]]
-        if parts:
+        if not settled.all():
+            parts = [unpack_suffixes(d) for d in frame["data"][~settled]]
             block = np.repeat(frame["block"].to_numpy(np.int64)[~settled], [len(p[1]) for p in parts])
             codes, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             order, shared = sorted_suffixes(codes, doc)
+            del codes
             low, high = deep_nodes(shared, window + CHECK)
             doc, place, block = doc[order], place[order], block[order]
             smallest = np.repeat(doc[low], high - low)
@@ -329,7 +343,7 @@ def _without(text: bytes, spans, place: np.ndarray, layout: bool) -> str:
     return (text if layout else b" ".join(text.split())).decode()
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False, group_rows: int = 1_000_000, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, layout: bool = False, group_rows: int | None = None, block_words: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_words, n_removed, spans, kept)`` for every row of ``docs``, and its columns ``carry`` as a struct of that name.
 
     Words are runs of anything but ASCII white space. A word goes if it lies in a window of ``window`` words whose
@@ -339,8 +353,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loses nothing and nothing is lost because of it. Rows that repeat an id are never held against each other. Of rows
     equal in id and text one is looked at, and the others get its result.
 
-    A group of suffixes has about ``group_rows`` rows; a block of documents about ``block_words`` words, or one document."""
+    A group of suffixes has about ``group_rows`` rows, by default so many that their codes take ``GROUP_BYTES``; a block of documents about
+    ``block_words`` words, by default so many that they take ``BLOCK_BYTES``, or one document."""
     prepare(docs.sparkSession)
+    group_rows = group_rows or GROUP_BYTES // (window + CHECK)
+    block_words = block_words or BLOCK_BYTES // (WORD_BYTES + 2 * (window + CHECK))
     carried = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
     number = F.col(id_col).cast("long")
     rows = docs.select(number.alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carry"), row_key(id_col, text_col).alias("key"))

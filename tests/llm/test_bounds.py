@@ -2,11 +2,12 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from orbitframe.llm import ann, html_text, packing
+from orbitframe.llm import ann, html_text, packing, substring
 
 # ------------------------------------------------------------------ op9
 
@@ -119,3 +120,33 @@ def test_long_blanks_are_quick_and_equal():
 def test_ids_in_steps_spread_over_shards(step):
     part = ann.spread(np.arange(64_000, dtype=np.int64) * step, 4)
     assert np.bincount(part, minlength=4).min() > 15_000
+
+
+# ------------------------------------------------------------------ op3
+
+
+def test_sorting_suffixes_holds_one_key_at_a_time():
+    draw = np.random.default_rng(5)
+    n, width = 50_000, 58
+    codes = np.asfortranarray(draw.integers(0, 3, (n, width), np.uint8))
+    codes[n // 2 :] = codes[: n - n // 2]
+    doc = draw.integers(0, 9, n)
+    tracemalloc.start()
+    try:
+        order, shared = substring.sorted_suffixes(codes, doc)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < n * width
+    rows = [(codes[i].tobytes(), int(doc[i]), i) for i in range(n)]
+    assert order.tolist() == [i for _, _, i in sorted(rows)]
+    same = (codes[order][1:] == codes[order][:-1]).cumprod(axis=1).sum(axis=1)
+    assert shared.tolist() == [0, *same.tolist()]
+
+
+def test_packed_suffixes_come_back_by_place():
+    draw = np.random.default_rng(6)
+    codes, doc, place = draw.integers(0, 256, (400, 21), np.uint8), draw.integers(0, 2**60, 400), draw.permutation(9000)[:400]
+    back = substring.unpack_suffixes(substring.pack_suffixes(codes, doc, place))
+    order = np.argsort(place)
+    assert [np.array_equal(a, b[order]) for a, b in zip(back, (codes, doc, place), strict=True)] == [True] * 3
