@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.llm import packing, secrets, simhash, substring, toxicity
-from orbitframe.llm.common import prepare, row_key, staged
+from orbitframe.llm.common import maybe_in, prepare, row_key, staged
 
 TOXIC_FROM = 0.5
 NEAR_SIMILARITY = 0.8
@@ -32,10 +32,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = simhash.near_duplicates(docs, shingle=5, similarity=NEAR_SIMILARITY)
     # Rows that go, not rows that stay: most stay, so the table that texts are joined to is the small one.
     counts = staged(groups.filter("doc_id IS NOT NULL").groupBy("doc_id", F.col("key").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("doc_id = component_id AND key = component_key")).alias("first")).filter("n > 1 OR NOT first"), "copies")
-    # A document travels as one struct, so that its columns may have any names.
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.struct(*docs.columns).alias("doc")).join(counts, ["doc_id", "row"], "left")
-    again = rows.filter("first").groupBy("doc_id", "row").agg(F.min("doc").alias("doc"))
-    return rows.filter("n IS NULL").select("doc.*").unionByName(again.select("doc.*"))
+    # A document travels as one struct, so that its columns may have any names. Texts that the tables of keys rule out aren't shuffled; of the
+    # others, those that stay and those of which one of several rows stays are looked for apart, as the latter are few or none.
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.struct(*docs.columns).alias("doc"))
+    several = counts.filter("n > 1 AND first")
+    listed, repeated = maybe_in(counts, "row"), maybe_in(several, "row")
+    alone = rows.filter(~listed("row")).select("doc.*")
+    stay = rows.filter(listed("row")).join(counts, ["doc_id", "row"], "left_anti").select("doc.*")
+    again = rows.filter(repeated("row")).join(several.select("doc_id", "row"), ["doc_id", "row"]).groupBy("doc_id", "row").agg(F.min("doc").alias("doc"))
+    return alone.unionByName(stay).unionByName(again.select("doc.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,36 @@ def row_key(id_col, text_col):
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.when(F.col(text_col).isNull(), "-").otherwise(F.concat(F.lit(":"), F.col(text_col)))))
 
 
+#: Bits of a table of keys for each key, and of any table; bits that one row sends to the driver.
+KEY_BITS, TABLE_BITS, CHUNK_BITS = 16, 1 << 24, 1 << 15
+
+
+def maybe_in(keys: DataFrame, key: str):
+    """A function of a column that is true for all values of ``keys[key]`` and, as long as these are fewer than the bits of a bounded table, false for
+    most others: what it rules out needs no join. The table is made in chunks by tasks, so that the driver gets 2 MB at most."""
+    count = keys.count()
+    size = min(TABLE_BITS, max(CHUNK_BITS, 1 << (KEY_BITS * max(1, count) - 1).bit_length()))
+
+    def chunk(number, frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(CHUNK_BITS, bool)
+        bits[frame["bit"].to_numpy(np.int64)] = True
+        return pd.DataFrame({"chunk": [int(number[0])], "bits": [np.packbits(bits).tobytes()]})
+
+    packed = np.zeros(size // 8, np.uint8)
+    if count:
+        place = keys.select(F.pmod(F.xxhash64(key), F.lit(size)).alias("place")).distinct()
+        chunks = place.select(F.expr(f"place div {CHUNK_BITS}").alias("chunk"), (F.col("place") % CHUNK_BITS).alias("bit")).groupBy("chunk").applyInPandas(chunk, "chunk long, bits binary")
+        for row in chunks.collect():
+            packed[row.chunk * CHUNK_BITS // 8 : (row.chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(row.bits, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.int64)
+        return pd.Series((packed[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return lambda column: maybe(F.pmod(F.xxhash64(column), F.lit(size)))
+
+
 def map_texts(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``mapInPandas`` over ``(doc_id, text, ...)`` that gives ``doc_id`` and the columns of ``schema``. Inside, a null id is zero
     and ``no_id``, so that ids never become floats there; ``run`` passes both columns on. ``more``: further columns."""

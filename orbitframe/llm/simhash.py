@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _splitmix, map_texts, prepare, row_key, staged, text_batches
+from .common import _splitmix, map_texts, maybe_in, prepare, row_key, staged, text_batches
 from .components import connected_components
 from .substring import _ascending as ascending
 from .substring import _planes as planes
@@ -23,8 +23,8 @@ _LANES = np.uint64(0x0101010101010101)
 #: Shingles of different sets that a task counts at once, how often a common one occurs among them, and how many common ones are ordered.
 COUNTED, COMMON_FROM, COMMON = 2_000_000, 4, 131_072
 #: Bins of a set's hashes. The bins that hold an odd number bound the difference of two sets, in four numbers; sets of more than
-#: COUNTED_FROM shingles, for which these say little, have the bins' counts as well.
-COUNTS, PARITY, COUNTED_FROM = 256, ("b0", "b1", "b2", "b3"), 100
+#: FINE_FROM shingles, for which these say little, have two to four such bins for each shingle as well, FINE_MOST in all at most.
+BINS, PARITY, FINE_FROM, FINE_MOST = 256, ("b0", "b1", "b2", "b3"), 128, 1 << 16
 #: Pairs that share one copy of a text.
 SALTED = 500
 #: Fingerprint columns of a set, tries they are walked in, and bits of a shingle's hash that sets meet on.
@@ -319,13 +319,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _sets(shingle: int):
     """Document rows with their shingle set's hash, size, bins and fingerprint and, with a null node, how often common shingles occur."""
-    columns = ["doc_id", "no_id", "key", "node", "n", "counts", *PARITY, *PRINTS, "hash", "times"]
+    columns = ["doc_id", "no_id", "key", "node", "n", "fine", *PARITY, *PRINTS, "hash", "times"]
 
     def common(held):
         h, times = np.unique(np.concatenate(list(held.values())), return_counts=True)
         often = times >= COMMON_FROM
         own = pd.DataFrame({"hash": h[often].view(np.int64), "times": times[often], "doc_id": 0, "no_id": True})
-        return own.reindex(columns=columns).astype({"key": object, "node": "Int64", "n": "Int64", "counts": object} | dict.fromkeys((*PARITY, *PRINTS), "Int64"))
+        return own.reindex(columns=columns).astype({"key": object, "node": "Int64", "n": "Int64", "fine": object} | dict.fromkeys((*PARITY, *PRINTS), "Int64"))
 
     def run(batches):
         held, total = {}, 0
@@ -333,11 +333,10 @@ def _sets(shingle: int):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             bits = np.array([set_bits(s, len(PRINTS)) for s in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
-            bins = [_bins(s) for s in sets]
-            odd = np.array([np.packbits(b & 1).view(np.int64) for b in bins], np.int64).reshape(-1, len(PARITY))
-            many = [b.astype(np.uint8).tobytes() if len(s) > COUNTED_FROM and b.max() < 256 else None for s, b in zip(sets, bins, strict=True)]
+            odd = np.array([odd_bins(s, BINS).view(np.int64) for s in sets], np.int64).reshape(-1, len(PARITY))
+            many = [odd_bins(s, min(FINE_MOST, 2 << (len(s) - 1).bit_length())).tobytes() if len(s) > FINE_FROM else None for s in sets]
             numbers = {c: odd[:, i] for i, c in enumerate(PARITY)} | {c: bits[:, i] for i, c in enumerate(PRINTS)}
-            out = frame[["doc_id", "no_id", "key"]].assign(node=node, n=[len(s) for s in sets], counts=many, **numbers, hash=None, times=None)
+            out = frame[["doc_id", "no_id", "key"]].assign(node=node, n=[len(s) for s in sets], fine=many, **numbers, hash=None, times=None)
             yield out.astype({"hash": "Int64", "times": "Int64"})
             for name, s in zip(node.tolist(), sets, strict=True):
                 if name not in held:
@@ -352,9 +351,19 @@ def _sets(shingle: int):
     return run
 
 
-def _bins(own: np.ndarray) -> np.ndarray:
-    """How many of the hashes fall in each of ``COUNTS`` bins."""
-    return np.bincount((own >> np.uint64(40)).astype(np.int64) % COUNTS, minlength=COUNTS)
+def odd_bins(own: np.ndarray, bins: int) -> np.ndarray:
+    """Of ``bins`` bins of hashes, a power of two and 64 at least, those that hold an odd number, as bits."""
+    held = np.bincount((own >> np.uint64(40)).astype(np.int64) % bins, minlength=bins)
+    return np.packbits(held & 1, bitorder="little")
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the shingles that two sets don't share, from their odd bins: each bin that is odd in one of them only holds one. The
+    finer bins are folded to as many as the coarser ones, as a bin's number is that of a finer one modulo the bins."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def _prefixes(shingle: int, similarity: float, common: np.ndarray, parts: int):
@@ -438,20 +447,11 @@ def _possible(a: str, b: str, similarity: float):
 
 
 def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """``wanted(node, key)`` with the text of each: ``(node, text)``. A table of 2 ** 20 bits of the wanted keys' hashes keeps
-    most of the other texts out of the shuffle as long as a small part is wanted; the join decides."""
-    size = 1 << 20
-    place = F.pmod(F.xxhash64("key"), F.lit(size))
-    bits = np.zeros(size, bool)
-    bits[wanted.select(place.alias("place")).distinct().toPandas()["place"].to_numpy(np.int64)] = True
-    packed = np.packbits(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(places: pd.Series) -> pd.Series:
-        at = places.to_numpy(np.int64)
-        return pd.Series((packed[at >> 3] >> (7 - (at & 7))) & 1 == 1)
-
-    return texts.filter(maybe(place)).join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
+    """``wanted(node, key)`` with the text of each: ``(node, text)``. A table of bits of the wanted keys' hashes keeps
+    most of the other texts out of the shuffle as long as a small part is wanted; the join decides. A node has one key, so the
+    texts of equal rows meet where they were joined."""
+    maybe = maybe_in(wanted, "key")
+    return texts.filter(maybe("key")).join(wanted, "key").groupBy("key", "node").agg(F.first("text").alias("text")).select("node", "text")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -463,8 +463,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
             keep = np.ones(len(frame), bool)
             for i, (x, y, n, m) in enumerate(zip(frame["x"], frame["y"], frame["n"], frame["m"], strict=True)):
                 if x and y:
-                    both = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
-                    keep[i] = both >= similarity * (n + m - both) - 1e-9
+                    keep[i] = least_difference(x, y) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
             yield frame.loc[keep, ["a", "b"]]
 
     def verified(batches):
@@ -480,10 +479,10 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
                     links.append((a, b))
             yield pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
-    left = nodes.select(F.col("node").alias("a"), F.struct("n", *PARITY, "counts").alias("p"))
-    right = nodes.select(F.col("node").alias("b"), F.struct("n", *PARITY, "counts").alias("q"))
+    left = nodes.select(F.col("node").alias("a"), F.struct("n", *PARITY, "fine").alias("p"))
+    right = nodes.select(F.col("node").alias("b"), F.struct("n", *PARITY, "fine").alias("q"))
     near = pairs.join(left, "a").join(right, "b").filter(_alike("p", "q", similarity))
-    near = near.select("a", "b", F.col("p.n").alias("n"), F.col("q.n").alias("m"), F.col("p.counts").alias("x"), F.col("q.counts").alias("y"))
+    near = near.select("a", "b", F.col("p.n").alias("n"), F.col("q.n").alias("m"), F.col("p.fine").alias("x"), F.col("q.fine").alias("y"))
     open_pairs = staged(near.mapInPandas(bounded, "a long, b long"), "pairs")
     many = staged(open_pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / SALTED).alias("copies")), "many")
     wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
@@ -507,12 +506,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = row_key(id_col, text_col)
-    schema = "key string, node long, n long, counts binary, " + "".join(f"{c} long, " for c in (*PARITY, *PRINTS)) + "hash long, times long"
+    schema = "key string, node long, n long, fine binary, " + "".join(f"{c} long, " for c in (*PARITY, *PRINTS)) + "hash long, times long"
     found = staged(map_texts(docs, _sets(shingle), schema, id_col, text_col, key=key), "sets")
     rows = found.filter("node IS NOT NULL").select("doc_id", "key", "node")
     often = found.filter("node IS NULL").groupBy("hash").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hash").limit(COMMON)
     common = often.toPandas()["hash"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-    of_node = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "counts", *PARITY, *PRINTS)])
+    of_node = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "fine", *PARITY, *PRINTS)])
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     nodes = staged(of_node, "nodes")
     count, entries = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()

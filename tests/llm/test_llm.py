@@ -189,6 +189,18 @@ def test_near_duplicates_link_nothing_below_the_similarity(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_odd_bins_bound_the_difference():
+    draw = np.random.default_rng(11)
+    ruled_out = 0
+    for n, m, both in [(1000, 1000, 862), (1000, 800, 780), (300, 300, 259), (5000, 5000, 4300), (200, 3000, 190), (130, 140, 130)] * 10:
+        h = draw.integers(0, 1 << 64, n + m - both, dtype=np.uint64)
+        x, y = (simhash.odd_bins(s, 2 << (len(s) - 1).bit_length()).tobytes() for s in (h[:n], h[n - both :]))
+        assert simhash.least_difference(x, y) <= n + m - 2 * both
+        ruled_out += both == 862 and simhash.least_difference(x, y) > (n + m) / 9
+    # Two sets of 1,000 with a similarity of 0.757, which 256 counts of four hashes each couldn't tell from 0.8.
+    assert ruled_out == 10
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 201)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}

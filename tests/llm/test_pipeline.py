@@ -2,8 +2,11 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from orbitframe.llm import secrets, toxicity
+from orbitframe.llm.common import maybe_in
 
 DATA = "/root/testdata/sf0.001"
 
@@ -75,3 +78,27 @@ def test_columns_of_any_name_pass_through(spark):
             assert all(r[c] == (f"{r.doc_id}{c}" if r.doc_id != 4 else None) for c in names), name
     assert {1, 3} <= {r.doc_id for r in docs.collect()} and 2 not in {r.doc_id for r in docs.collect()}
     assert stage is not corpus_pipeline.pack_sequences and corpus_pipeline.pack_sequences(spark, docs, DATA).count() >= 2
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    rows = [(i, f"only {i} " * 40) for i in range(300)] + [(1000 + i, f"only {i} " * 40) for i in range(5)] + [(7, "only 7 " * 40)] * 2 + [(None, "only 9 " * 40)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+        got = sorted(str(r.doc_id) for r in out.collect())
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == sorted([*map(str, range(300)), "None"])
+    # Of the three reads of the texts each goes through a table of keys; the one without a join takes what the table rules out.
+    assert plan.count("[maybe(pmod(xxhash64(md5(") == 3 and plan.count("Join ") == 2
+
+
+def test_keys_of_a_table_are_all_found(spark):
+    keys = spark.range(0, 30000, 3).selectExpr("md5(cast(id AS string)) AS row")
+    maybe = maybe_in(keys, "row")
+    found = {r.id for r in spark.range(30000).filter(maybe(F.md5(F.col("id").cast("string")))).collect()}
+    assert set(range(0, 30000, 3)) <= found and len(found) < 13000
+    assert not spark.range(100).filter(maybe_in(keys.limit(0), "row")(F.col("id").cast("string"))).count()
