@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -52,6 +53,8 @@ class Ids:
     encoder's pattern is slow, go to the tokenizer itself. So does everything where the proof fails."""
 
     LONG_BLANK = re.compile(r"(?:^|\S)\s{300}")
+    #: 300 characters in a row hold three of every hundredth one, which is looked at first.
+    SOME_BLANK = re.compile(r"\s{3}")
 
     def __init__(self, path: str, by_ranks: bool = True):
         self.tokenizer, self.ranks = encoder(path), None
@@ -82,7 +85,7 @@ class Ids:
             return False
         if not text.isascii() and len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
             return False
-        return not self.LONG_BLANK.search(text)
+        return not (self.SOME_BLANK.search(text[99::100]) and self.LONG_BLANK.search(text))
 
     def encode(self, text: str) -> np.ndarray:
         return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False) if self.ranked(text) else self.slow(text)
@@ -101,6 +104,12 @@ class Ids:
         return all(self.ranks.encode_ordinary(t) == e.ids for p in parts for t, e in zip(p, self.tokenizer.encode_batch(p, add_special_tokens=False), strict=True))
 
 
+@functools.cache
+def worker_ids(path: str, by_ranks: bool) -> Ids:
+    """One for each file per worker process, through all its tasks."""
+    return Ids(path, by_ranks)
+
+
 _PROVEN: dict[str, bool] = {}
 
 
@@ -123,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     by_ranks = proven(docs.sparkSession, tokenizer)
 
     def run(batches):
-        cache = Ids(tokenizer, by_ranks)
+        cache = worker_ids(tokenizer, by_ranks)
         for frame in text_batches(batches, 4_000_000):
             rows = []
             for doc, none, text in zip(frame["doc_id"], frame["no_id"], frame["text"], strict=True):

@@ -113,6 +113,19 @@ def test_long_blanks_are_quick_and_equal():
     assert time.time() - begin < 3
 
 
+def test_plain_texts_are_not_searched_for_blanks(monkeypatch):
+    ids, path = packing.Ids(packing.tokenizer_path("byte_bpe_50k.json")), packing.tokenizer_path("byte_bpe_50k.json")
+    for before in (*range(0, 205, 7), 99, 100):
+        for run in (298, 299, 300, 301, 399):
+            text = "a" * before + " " * run + "b" * 150
+            assert ids.ranked(text) == (not ids.LONG_BLANK.search(text))
+    monkeypatch.setattr(packing.Ids, "LONG_BLANK", None)
+    assert ids.ranked("some  plain\n\nwords " * 5000)
+    # Tasks of a worker share what was made of the file.
+    assert packing.worker_ids(path, True) is packing.worker_ids(path, True)
+
+
+
 # ------------------------------------------------------------------ op5
 
 
