@@ -83,14 +83,17 @@ class EliasFano:
         self.low = self._packed(values) if self.width else np.zeros(2, np.uint64)
 
     def _packed(self, values):
-        shifts, parts = np.arange(self.width, dtype=np.uint64), []
-        mask = np.uint64((1 << self.width) - 1)
-        for a in range(0, self.n, 65_536):
-            own = values[a : a + 65_536] & mask
-            own = np.concatenate([own, np.zeros(-len(own) % 64, np.uint64)])
-            bits = ((own[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-            parts.append(np.packbits(bits.reshape(-1), bitorder="little").view("<u8"))
-        return np.concatenate([*parts, np.zeros(1, np.uint64)])
+        """64 numbers fill ``width`` words; the k-th ones of all such rows are put in their places at once."""
+        w, n = self.width, -(-self.n // 64)
+        rows = np.zeros(64 * n, np.uint64)
+        rows[: self.n] = values & np.uint64((1 << w) - 1)
+        rows, out = rows.reshape(n, 64), np.zeros((n, w), np.uint64)
+        for k in range(64):
+            word, bit = divmod(k * w, 64)
+            out[:, word] |= rows[:, k] << np.uint64(bit)
+            if bit + w > 64:
+                out[:, word + 1] |= rows[:, k] >> np.uint64(64 - bit)
+        return np.append(out.reshape(-1), np.uint64(0))
 
     def arrays(self) -> list[str]:
         return ["high", "ones", "zeros", "low"]
@@ -112,38 +115,66 @@ class EliasFano:
         held = self.high[at] if ones else ~self.high[at]
         return at * 16 + _select_table()[held, k - counts[at]]
 
+    def _select_two(self, k, ones: bool):
+        """The bits at which the k-th one (or zero) and the next stand, which mostly lie in the same 16 bits."""
+        counts = self.ones if ones else self.zeros
+        k = k.astype(np.uint32)
+        at = np.searchsorted(counts, k, side="right") - 1
+        held = self.high[at] if ones else ~self.high[at]
+        nth = k - counts[at]
+        first = at * 16 + _select_table()[held, nth]
+        second = at * 16 + _select_table()[held, np.minimum(nth + np.uint32(1), np.uint32(15))]
+        later = np.flatnonzero(k + np.uint32(1) >= counts[at + 1])
+        second[later] = self._select(k[later] + np.uint32(1), ones)
+        return first, second
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
         i = np.asarray(i, np.int64)
         high = self._select(i, True) - i
         return (high.astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
 
-    def _search(self, x):
-        """The first places whose values aren't less than ``x``, within the values of the same high bits; their end; the low bits."""
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places ``i`` and at the next ones, which exist."""
+        i = np.asarray(i, np.int64)
+        first, second = self._select_two(i, True)
+        high = ((first - i).astype(np.uint64), (second - i - 1).astype(np.uint64))
+        return (high[0] << np.uint64(self.width)) | self._lows(i), (high[1] << np.uint64(self.width)) | self._lows(i + 1)
+
+    def _range(self, x):
+        """The places ``[begin, end)`` of the values with the high bits of ``x``, and its low bits."""
         x = np.asarray(x, np.uint64)
         high, low = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
-        before = np.maximum(high - 1, 0)
-        end = self._select(high, False) - high
-        begin = np.where(high > 0, self._select(before, False) - before, 0)
-        last, open_ = end.copy(), np.flatnonzero(begin < end)
+        begin, end = self._select_two(np.maximum(high - 1, 0), False)
+        lowest = high == 0
+        return np.where(lowest, 0, begin - high + 1), np.where(lowest, begin, end - high), low
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The first places whose values aren't less than ``x`` (below the universe); n where there is none."""
+        begin, end, low = self._range(x)
+        open_ = np.flatnonzero(begin < end)
         while len(open_):
             middle = (begin[open_] + end[open_]) // 2
             less = self._lows(middle) < low[open_]
             begin[open_[less]] = middle[less] + 1
             end[open_[~less]] = middle[~less]
             open_ = open_[begin[open_] < end[open_]]
-        return begin, last, low
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first places whose values aren't less than ``x`` (below the universe); n where there is none."""
-        return self._search(x)[0]
+        return begin
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        """Where ``x`` (below the universe) stands, -1 where it doesn't."""
-        at, last, low = self._search(x)
-        out = np.where(at < last, at, -1)
-        some = np.flatnonzero(out >= 0)
-        out[some[self._lows(out[some]) != low[some]]] = -1
+        """Where ``x`` (below the universe) stands, -1 where it doesn't; a place of several, if it is repeated."""
+        begin, end, low = self._range(x)
+        out = np.full(len(low), -1, np.int64)
+        open_ = np.flatnonzero(begin < end)
+        begin, end, low = begin[open_], end[open_], low[open_]
+        while len(open_):
+            middle = (begin + end) >> 1
+            found = self._lows(middle)
+            equal, less = found == low, found < low
+            out[open_[equal]] = middle[equal]
+            begin, end = np.where(less, middle + 1, begin), np.where(less, end, middle)
+            on = np.flatnonzero(~equal & (begin < end))
+            open_, begin, end, low = open_[on], begin[on], end[on], low[on]
         return out
 
 
@@ -217,7 +248,7 @@ class Trie:
                 first = np.flatnonzero(new)
                 if depth:
                     parent = np.maximum(place[node[first]], 0)
-                    begin, end = (self.pointers[depth - 1].access(parent + k).astype(np.int64) for k in (0, 1))
+                    begin, end = (v.astype(np.int64) for v in self.pointers[depth - 1].access_two(parent))
                     end = np.where(place[node[first]] < 0, begin, end)
                 else:
                     begin, end = np.zeros(len(first), np.int64), np.full(len(first), self.levels[0].n, np.int64)

@@ -257,3 +257,20 @@ def test_merged_counts_and_wide_ids():
 def test_packed_numbers():
     for values in ([], [0], [1, 2**63, 5], list(range(70_000))):
         assert lm_trie.unpack(lm_trie.pack(np.array(values, np.uint64))).tolist() == values
+
+
+def test_a_value_is_found_by_few_lookups(monkeypatch):
+    draw = np.random.default_rng(6)
+    for top in (1 << 13, 1 << 20, 1 << 45):
+        values = np.unique(draw.integers(0, top, 6000).astype(np.uint64))
+        ef, low = lm_trie.EliasFano(values, top), lm_trie.EliasFano._lows
+        first, second = ef.access_two(np.arange(len(values) - 1))
+        assert (first == values[:-1]).all() and (second == values[1:]).all()
+        looked = []
+        monkeypatch.setattr(lm_trie.EliasFano, "_lows", lambda self, i, low=low, looked=looked: looked.append(len(i)) or low(self, i))
+        assert (ef.place(values) == np.arange(len(values))).all()
+        # A group of values with equal high bits holds one to two on average, and a hit ends the search.
+        assert sum(looked) < 2 * len(values)
+        other = np.setdiff1d(draw.integers(0, top, 6000).astype(np.uint64), values)
+        assert (ef.place(other) == -1).all()
+        monkeypatch.setattr(lm_trie.EliasFano, "_lows", low)
