@@ -41,12 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER[0]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: the lineage ends here, on storage that
-    outlives an executor."""
+    outlives an executor. ``options``: those of Spark's writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -135,6 +135,50 @@ def test_ids_in_steps_spread_over_shards(step):
     assert np.bincount(part, minlength=4).min() > 15_000
 
 
+def crowded_entries(trees=3, n=500):
+    """Bit strings, some of which share many bits, and those of queries."""
+    draw = np.random.default_rng(8)
+    entries = draw.integers(0, 1 << 32, (trees, n), np.uint32)
+    entries[:, :200] = (entries[:, :1] & np.uint32(0xFFFFF000)) | (entries[:, :200] & np.uint32(0xFFF))
+    entries[:, 200:205] = np.uint32(0xFFFFFFFF)
+    keys = np.concatenate([entries[:, ::7], np.full((trees, 1), 0xFFFFFFFF, np.uint32), draw.integers(0, 1 << 32, (trees, 50), np.uint32)], axis=1)
+    return entries, keys
+
+
+def shares(entries, keys, length):
+    """(trees, entries, queries): whether an entry shares the first ``length`` bits."""
+    shift = np.uint64(32 - length)
+    return (entries.astype(np.uint64) >> shift)[:, :, None] == (keys.astype(np.uint64) >> shift)[:, None, :]
+
+
+def test_sizes_equal_plain_counts():
+    entries, keys = crowded_entries()
+    got = np.concatenate([ann.shallow_sizes(entries, keys), ann.deep_sizes(entries, keys)])
+    assert got.tolist() == [shares(entries, keys, length).sum(axis=(0, 1)).tolist() for length in range(1, 33)]
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_a_shard_scores_what_shares_a_prefix(kind):
+    entries, keys = crowded_entries(140)
+    draw = np.random.default_rng(9)
+    x, asked, length = draw.standard_normal((500, 8)).astype(kind), draw.standard_normal((keys.shape[1], 8)), draw.integers(0, 33, keys.shape[1])
+    x[250:260] = x[240:250] * (1e25 if kind == np.float32 else 1)
+    counts = draw.integers(1, 4, 500)
+    ids = draw.permutation(counts.sum())
+    owner, score = np.repeat(np.arange(500), counts), np.array([np.add.reduce(x.astype(float) * v, axis=1) for v in asked])
+    shard = ann.Shard(x, entries.copy(), ids, counts)
+    low, size = shard.ranges(keys, length.astype(np.uint8))
+    for i, v in enumerate(asked):
+        same = np.flatnonzero(shares(entries, keys[:, i : i + 1], int(length[i])).any(axis=(0, 2))).tolist()
+        assert size[i].any() == bool(same)
+        if same:
+            place = shard.places(low[i], size[i])
+            assert place.tolist() == same
+            best = sorted((-score[i, p], n) for p, n in zip(owner.tolist(), ids.tolist(), strict=True) if p in same and n != ids[0])[:20]
+            got = ann._first(*shard.best(int(ids[0]), v, place, 20, -np.inf), 20)
+            assert list(zip((-got[0]).tolist(), got[1].tolist(), strict=True)) == best
+
+
 # ------------------------------------------------------------------ op3
 
 

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import collections
+import os
 import struct
 import tempfile
 import zlib
@@ -537,6 +538,32 @@ def test_forest_odd_vectors(spark):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+def test_forest_rows_that_repeat_an_id(spark):
+    """The smallest vector of an id counts, of each length; doubles keep their precision."""
+    rows = [(20, [3.0, 0.0]), (20, [1.0, 1e-9]), (20, [5.0]), (1, [2.0, 0.0]), (1, [4.0, 0.0]), (2, [1.0, 1e-9]), (3, [0.0, -1.0]), (4, [7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id = 20")).collect())
+    assert got == [(1, 4, 35.0), (2, 1, 2.0), (3, 2, 1.0 + 1e-9 * 1e-9), (4, 3, -1e-9)]
+
+
+def written_bytes(spark):
+    """What the session's shuffles and staged tables have taken so far."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    staged = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    files = [os.path.join(d, f) for d, _, names in os.walk(staged) for f in names]
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) + sum(map(os.path.getsize, files))
+
+
+def test_forest_is_neither_written_nor_exchanged(spark):
+    """Trees and candidates are many times the vectors; what goes to disk stays in proportion to these."""
+    ids, x = copied_vectors(6000, 0)
+    rows = vector_rows(spark, ids, x)
+    before = written_bytes(spark)
+    assert ann.nearest(rows, rows.filter("vec_id % 20 = 0")).count() == 300 * 20
+    assert 2 * x.nbytes < written_bytes(spark) - before < 4 * x.nbytes
+
+
 # ------------------------------------------------------------------ op9
 
 
